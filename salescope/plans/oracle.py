@@ -105,3 +105,63 @@ GROUP BY region ORDER BY sum(sales) DESC, region LIMIT 1"""
 ORACLE["best_category"] = SALES_CTE + """
 SELECT category, round(sum(sales), 2) AS sales FROM sales WHERE category IS NOT NULL
 GROUP BY category ORDER BY sum(sales) DESC, category LIMIT 1"""
+
+
+def _monthly_ctes(keys: str = "") -> str:
+    """Monthly sums, per-series bounds, month spine and the gap-filled series ``s``."""
+    k = f"{keys}, " if keys else ""
+    kn = " AND ".join(f"{c.strip()} IS NOT NULL" for c in keys.split(",")) if keys else "TRUE"
+    using = f"USING ({keys}, ds)" if keys else "USING (ds)"
+    gb = f"GROUP BY {keys}" if keys else ""
+    return f"""
+, m AS (SELECT {k}last_day(order_date)::DATE AS ds, sum(sales) AS y FROM sales
+        WHERE order_date IS NOT NULL AND {kn} GROUP BY ALL),
+b AS (SELECT {k}min(ds) AS f, max(ds) AS l FROM m {gb}),
+sp AS (SELECT {k}last_day(unnest(generate_series(date_trunc('month', f), date_trunc('month', l),
+              INTERVAL 1 MONTH)))::DATE AS ds FROM b),
+s AS (SELECT {k}ds, coalesce(m.y, 0.0) AS y, year(ds) * 12 + month(ds) AS t, month(ds) AS mo
+      FROM sp LEFT JOIN m {using})"""
+
+
+_MODEL_CTES = """,
+lin AS (SELECT coalesce(regr_intercept(y, t), 0.0) AS a, coalesce(regr_slope(y, t), 0.0) AS b,
+               count(*) AS n, max(t) AS last_t, max(ds) AS last_ds FROM s),
+r AS (SELECT s.mo, lin.n, s.y - (lin.a + lin.b * s.t) AS r FROM s, lin),
+season AS (SELECT mo, CASE WHEN max(n) >= 24 THEN avg(r) ELSE 0.0 END AS season FROM r GROUP BY mo),
+sdt AS (SELECT coalesce(stddev_samp(r.r - season.season), 0.0) AS sd FROM r JOIN season USING (mo)),
+fut AS (SELECT lin.a, lin.b, sdt.sd, last_day(lin.last_ds + to_months(h::INTEGER))::DATE AS ds,
+               lin.last_t + h AS t
+        FROM lin, sdt, range(1, 7) AS hh(h)),
+fc AS (SELECT fut.ds, fut.a + fut.b * fut.t + coalesce(season.season, 0.0) AS yhat, fut.sd
+       FROM fut LEFT JOIN season ON month(fut.ds) = season.mo)"""
+
+_Z80 = "1.2815515655446004"
+
+ORACLE["monthly_sales"] = SALES_CTE + _monthly_ctes() + """
+SELECT strftime(ds, '%Y-%m-%d') AS ds, round(y, 2) AS y FROM s"""
+
+ORACLE["monthly_gapfill"] = SALES_CTE + _monthly_ctes("sub_category, segment") + """
+SELECT sub_category, segment, strftime(ds, '%Y-%m-%d') AS ds, round(y, 2) AS y FROM s"""
+
+ORACLE["history_12m"] = SALES_CTE + _monthly_ctes() + """
+SELECT strftime(ds, '%Y-%m-%d') AS ds, round(y, 2) AS y FROM s ORDER BY s.ds DESC LIMIT 12"""
+
+ORACLE["forecast_trend_season"] = SALES_CTE + _monthly_ctes() + _MODEL_CTES + f"""
+SELECT strftime(ds, '%Y-%m-%d') AS ds, round(yhat, 4) AS yhat,
+       round(yhat - {_Z80} * sd, 4) AS yhat_lower, round(yhat + {_Z80} * sd, 4) AS yhat_upper
+FROM fc"""
+
+ORACLE["forecast_fitted"] = SALES_CTE + _monthly_ctes() + _MODEL_CTES + """
+SELECT strftime(s.ds, '%Y-%m-%d') AS ds, round(s.y, 2) AS y,
+       round(lin.a + lin.b * s.t + coalesce(season.season, 0.0), 4) AS yhat
+FROM s CROSS JOIN lin LEFT JOIN season ON s.mo = season.mo"""
+
+ORACLE["forecast_summary"] = SALES_CTE + _monthly_ctes() + _MODEL_CTES + """
+SELECT (SELECT strftime(ds, '%Y-%m-%d') FROM fc ORDER BY yhat DESC, ds LIMIT 1) AS best_month,
+       round(max(yhat), 4) AS best_yhat,
+       (SELECT strftime(ds, '%Y-%m-%d') FROM fc ORDER BY yhat, ds LIMIT 1) AS worst_month,
+       round(min(yhat), 4) AS worst_yhat,
+       (SELECT CASE WHEN b > 0 THEN 'increasing' WHEN b < 0 THEN 'decreasing' ELSE 'stable' END
+          FROM lin) AS direction,
+       (SELECT round(b, 6) FROM lin) AS slope
+FROM fc"""

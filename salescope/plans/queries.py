@@ -11,7 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salescope.operators import kpi
+from pyspark.sql import functions as F
+
+from salescope.functions.formats import iso_date
+from salescope.operators import forecast_model, kpi, series
 from salescope.plans.present import present
 from salescope.sources.fixture import landed_sales
 
@@ -70,6 +73,54 @@ def q_best_category(spark, sf_dir):
     return present(kpi.best_category(_sales(spark, sf_dir)))
 
 
+# Series keys used for the many-series queries: 25 sub-categories x 5 segments.
+SERIES_KEYS = ["sub_category", "segment"]
+
+
+def _monthly(spark, sf_dir, keys=()):
+    return series.monthly_series(_sales(spark, sf_dir), keys=keys)
+
+
+def _with_iso(df, *cols):
+    return df.select(*[iso_date(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def q_monthly_sales(spark, sf_dir):
+    return present(_with_iso(_monthly(spark, sf_dir), "ds"))
+
+
+def q_monthly_gapfill(spark, sf_dir):
+    return present(_with_iso(_monthly(spark, sf_dir, SERIES_KEYS), "ds"))
+
+
+def q_history_12m(spark, sf_dir):
+    return present(_with_iso(series.last_n(_monthly(spark, sf_dir), 12), "ds"))
+
+
+def q_forecast_trend_season(spark, sf_dir):
+    return present(_with_iso(series.forecast_trend_season(_monthly(spark, sf_dir)), "ds"))
+
+
+def q_forecast_fitted(spark, sf_dir):
+    return present(_with_iso(series.forecast_fitted(_monthly(spark, sf_dir)), "ds"))
+
+
+def q_forecast_summary(spark, sf_dir):
+    m = _monthly(spark, sf_dir)
+    params, _ = series.trend_season_model(m)
+    summ = series.forecast_summary(series.forecast_trend_season(m), params)
+    summ = summ.select(iso_date("best_month").alias("best_month"),
+                       F.round("best_yhat", 4).alias("best_yhat"),
+                       iso_date("worst_month").alias("worst_month"),
+                       F.round("worst_yhat", 4).alias("worst_yhat"), "direction", "slope")
+    return present(summ)
+
+
+def q_forecast_fourier(spark, sf_dir):
+    return present(_with_iso(
+        forecast_model.forecast_fourier(_monthly(spark, sf_dir, SERIES_KEYS), SERIES_KEYS), "ds"))
+
+
 QUERIES: dict[str, Query] = {
     "kpi_overall": q_kpi_overall,
     "kpi_region": q_kpi_region,
@@ -83,4 +134,11 @@ QUERIES: dict[str, Query] = {
     "discount_profit_corr": q_discount_profit_corr,
     "best_region": q_best_region,
     "best_category": q_best_category,
+    "monthly_sales": q_monthly_sales,
+    "monthly_gapfill": q_monthly_gapfill,
+    "history_12m": q_history_12m,
+    "forecast_trend_season": q_forecast_trend_season,
+    "forecast_fitted": q_forecast_fitted,
+    "forecast_summary": q_forecast_summary,
+    "forecast_fourier": q_forecast_fourier,
 }
