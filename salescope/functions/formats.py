@@ -24,7 +24,7 @@ def money(col: Column | str) -> Column:
 def fixed(col: Column | str, decimals: int) -> Column:
     """Plain fixed-point text without separators: ``12.35``, ``-0.00``."""
     pattern = "0" if decimals == 0 else "0." + "0" * decimals
-    return F.format_number(_c(col), pattern)
+    return F.call_function("format_number", _c(col), F.lit(pattern))
 
 
 def pct(col: Column | str, decimals: int = 2) -> Column:

@@ -94,7 +94,7 @@ def grain_bitmask(keys: Sequence[str], all_keys: Sequence[str] = GRAIN_KEYS) ->
 
 def kpi_grouping_sets(df: DataFrame, grains: dict[str, tuple[str, ...]] | None = None,
                       sales: str = "sales", profit: str = "profit",
-                      discount: str = "discount") -> DataFrame:
+                      discount: str = "discount", with_corr: bool = False) -> DataFrame:
     """All breakdowns in one pass.
 
     One scan, one Expand feeding a partial HashAggregate, one shuffle of partial
@@ -105,7 +105,9 @@ def kpi_grouping_sets(df: DataFrame, grains: dict[str, tuple[str, ...]] | None =
     keys = GRAIN_KEYS
     sets = [[F.col(k) for k in g] for g in grains.values()]
     gid = F.grouping_id(*[F.col(k) for k in keys])
-    agg = df.groupingSets(sets, *keys).agg(*_measures(sales, profit, discount), gid.alias("_gid"))
+    extra = [pearson(discount, profit).alias("corr_discount_profit")] if with_corr else []
+    agg = df.groupingSets(sets, *keys).agg(*_measures(sales, profit, discount), *extra,
+                                           gid.alias("_gid"))
     grain = None
     keep = F.lit(False)
     for name, g in grains.items():
@@ -115,7 +117,8 @@ def kpi_grouping_sets(df: DataFrame, grains: dict[str, tuple[str, ...]] | None =
         keep = keep | ((F.col("_gid") == m) & _not_null(g))
     return agg.where(keep).select(
         grain.alias("grain"), *keys, "sales", "profit",
-        margin_pct("profit", "sales").alias("margin"), "discount")
+        margin_pct("profit", "sales").alias("margin"), "discount",
+        *(["corr_discount_profit"] if with_corr else []))
 
 
 def loss_subcategories(df: DataFrame, key: str = "sub_category", **kw) -> DataFrame:

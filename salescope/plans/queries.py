@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescope.functions.formats import iso_date
-from salescope.operators import forecast_model, kpi, series
+from salescope.operators import facts, forecast_model, kpi, series, text
 from salescope.plans.present import present
-from salescope.sources.fixture import landed_sales
+from salescope.sources.fixture import landed_sales, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,6 +121,44 @@ def q_forecast_fourier(spark, sf_dir):
         forecast_model.forecast_fourier(_monthly(spark, sf_dir, SERIES_KEYS), SERIES_KEYS), "ds"))
 
 
+def q_facts(spark, sf_dir):
+    return facts.facts(_sales(spark, sf_dir))
+
+
+def q_loss_summary(spark, sf_dir):
+    sales = _sales(spark, sf_dir)
+    return text.loss_summary(kpi.loss_subcategories(sales), kpi.loss_products(sales, k=10))
+
+
+def q_forecast_lines(spark, sf_dir):
+    return text.forecast_lines(series.forecast_trend_season(_monthly(spark, sf_dir)))
+
+
+def q_chat_history(spark, sf_dir):
+    return text.chat_history(table(spark, sf_dir, "conversations"))
+
+
+def q_final_report(spark, sf_dir):
+    sales = _sales(spark, sf_dir)
+    fc = text.forecast_lines(series.forecast_trend_season(_monthly(spark, sf_dir)))
+    return text.final_report(kpi.kpi_overall(sales), kpi.loss_subcategories(sales), fc)
+
+
+def _assistant_plans(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    return text.parse_plan(conv.select("conv_id", "turn", "text"))
+
+
+def q_parse_plan(spark, sf_dir):
+    return _assistant_plans(spark, sf_dir).select(
+        "conv_id", "turn", F.array_join("plan", ",").alias("plan"), "plan_is_default")
+
+
+def q_resolve_plan(spark, sf_dir):
+    return text.resolve_plan(_assistant_plans(spark, sf_dir)).select(
+        "conv_id", "turn", F.array_join("stages", ",").alias("stages"))
+
+
 QUERIES: dict[str, Query] = {
     "kpi_overall": q_kpi_overall,
     "kpi_region": q_kpi_region,
@@ -141,4 +179,11 @@ QUERIES: dict[str, Query] = {
     "forecast_fitted": q_forecast_fitted,
     "forecast_summary": q_forecast_summary,
     "forecast_fourier": q_forecast_fourier,
+    "facts": q_facts,
+    "loss_summary": q_loss_summary,
+    "forecast_lines": q_forecast_lines,
+    "chat_history": q_chat_history,
+    "final_report": q_final_report,
+    "parse_plan": q_parse_plan,
+    "resolve_plan": q_resolve_plan,
 }
