@@ -11,6 +11,13 @@ Packages:
   streaming  Structured Streaming versions of file landing and feedback intake
 """
 
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
 from salescope.session import build_session, checkpoint_root
 
+# Ship this package's functions to Python workers by value, so executors need no install.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 __all__ = ["build_session", "checkpoint_root"]

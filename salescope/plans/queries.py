@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescope.functions.formats import iso_date
-from salescope.operators import facts, forecast_model, kpi, series, text
+from pyspark.sql import Window
+
+from salescope.operators import facts, forecast_model, kpi, series, text, vectors
 from salescope.plans.present import present
 from salescope.sources.fixture import landed_sales, table
 
@@ -159,6 +161,62 @@ def q_resolve_plan(spark, sf_dir):
         "conv_id", "turn", F.array_join("stages", ",").alias("stages"))
 
 
+# Retrieval settings of the reference: k = 5 facts per chat question.
+RAG_K = 5
+SEARCH_K = 5
+
+
+def q_embed_hash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return present(vectors.embed_hash(docs, "doc_id", "text"))
+
+
+def q_knn_embeddings(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    cent = vectors.label_centroids(emb).select(F.col("label").alias("qid"), "vec")
+    vecs = emb.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    hits = vectors.knn_dense(cent, vecs, k=SEARCH_K)
+    return present(hits.select(F.col("qid").alias("label"), F.col("rank").cast("bigint"),
+                               F.col("id").alias("vec_id"), "d2"))
+
+
+def q_text_search(spark, sf_dir):
+    qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"),
+                                                  F.col("text").alias("question"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    hits = vectors.text_search(qs, docs, k=SEARCH_K)
+    return present(hits.select(F.col("qid").alias("item_id"), F.col("rank").cast("bigint"),
+                               F.col("id").alias("doc_id"), "d2", "text"))
+
+
+def chat_questions(conv: DataFrame) -> DataFrame:
+    """Per conversation: its last user turn is the question (window per conversation)."""
+    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    users = conv.where(F.col("role") == "user").withColumn("_rn", F.row_number().over(w))
+    return users.where(F.col("_rn") == 1).select(
+        "conv_id", F.col("turn").alias("q_turn"), F.col("text").alias("question"))
+
+
+def _rag(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    qs = chat_questions(conv)
+    fct = facts.facts(_sales(spark, sf_dir)).select(F.col("fact_id").alias("id"), "text")
+    hits = vectors.text_search(qs.select(F.col("conv_id").alias("qid"), "question"), fct, k=RAG_K)
+    ctx = text.rag_context(hits, qid="qid", questions=qs.select(F.col("conv_id").alias("qid")))
+    return conv, qs, ctx.withColumnRenamed("qid", "conv_id")
+
+
+def q_rag_context(spark, sf_dir):
+    return _rag(spark, sf_dir)[2]
+
+
+def q_prompt_table(spark, sf_dir):
+    conv, qs, ctx = _rag(spark, sf_dir)
+    before = conv.join(qs.select("conv_id", "q_turn"), "conv_id").where(F.col("turn") < F.col("q_turn"))
+    hist = text.chat_history(before)
+    return text.prompt_table(qs, ctx, hist, qid="conv_id", conv="conv_id")
+
+
 QUERIES: dict[str, Query] = {
     "kpi_overall": q_kpi_overall,
     "kpi_region": q_kpi_region,
@@ -186,4 +244,9 @@ QUERIES: dict[str, Query] = {
     "final_report": q_final_report,
     "parse_plan": q_parse_plan,
     "resolve_plan": q_resolve_plan,
+    "embed_hash": q_embed_hash,
+    "knn_embeddings": q_knn_embeddings,
+    "text_search": q_text_search,
+    "rag_context": q_rag_context,
+    "prompt_table": q_prompt_table,
 }
