@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salescope.functions.cleaning import py_strip
 from salescope.functions.formats import capitalize, fixed, iso_date, money
 
 # Line layouts of the root-cause and forecast summaries.
@@ -209,7 +210,7 @@ def final_report(overall: DataFrame, loss_subs: DataFrame | None, forecast_text:
 
 
 def _strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return py_strip(c)
 
 
 def parse_plan(replies: DataFrame, text: str = "text") -> DataFrame:

@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 from salescope.functions.formats import iso_date
 from pyspark.sql import Window
 
-from salescope.operators import facts, forecast_model, kpi, series, text, vectors
+from salescope.functions.cleaning import na_to_null
+from salescope.functions.formats import fixed, money
+from salescope.operators import facts, forecast_model, grid, kpi, series, text, vectors
+from salescope.plans import analysis
+from salescope.sources import catalog
+from salescope.sources.csv import clean_sales, read_sales_csv
 from salescope.plans.present import present
-from salescope.sources.fixture import landed_sales, table
+from salescope.sources.fixture import landed_sales, sales_csv_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -217,6 +222,75 @@ def q_prompt_table(spark, sf_dir):
     return text.prompt_table(qs, ctx, hist, qid="conv_id", conv="conv_id")
 
 
+def _csv_sales(spark, sf_dir):
+    return clean_sales(read_sales_csv(spark, sales_csv_path(spark, sf_dir)))
+
+
+def q_csv_kpi_category(spark, sf_dir):
+    return present(kpi.kpi_category(_csv_sales(spark, sf_dir)))
+
+
+def q_csv_monthly_sales(spark, sf_dir):
+    return present(_with_iso(series.monthly_series(_csv_sales(spark, sf_dir)), "ds"))
+
+
+def q_na_tokens(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", na_to_null("role").alias("role"),
+                       na_to_null("text").alias("text"))
+
+
+def q_format_money_pct(spark, sf_dir):
+    sub = kpi.kpi_subcategory(_sales(spark, sf_dir))
+    return sub.select("category", "sub_category",
+                      money(F.round("sales", 2)).alias("sales_text"),
+                      money(F.round("profit", 4)).alias("profit_text"),
+                      fixed(F.round("margin", 6), 2).alias("margin_text"),
+                      fixed(F.round("discount", 6), 1).alias("discount_text"))
+
+
+def q_catalog_dedup(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    first = catalog.first_per_key(ev, ["user_id"], ["ts", "event_id"])
+    return first.select("user_id", "event_id",
+                        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+                        "event_type", "value")
+
+
+def _grid_sales(spark, sf_dir):
+    s = _sales(spark, sf_dir)
+    return s.withColumn("order_date", F.date_format("order_date", "yyyy-MM-dd"))
+
+
+def q_preview(spark, sf_dir):
+    return grid.preview_file(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet")
+
+
+def q_nonblank_texts(spark, sf_dir):
+    return grid.nonblank_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# Fixed grid parameters used by the registered grid queries.
+GRID_FILTER = {"region": "EUROPE", "category": "PROMO"}
+GRID_KEYWORD = "Plate"
+
+
+def q_grid_filter(spark, sf_dir):
+    return present(grid.grid_filter(_grid_sales(spark, sf_dir), **GRID_FILTER))
+
+
+def q_grid_search(spark, sf_dir):
+    return present(grid.grid_search(_grid_sales(spark, sf_dir), GRID_KEYWORD))
+
+
+def q_grid_sort(spark, sf_dir):
+    return present(grid.grid_sort(_grid_sales(spark, sf_dir), "sales", descending=True, n=100))
+
+
+def q_results_json(spark, sf_dir):
+    return analysis.results_json(_sales(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "kpi_overall": q_kpi_overall,
     "kpi_region": q_kpi_region,
@@ -249,4 +323,15 @@ QUERIES: dict[str, Query] = {
     "text_search": q_text_search,
     "rag_context": q_rag_context,
     "prompt_table": q_prompt_table,
+    "csv_kpi_category": q_csv_kpi_category,
+    "csv_monthly_sales": q_csv_monthly_sales,
+    "na_tokens": q_na_tokens,
+    "format_money_pct": q_format_money_pct,
+    "catalog_dedup": q_catalog_dedup,
+    "preview": q_preview,
+    "nonblank_texts": q_nonblank_texts,
+    "grid_filter": q_grid_filter,
+    "grid_search": q_grid_search,
+    "grid_sort": q_grid_sort,
+    "results_json": q_results_json,
 }

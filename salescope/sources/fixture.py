@@ -82,3 +82,31 @@ def landed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         sales_view(spark, sf_dir).write.mode("overwrite").parquet(path)
         _LANDED[key] = path
     return spark.read.parquet(path)
+
+
+_CSV: dict[tuple[str, str], str] = {}
+
+
+def sales_csv_path(spark: SparkSession, sf_dir: str) -> str:
+    """The sales table written once as a reference-layout CSV (derived from the tables).
+
+    Header names as the reference's file has them (one padded with spaces), dates as
+    ``M/d/yyyy`` text, numbers as text -- input for the CSV scan and cleaning path.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _CSV.get(key)
+    if path is None:
+        path = scratch_path(spark, "sales-csv")
+        s = landed_sales(spark, sf_dir)
+        s.select(F.date_format("order_date", "M/d/yyyy").alias("Order Date"),
+                 F.col("region").alias(" Region "), F.col("category").alias("Category"),
+                 F.col("sub_category").alias("Sub-Category"), F.col("segment").alias("Segment"),
+                 F.col("product_name").alias("Product Name"),
+                 F.col("sales").cast("string").alias("Sales"),
+                 F.col("discount").cast("string").alias("Discount"),
+                 F.col("profit").cast("string").alias("Profit")) \
+            .write.mode("overwrite").option("header", True) \
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
+            .option("encoding", "ISO-8859-1").csv(path)
+        _CSV[key] = path
+    return path
