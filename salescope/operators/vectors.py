@@ -199,13 +199,23 @@ def _collect_side(df: DataFrame, max_rows: int) -> pa.Table:
     return df.toArrow()
 
 
-def _blocks(df: DataFrame, id_col: str, max_rows: int) -> list[DataFrame]:
-    """Split ``df`` into hash blocks of about ``max_rows`` rows (a count, not a collect)."""
+def _blocks(df: DataFrame, id_col: str, max_rows: int, level: int = 0) -> list[DataFrame]:
+    """Split ``df`` into hash blocks of at most ``max_rows`` rows (counts only, no collect).
+
+    A block that comes out over the cap is split again with a different hash salt, so
+    every block is within the cap whatever the hash balance.
+    """
     n = df.count()
     if n <= max_rows:
-        return [df]
-    nb = int(np.ceil(n / (max_rows * 0.8)))
-    return [df.where(F.pmod(F.xxhash64(id_col), F.lit(nb)) == i) for i in range(nb)]
+        return [df] if n else []
+    if level > 12:
+        raise ValueError(f"cannot split {n} rows under {max_rows}: duplicate ids in {id_col!r}?")
+    nb = int(np.ceil(n / (max_rows * 0.7)))
+    out: list[DataFrame] = []
+    for i in range(nb):
+        part = df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(level)), F.lit(nb)) == i)
+        out.extend(_blocks(part, id_col, max_rows, level + 1))
+    return out
 
 
 def _final_topk(cands: DataFrame, qid: str, id_col: str, k: int) -> DataFrame:
@@ -316,6 +326,9 @@ def _search(queries: DataFrame, corpus: DataFrame, qid: str, id_col: str, k: int
             blk = make_block(_collect_side(blk_df, max_broadcast), id_col)
             parts.append(_scan_topk(queries, qid, blk, score, k, True, qid, id_col, id_type,
                                     qid_type, [qid, *payload]))
+    if not parts:
+        schema = f"`{qid}` {qid_type}, `{id_col}` {id_type}, d2 double, rank int"
+        return queries.sparkSession.createDataFrame([], schema)
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)

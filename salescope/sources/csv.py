@@ -49,12 +49,13 @@ def read_sales_csv(spark: SparkSession, path: str, **kw) -> DataFrame:
 
 
 def clean_sales(df: DataFrame, columns: dict[str, str] | None = None,
-                strict_dates: bool = True) -> DataFrame:
+                strict_dates: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Map to canonical columns, numbers with 0 default (S4), mixed-format dates.
 
     A bad or missing number becomes 0 and counts in means, as in the reference.  With
     ``strict_dates`` a date that matches no layout fails the job; otherwise it is NULL.
     Columns absent from ``df`` raise at analysis time (as a missing column does).
+    ``keep`` names extra columns passed through unchanged.
     """
     mapping = columns or REFERENCE_COLUMNS
     present = {src: dst for src, dst in mapping.items() if src in df.columns}
@@ -70,4 +71,4 @@ def clean_sales(df: DataFrame, columns: dict[str, str] | None = None,
     missing = [d for d in NUMERIC if d not in present.values()]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    return df.select(*out)
+    return df.select(*keep, *out)
