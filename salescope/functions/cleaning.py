@@ -17,10 +17,9 @@ NA_TOKENS = [
     "n/a", "nan", "null",
 ]
 
-# Fixed value: the characters Python's str.strip() removes by default, as a regex class
-# that Java regex and RE2 both read the same way.
-PY_WHITESPACE = (r"[\t\n\x0B\f\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}"
-                 r"\x{2029}\x{202F}\x{205F}\x{3000}]")
+# Fixed value: the characters Python's str.strip() removes by default (str.isspace()).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003"
+                 "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 # Date layouts tried in order (month first, then day first, then ISO).
 DATE_FORMATS = ["M/d/yyyy", "d/M/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss"]
@@ -29,7 +28,7 @@ DATE_FORMATS = ["M/d/yyyy", "d/M/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss"]
 def py_strip(col: Column | str) -> Column:
     """Remove leading and trailing whitespace as Python's ``str.strip()`` does."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(c, f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$", "")
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def strip_header(df: DataFrame) -> DataFrame:

@@ -236,4 +236,5 @@ def parse_plan(replies: DataFrame, text: str = "text") -> DataFrame:
 def resolve_plan(plans: DataFrame, plan: str = "plan") -> DataFrame:
     """Stages to run: those named in the plan, always in the fixed order."""
     order = F.array(*[F.lit(x) for x in STAGE_ORDER])
-    return plans.withColumn("stages", F.filter(order, lambda x: F.array_contains(F.col(plan), x)))
+    # array_intersect keeps the first array's order and drops names not in it
+    return plans.withColumn("stages", F.array_intersect(order, F.col(plan)))

@@ -193,10 +193,11 @@ def _topk_merge(best: dict[str, np.ndarray] | None, d2: np.ndarray, ids: np.ndar
 
 
 def _collect_side(df: DataFrame, max_rows: int) -> pa.Table:
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"broadcast block has {n} rows, over the cap {max_rows}")
-    return df.toArrow()
+    """Collect one block whose row count :func:`_blocks` has already checked."""
+    tbl = df.toArrow()
+    if tbl.num_rows > max_rows:
+        raise ValueError(f"broadcast block has {tbl.num_rows} rows, over the cap {max_rows}")
+    return tbl
 
 
 def _blocks(df: DataFrame, id_col: str, max_rows: int, level: int = 0) -> list[DataFrame]:
@@ -307,22 +308,31 @@ def _build_side(state: tuple):
 
 def _search(queries: DataFrame, corpus: DataFrame, qid: str, id_col: str, k: int,
             payload: list[str], make_block, score, max_broadcast: int,
-            broadcast_side: str | None) -> DataFrame:
-    """Exact top-k per query; see the module docstring for the plan."""
+            broadcast_side: str | None, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Exact top-k per query; see the module docstring for the plan.
+
+    ``sizes`` (queries, corpus) picks the broadcast side without computing the inputs;
+    without it both are counted.  The broadcast side is checkpointed once to the shared
+    checkpoint folder, so counting its blocks and collecting them never recomputes it.
+    """
+    from salescope.session import checkpoint_root
+
     qid_type = queries.schema[qid].dataType.simpleString()
     id_type = corpus.schema[id_col].dataType.simpleString()
     if broadcast_side is None:
-        nq = queries.count()
-        nc = corpus.count()
+        nq, nc = sizes if sizes is not None else (queries.count(), corpus.count())
         broadcast_side = "queries" if nq <= nc else "corpus"
+    checkpoint_root(queries.sparkSession)
     parts = []
     if broadcast_side == "queries":
-        for blk_df in _blocks(queries.select(qid, *payload), qid, max_broadcast):
+        small = queries.select(qid, *payload).checkpoint(eager=True)
+        for blk_df in _blocks(small, qid, max_broadcast):
             blk = make_block(_collect_side(blk_df, max_broadcast), qid)
             parts.append(_scan_topk(corpus, id_col, blk, score, k, False, qid, id_col, id_type,
                                     qid_type, [id_col, *payload]))
     else:
-        for blk_df in _blocks(corpus.select(id_col, *payload), id_col, max_broadcast):
+        small = corpus.select(id_col, *payload).checkpoint(eager=True)
+        for blk_df in _blocks(small, id_col, max_broadcast):
             blk = make_block(_collect_side(blk_df, max_broadcast), id_col)
             parts.append(_scan_topk(queries, qid, blk, score, k, True, qid, id_col, id_type,
                                     qid_type, [qid, *payload]))
@@ -337,7 +347,8 @@ def _search(queries: DataFrame, corpus: DataFrame, qid: str, id_col: str, k: int
 
 def search_sparse(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "qid",
                   id_col: str = "id", max_broadcast: int = MAX_BROADCAST_ROWS,
-                  broadcast_side: str | None = None) -> DataFrame:
+                  broadcast_side: str | None = None,
+                  sizes: tuple[int, int] | None = None) -> DataFrame:
     """Exact top-k by squared L2 between sparse unit vectors ``(id, idx, val)`` (V3/V4).
 
     ``d2 = 2 - 2 * dot``.  Corpus rows sharing no bucket with a query have d2 = 2 and
@@ -345,32 +356,44 @@ def search_sparse(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str =
     rows, all of them are returned.  Output: ``qid, id, d2, rank``.
     """
     return _search(queries, corpus, qid, id_col, k, ["idx", "val"], _sparse_block,
-                   _sparse_score, max_broadcast, broadcast_side)
+                   _sparse_score, max_broadcast, broadcast_side, sizes)
 
 
 def knn_dense(queries: DataFrame, vectors: DataFrame, k: int = 5, qid: str = "qid",
               id_col: str = "id", max_broadcast: int = MAX_BROADCAST_ROWS,
-              broadcast_side: str | None = None) -> DataFrame:
+              broadcast_side: str | None = None,
+              sizes: tuple[int, int] | None = None) -> DataFrame:
     """Exact k nearest dense vectors (column ``vec``) by squared L2 (V3)."""
     return _search(queries, vectors, qid, id_col, k, ["vec"], _dense_block, _dense_score,
-                   max_broadcast, broadcast_side)
+                   max_broadcast, broadcast_side, sizes)
 
 
 def text_search(questions: DataFrame, texts: DataFrame, k: int = 5, qid: str = "qid",
                 question: str = "question", id_col: str = "id", text: str = "text",
                 dim: int = DEFAULT_DIM, hash_fn: str = "md5", with_text: bool = True,
-                **kw: Any) -> DataFrame:
+                max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Questions x texts, k nearest texts per question by hashed word vectors (V4).
 
-    The hits (at most questions x k rows, a proven bound) are joined back to the texts
-    by id with a broadcast join, so the text column is read but never shuffled.
+    The side with fewer rows (counted on the inputs, before embedding) is broadcast.
+    When the texts are broadcast they carry their text along; otherwise the hits (at
+    most questions x k rows, a proven bound) are joined back to the texts by id with a
+    broadcast join, so the text column is read but never shuffled.
     """
+    from salescope.session import checkpoint_root
+
+    checkpoint_root(questions.sparkSession)
+    nq, nc = questions.count(), texts.count()
+    corpus_small = nc < nq
     q = sparse_embed(questions, qid, question, dim, hash_fn)
-    c = sparse_embed(texts, id_col, text, dim, hash_fn)
-    hits = search_sparse(q, c, k, qid, id_col, **kw)
+    c = sparse_embed(texts, id_col, text, dim, hash_fn, keep=(text,) if corpus_small else ())
+    if corpus_small:
+        c = c.checkpoint(eager=True)
+    hits = search_sparse(q, c, k, qid, id_col, max_broadcast=max_broadcast,
+                         broadcast_side="corpus" if corpus_small else "queries")
     if not with_text:
         return hits
-    return texts.select(id_col, text).join(F.broadcast(hits), id_col) \
+    source = c if corpus_small else texts
+    return source.select(id_col, text).join(F.broadcast(hits), id_col) \
         .select(qid, "rank", id_col, "d2", text)
 
 

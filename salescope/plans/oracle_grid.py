@@ -48,7 +48,7 @@ FROM (SELECT * FROM lineitem LIMIT 100)"""
 
 ORACLE["nonblank_texts"] = f"""
 SELECT doc_id, t AS text FROM (
-  SELECT doc_id, regexp_replace(text, '^{PY_WHITESPACE}+|{PY_WHITESPACE}+$', '', 'g') AS t FROM documents)
+  SELECT doc_id, trim(text, '{PY_WHITESPACE}') AS t FROM documents)
 WHERE t <> ''"""
 
 _GRID_COLS = """strftime(order_date, '%Y-%m-%d') AS order_date, region, category, sub_category, segment,

@@ -136,18 +136,18 @@ SELECT '# Executive Business Report' || chr(10) || chr(10) || '## 1. System Perf
 FROM summ"""
 
 _PLAN_CTES = r"""
-WITH r AS (SELECT conv_id, turn, regexp_replace(text, '^WS+|WS+$', '', 'g') AS s
+WITH r AS (SELECT conv_id, turn, trim(text, __WHITESPACE__) AS s
            FROM conversations WHERE role = 'assistant'),
 r1 AS (SELECT *, CASE WHEN starts_with(s, '```json') THEN substr(s, 8) ELSE s END AS s1 FROM r),
 r2 AS (SELECT *, CASE WHEN ends_with(s1, '```') THEN substr(s1, 1, length(s1) - 3) ELSE s1 END AS s2 FROM r1),
-r3 AS (SELECT *, regexp_replace(s2, '^WS+|WS+$', '', 'g') AS body FROM r2),
+r3 AS (SELECT *, trim(s2, __WHITESPACE__) AS body FROM r2),
 r4 AS (SELECT conv_id, turn,
               CASE WHEN starts_with(body, '[') AND ends_with(body, ']') AND json_valid(body)
                    THEN from_json(body, '["VARCHAR"]') END AS parsed FROM r3),
 p AS (SELECT conv_id, turn, coalesce(parsed, ['analysis', 'root_cause', 'forecast', 'explanation',
               'recommendation']) AS plan, parsed IS NULL AS plan_is_default FROM r4)"""
 
-_PLAN_CTES = _PLAN_CTES.replace("WS", PY_WHITESPACE)
+_PLAN_CTES = _PLAN_CTES.replace("__WHITESPACE__", "'" + PY_WHITESPACE + "'")
 
 ORACLE["parse_plan"] = _PLAN_CTES + """
 SELECT conv_id, turn, array_to_string(plan, ',') AS plan, plan_is_default FROM p"""
