@@ -31,3 +31,16 @@ def pearson(x: Column | str, y: Column | str) -> Column:
 def month_end(col: Column | str) -> Column:
     """Month-end date of a date or timestamp."""
     return F.last_day(_c(col))
+
+
+def exact_mean(col: Column | str, scale: int = 10) -> Column:
+    """Mean whose value does not depend on partitioning or summation order.
+
+    The sum runs in ``decimal(38, scale)`` (exact and associative, so every partial
+    aggregation order gives the same total) and is divided by the count once, in double.
+    A plain double ``avg`` can land on either side of an exact rounding tie depending on
+    how rows were split across tasks.
+    """
+    c = _c(col)
+    total = F.sum(c.cast(f"decimal(38,{scale})")).cast("double")
+    return F.try_divide(total, F.count(c).cast("double"))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salescope.functions.metrics import margin_pct, pearson
+from salescope.functions.metrics import exact_mean, margin_pct, pearson
 
 
 def _not_null(keys: Sequence[str]) -> Column:
@@ -27,8 +27,8 @@ def _not_null(keys: Sequence[str]) -> Column:
 def _measures(sales: str, profit: str, discount: str | None) -> list[Column]:
     out = [F.sum(sales).alias("sales"), F.sum(profit).alias("profit")]
     if discount is not None:
-        # unweighted mean of the row discounts, as a percentage
-        out.append((F.avg(discount) * 100.0).alias("discount"))
+        # unweighted mean of the row discounts, as a percentage (order-independent sum)
+        out.append((exact_mean(discount) * 100.0).alias("discount"))
     return out
 
 
@@ -40,7 +40,7 @@ def kpi_overall(df: DataFrame, sales: str = "sales", profit: str = "profit",
     """
     agg = df.agg(F.coalesce(F.sum(sales), F.lit(0.0)).alias("total_sales"),
                  F.coalesce(F.sum(profit), F.lit(0.0)).alias("total_profit"),
-                 (F.avg(discount) * 100.0).alias("avg_discount"))
+                 (exact_mean(discount) * 100.0).alias("avg_discount"))
     return agg.select("total_sales", "total_profit",
                       margin_pct("total_profit", "total_sales").alias("overall_margin"),
                       "avg_discount")

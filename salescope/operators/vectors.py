@@ -63,10 +63,21 @@ def bucket_array(text: Column | str, dim: int = DEFAULT_DIM, hash_fn: str = "md5
 
 def embed_hash(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_DIM,
                hash_fn: str = "md5") -> DataFrame:
-    """Sparse hashed vectors as rows ``(id, bucket, weight)`` (V1, relational form).
+    """Sparse hashed vectors as rows ``(id, bucket, weight)`` (V1).
 
-    Counts per (id, bucket) aggregate partially before the shuffle; the L2 norm is a
-    window per id (one text's distinct buckets, at most ``dim`` rows).
+    Narrow: :func:`sparse_embed` builds each text's vector inside its own task, and the
+    arrays are exploded in place -- no shuffle, however large the corpus.
+    """
+    sv = sparse_embed(df, id_col, text_col, dim, hash_fn)
+    return sv.select(id_col, F.explode(F.arrays_zip("idx", "val")).alias("e")) \
+        .select(id_col, F.col("e.idx").alias("bucket"), F.col("e.val").alias("weight"))
+
+
+def embed_hash_relational(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_DIM,
+                          hash_fn: str = "md5") -> DataFrame:
+    """The same vectors with built-ins only: explode, ``groupBy(id, bucket)``, norm window.
+
+    Two shuffles; kept as the pure-SQL statement of the definition (tests compare both).
     """
     b = df.select(id_col, F.explode(bucket_array(text_col, dim, hash_fn)).alias("bucket"))
     c = b.groupBy(id_col, "bucket").agg(F.count(F.lit(1)).alias("cnt"))
@@ -106,8 +117,11 @@ def sparse_embed(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_D
     Narrow: tokenising in the JVM, counting and normalising per Arrow batch in numpy;
     no shuffle.  Texts without any word have no vector and are dropped.
     """
-    src = df.select(F.col(id_col).alias("_id"), bucket_array(text_col, dim, hash_fn).alias("_b"),
-                    *keep)
+    from salescope.sources.partitioning import ensure_parallel
+
+    src = ensure_parallel(df.select(id_col, text_col, *[k for k in keep if k != text_col]), id_col)
+    src = src.select(F.col(id_col).alias("_id"), bucket_array(text_col, dim, hash_fn).alias("_b"),
+                     *keep)
     keep_fields = [f for f in src.schema.fields if f.name in keep]
     id_type = src.schema["_id"].dataType.simpleString()
     schema = f"_id {id_type}, idx array<int>, val array<double>" + "".join(

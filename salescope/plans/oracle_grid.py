@@ -23,7 +23,7 @@ SELECT category, sub_category,
        '$' || format('{:,.2f}', round(sum(profit), 4)) AS profit_text,
        format('{:.2f}', round(CASE WHEN sum(sales) > 0 THEN sum(profit) / sum(sales) * 100.0 ELSE 0.0 END, 6))
          AS margin_text,
-       format('{:.1f}', round(avg(discount) * 100.0, 6)) AS discount_text
+       format('{:.1f}', round((sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0, 6)) AS discount_text
 FROM sales WHERE category IS NOT NULL AND sub_category IS NOT NULL
 GROUP BY category, sub_category"""
 

@@ -17,7 +17,7 @@ def _fixed(x: str, decimals: int) -> str:
 _FACT_G = f"""
 , g AS (
   SELECT region, category, sub_category, segment, product_name,
-         sum(sales) AS s, sum(profit) AS p, avg(discount) * 100.0 AS d,
+         sum(sales) AS s, sum(profit) AS p, (sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0 AS d,
          coalesce(covar_pop(discount, profit) / nullif(stddev_pop(discount) * stddev_pop(profit), 0),
                   'NaN'::DOUBLE) AS c,
          grouping(region, category, sub_category, segment, product_name) AS gid
@@ -83,10 +83,10 @@ SELECT 'correlation:' || category, 7, 'Root Cause Correlation: In Category ''' |
 FROM f WHERE gid = 23 AND category IS NOT NULL"""
 
 _LOSS_CTES = """
-, subs AS (SELECT sub_category, sum(profit) AS p, sum(sales) AS s, avg(discount) * 100.0 AS d
+, subs AS (SELECT sub_category, sum(profit) AS p, sum(sales) AS s, (sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0 AS d
            FROM sales WHERE sub_category IS NOT NULL GROUP BY sub_category HAVING sum(profit) < 0),
 prods AS (SELECT sub_category, product_name, sum(profit) AS p, sum(sales) AS s,
-                 avg(discount) * 100.0 AS d
+                 (sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0 AS d
           FROM sales WHERE sub_category IS NOT NULL AND product_name IS NOT NULL
           GROUP BY sub_category, product_name HAVING sum(profit) < 0
           ORDER BY p, sub_category, product_name LIMIT 5)"""
@@ -118,7 +118,7 @@ _MARGIN_SQL = "CASE WHEN ts > 0 THEN tp / ts * 100.0 ELSE 0.0 END"
 
 ORACLE["final_report"] = SALES_CTE + _monthly_ctes() + _MODEL_CTES + _FORECAST_TEXT + _LOSS_CTES + f""",
 kpi AS (SELECT coalesce(sum(sales), 0.0) AS ts, coalesce(sum(profit), 0.0) AS tp,
-               avg(discount) * 100.0 AS ad FROM sales),
+               (sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0 AS ad FROM sales),
 summ AS (SELECT chr(10) || '    Business KPIs:' || chr(10) || '    - Total Sales: ' || {_money("ts", 2)}
                 || chr(10) || '    - Total Profit: ' || {_money("tp", 4)} || chr(10)
                 || '    - Profit Margin: ' || {_fixed(_MARGIN_SQL, 2)}

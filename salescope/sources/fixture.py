@@ -7,10 +7,9 @@ Canonical columns (what every sales operator expects):
 
 Join order is chosen for scale: the small geography dimension (nation, region) first,
 then customer, then orders (one row per order), and only then the big fact table, so
-lineitem is joined to an already-narrow order dimension.  Nation and region are fixed
--size dimensions; Spark's size check (``autoBroadcastJoinThreshold``, AQE) turns those
-joins into broadcasts on its own.  Customer, orders and part grow with the data and are
-left to the planner (sort-merge by default, AQE skew splitting on hot keys).
+lineitem is joined to an already-narrow order dimension.  Broadcasts are count-checked
+(see :func:`sales_view`); above the cap the joins are sort-merge joins with AQE skew
+splitting on hot keys.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescope.session import scratch_path
+from salescope.sources.partitioning import dimension_join, ensure_parallel
 
 SALES_COLUMNS = [
     "order_date", "region", "category", "sub_category", "segment", "product_name",
@@ -37,25 +37,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lazy star join producing the canonical sales columns."""
+    """Lazy star join producing the canonical sales columns.
+
+    Every join streams the larger side and broadcasts a dimension only after its row
+    count is checked (:func:`salescope.sources.partitioning.dimension_join`): nation and
+    region always, customer / orders / part while they are under the cap, sort-merge
+    joins (with AQE skew splitting) beyond it.  Dimension keys are unique, so a
+    dimension joined to its own dimensions keeps its row count as the bound.
+    """
     t = lambda n: table(spark, sf_dir, n)
-    geo = (t("nation").select("n_nationkey", "n_regionkey")
-           .join(t("region").select("r_regionkey", "r_name"),
-                 F.col("n_regionkey") == F.col("r_regionkey"))
-           .select("n_nationkey", F.col("r_name").alias("region")))
-    cust = (t("customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("segment"))
-            .join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select("c_custkey", "segment", "region"))
-    ords = (t("orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("order_date"))
-            .join(cust, F.col("o_custkey") == F.col("c_custkey"))
-            .select("o_orderkey", "order_date", "segment", "region"))
+    region = t("region").select("r_regionkey", F.col("r_name").alias("region"))
+    nation = t("nation").select("n_nationkey", "n_regionkey")
+    geo = dimension_join(nation, region, F.col("n_regionkey") == F.col("r_regionkey")) \
+        .select("n_nationkey", "region")
+    customer = t("customer")
+    cust = dimension_join(
+        customer.select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("segment")),
+        geo, F.col("c_nationkey") == F.col("n_nationkey"), bound_rows=t("nation").count()) \
+        .select("c_custkey", "segment", "region")
+    orders = t("orders")
+    ords = dimension_join(
+        orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("order_date")),
+        cust, F.col("o_custkey") == F.col("c_custkey"), bound_rows=customer.count()) \
+        .select("o_orderkey", "order_date", "segment", "region")
     part = t("part").select("p_partkey", F.col("p_type").alias("category"),
                             F.col("p_brand").alias("sub_category"),
                             F.col("p_name").alias("product_name"), "p_retailprice")
-    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice",
-                                 "l_discount")
-    joined = (lines.join(ords, F.col("l_orderkey") == F.col("o_orderkey"))
-              .join(part, F.col("l_partkey") == F.col("p_partkey")))
+    lines = ensure_parallel(
+        t("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice",
+                             "l_discount"), key="l_orderkey")
+    joined = dimension_join(lines, ords, F.col("l_orderkey") == F.col("o_orderkey"),
+                            bound_rows=orders.count())
+    joined = dimension_join(joined, part, F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
         "order_date", "region", "category", "sub_category", "segment", "product_name",
         F.col("l_extendedprice").alias("sales"),

@@ -64,3 +64,20 @@ def test_grouping_sets_equal_single_groupings(spark):
         sub = g.where(F.col("grain") == grain).agg(F.sum("sales")).collect()[0][0]
         assert abs(sub - total) < 1e-6 * total
     s.unpersist()
+
+
+def test_star_join_plan_at_scale_never_broadcasts_fact(spark):
+    """With a tiny broadcast cap (as at 100 TB) big dimensions use sort-merge joins."""
+    from salescope.sources.fixture import sales_view
+    from tests.conftest import SF_SMALL
+    spark.conf.set("salescope.broadcast.maxRows", "30")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sales_view(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("salescope.broadcast.maxRows")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 3
+    assert plan.count("BroadcastHashJoin") == 2      # nation-region, customer-geo (25 nations)
+    small = sales_view(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in small and "BuildLeft" not in small

@@ -55,7 +55,10 @@ def test_text_search_backfills_no_overlap_by_id(spark):
 
 def test_sparse_embed_matches_relational_form(spark):
     df = spark.createDataFrame([(1, "a b b c"), (2, "Ünïcode words, words"), (3, "")], "id long, text string")
-    rel = {(r["id"], r["bucket"]): r["weight"] for r in V.embed_hash(df, "id", "text", dim=64).collect()}
+    rel = {(r["id"], r["bucket"]): r["weight"]
+           for r in V.embed_hash_relational(df, "id", "text", dim=64).collect()}
+    narrow = {(r["id"], r["bucket"]): r["weight"] for r in V.embed_hash(df, "id", "text", dim=64).collect()}
+    assert narrow == rel
     sp = {}
     for r in V.sparse_embed(df, "id", "text", dim=64).collect():
         for b, w in zip(r["idx"], r["val"]):
