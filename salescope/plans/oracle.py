@@ -119,7 +119,7 @@ def _monthly_ctes(keys: str = "") -> str:
 b AS (SELECT {k}min(ds) AS f, max(ds) AS l FROM m {gb}),
 sp AS (SELECT {k}last_day(unnest(generate_series(date_trunc('month', f), date_trunc('month', l),
               INTERVAL 1 MONTH)))::DATE AS ds FROM b),
-s AS (SELECT {k}ds, coalesce(m.y, 0.0) AS y, year(ds) * 12 + month(ds) AS t, month(ds) AS mo
+s AS (SELECT {k}ds, coalesce(m.y, 0.0) AS y, (year(ds) - 2000) * 12 + month(ds) - 1 AS t, month(ds) AS mo
       FROM sp LEFT JOIN m {using})"""
 
 
@@ -147,20 +147,20 @@ ORACLE["history_12m"] = SALES_CTE + _monthly_ctes() + """
 SELECT strftime(ds, '%Y-%m-%d') AS ds, round(y, 2) AS y FROM s ORDER BY s.ds DESC LIMIT 12"""
 
 ORACLE["forecast_trend_season"] = SALES_CTE + _monthly_ctes() + _MODEL_CTES + f"""
-SELECT strftime(ds, '%Y-%m-%d') AS ds, round(yhat, 4) AS yhat,
-       round(yhat - {_Z80} * sd, 4) AS yhat_lower, round(yhat + {_Z80} * sd, 4) AS yhat_upper
+SELECT strftime(ds, '%Y-%m-%d') AS ds, round(yhat, 2) AS yhat,
+       round(yhat - {_Z80} * sd, 2) AS yhat_lower, round(yhat + {_Z80} * sd, 2) AS yhat_upper
 FROM fc"""
 
 ORACLE["forecast_fitted"] = SALES_CTE + _monthly_ctes() + _MODEL_CTES + """
 SELECT strftime(s.ds, '%Y-%m-%d') AS ds, round(s.y, 2) AS y,
-       round(lin.a + lin.b * s.t + coalesce(season.season, 0.0), 4) AS yhat
+       round(lin.a + lin.b * s.t + coalesce(season.season, 0.0), 2) AS yhat
 FROM s CROSS JOIN lin LEFT JOIN season ON s.mo = season.mo"""
 
 ORACLE["forecast_summary"] = SALES_CTE + _monthly_ctes() + _MODEL_CTES + """
 SELECT (SELECT strftime(ds, '%Y-%m-%d') FROM fc ORDER BY yhat DESC, ds LIMIT 1) AS best_month,
-       round(max(yhat), 4) AS best_yhat,
+       round(max(yhat), 2) AS best_yhat,
        (SELECT strftime(ds, '%Y-%m-%d') FROM fc ORDER BY yhat, ds LIMIT 1) AS worst_month,
-       round(min(yhat), 4) AS worst_yhat,
+       round(min(yhat), 2) AS worst_yhat,
        (SELECT CASE WHEN b > 0 THEN 'increasing' WHEN b < 0 THEN 'decreasing' ELSE 'stable' END
           FROM lin) AS direction,
        (SELECT round(b, 6) FROM lin) AS slope

@@ -16,7 +16,8 @@ ROUNDING = {
     "profit": 4, "total_profit": 4,
     "margin": 6, "overall_margin": 6, "discount": 6, "avg_discount": 6,
     "corr_discount_profit": 6,
-    "yhat": 4, "yhat_lower": 4, "yhat_upper": 4, "slope": 6, "intercept": 4,
+    # forecasts are money: 2 decimals, like sales
+    "yhat": 2, "yhat_lower": 2, "yhat_upper": 2, "slope": 6, "intercept": 2,
     "d2": 6, "weight": 6,
 }
 

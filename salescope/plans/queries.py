@@ -117,9 +117,9 @@ def q_forecast_summary(spark, sf_dir):
     params, _ = series.trend_season_model(m)
     summ = series.forecast_summary(series.forecast_trend_season(m), params)
     summ = summ.select(iso_date("best_month").alias("best_month"),
-                       F.round("best_yhat", 4).alias("best_yhat"),
+                       F.round("best_yhat", 2).alias("best_yhat"),
                        iso_date("worst_month").alias("worst_month"),
-                       F.round("worst_yhat", 4).alias("worst_yhat"), "direction", "slope")
+                       F.round("worst_yhat", 2).alias("worst_yhat"), "direction", "slope")
     return present(summ)
 
 
