@@ -9,6 +9,14 @@ from salescope.plans.oracle import ORACLE, SALES_CTE
 ORACLE["csv_kpi_category"] = ORACLE["kpi_category"]
 ORACLE["csv_monthly_sales"] = ORACLE["monthly_sales"]
 
+ORACLE["coerce_numeric"] = SALES_CTE + """
+SELECT region, category, sub_category, segment, product_name,
+       round(sales, 2) AS sales, round(discount, 6) AS discount, round(profit, 4) AS profit
+FROM sales"""
+
+ORACLE["parse_dates"] = SALES_CTE + """
+SELECT strftime(order_date, '%Y-%m-%d') AS order_date, count(*) AS n_rows FROM sales GROUP BY 1"""
+
 _TOKENS = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
 
 ORACLE["na_tokens"] = f"""

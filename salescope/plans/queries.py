@@ -234,6 +234,20 @@ def q_csv_monthly_sales(spark, sf_dir):
     return present(_with_iso(series.monthly_series(_csv_sales(spark, sf_dir)), "ds"))
 
 
+def q_coerce_numeric(spark, sf_dir):
+    """Cleaned numbers of every CSV row (S4): must equal the star join's values."""
+    c = _csv_sales(spark, sf_dir)
+    return present(c.select("region", "category", "sub_category", "segment", "product_name",
+                            "sales", "discount", "profit"))
+
+
+def q_parse_dates(spark, sf_dir):
+    """Rows per parsed order date (S5) from the month-first CSV text."""
+    c = _csv_sales(spark, sf_dir)
+    return c.groupBy(F.date_format("order_date", "yyyy-MM-dd").alias("order_date")) \
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def q_na_tokens(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
     return conv.select("conv_id", "turn", na_to_null("role").alias("role"),
@@ -325,6 +339,8 @@ QUERIES: dict[str, Query] = {
     "prompt_table": q_prompt_table,
     "csv_kpi_category": q_csv_kpi_category,
     "csv_monthly_sales": q_csv_monthly_sales,
+    "coerce_numeric": q_coerce_numeric,
+    "parse_dates": q_parse_dates,
     "na_tokens": q_na_tokens,
     "format_money_pct": q_format_money_pct,
     "catalog_dedup": q_catalog_dedup,

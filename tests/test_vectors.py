@@ -72,3 +72,33 @@ def test_label_centroids(spark):
                                "vec_id long, embedding array<float>, label int")
     got = {r["label"]: list(r["vec"]) for r in V.label_centroids(df).collect()}
     assert got == {0: [2.0, 3.0], 1: [0.0, 0.0]}
+
+
+def test_fact_index_round_trip_matches_direct_search(spark, tmpdir_path):
+    from salescope.operators.facts import facts
+    from salescope.plans.retrieval import build_fact_index, search_index
+    from salescope.sources.fixture import sales_view
+    from tests.conftest import SF_SMALL
+    sales = sales_view(spark, SF_SMALL)
+    path = f"{tmpdir_path}/index"
+    build_fact_index(sales, path, dim=4096)
+    build_fact_index(sales, path, dim=4096)          # a rebuild replaces, never appends
+    qs = spark.createDataFrame([(1, "Which region has the highest sales?"),
+                                (2, "loss making products with discount")], "qid long, question string")
+    got = [(r["qid"], r["rank"], r["id"]) for r in search_index(spark, path, qs, k=3, dim=4096).collect()]
+    f = facts(sales).select(F.col("fact_id").alias("id"), "text")
+    direct = [(r["qid"], r["rank"], r["id"]) for r in V.text_search(qs, f, k=3, dim=4096).collect()]
+    assert sorted(got) == sorted(direct) and len(got) == 6
+    assert spark.read.parquet(path).count() == f.count()
+
+
+class _ToyEncoder:
+    def encode(self, texts):
+        return np.array([[len(t), t.count(" "), 1.0] for t in texts], dtype=np.float32)
+
+
+def test_encoder_hook_batches(spark):
+    enc = V.encoder_udf(lambda: _ToyEncoder(), dim=3)
+    df = spark.createDataFrame([("a b",), ("",), (None,)], "t string")
+    got = [list(r[0]) for r in df.select(enc("t")).collect()]
+    assert got == [[3.0, 1.0, 1.0], [0.0, 0.0, 1.0], [0.0, 0.0, 1.0]]
