@@ -1,8 +1,8 @@
 """Plain-language facts from the sales aggregates.
 
 One scan of the sales table feeds one grouping-sets aggregate (with the discount/profit
-correlation folded in); every fact family is a projection of that small result, so the
-branches share one exchange (Spark reuses it) instead of re-reading the table per family.
+correlation folded in); that small result (one row per group) is checkpointed and every
+fact family is a projection of it, instead of re-reading the table per family.
 Numbers are rounded past the data's own decimals before formatting, so the text does not
 depend on summation order.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from salescope.functions.formats import fixed, money
 from salescope.operators.kpi import kpi_grouping_sets
+from salescope.session import materialize
 
 # Sentence templates of the fact families (numbers as formatted text).
 OVERVIEW_TOTALS = ("Business Overview: The company has total sales of {sales} "
@@ -79,7 +80,8 @@ def _fact(family: int, fact_id: Column, text: Column) -> list[Column]:
 
 def facts(sales: DataFrame) -> DataFrame:
     """Fact sentences ``(fact_id string, family int, text string)`` for a sales table."""
-    g = kpi_grouping_sets(sales, with_corr=True)
+    # one row per group; five branches read it, so it is materialised once
+    g = materialize(kpi_grouping_sets(sales, with_corr=True))
     v = _number_texts()
     grain = F.col("grain")
 

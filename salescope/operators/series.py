@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salescope.session import materialize
+
 # Horizon and history length of the reference's forecast step, and the
 # two-sided 80 % normal quantile used for the interval.
 HORIZON = 6
@@ -102,8 +104,9 @@ def trend_season_model(series: DataFrame, keys: Sequence[str] = (),
     sample deviation of the remaining residual (0 for a single month).
     """
     series, keys, _ = _series_keys(series, keys)
-    s = series.select(*keys, "ds", "y", _month_index(F.col("ds")).alias("t"),
-                      F.month("ds").alias("mo"))
+    # series x months rows, read by four branches below: materialise once
+    s = materialize(series.select(*keys, "ds", "y", _month_index(F.col("ds")).alias("t"),
+                                  F.month("ds").alias("mo")))
     lin = s.groupBy(*keys).agg(
         F.regr_intercept("y", "t").alias("a"), F.regr_slope("y", "t").alias("b"),
         F.count(F.lit(1)).alias("n"), F.max("t").alias("last_t"), F.max("ds").alias("last_ds"))

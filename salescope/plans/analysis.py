@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salescope.operators import kpi, series
+from salescope.session import materialize
 
 
 def _records(df: DataFrame, order: list[str], alias: str) -> DataFrame:
@@ -28,9 +29,9 @@ def _join1(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def analysis_result(sales: DataFrame) -> DataFrame:
     """KPIs plus regional, category and sub-category breakdowns in one row."""
-    g = kpi.kpi_grouping_sets(sales, grains={
+    g = materialize(kpi.kpi_grouping_sets(sales, grains={
         "overall": (), "region": ("region",), "category": ("category",),
-        "subcategory": ("category", "sub_category")})
+        "subcategory": ("category", "sub_category")}))
     overall = g.where(F.col("grain") == "overall").select(
         F.coalesce("sales", F.lit(0.0)).alias("total_sales"),
         F.coalesce("profit", F.lit(0.0)).alias("total_profit"),
@@ -57,7 +58,7 @@ def root_cause_result(sales: DataFrame, k: int = 10) -> DataFrame:
 
 def forecast_result(sales: DataFrame) -> DataFrame:
     """Six predictions and twelve months of history, dates as ``yyyy-MM-dd``."""
-    m = series.monthly_series(sales)
+    m = materialize(series.monthly_series(sales))
     pred = series.forecast_trend_season(m).select(
         F.date_format("ds", "yyyy-MM-dd").alias("date"), F.col("yhat").alias("forecast"),
         F.col("yhat_lower").alias("lower"), F.col("yhat_upper").alias("upper"))

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale; all of them are standard Spark options.
 _SCALE_CONF = {
@@ -65,3 +65,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage of a small derived table that several branches read.
+
+    A reliable ``checkpoint`` into the shared checkpoint folder (never a local one):
+    the branches read the written files instead of recomputing the plan once each, and
+    a lost executor does not force the upstream job to run again.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
