@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salescope.operators.combine import attach, side_by_side
 from salescope.session import materialize
 
 # Horizon and history length of the reference's forecast step, and the
@@ -33,18 +34,6 @@ def _month_index(ds: Column) -> Column:
     return (F.year(ds) - EPOCH_YEAR) * 12 + F.month(ds) - 1
 
 
-def _series_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], bool]:
-    """Give a keyless (single) series a constant key so every step is an equi-join."""
-    keys = list(keys)
-    if keys:
-        return df, keys, False
-    return df.withColumn("_series", F.lit(0)), ["_series"], True
-
-
-def _drop_series(df: DataFrame, added: bool) -> DataFrame:
-    return df.drop("_series") if added else df
-
-
 def _keys_not_null(keys: Sequence[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
@@ -103,7 +92,7 @@ def trend_season_model(series: DataFrame, keys: Sequence[str] = (),
     and is 0 when a series has fewer than ``min_season_months`` months; ``sd`` is the
     sample deviation of the remaining residual (0 for a single month).
     """
-    series, keys, _ = _series_keys(series, keys)
+    keys = list(keys)
     # series x months rows, read by four branches below: materialise once
     s = materialize(series.select(*keys, "ds", "y", _month_index(F.col("ds")).alias("t"),
                                   F.month("ds").alias("mo")))
@@ -112,14 +101,14 @@ def trend_season_model(series: DataFrame, keys: Sequence[str] = (),
         F.count(F.lit(1)).alias("n"), F.max("t").alias("last_t"), F.max("ds").alias("last_ds"))
     lin = lin.select(*keys, F.coalesce("a", F.lit(0.0)).alias("a"),
                      F.coalesce("b", F.lit(0.0)).alias("b"), "n", "last_t", "last_ds")
-    r = s.join(lin, keys)
+    r = attach(s, lin, ["a", "b", "n"], keys)
     r = r.select(*keys, "mo", "n", (F.col("y") - (F.col("a") + F.col("b") * F.col("t"))).alias("r"))
     season = r.groupBy(*keys, "mo").agg(
         F.when(F.max("n") >= min_season_months, F.avg("r")).otherwise(F.lit(0.0)).alias("season"))
     rs = r.join(season, keys + ["mo"])
     sd = rs.groupBy(*keys).agg(
         F.coalesce(F.stddev_samp(F.col("r") - F.col("season")), F.lit(0.0)).alias("sd"))
-    params = lin.join(sd, keys)
+    params = lin.join(sd, keys) if keys else side_by_side(lin, sd)
     return params, season
 
 
@@ -130,7 +119,7 @@ def forecast_trend_season(series: DataFrame, keys: Sequence[str] = (), horizon:
     Output: ``keys..., ds date, yhat, yhat_lower, yhat_upper``.  Horizons come from
     ``explode(sequence(1, horizon))`` on the one-row-per-series parameters.
     """
-    series, keys, added = _series_keys(series, keys)
+    keys = list(keys)
     params, season = trend_season_model(series, keys)
     fut = params.select(*keys, "a", "b", "sd", "last_t", "last_ds",
                         F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
@@ -140,21 +129,21 @@ def forecast_trend_season(series: DataFrame, keys: Sequence[str] = (), horizon:
     fut = fut.withColumn("mo", F.month("ds"))
     fut = fut.join(season, keys + ["mo"], "left")
     yhat = F.col("a") + F.col("b") * F.col("t") + F.coalesce(F.col("season"), F.lit(0.0))
-    return _drop_series(fut.select(*keys, "ds", yhat.alias("yhat"),
-                                   (yhat - F.lit(z) * F.col("sd")).alias("yhat_lower"),
-                                   (yhat + F.lit(z) * F.col("sd")).alias("yhat_upper")), added)
+    return fut.select(*keys, "ds", yhat.alias("yhat"),
+                      (yhat - F.lit(z) * F.col("sd")).alias("yhat_lower"),
+                      (yhat + F.lit(z) * F.col("sd")).alias("yhat_upper"))
 
 
 def forecast_fitted(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The fitted line over the history, next to the actuals."""
-    series, keys, added = _series_keys(series, keys)
+    keys = list(keys)
     params, season = trend_season_model(series, keys)
     s = series.select(*keys, "ds", "y", _month_index(F.col("ds")).alias("t"),
                       F.month("ds").alias("mo"))
-    s = s.join(params.select(*keys, "a", "b"), keys)
+    s = attach(s, params, ["a", "b"], keys)
     s = s.join(season, keys + ["mo"], "left")
     yhat = F.col("a") + F.col("b") * F.col("t") + F.coalesce(F.col("season"), F.lit(0.0))
-    return _drop_series(s.select(*keys, "ds", "y", yhat.alias("yhat")), added)
+    return s.select(*keys, "ds", "y", yhat.alias("yhat"))
 
 
 def forecast_summary(forecast: DataFrame, params: DataFrame | None = None,
@@ -164,9 +153,7 @@ def forecast_summary(forecast: DataFrame, params: DataFrame | None = None,
     Ties go to the earliest month.  Direction is the sign of the fitted slope when
     ``params`` is given, else of last-minus-first forecast.
     """
-    forecast, keys, added = _series_keys(forecast, keys)
-    if params is not None and added:
-        params = params.withColumn("_series", F.lit(0))
+    keys = list(keys)
     agg = forecast.groupBy(*keys).agg(
         F.min_by("ds", F.struct((-F.col("yhat")).alias("k"), F.col("ds").alias("d"))).alias("best_month"),
         F.max("yhat").alias("best_yhat"),
@@ -174,12 +161,13 @@ def forecast_summary(forecast: DataFrame, params: DataFrame | None = None,
         F.min("yhat").alias("worst_yhat"),
         (F.max_by("yhat", "ds") - F.min_by("yhat", "ds")).alias("_delta"))
     if params is not None:
-        agg = agg.join(params.select(*keys, F.col("b").alias("slope")), keys)
+        slope = params.select(*keys, F.col("b").alias("slope"))
+        agg = agg.join(slope, keys) if keys else side_by_side(agg, slope)
         sign = F.col("slope")
     else:
         agg = agg.withColumn("slope", F.col("_delta"))
         sign = F.col("_delta")
     direction = (F.when(sign > flat, F.lit("increasing"))
                  .when(sign < -flat, F.lit("decreasing")).otherwise(F.lit("stable")))
-    return _drop_series(agg.select(*keys, "best_month", "best_yhat", "worst_month",
-                                   "worst_yhat", direction.alias("direction"), "slope"), added)
+    return agg.select(*keys, "best_month", "best_yhat", "worst_month", "worst_yhat",
+                      direction.alias("direction"), "slope")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from salescope.functions.cleaning import py_strip
 from salescope.functions.formats import capitalize, fixed, iso_date, money
+from salescope.operators.combine import side_by_side
 
 # Line layouts of the root-cause and forecast summaries.
 LOSS_SUB_LINE = "- {sub}: Profit: {profit}, Sales: {sales}, Avg Discount: {discount}%\n"
@@ -75,8 +76,8 @@ def loss_summary(loss_subs: DataFrame, loss_prods: DataFrame, n_products: int =
 
 
 def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two single-row aggregates side by side on a constant key (no cross join)."""
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """Two single-row aggregates side by side (union + aggregate, no join)."""
+    return side_by_side(a, b)
 
 
 def forecast_lines(forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

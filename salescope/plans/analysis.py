@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salescope.operators import kpi, series
+from salescope.operators.combine import side_by_side
 from salescope.session import materialize
 
 
@@ -24,7 +25,7 @@ def _records(df: DataFrame, order: list[str], alias: str) -> DataFrame:
 
 
 def _join1(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return side_by_side(a, b)
 
 
 def analysis_result(sales: DataFrame) -> DataFrame:
