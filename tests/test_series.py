@@ -64,3 +64,14 @@ def test_fourier_many_series(spark):
         by.setdefault(r["k"], []).append(r["yhat"])
     assert np.mean(by["a"]) > 25 and np.mean(by["b"]) < 6
     assert all(r["yhat_lower"] <= r["yhat"] <= r["yhat_upper"] for r in out)
+
+
+def test_gap_filled_series_sum_to_total(spark):
+    from salescope.operators.kpi import kpi_overall
+    from salescope.sources.fixture import sales_view
+    from tests.conftest import SF_SMALL
+    s = sales_view(spark, SF_SMALL)
+    total = kpi_overall(s).collect()[0]["total_sales"]
+    one = series.monthly_series(s).agg({"y": "sum"}).collect()[0][0]
+    many = series.monthly_series(s, keys=["sub_category", "segment"]).agg({"y": "sum"}).collect()[0][0]
+    assert abs(one - total) < 1e-6 * total and abs(many - total) < 1e-6 * total
