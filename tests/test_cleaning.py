@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from salescope.functions.cleaning import NA_TOKENS, na_to_null, parse_mixed_date, py_strip, to_number
 from salescope.sources.csv import clean_sales, read_sales_csv

@@ -1,5 +1,4 @@
 import os
-import shutil
 
 from salescope.streaming import feedback as fstream
 from salescope.streaming import landing as lstream

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from salescope.functions.formats import capitalize, fixed, money
 from salescope.operators import text
