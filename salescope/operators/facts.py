@@ -1,8 +1,9 @@
 """Plain-language facts from the sales aggregates.
 
-One scan of the sales table feeds one grouping-sets aggregate (with the discount/profit
-correlation folded in); that small result (one row per group) is checkpointed and every
-fact family is a projection of it, instead of re-reading the table per family.
+One scan of the sales table feeds one grouping-sets aggregate over the bounded grains
+(with the discount/profit correlation folded in); that small result is checkpointed and
+every fact family is a projection of it.  The top loss products come from their own
+aggregate and a top-k, so the product grain is never written out.
 Numbers are rounded past the data's own decimals before formatting, so the text does not
 depend on summation order.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salescope.functions.formats import fixed, money
-from salescope.operators.kpi import kpi_grouping_sets
+from salescope.operators.kpi import GRAINS, kpi_grouping_sets, loss_products
 from salescope.session import materialize
 
 # Sentence templates of the fact families (numbers as formatted text).
@@ -80,8 +81,11 @@ def _fact(family: int, fact_id: Column, text: Column) -> list[Column]:
 
 def facts(sales: DataFrame) -> DataFrame:
     """Fact sentences ``(fact_id string, family int, text string)`` for a sales table."""
-    # one row per group; five branches read it, so it is materialised once
-    g = materialize(kpi_grouping_sets(sales, with_corr=True))
+    # Bounded grains (dimensions, not rows): one pass, materialised once, read by the
+    # family branches.  The product grain is not materialised -- it has one row per
+    # product -- and only its top-k losses are needed, taken by a separate top-k.
+    bounded = {k: v for k, v in GRAINS.items() if k != "product"}
+    g = materialize(kpi_grouping_sets(sales, grains=bounded, with_corr=True))
     v = _number_texts()
     grain = F.col("grain")
 
@@ -108,8 +112,7 @@ def facts(sales: DataFrame) -> DataFrame:
              .orderBy("profit", "category", "sub_category").limit(WORST_SUBCATEGORIES)
              .select(*_fact(6, F.concat(F.lit("root_subcategory:"), "category", F.lit("/"),
                                         "sub_category"), _fill(ROOT_SUBCATEGORY, v))))
-    products = (g.where((grain == "product") & (F.col("profit") < 0))
-                .orderBy("profit", "sub_category", "product_name").limit(LOSS_PRODUCTS)
+    products = (loss_products(sales, k=LOSS_PRODUCTS)
                 .select(*_fact(6, F.concat(F.lit("root_product:"), "sub_category", F.lit("/"),
                                            "product_name"), _fill(ROOT_PRODUCT, v))))
     corr = g.where(grain.isin("overall", "category")).select(*_fact(

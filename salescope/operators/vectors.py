@@ -329,7 +329,7 @@ def _search(queries: DataFrame, corpus: DataFrame, qid: str, id_col: str, k: int
     without it both are counted.  The broadcast side is checkpointed once to the shared
     checkpoint folder, so counting its blocks and collecting them never recomputes it.
     """
-    from salescope.session import checkpoint_root
+    from salescope.session import checkpoint_root, materialize
 
     qid_type = queries.schema[qid].dataType.simpleString()
     id_type = corpus.schema[id_col].dataType.simpleString()
@@ -340,13 +340,19 @@ def _search(queries: DataFrame, corpus: DataFrame, qid: str, id_col: str, k: int
     parts = []
     if broadcast_side == "queries":
         small = queries.select(qid, *payload).checkpoint(eager=True)
-        for blk_df in _blocks(small, qid, max_broadcast):
+        blocks = _blocks(small, qid, max_broadcast)
+        if len(blocks) > 1:   # several passes: embed the streamed side once, not per block
+            corpus = materialize(corpus)
+        for blk_df in blocks:
             blk = make_block(_collect_side(blk_df, max_broadcast), qid)
             parts.append(_scan_topk(corpus, id_col, blk, score, k, False, qid, id_col, id_type,
                                     qid_type, [id_col, *payload]))
     else:
         small = corpus.select(id_col, *payload).checkpoint(eager=True)
-        for blk_df in _blocks(small, id_col, max_broadcast):
+        blocks = _blocks(small, id_col, max_broadcast)
+        if len(blocks) > 1:
+            queries = materialize(queries)
+        for blk_df in blocks:
             blk = make_block(_collect_side(blk_df, max_broadcast), id_col)
             parts.append(_scan_topk(queries, qid, blk, score, k, True, qid, id_col, id_type,
                                     qid_type, [qid, *payload]))

@@ -75,3 +75,20 @@ def test_gap_filled_series_sum_to_total(spark):
     one = series.monthly_series(s).agg({"y": "sum"}).collect()[0][0]
     many = series.monthly_series(s, keys=["sub_category", "segment"]).agg({"y": "sum"}).collect()[0][0]
     assert abs(one - total) < 1e-6 * total and abs(many - total) < 1e-6 * total
+
+
+def test_keyed_forecast_equals_each_series_alone(spark):
+    months = pd.date_range("2017-01-31", periods=30, freq="ME")
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"k": ["a"] * 30 + ["b"] * 30, "ds": list(months.date) * 2,
+                        "y": list(100 + 3 * np.arange(30) + rng.normal(0, 5, 30)) +
+                             list(500 - 2 * np.arange(30) + rng.normal(0, 5, 30))})
+    df = spark.createDataFrame(pdf)
+    keyed = {(r["k"], str(r["ds"])): r["yhat"] for r in series.forecast_trend_season(df, keys=["k"]).collect()}
+    for k in ("a", "b"):
+        alone = series.forecast_trend_season(df.where(f"k = '{k}'").drop("k")).collect()
+        for r in alone:
+            assert abs(keyed[(k, str(r["ds"]))] - r["yhat"]) < 1e-6
+    summ = series.forecast_summary(series.forecast_trend_season(df, keys=["k"]),
+                                   series.trend_season_model(df, keys=["k"])[0], keys=["k"]).collect()
+    assert {r["k"]: r["direction"] for r in summ} == {"a": "increasing", "b": "decreasing"}
