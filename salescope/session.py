@@ -46,8 +46,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for cut lineage and landed tables.
 
-    Reads ``spark.checkpoint.dir``; when unset (tests, local runs) creates a fresh
-    scratch folder and sets it for the session.
+    Reads ``spark.checkpoint.dir``; when unset, local-mode sessions (tests, local runs)
+    get a fresh scratch folder, and cluster sessions fail fast instead of writing to a
+    machine-local disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,6 +56,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            # a machine-local folder would not survive a lost executor on a cluster
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         conf_dir = tempfile.mkdtemp(prefix="salescope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
