@@ -218,17 +218,22 @@ def parse_plan(replies: DataFrame, text: str = "text") -> DataFrame:
     """Planner reply text -> plan.
 
     Strip whitespace, drop a leading ```` ```json ```` and a trailing ```` ``` ````, strip
-    again, parse as a JSON array of strings.  Anything that is not a JSON array gives the
-    full plan.  Adds ``plan array<string>`` and ``plan_is_default boolean``.
+    again, then keep the reply if it is a valid JSON array (of anything, as Python's
+    ``json.loads`` + ``isinstance(list)``); anything else gives the full plan.  Elements
+    that are not strings become their JSON text and never name a stage.  Parsing uses
+    the VARIANT type and only runs on texts that look like an array.  Adds
+    ``plan array<string>`` and ``plan_is_default boolean``.  (``NaN`` inside an array is
+    valid for Python but not for strict JSON.)
     """
     s = _strip_ws(F.col(text))
-    s1 =F.when(s.startswith("```json"), s.substr(F.lit(8), F.length(s))).otherwise(s)
+    s1 = F.when(s.startswith("```json"), s.substr(F.lit(8), F.length(s))).otherwise(s)
     s2 = F.when(s1.endswith("```"), s1.substr(F.lit(1), F.length(s1) - 3)).otherwise(s1)
     body = _strip_ws(s2)
-    parsed = F.from_json(body, "array<string>", {"allowSingleQuotes": "false",
-                                                 "allowUnquotedFieldNames": "false"})
-    is_array = body.startswith("[") & body.endswith("]")
-    plan = F.when(is_array & parsed.isNotNull(), parsed)
+    v = F.try_parse_json(body)
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"),
+                        lambda e: F.try_variant_get(e, "$", "string"))
+    looks_like_array = body.startswith("[") & body.endswith("]")
+    plan = F.when(looks_like_array, F.when(F.schema_of_variant(v).startswith("ARRAY"), items))
     full = F.array(*[F.lit(x) for x in STAGE_ORDER])
     return replies.withColumn("plan", F.coalesce(plan, full)) \
         .withColumn("plan_is_default", plan.isNull())

@@ -143,6 +143,7 @@ r2 AS (SELECT *, CASE WHEN ends_with(s1, '```') THEN substr(s1, 1, length(s1) -
 r3 AS (SELECT *, trim(s2, __WHITESPACE__) AS body FROM r2),
 r4 AS (SELECT conv_id, turn,
               CASE WHEN starts_with(body, '[') AND ends_with(body, ']') AND json_valid(body)
+                        AND json_type(body) = 'ARRAY'
                    THEN from_json(body, '["VARCHAR"]') END AS parsed FROM r3),
 p AS (SELECT conv_id, turn, coalesce(parsed, ['analysis', 'root_cause', 'forecast', 'explanation',
               'recommendation']) AS plan, parsed IS NULL AS plan_is_default FROM r4)"""

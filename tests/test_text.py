@@ -17,7 +17,7 @@ def test_capitalize(spark):
 
 def test_parse_plan_cases(spark):
     replies = ['```json\n["analysis"]\n```', "nope", '{"a":1}', "[]", '```\n["forecast"]\n```',
-               '  ["forecast", "explanation"]  ']
+               '  ["forecast", "explanation"]  ', '[["analysis"]]', "['analysis']", "[1] x"]
     df = spark.createDataFrame(list(enumerate(replies)), "i int, text string")
     got = {r["i"]: (list(r["plan"]), r["plan_is_default"])
            for r in text.parse_plan(df).collect()}
@@ -28,6 +28,9 @@ def test_parse_plan_cases(spark):
     assert got[3] == ([], False)
     assert got[4] == (full, True)
     assert got[5] == (["forecast", "explanation"], False)
+    assert got[6][1] is False and "analysis" not in got[6][0]   # a valid list: kept, runs nothing
+    assert got[7] == (full, True)                               # single quotes are not JSON
+    assert got[8] == (full, True)                               # trailing text is not JSON
 
 
 def test_resolve_plan_fixed_order_ignores_unknown(spark):
