@@ -31,6 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salescope.session import checkpoint_root, materialize
+from salescope.sources.partitioning import ensure_parallel
+
 DEFAULT_DIM = 1 << 18
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
 MAX_BROADCAST_ROWS = 20_000
@@ -117,8 +120,6 @@ def sparse_embed(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_D
     Narrow: tokenising in the JVM, counting and normalising per Arrow batch in numpy;
     no shuffle.  Texts without any word have no vector and are dropped.
     """
-    from salescope.sources.partitioning import ensure_parallel
-
     src = ensure_parallel(df.select(id_col, text_col, *[k for k in keep if k != text_col]), id_col)
     src = src.select(F.col(id_col).alias("_id"), bucket_array(text_col, dim, hash_fn).alias("_b"),
                      *keep)
@@ -329,8 +330,6 @@ def _search(queries: DataFrame, corpus: DataFrame, qid: str, id_col: str, k: int
     without it both are counted.  The broadcast side is checkpointed once to the shared
     checkpoint folder, so counting its blocks and collecting them never recomputes it.
     """
-    from salescope.session import checkpoint_root, materialize
-
     qid_type = queries.schema[qid].dataType.simpleString()
     id_type = corpus.schema[id_col].dataType.simpleString()
     if broadcast_side is None:
@@ -399,8 +398,6 @@ def text_search(questions: DataFrame, texts: DataFrame, k: int = 5, qid: str = "
     most questions x k rows, a proven bound) are joined back to the texts by id with a
     broadcast join, so the text column is read but never shuffled.
     """
-    from salescope.session import checkpoint_root
-
     checkpoint_root(questions.sparkSession)
     nq, nc = questions.count(), texts.count()
     corpus_small = nc < nq
@@ -436,7 +433,7 @@ def encoder_udf(load_model: Callable[[], Any], dim: int) -> Callable[[Column], C
     """
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf(f"array<float>")
+    @pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
         for texts in batches:
