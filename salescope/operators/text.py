@@ -180,34 +180,44 @@ FINAL_REPORT = """# Executive Business Report
 
 
 def final_report(overall: DataFrame, loss_subs: DataFrame | None, forecast_text: DataFrame | None,
-                 root_cause_text: str = NO_DETAILS, recommendation_text: str = "") -> DataFrame:
-    """The executive report text, one row.
-
-    ``overall`` is A1's row; ``loss_subs`` the loss sub-categories (A7) or None when the
-    root-cause stage did not run; ``forecast_text`` X3's row or None.  Absent parts print
-    their default text instead of failing.  The two model-written sections are inputs.
+                 root_cause_text: str = NO_DETAILS, recommendation_text: str = "",
+                 keys: Sequence[str] = ()) -> DataFrame:
+    """The executive report text, one row per report key.
+
+    ``overall`` has A1's columns (per key), ``loss_subs`` the loss sub-categories (A7) per
+    key or None when the root-cause stage did not run, ``forecast_text`` X3's text per key
+    or None.  Parts are equi-joined on the keys (left joins), so a key without losses or
+    without a forecast prints the default text instead of failing.  The two model-written
+    sections are inputs.
     """
-    summary = overall.select(_fill(BUSINESS_SUMMARY, {
+    keys = list(keys)
+    summary = overall.select(*keys, _fill(BUSINESS_SUMMARY, {
         "sales": money(F.round("total_sales", 2)), "profit": money(F.round("total_profit", 4)),
         "margin": fixed(F.round("overall_margin", 6), 2),
         "discount": fixed(F.round(F.coalesce("avg_discount", F.lit(0.0)), 6), 2)})
         .alias("summary"))
     if loss_subs is not None:
-        lines = loss_subs.select("profit", "sub_category", _fill(REPORT_LOSS_LINE, {
+        lines = loss_subs.select(*keys, "profit", "sub_category", _fill(REPORT_LOSS_LINE, {
             "sub": F.col("sub_category"), "profit": money(F.round("profit", 4)),
             "discount": fixed(F.round("discount", 6), 1)}).alias("line"))
-        rc = lines.agg(F.expr("listagg(line, '') WITHIN GROUP (ORDER BY profit, sub_category)")
-                       .alias("rc"))
-        summary = _one_row_join(summary, rc).select(F.concat(
+        if keys:
+            rc = ordered_concat(lines, keys, "line", ["profit", "sub_category"], "rc")
+            summary = summary.join(rc, keys, "left")
+        else:
+            rc = lines.agg(F.expr("listagg(line, '') WITHIN GROUP (ORDER BY profit, sub_category)")
+                           .alias("rc"))
+            summary = side_by_side(summary, rc)
+        summary = summary.select(*keys, F.concat(
             "summary", F.lit(ROOT_CAUSE_HEADER), F.coalesce("rc", F.lit(""))).alias("summary"))
     if forecast_text is not None:
-        summary = _one_row_join(summary, forecast_text.select("forecast_text"))
+        ft = forecast_text.select(*keys, "forecast_text")
+        summary = summary.join(ft, keys, "left") if keys else side_by_side(summary, ft)
         fc = F.coalesce("forecast_text", F.lit(""))
     else:
         fc = F.lit("")
     report = _fill(FINAL_REPORT, {"summary": F.col("summary"), "root_cause": F.lit(root_cause_text),
                                   "forecast": fc, "recommendation": F.lit(recommendation_text)})
-    return summary.select(report.alias("report"))
+    return summary.select(*keys, report.alias("report"))
 
 
 def _strip_ws(c: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salescope.operators import kpi, series
+from salescope.operators import kpi, series, text
 from salescope.operators.combine import side_by_side
 from salescope.session import materialize
 
@@ -77,3 +77,24 @@ def results_json(sales: DataFrame) -> DataFrame:
         row = df.select(F.lit(name).alias("result"), F.to_json(F.struct(*df.columns)).alias("json"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def final_reports(sales: DataFrame, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """One executive report per report key (per region, per dataset, ...), or one in all.
+
+    KPIs, loss sub-categories and the forecast are each computed per key in one pass and
+    equi-joined on the key.
+    """
+    keys = list(keys)
+    if keys:
+        overall = kpi.kpi_by(sales, keys, discount="discount").select(
+            *keys, F.col("sales").alias("total_sales"), F.col("profit").alias("total_profit"),
+            F.col("margin").alias("overall_margin"), F.col("discount").alias("avg_discount"))
+        loss = kpi.kpi_by(sales, keys + ["sub_category"], discount="discount") \
+            .where(F.col("profit") < 0)
+    else:
+        overall = kpi.kpi_overall(sales)
+        loss = kpi.loss_subcategories(sales)
+    monthly = series.monthly_series(sales, keys=keys)
+    fc = text.forecast_lines(series.forecast_trend_season(monthly, keys), keys)
+    return text.final_report(overall, loss, fc, keys=keys)

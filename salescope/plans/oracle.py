@@ -165,3 +165,20 @@ SELECT (SELECT strftime(ds, '%Y-%m-%d') FROM fc ORDER BY yhat DESC, ds LIMIT 1)
           FROM lin) AS direction,
        (SELECT round(b, 6) FROM lin) AS slope
 FROM fc"""
+
+
+def _model_ctes_keyed(k: str) -> str:
+    """Per-key trend + season model and forecast rows ``fc(k, ds, yhat, sd)``."""
+    return f""",
+lin AS (SELECT {k}, coalesce(regr_intercept(y, t), 0.0) AS a, coalesce(regr_slope(y, t), 0.0) AS b,
+               count(*) AS n, max(t) AS last_t, max(ds) AS last_ds FROM s GROUP BY {k}),
+r AS (SELECT s.{k}, s.mo, lin.n, s.y - (lin.a + lin.b * s.t) AS r FROM s JOIN lin USING ({k})),
+season AS (SELECT {k}, mo, CASE WHEN max(n) >= 24 THEN avg(r) ELSE 0.0 END AS season
+           FROM r GROUP BY {k}, mo),
+sdt AS (SELECT {k}, coalesce(stddev_samp(r.r - season.season), 0.0) AS sd
+        FROM r JOIN season USING ({k}, mo) GROUP BY {k}),
+fut AS (SELECT lin.{k}, lin.a, lin.b, sdt.sd, last_day(lin.last_ds + to_months(h::INTEGER))::DATE AS ds,
+               lin.last_t + h AS t
+        FROM lin JOIN sdt USING ({k}), range(1, 7) AS hh(h)),
+fc AS (SELECT fut.{k}, fut.ds, fut.a + fut.b * fut.t + coalesce(season.season, 0.0) AS yhat, fut.sd
+       FROM fut LEFT JOIN season ON fut.{k} = season.{k} AND month(fut.ds) = season.mo)"""

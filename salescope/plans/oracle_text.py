@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from salescope.functions.cleaning import PY_WHITESPACE
-from salescope.plans.oracle import _MODEL_CTES, _Z80, ORACLE, SALES_CTE, _monthly_ctes
+from salescope.plans.oracle import _MODEL_CTES, _Z80, ORACLE, SALES_CTE, _model_ctes_keyed, _monthly_ctes
 
 
 def _money(x: str, d: int) -> str:
@@ -158,3 +158,35 @@ SELECT conv_id, turn,
        array_to_string(list_filter(['analysis', 'root_cause', 'forecast', 'explanation', 'recommendation'],
                                    lambda x: list_contains(plan, x)), ',') AS stages
 FROM p"""
+
+
+_MEAN_D = "(sum(discount::DECIMAL(38,10))::DOUBLE / count(discount))"
+
+ORACLE["final_report_by_region"] = SALES_CTE + _monthly_ctes("region") + _model_ctes_keyed("region") + f""",
+ft AS (SELECT region, string_agg('- Date: ' || strftime(ds, '%Y-%m-%d') || ', Forecasted Sales: '
+                || {_money("yhat", 4)} || ' (Confidence: ' || {_money(f"yhat - {_Z80} * sd", 4)}
+                || ' to ' || {_money(f"yhat + {_Z80} * sd", 4)} || ')' || chr(10), '' ORDER BY ds)
+                AS forecast_text FROM fc GROUP BY region),
+subs AS (SELECT region, sub_category, sum(profit) AS p, {_MEAN_D} * 100.0 AS d
+         FROM sales WHERE region IS NOT NULL AND sub_category IS NOT NULL
+         GROUP BY region, sub_category HAVING sum(profit) < 0),
+rcs AS (SELECT region, string_agg('- ' || sub_category || ': Loss: ' || {_money("p", 4)}
+                                  || ', Discount: ' || {_fixed("d", 1)} || '%' || chr(10), ''
+                                  ORDER BY p, sub_category) AS rc FROM subs GROUP BY region),
+kpi AS (SELECT region, sum(sales) AS ts, sum(profit) AS tp, {_MEAN_D} * 100.0 AS ad
+        FROM sales WHERE region IS NOT NULL GROUP BY region),
+summ AS (SELECT kpi.region, chr(10) || '    Business KPIs:' || chr(10) || '    - Total Sales: ' || {_money("ts", 2)}
+                || chr(10) || '    - Total Profit: ' || {_money("tp", 4)} || chr(10)
+                || '    - Profit Margin: ' || {_fixed(_MARGIN_SQL, 2)}
+                || '%' || chr(10) || '    - Average Discount: ' || {_fixed("coalesce(ad, 0.0)", 2)} || '%'
+                || chr(10) || '    ' || chr(10)
+                || 'Root Cause: Underperforming sub-categories show average discounts like:' || chr(10)
+                || coalesce(rcs.rc, '') AS summary
+         FROM kpi LEFT JOIN rcs USING (region))
+SELECT summ.region,
+       '# Executive Business Report' || chr(10) || chr(10) || '## 1. System Performance Overview' || chr(10)
+       || summary || chr(10) || chr(10) || '## 2. Root Cause Analysis' || chr(10) || 'No details available.'
+       || chr(10) || chr(10) || '## 3. Sales Forecasting & Analysis' || chr(10)
+       || coalesce(ft.forecast_text, '') || chr(10) || chr(10)
+       || '## 4. Strategic Recommendations & Action Plan' || chr(10) || '' || chr(10) AS report
+FROM summ LEFT JOIN ft USING (region)"""

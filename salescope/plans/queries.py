@@ -151,6 +151,10 @@ def q_final_report(spark, sf_dir):
     return text.final_report(kpi.kpi_overall(sales), kpi.loss_subcategories(sales), fc)
 
 
+def q_final_report_by_region(spark, sf_dir):
+    return analysis.final_reports(_sales(spark, sf_dir), ["region"])
+
+
 def _assistant_plans(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
     return text.parse_plan(conv.select("conv_id", "turn", "text"))
@@ -330,6 +334,7 @@ QUERIES: dict[str, Query] = {
     "forecast_lines": q_forecast_lines,
     "chat_history": q_chat_history,
     "final_report": q_final_report,
+    "final_report_by_region": q_final_report_by_region,
     "parse_plan": q_parse_plan,
     "resolve_plan": q_resolve_plan,
     "embed_hash": q_embed_hash,

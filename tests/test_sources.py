@@ -77,3 +77,16 @@ def test_grid_ops(spark):
     assert [r["sales"] for r in grid.grid_sort(df, "sales", n=2).collect()] == [3.0, 2.0]
     pv = grid.preview(df, ["sales"], n=5).collect()
     assert pv[0]["sales"] == "1.0" and pv[1]["product"] == ""
+
+
+def test_reports_per_key_to_sink(spark, tmpdir_path):
+    from salescope.plans.analysis import final_reports
+    from salescope.sources.fixture import sales_view
+    from tests.conftest import SF_SMALL
+    reps = final_reports(sales_view(spark, SF_SMALL), ["region"])
+    out = os.path.join(tmpdir_path, "reports")
+    landing.write_reports(reps, out, key="region")
+    parts = sorted(d for d in os.listdir(out) if d.startswith("region="))
+    assert len(parts) == 5
+    text = "\n".join(r["value"] for r in spark.read.text(os.path.join(out, parts[0])).collect())
+    assert text.startswith("# Executive Business Report") and "## 3. Sales Forecasting" in text
