@@ -55,14 +55,17 @@ def apply_na_tokens(df: DataFrame, columns: list[str] | None = None) -> DataFram
 def to_number(col: Column | str) -> Column:
     """Lenient numeric parse with 0 for anything bad or missing.
 
-    Accepts surrounding spaces, exponents and inf; rejects thousands separators,
-    currency, percent, underscores, hex and the Java-only ``f``/``d`` suffix.
-    NaN becomes 0 as well.
+    Accepts surrounding spaces, exponents and ``inf``/``infinity``; rejects thousands
+    separators, currency, percent, underscores, hex and the Java-only ``f``/``d`` suffix.
+    NaN becomes 0, and so does a finite literal that overflows (``7e866``), as in pandas.
     """
     c = F.col(col) if isinstance(col, str) else col
     s = F.trim(c.cast("string"))
     java_suffix = s.rlike("[dDfF]$") & ~F.lower(s).rlike("inf$")
     parsed = F.when(java_suffix, F.lit(None).cast("double")).otherwise(s.try_cast("double"))
+    inf_literal = F.lower(s).rlike("^[+-]?inf(inity)?$")
+    overflow = (F.abs(parsed) == F.lit(float("inf"))) & ~inf_literal
+    parsed = F.when(overflow, F.lit(0.0)).otherwise(parsed)
     return F.coalesce(F.nanvl(parsed, F.lit(0.0)), F.lit(0.0))
 
 

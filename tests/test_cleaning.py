@@ -14,8 +14,9 @@ def test_na_tokens_in_string_columns(spark):
 
 
 def test_numeric_coercion_defaults_to_zero(spark):
-    vals = [" 12 ", "1e3", "1,234", "1.0f", "$5", "inf", "nan", "1_000", "0x10", "true", "12%", None]
-    want = [12.0, 1000.0, 0.0, 0.0, 0.0, math.inf, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    vals = [" 12 ", "1e3", "1,234", "1.0f", "$5", "inf", "nan", "1_000", "0x10", "true", "12%", None,
+            "7e866", "-Infinity"]
+    want = [12.0, 1000.0, 0.0, 0.0, 0.0, math.inf, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, -math.inf]
     df = spark.createDataFrame([(v,) for v in vals], "x string")
     got = [r[0] for r in df.select(to_number("x")).collect()]
     assert got == want
