@@ -73,3 +73,30 @@ def test_csv_read_and_clean_equal_pandas(spark, tmpdir_path, rows):
             assert g[dst] == want, (src, r[src], g[dst])
         for src, dst in (("Sales", "sales"), ("Profit", "profit")):
             assert _same(g[dst], float(r[src])), (src, r[src], g[dst])
+
+
+DATES = st.dates(min_value=__import__("datetime").date(1990, 1, 1),
+                 max_value=__import__("datetime").date(2030, 12, 31))
+LAYOUT = st.sampled_from(["mdy", "dmy", "iso", "mdy0"])
+
+
+def _render(d, layout):
+    if layout == "mdy":
+        return f"{d.month}/{d.day}/{d.year}"
+    if layout == "mdy0":
+        return f"{d.month:02d}/{d.day:02d}/{d.year}"
+    if layout == "dmy":
+        return f"{d.day}/{d.month}/{d.year}"
+    return d.isoformat()
+
+
+@SETTINGS
+@given(st.lists(st.tuples(DATES, LAYOUT), min_size=30, max_size=120))
+def test_mixed_dates_equal_pandas(spark, items):
+    from salescope.functions.cleaning import parse_mixed_date
+    texts = [_render(d, lay) for d, lay in items]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    got = [r[0] for r in df.select(parse_mixed_date("d", strict=False)).collect()]
+    for t, g in zip(texts, got):
+        want = pd.to_datetime(t, format="mixed")       # month first, day first if it must
+        assert g is not None and g.date() == want.date(), (t, g, want)
