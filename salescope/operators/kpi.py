@@ -121,11 +121,16 @@ def kpi_grouping_sets(df: DataFrame, grains: dict[str, tuple[str, ...]] | None =
         *(["corr_discount_profit"] if with_corr else []))
 
 
-def loss_subcategories(df: DataFrame, key: str = "sub_category", **kw) -> DataFrame:
-    """Sub-categories with negative total profit, most negative first."""
+def loss_subcategories(df: DataFrame, key: str = "sub_category", sort: bool = True,
+                       **kw) -> DataFrame:
+    """Sub-categories with negative total profit, most negative first.
+
+    ``sort=False`` skips the final global sort when a consumer orders the rows itself
+    (summaries, reports and JSON export all do).
+    """
     agg = kpi_by(df, [key], discount=kw.pop("discount", "discount"), **kw)
-    return agg.where(F.col("profit") < 0).select(key, "profit", "sales", "discount") \
-        .orderBy(F.col("profit").asc(), F.col(key).asc())
+    out = agg.where(F.col("profit") < 0).select(key, "profit", "sales", "discount")
+    return out.orderBy(F.col("profit").asc(), F.col(key).asc()) if sort else out
 
 
 def top_losses(df: DataFrame, keys: Sequence[str], k: int, **kw) -> DataFrame:

@@ -49,7 +49,8 @@ def analysis_result(sales: DataFrame) -> DataFrame:
 
 def root_cause_result(sales: DataFrame, k: int = 10) -> DataFrame:
     """Loss sub-categories, top-k loss products and the discount/profit correlation."""
-    subs = _records(kpi.loss_subcategories(sales), ["profit", "sub_category"], "loss_subcategories")
+    subs = _records(kpi.loss_subcategories(sales, sort=False), ["profit", "sub_category"],
+                    "loss_subcategories")
     prods = _records(kpi.loss_products(sales, k=k), ["profit", "sub_category", "product_name"],
                      "loss_products")
     corr = kpi.discount_profit_corr(sales).where(F.col("scope") == "overall") \
@@ -94,7 +95,7 @@ def final_reports(sales: DataFrame, keys: list[str] | tuple[str, ...] = ()) -> D
             .where(F.col("profit") < 0)
     else:
         overall = kpi.kpi_overall(sales)
-        loss = kpi.loss_subcategories(sales)
+        loss = kpi.loss_subcategories(sales, sort=False)
     monthly = series.monthly_series(sales, keys=keys)
     fc = text.forecast_lines(series.forecast_trend_season(monthly, keys), keys)
     return text.final_report(overall, loss, fc, keys=keys)

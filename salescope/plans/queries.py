@@ -134,7 +134,7 @@ def q_facts(spark, sf_dir):
 
 def q_loss_summary(spark, sf_dir):
     sales = _sales(spark, sf_dir)
-    return text.loss_summary(kpi.loss_subcategories(sales), kpi.loss_products(sales, k=10))
+    return text.loss_summary(kpi.loss_subcategories(sales, sort=False), kpi.loss_products(sales, k=10))
 
 
 def q_forecast_lines(spark, sf_dir):
@@ -146,9 +146,7 @@ def q_chat_history(spark, sf_dir):
 
 
 def q_final_report(spark, sf_dir):
-    sales = _sales(spark, sf_dir)
-    fc = text.forecast_lines(series.forecast_trend_season(_monthly(spark, sf_dir)))
-    return text.final_report(kpi.kpi_overall(sales), kpi.loss_subcategories(sales), fc)
+    return analysis.final_reports(_sales(spark, sf_dir))
 
 
 def q_final_report_by_region(spark, sf_dir):
