@@ -21,8 +21,11 @@ NA_TOKENS = [
 PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003"
                  "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
-# Date layouts tried in order (month first, then day first, then ISO).
-DATE_FORMATS = ["M/d/yyyy", "d/M/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss"]
+# Date layouts tried in order (month first, then day first, then ISO;
+# the same with a time of day).
+DATE_FORMATS = ["M/d/yyyy", "d/M/yyyy", "yyyy-MM-dd",
+                "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss",
+                "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
 
 
 def py_strip(col: Column | str) -> Column:
