@@ -9,20 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from salescope.functions.formats import iso_date
-from pyspark.sql import Window
-
 from salescope.functions.cleaning import na_to_null
-from salescope.functions.formats import fixed, money
+from salescope.functions.formats import fixed, iso_date, money
 from salescope.operators import facts, forecast_model, grid, kpi, series, text, vectors
 from salescope.plans import analysis
+from salescope.plans.present import present
 from salescope.sources import catalog
 from salescope.sources.csv import clean_sales, read_sales_csv
-from salescope.plans.present import present
 from salescope.sources.fixture import landed_sales, sales_csv_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
