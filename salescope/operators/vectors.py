@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salescope.session import checkpoint_root, materialize
-from salescope.sources.partitioning import ensure_parallel
+from salescope.sources.partitioning import dimension_join, ensure_parallel
 
 DEFAULT_DIM = 1 << 18
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
@@ -395,8 +395,9 @@ def text_search(questions: DataFrame, texts: DataFrame, k: int = 5, qid: str = "
 
     The side with fewer rows (counted on the inputs, before embedding) is broadcast.
     When the texts are broadcast they carry their text along; otherwise the hits (at
-    most questions x k rows, a proven bound) are joined back to the texts by id with a
-    broadcast join, so the text column is read but never shuffled.
+    most questions x k rows) are joined back to the texts by id -- broadcast while that
+    bound is under ``salescope.broadcast.maxRows``, so the text column is read but not
+    shuffled, and a sort-merge join beyond it.
     """
     checkpoint_root(questions.sparkSession)
     nq, nc = questions.count(), texts.count()
@@ -409,9 +410,10 @@ def text_search(questions: DataFrame, texts: DataFrame, k: int = 5, qid: str = "
                          broadcast_side="corpus" if corpus_small else "queries")
     if not with_text:
         return hits
+    # hits are at most questions x k rows: broadcast only when that bound is under the cap
     source = c if corpus_small else texts
-    return source.select(id_col, text).join(F.broadcast(hits), id_col) \
-        .select(qid, "rank", id_col, "d2", text)
+    joined = dimension_join(source.select(id_col, text), hits, id_col, bound_rows=nq * k)
+    return joined.select(qid, "rank", id_col, "d2", text)
 
 
 def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:

@@ -17,6 +17,7 @@ from salescope.functions.formats import fixed, iso_date, money
 from salescope.operators import facts, forecast_model, grid, kpi, series, text, vectors
 from salescope.plans import analysis
 from salescope.plans.present import present
+from salescope.session import materialize
 from salescope.sources import catalog
 from salescope.sources.csv import clean_sales, read_sales_csv
 from salescope.sources.fixture import landed_sales, sales_csv_path, table
@@ -203,7 +204,8 @@ def chat_questions(conv: DataFrame) -> DataFrame:
 def _rag(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
     qs = chat_questions(conv)
-    fct = facts.facts(_sales(spark, sf_dir)).select(F.col("fact_id").alias("id"), "text")
+    # facts are few (bounded by the dimensions) and read several times below
+    fct = materialize(facts.facts(_sales(spark, sf_dir)).select(F.col("fact_id").alias("id"), "text"))
     hits = vectors.text_search(qs.select(F.col("conv_id").alias("qid"), "question"), fct, k=RAG_K)
     ctx = text.rag_context(hits, qid="qid", questions=qs.select(F.col("conv_id").alias("qid")))
     return conv, qs, ctx.withColumnRenamed("qid", "conv_id")
