@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from salescope.llm import kdshard, mixing
+from salescope.llm import kdshard, mixing, pii, quality_rules
 from salescope.llm.common import documents
 
 N_SHARDS = 16
@@ -22,7 +22,24 @@ def op5_mixing(spark, sf_dir):
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op2_pii(spark, sf_dir):
+    found = pii.personal_data(documents(spark, sf_dir))
+    none = F.array().cast("array<struct<start:int,ord:int,end:int>>")
+    count = lambda i: F.size(F.filter("base", lambda m: m["ord"] == i)).cast("long")
+    return found.select(
+        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.sha2(F.array_join(pii.all_spans(F.col("base"), none), ","), 256).alias("base_sha256"),
+        F.array_join(pii.all_spans(F.col("base"), F.col("found")), ",").alias("spans"))
+
+
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
 LLM_QUERIES = {
+    "op2_pii": op2_pii,
+    "op7_quality_rules": op7_quality_rules,
     "op3_kd_tree_sharding": op3_kd_tree_sharding,
     "op5_mixing": op5_mixing,
 }
