@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from salescope.llm import kdshard, mixing, pii, quality_rules
+from salescope.llm import decontam, kdshard, mixing, pii, quality_rules
 from salescope.llm.common import documents
 
 N_SHARDS = 16
@@ -37,9 +37,16 @@ def op7_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
+def op8_decontamination(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.decontaminate(documents(spark, sf_dir), benchmark).select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 LLM_QUERIES = {
     "op2_pii": op2_pii,
     "op7_quality_rules": op7_quality_rules,
+    "op8_decontamination": op8_decontamination,
     "op3_kd_tree_sharding": op3_kd_tree_sharding,
     "op5_mixing": op5_mixing,
 }
