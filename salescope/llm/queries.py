@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from salescope.llm import decontam, kdshard, mixing, pii, quality_rules
+from salescope.llm import decontam, kdshard, mixing, neardup, pii, quality_rules
 from salescope.llm.common import documents
 
 N_SHARDS = 16
@@ -17,6 +17,10 @@ def op3_kd_tree_sharding(spark, sf_dir):
                     F.lit(None).cast("int").alias("grown_shard")))
 
 
+def op4_minhash_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_mixing(spark, sf_dir):
     return (mixing.mix_plan(documents(spark, sf_dir), MIX_RATIO, MIX_EPOCHS)
             .select("doc_id", "size", "source_size", "target", "taken"))
@@ -48,6 +52,7 @@ LLM_QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op3_kd_tree_sharding": op3_kd_tree_sharding,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_mixing": op5_mixing,
 }
 LLM_ORACLE: dict[str, str] = {}
