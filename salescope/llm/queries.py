@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from salescope.llm import decontam, kdshard, mixing, neardup, pii, quality_rules
+from salescope.llm import decontam, kdshard, langid, mixing, neardup, pii, quality_clf, quality_rules
 from salescope.llm.common import documents
 
 N_SHARDS = 16
@@ -26,6 +26,10 @@ def op5_mixing(spark, sf_dir):
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op1_language_id(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op2_pii(spark, sf_dir):
     found = pii.personal_data(documents(spark, sf_dir))
     none = F.array().cast("array<struct<start:int,ord:int,end:int>>")
@@ -47,10 +51,16 @@ def op8_decontamination(spark, sf_dir):
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_quality_classifier(spark, sf_dir):
+    return quality_clf.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 LLM_QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
+    "op9_quality_classifier": op9_quality_classifier,
     "op3_kd_tree_sharding": op3_kd_tree_sharding,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_mixing": op5_mixing,
