@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from salescope.llm import decontam, kdshard, langid, mixing, neardup, pii, quality_clf, quality_rules
+from salescope.llm import decontam, kdshard, langid, linededup, mixing, neardup, pii, quality_clf, quality_rules, tokens
 from salescope.llm.common import documents
 
 N_SHARDS = 16
@@ -26,6 +26,11 @@ def op5_mixing(spark, sf_dir):
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
 def op1_language_id(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
@@ -40,6 +45,12 @@ def op2_pii(spark, sf_dir):
         F.array_join(pii.all_spans(F.col("base"), F.col("found")), ",").alias("spans"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed"),
+        F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
@@ -55,12 +66,18 @@ def op9_quality_classifier(spark, sf_dir):
     return quality_clf.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_token_output(spark, sf_dir):
+    return tokens.token_output(documents(spark, sf_dir), tokenizer_file())
+
+
 LLM_QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_token_output": op10_token_output,
     "op3_kd_tree_sharding": op3_kd_tree_sharding,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_mixing": op5_mixing,
