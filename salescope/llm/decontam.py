@@ -146,3 +146,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hit_sh
                      F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return (out.withColumn("n_items", F.size("items").cast("long"))
             .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * hit_share >= F.col("n_words"))))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that are not contaminated, columns unchanged."""
+    dirty = land(decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__d")).distinct(), "dirty")
+    return docs.join(small(dirty, dirty.count()), F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")

@@ -165,30 +165,30 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, total: int = SAMPLE_TO
     return fit_arrays(x, rows["lang"].to_pylist())
 
 
+def _named(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
+    """Language and score of every text, in pieces of bounded size."""
+    names, scores = [], []
+    for a, b in _pieces(texts):
+        if not model.langs:
+            names += [UND] * (b - a)
+            scores += [0.0] * (b - a)
+            continue
+        x, has = presence(texts[a:b])
+        f = model.decide(x)
+        names += [model.langs[i] if h else UND for i, h in zip(f.argmax(axis=1), has, strict=True)]
+        scores += np.where(has, np.clip((f.max(axis=1) + 1) / 2, 0.0, 1.0), 0.0).tolist()
+    return names, scores
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score per document.
 
     ``und`` with score 0 if the text is null or has no letter (or nothing was learned).  The score is the
     winner's decision value, -1 to 1, mapped to 0 to 1; ties go to the first language by name.
     """
-    langs, weights, bias = model.langs, model.weights, model.bias
-
     def run(batches):
-        m = Model(langs, weights, bias)
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            names, scores = [], []
-            for a, b in _pieces(texts):
-                x, has = presence(texts[a:b])
-                if not langs:
-                    names += [UND] * (b - a)
-                    scores += [0.0] * (b - a)
-                    continue
-                f = m.decide(x)
-                best = f.argmax(axis=1)
-                top = np.clip((f.max(axis=1) + 1) / 2, 0.0, 1.0)
-                names += [langs[i] if h else UND for i, h in zip(best, has, strict=True)]
-                scores += np.where(has, top, 0.0).tolist()
+            names, scores = _named([t or "" for t in batch.column(2).to_pylist()], model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -198,3 +198,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs))
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents whose language is identified (not ``und``), columns unchanged; no text is shuffled."""
+    model, at = fit(docs), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            names, _ = _named([t or "" for t in batch.column(at).to_pylist()], model)
+            yield batch.filter(pa.array([n != UND for n in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

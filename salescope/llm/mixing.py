@@ -61,61 +61,71 @@ def source_targets(sizes: DataFrame, ratio: float, max_epochs: float, cycle=CYCL
     return caps.select("source", "source_size", target.alias("target"))
 
 
+def draw_keys(docs: DataFrame, salt: str) -> list[Column]:
+    """The order in which a source's documents are drawn: exponential key, then id, size and checksum."""
+    return [(-F.log(uniform_hash("doc_id", salt)) / quality_weight()).alias("key"), F.col("doc_id").cast("long").alias("id"),
+            word_count().alias("size"), F.crc32(F.encode(text_or_empty("text"), "UTF-8")).alias("crc")]
+
+
+def source_cuts(docs: DataFrame, ratio: float, max_epochs: float, salt: str) -> tuple[DataFrame, DataFrame, int]:
+    """(narrow, cuts, number of sources).
+
+    ``narrow``: source and draw (a struct) of every document, landed.  ``cuts``, one row per source:
+    source_size, target, epochs, ``upto`` (the last draw inside the fraction; null if none) and ``close``
+    (the draw of the closing document; null if none).
+    """
+    narrow = land(docs.select("source", *draw_keys(docs, salt)), "mix-draws")
+    targets = land(source_targets(narrow, ratio, max_epochs), "mix-targets")
+    n_sources = targets.count()
+    order = [F.col(c) for c in ("key", "id", "size", "crc")]
+    totals = running_totals(narrow, ["source"], order, "size", "mix-keys", n_sources)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    t = targets.withColumnRenamed("source", "__s").withColumn("epochs", epochs)
+    rows = totals.join(small(t, n_sources), F.col("source").eqNullSafe(F.col("__s")))
+    rows = rows.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    draw = F.struct(*order)
+    inside = F.col("cum") <= F.col("rest")
+    cuts = (rows.groupBy("source").agg(
+        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("epochs").alias("epochs"),
+        F.max(F.when(inside, draw)).alias("upto"), (F.first("rest") - F.coalesce(F.max(F.when(inside, F.col("cum"))), F.lit(0))).alias("gap")))
+    cuts = land(cuts, "mix-cuts")
+    # closing document: among those left out, the one nearest to the gap, if it comes nearer than stopping
+    left = (narrow.join(small(cuts.select(F.col("source").alias("__s"), "upto", "gap"), n_sources), F.col("source").eqNullSafe(F.col("__s")))
+            .filter((F.col("size") > 0) & (F.col("upto").isNull() | (draw > F.col("upto"))) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap"))))
+    closing = (left.groupBy(F.col("source").alias("__s"))
+               .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), draw.alias("draw"))).getField("draw").alias("close")))
+    cuts = land(cuts.join(small(closing, n_sources), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "gap"), "mix-closed")
+    return narrow, cuts, n_sources
+
+
+def _copies() -> Column:
+    draw = F.struct("key", "id", "size", "crc")
+    extra = F.coalesce(draw <= F.col("upto"), F.lit(False)) | F.coalesce(draw == F.col("close"), F.lit(False))
+    return F.col("epochs") + extra.cast("long")
+
+
 def mix_plan(docs: DataFrame, ratio: float = 1.5, max_epochs: float = 2.0, salt: str = "mix") -> DataFrame:
     """One narrow row per document: doc_id, source, size, source_size, target, copies, taken.
 
     ``copies`` is how often the mix takes the document, ``taken`` = copies * size.  Null texts have
-    size 0; a null source is a source of its own; rows that repeat a doc_id each count.  Reruns agree:
-    the draw is a hash of the id, ties go by size and text checksum.
+    size 0; a null source is a source of its own.  Reruns agree, because the draw is a hash of the id;
+    rows equal in id and text share a draw and are taken alike.
     """
-    narrow = land(docs.select("doc_id", "source", word_count().alias("size"), quality_weight().alias("weight"),
-                              F.crc32(F.encode(text_or_empty("text"), "UTF-8")).alias("__crc")), "mix-sizes")
-    targets = land(source_targets(narrow, ratio, max_epochs), "mix-targets")
-    n_sources = targets.count()
-    keyed = narrow.withColumn("__key", -F.log(uniform_hash("doc_id", salt)) / F.col("weight")).drop("weight")
-    order = [F.col("__key"), F.col("doc_id"), F.col("size"), F.col("__crc")]
-    totals = running_totals(keyed, ["source"], order, "size", "mix-keys", n_sources)
-    t = targets.select(F.col("source").alias("__s"), "source_size", "target",
-                       F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"))
-    rows = totals.join(small(t, n_sources), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    rows = rows.withColumn("__rest", rest).withColumn("__in", F.col("cum") <= F.col("__rest"))
-    # closing document: among those left out, the one nearest to the gap
-    gaps = (rows.groupBy("source").agg(F.max("__rest").alias("__r"), F.max(F.when(F.col("__in"), F.col("cum"))).alias("__c"))
-            .select(F.col("source").alias("__s"), (F.col("__r") - F.coalesce(F.col("__c"), F.lit(0))).alias("__gap")))
-    left = (rows.filter(~F.col("__in") & (F.col("size") > 0)).join(small(gaps, n_sources), F.col("source").eqNullSafe(F.col("__s")))
-            .filter(F.abs(F.col("size") - F.col("__gap")) < F.col("__gap")))
-    closing = (left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("__gap")), F.col("rn"))).getField("rn").alias("__close"))
-               .withColumnRenamed("source", "__s"))
-    rows = rows.join(small(closing, n_sources), F.col("source").eqNullSafe(F.col("__s")), "left")
-    extra = F.col("__in") | F.coalesce(F.col("rn") == F.col("__close"), F.lit(False))
-    copies = F.col("epochs") + extra.cast("long")
-    # a document of no words is in every epoch and, as the fraction is by words, in the sample too
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-                       (copies * F.col("size")).alias("taken"), "__crc")
-
-
-def mix_documents(docs: DataFrame, **params) -> DataFrame:
-    """The mixed documents themselves: every row as often as the plan takes it, columns unchanged.
-
-    The plan joins back on id, size and text checksum, so rows that share an id keep their own copies;
-    rows equal in all of these are one text and take the mean of their copies, rounded by rank.
+    narrow, cuts, n = source_cuts(docs, ratio, max_epochs, salt)
+    rows = narrow.join(small(cuts.withColumnRenamed("source", "__s"), n), F.col("source").eqNullSafe(F.col("__s")))
+    return (rows.withColumn("copies", _copies())
+            .select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies",
+                    (F.col("copies") * F.col("size")).alias("taken")))
+
+
+def mix_documents(docs: DataFrame, ratio: float = 1.5, max_epochs: float = 2.0, salt: str = "mix") -> DataFrame:
+    """The mixed documents: every row as often as the plan takes it, columns unchanged.
+
+    A row's copies follow from its own draw and its source's cut (one small row), so no text is shuffled.
     """
-    plan = mix_plan(docs, **params)
-    per = plan.groupBy("doc_id", "source", "size", "__crc").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    per = per.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(("doc_id", "source", "size", "__crc"))],
-                     "__copies", "__rows")
-    cols = docs.columns
-    crc = F.crc32(F.encode(text_or_empty("text"), "UTF-8"))
-    joined = docs.join(per, F.col("doc_id").eqNullSafe(F.col("__0")) & F.col("source").eqNullSafe(F.col("__1"))
-                       & (crc == F.col("__3")) & (word_count() == F.col("__2")))
-    # rows equal in id, source and text: the n-th takes its share of the copies
-    repeated = joined.filter(F.col("__rows") > 1)
-    nth = F.row_number().over(Window.partitionBy("__0", "__1", "__2", "__3").orderBy(F.lit(0)))
-    repeated = repeated.withColumn("__n", F.floor(F.col("__copies") * nth / F.col("__rows"))
-                                   - F.floor(F.col("__copies") * (nth - 1) / F.col("__rows")))
-    single = joined.filter(F.col("__rows") == 1).withColumn("__n", F.col("__copies"))
-    both = single.unionByName(repeated)
-    return (both.filter(F.col("__n") > 0)
-            .withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long"))))
-            .select(*[F.col(c) for c in cols]))
+    _, cuts, n = source_cuts(docs, ratio, max_epochs, salt)
+    cuts = small(cuts.withColumnRenamed("source", "__s"), n)
+    drawn = docs.select(F.struct(*docs.columns).alias("__doc"), "source", *draw_keys(docs, salt))
+    rows = drawn.join(cuts, F.col("source").eqNullSafe(F.col("__s"))).select("__doc", _copies().alias("__n"))
+    return (rows.filter(F.col("__n") > 0).select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__i"))
+            .select("__doc.*"))

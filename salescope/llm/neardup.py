@@ -319,3 +319,16 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHINGL
             .join(named, (F.col("k1") == F.col("__1")) & (F.col("k2") == F.col("__2"))).select("doc_id", "n_shingles", "component_id"))
     bare = sketched.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return rows.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one_of_each(docs: DataFrame, **params) -> DataFrame:
+    """Documents without near duplicates: of every group the one with the least id stays, columns unchanged.
+
+    Rows that repeat a kept id are near copies or clashing ids; one of them stays.
+    """
+    kept = land(near_duplicates(docs, **params).filter("kept").groupBy(F.col("doc_id").alias("__d"))
+                .agg(F.count("*").alias("rows")), "dup-kept")
+    n, repeats = kept.agg(F.count("*"), F.max("rows")).first()
+    ids = kept.select("__d")
+    out = docs.join(F.broadcast(ids) if n <= PICK_ROWS else ids, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
+    return out.dropDuplicates(["doc_id"]) if (repeats or 0) > 1 else out
