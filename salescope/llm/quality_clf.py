@@ -134,8 +134,8 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = PREDICT_AT) -
         for batch in batches:
             out = np.full(batch.num_rows, float(weights[SIZE]))
             for first, m, index, value, bounds in _sparse(batch.column(2)):
-                running = np.concatenate([[0.0], np.cumsum(weights[index] * value)])
-                out[first:first + m] += running[bounds[1:]] - running[bounds[:-1]]
+                row = np.repeat(np.arange(m), np.diff(bounds))  # summed text by text: no trace of its neighbours
+                out[first:first + m] += np.bincount(row, weights[index] * value, m)
             p = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()),
                                               pa.array((p >= threshold).astype(np.int32), pa.int32())],

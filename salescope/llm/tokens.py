@@ -22,6 +22,7 @@ from salescope.llm.process import per_process
 from salescope.session import scratch_path
 
 END_ID = 0
+FILE_SCHEMA = "part int, block long, before long, doc_ids array<bigint>, payload binary"
 #: ids after which a block ends (with the document that reaches it)
 BLOCK_IDS = 1 << 16
 #: distinct pieces that a process remembers before it starts anew, and pieces merged at once
@@ -29,8 +30,9 @@ CACHE_PIECES, MERGE_PIECES = 2_000_000, 100_000
 PLAIN_BELOW = 0x250
 BATCH_CHARS = 1 << 20
 
-#: classes of the tokenizer's splitting pattern: 0 white space, 1 letters, 2 numbers, 3 other
+
 def _classes() -> np.ndarray:
+    """Classes of the tokenizer's splitting pattern: 0 white space, 1 letters, 2 numbers, 3 other."""
     out = np.full(PLAIN_BELOW, 3, np.uint8)
     for cp in range(PLAIN_BELOW):
         category = unicodedata.category(chr(cp))[0]
@@ -243,12 +245,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, block_i
         if names:
             yield close()
 
-    dealt.mapInArrow(run, "part int, block long, before long, doc_ids array<bigint>, payload binary").write.parquet(folder)
+    dealt.mapInArrow(run, FILE_SCHEMA).write.parquet(folder)
 
 
 def read_token_files(spark, folder: str) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32."""
-    rows = spark.read.parquet(folder)
+    rows = spark.read.schema(FILE_SCHEMA).parquet(folder)
 
     def run(batches):
         for batch in batches:
