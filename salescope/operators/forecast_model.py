@@ -58,8 +58,8 @@ def fit_predict(ds: pd.Series, y: pd.Series, horizon: int, z: float = Z80,
     n_cp = int(min(N_CHANGEPOINTS, np.floor(CHANGEPOINT_RANGE * (n - 1))))
     cps = t[np.linspace(0, np.floor(CHANGEPOINT_RANGE * (n - 1)), n_cp + 2).astype(int)[1:-1]] \
         if n_cp > 0 else np.array([])
-    order = FOURIER_ORDER if n >= 12 else 0
-    x = _design(days, t, cps, order)
+    # the penalty, not the length of the series, decides how much season a short history shows
+    x = _design(days, t, cps, FOURIER_ORDER)
     scale = float(np.max(np.abs(yv))) or 1.0
     penalty = np.zeros(x.shape[1])
     penalty[2:2 + len(cps)] = CHANGEPOINT_PENALTY

@@ -21,7 +21,9 @@ from salescope.session import materialize
 HORIZON = 6
 HISTORY_MONTHS = 12
 Z80 = 1.2815515655446004
-MIN_SEASON_MONTHS = 24
+# pseudo-observations of 0 that shrink each calendar month's season: a month seen once keeps
+# half of its residual, one seen ten times ten elevenths
+SEASON_PRIOR = 1.0
 
 
 # Fixed value: month 0 of the regression's time axis (January 2000).  Counting months
@@ -53,13 +55,14 @@ def monthly_sums(df: DataFrame, date: str = "order_date", value: str = "sales",
 def gap_fill(monthly: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Every month between a series' first and last month; missing months get 0."""
     keys = list(keys)
-    bounds = monthly.groupBy(*keys).agg(F.min("ds").alias("_first"), F.max("ds").alias("_last"))
-    spine = bounds.select(*keys, F.explode(F.sequence(
-        F.trunc("_first", "month"), F.trunc("_last", "month"),
-        F.expr("INTERVAL 1 MONTH"))).alias("_m"))
-    spine = spine.select(*keys, F.last_day("_m").alias("ds"))
-    return (spine.join(monthly, keys + ["ds"], "left")
-            .select(*keys, "ds", F.coalesce(F.col("y"), F.lit(0.0)).alias("y")))
+    # every month fills the gap up to the next one: the monthly table is read once, without a join
+    following = F.lead("ds").over(Window.partitionBy(*keys).orderBy("ds"))
+    until = F.coalesce(F.add_months(F.trunc("_next", "month"), -1), F.trunc("ds", "month"))
+    spans = monthly.withColumn("_next", following).select(
+        *keys, F.col("ds").alias("_ds"), "y",
+        F.explode(F.sequence(F.trunc("ds", "month"), until, F.expr("INTERVAL 1 MONTH"))).alias("_m"))
+    known = F.when(F.last_day("_m") == F.col("_ds"), F.col("y"))
+    return spans.select(*keys, F.last_day("_m").alias("ds"), F.coalesce(known, F.lit(0.0)).alias("y"))
 
 
 def monthly_series(df: DataFrame, date: str = "order_date", value: str = "sales",
@@ -84,13 +87,14 @@ def last_n(series: DataFrame, n: int = HISTORY_MONTHS, keys: Sequence[str] = (),
 
 
 def trend_season_model(series: DataFrame, keys: Sequence[str] = (),
-                       min_season_months: int = MIN_SEASON_MONTHS) -> tuple[DataFrame, DataFrame]:
+                       season_prior: float = SEASON_PRIOR) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fit y = a + b*t + season[calendar month] per series.
 
-    Returns ``(params, season)``: params has ``keys, a, b, n, last_t, last_ds, sd``;
-    season has ``keys, mo, season``.  The season is the mean residual per calendar month
-    and is 0 when a series has fewer than ``min_season_months`` months; ``sd`` is the
-    sample deviation of the remaining residual (0 for a single month).
+    Returns ``(params, season, history)``: params has ``keys, a, b, n, last_t, last_ds, sd``;
+    season has ``keys, mo, season``; history is the fitted series, written once.  The season is
+    the residual's sum per calendar month over its count plus ``season_prior``, so it shrinks
+    smoothly with fewer years; ``sd`` is the sample deviation of the remaining residual (0 for
+    a single month).
     """
     keys = list(keys)
     # series x months rows, read by four branches below: materialise once
@@ -104,23 +108,27 @@ def trend_season_model(series: DataFrame, keys: Sequence[str] = (),
     r = attach(s, lin, ["a", "b", "n"], keys)
     r = r.select(*keys, "mo", "n", (F.col("y") - (F.col("a") + F.col("b") * F.col("t"))).alias("r"))
     season = r.groupBy(*keys, "mo").agg(
-        F.when(F.max("n") >= min_season_months, F.avg("r")).otherwise(F.lit(0.0)).alias("season"))
+        (F.sum("r") / (F.count("r") + F.lit(season_prior))).alias("season"))
     rs = r.join(season, keys + ["mo"])
     sd = rs.groupBy(*keys).agg(
         F.coalesce(F.stddev_samp(F.col("r") - F.col("season")), F.lit(0.0)).alias("sd"))
     params = lin.join(sd, keys) if keys else side_by_side(lin, sd)
-    return params, season
+    return params, season, s
 
 
-def forecast_trend_season(series: DataFrame, keys: Sequence[str] = (), horizon: int = HORIZON,
-                          z: float = Z80) -> DataFrame:
+Model = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def forecast_trend_season(series: DataFrame | None, keys: Sequence[str] = (), horizon: int = HORIZON,
+                          z: float = Z80, model: Model | None = None) -> DataFrame:
     """Point forecast and interval for the next ``horizon`` months (F3 + F4).
 
     Output: ``keys..., ds date, yhat, yhat_lower, yhat_upper``.  Horizons come from
-    ``explode(sequence(1, horizon))`` on the one-row-per-series parameters.
+    ``explode(sequence(1, horizon))`` on the one-row-per-series parameters.  ``model`` is a
+    fit to reuse (then ``series`` is not read).
     """
     keys = list(keys)
-    params, season = trend_season_model(series, keys)
+    params, season, _ = model or trend_season_model(series, keys)
     fut = params.select(*keys, "a", "b", "sd", "last_t", "last_ds",
                         F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
     fut = fut.select(*keys, "a", "b", "sd",
@@ -134,12 +142,10 @@ def forecast_trend_season(series: DataFrame, keys: Sequence[str] = (), horizon:
                       (yhat + F.lit(z) * F.col("sd")).alias("yhat_upper"))
 
 
-def forecast_fitted(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def forecast_fitted(series: DataFrame | None, keys: Sequence[str] = (), model: Model | None = None) -> DataFrame:
     """The fitted line over the history, next to the actuals."""
     keys = list(keys)
-    params, season = trend_season_model(series, keys)
-    s = series.select(*keys, "ds", "y", _month_index(F.col("ds")).alias("t"),
-                      F.month("ds").alias("mo"))
+    params, season, s = model or trend_season_model(series, keys)
     s = attach(s, params, ["a", "b"], keys)
     s = s.join(season, keys + ["mo"], "left")
     yhat = F.col("a") + F.col("b") * F.col("t") + F.coalesce(F.col("season"), F.lit(0.0))

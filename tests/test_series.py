@@ -92,3 +92,23 @@ def test_keyed_forecast_equals_each_series_alone(spark):
     summ = series.forecast_summary(series.forecast_trend_season(df, keys=["k"]),
                                    series.trend_season_model(df, keys=["k"])[0], keys=["k"]).collect()
     assert {r["k"]: r["direction"] for r in summ} == {"a": "increasing", "b": "decreasing"}
+
+
+def test_season_shrinks_smoothly_with_short_histories(spark):
+    import datetime as dt
+    from salescope.operators import forecast_model
+    rows = [(dt.date(2020 + i // 12, i % 12 + 1, 28), 100.0 + 50.0 * (i % 12 == 11)) for i in range(12)]
+    year = spark.createDataFrame(rows, "ds date, y double").selectExpr("last_day(ds) AS ds", "y")
+    _, season, _ = series.trend_season_model(year)
+    assert max(r["season"] for r in season.collect()) > 10
+    short = forecast_model.forecast_fourier(year.where("month(ds) <= 11"), include_history=True).collect()
+    assert len({round(r["yhat"], 6) for r in short}) > 2
+
+
+def test_gap_fill_reads_its_input_once(spark):
+    df = spark.createDataFrame([("a", "2020-01-15", 1.0), ("a", "2020-04-02", 2.0), ("b", "2020-03-03", 5.0), ("a", None, 9.0)],
+                               "k string, d string, sales double").selectExpr("k", "to_date(d) AS order_date", "sales")
+    out = series.monthly_series(df, keys=["k"])
+    assert sorted((r["k"], str(r["ds"]), r["y"]) for r in out.collect()) == [
+        ("a", "2020-01-31", 1.0), ("a", "2020-02-29", 0.0), ("a", "2020-03-31", 0.0), ("a", "2020-04-30", 2.0), ("b", "2020-03-31", 5.0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
