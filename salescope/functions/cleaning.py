@@ -22,10 +22,14 @@ PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u200
                  "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 # Date layouts tried in order (month first, then day first, then ISO;
-# the same with a time of day).
+# the same with a time of day; then dashes, slashed ISO, month names and compact digits).
 DATE_FORMATS = ["M/d/yyyy", "d/M/yyyy", "yyyy-MM-dd",
                 "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss",
-                "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
+                "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
+                "M-d-yyyy", "d-M-yyyy", "yyyy/M/d", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+                "yyyyMMdd"]
+# Layouts with a two-digit year: 69 to 99 are of the 1900s.
+SHORT_YEAR_FORMATS = ["M/d/yy", "d/M/yy", "M-d-yy", "d-M-yy"]
 
 
 def py_strip(col: Column | str) -> Column:
@@ -82,7 +86,9 @@ def parse_mixed_date(col: Column | str, strict: bool = True) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     s = F.trim(c.cast("string"))
     parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
-    parsed = parsed.cast("timestamp_ntz")
+    short = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in SHORT_YEAR_FORMATS])
+    short = F.when(F.year(short) >= 2069, short - F.expr("INTERVAL 100 YEARS")).otherwise(short)
+    parsed = F.coalesce(parsed, short).cast("timestamp_ntz")
     if not strict:
         return parsed
     bad = s.isNotNull() & parsed.isNull()

@@ -36,11 +36,17 @@ def month_end(col: Column | str) -> Column:
 def exact_mean(col: Column | str, scale: int = 10) -> Column:
     """Mean whose value does not depend on partitioning or summation order.
 
-    The sum runs in ``decimal(38, scale)`` (exact and associative, so every partial
-    aggregation order gives the same total) and is divided by the count once, in double.
-    A plain double ``avg`` can land on either side of an exact rounding tie depending on
-    how rows were split across tasks.
+    Values are summed as ``decimal(28, scale)`` (exact and associative, so every partial
+    aggregation order gives the same total); what that type cannot hold -- digits below
+    10^-scale, or very large values -- is summed in double beside it.  A plain double ``avg``
+    can land on either side of an exact rounding tie depending on how rows were split.
+    As in pandas, NaN counts as missing, and an infinity decides the mean (both signs: NaN).
     """
-    c = _c(col)
-    total = F.sum(c.cast(f"decimal(38,{scale})")).cast("double")
-    return F.try_divide(total, F.count(c).cast("double"))
+    c = F.nanvl(_c(col).cast("double"), F.lit(None).cast("double"))
+    inf = F.lit(float("inf"))
+    finite = F.when(F.abs(c) < inf, c)
+    exact = F.coalesce(finite.try_cast(f"decimal(28,{scale})"), F.lit(0).cast(f"decimal(28,{scale})"))
+    total = F.sum(exact).cast("double") + F.sum(finite - exact.cast("double"))
+    # a sum of the infinities alone is an infinity, or NaN if both signs occur
+    beyond = F.sum(F.when(F.abs(c) == inf, c))
+    return F.coalesce(beyond, F.try_divide(total, F.count(c).cast("double")))

@@ -81,3 +81,19 @@ def test_star_join_plan_at_scale_never_broadcasts_fact(spark):
     assert plan.count("BroadcastHashJoin") == 2      # nation-region, customer-geo (25 nations)
     small = sales_view(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in small and "BuildLeft" not in small
+
+
+def test_exact_mean_of_infinities_nan_and_tiny_values(spark):
+    import math
+
+    import pandas as pd
+
+    from salescope.functions.metrics import exact_mean
+    inf, nan = float("inf"), float("nan")
+    for values in ([inf, 0.0], [-inf, 1.0], [inf, -inf, 1.0], [nan, 1.0, 2.0], [nan], [1e-12, 3e-12], [1e300, 1e300], [0.1] * 10, []):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        got, want = df.agg(exact_mean("x").alias("m")).first()["m"], float(pd.Series(values, dtype=float).mean())
+        if not values or all(math.isnan(v) for v in values):
+            assert got is None
+        else:
+            assert (math.isnan(got) and math.isnan(want)) or got == want or abs(got - want) <= 1e-12 * abs(want), (values, got, want)
