@@ -28,24 +28,57 @@ REFERENCE_COLUMNS = {
 NUMERIC = ("sales", "discount", "profit")
 
 
-def read_csv_raw(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
+def read_csv_raw(spark: SparkSession, path: str | list[str], encoding: str = "ISO-8859-1",
                  multi_line: bool = False) -> DataFrame:
     """Header CSV, all columns as strings, quotes escaped by doubling.
 
     ``encoding`` defaults to Latin-1, which accepts every byte.  ``multi_line`` allows
     newlines inside quoted cells but makes each file one task (not splittable), so land
-    such files to Parquet once (:func:`salescope.sources.landing.land_dataset`).
+    such files to Parquet once (:func:`salescope.sources.landing.land_dataset`).  Files must
+    share one header: another order of columns fails the read (``enforceSchema`` is off)
+    instead of shifting cells; :func:`read_sales_csv` reads mixed layouts by name.
     """
     return (spark.read.option("header", True).option("inferSchema", False)
             .option("encoding", encoding).option("quote", '"').option("escape", '"')
-            .option("multiLine", multi_line).option("mode", "PERMISSIVE")
+            .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("enforceSchema", False)
             .csv(path))
 
 
-def read_sales_csv(spark: SparkSession, path: str, **kw) -> DataFrame:
-    """Raw CSV with stripped header names and missing-value tokens as NULL."""
-    df = strip_header(read_csv_raw(spark, path, **kw))
-    return apply_na_tokens(df)
+def _header(spark: SparkSession, file: str, encoding: str) -> str | None:
+    """First line of a file in any store that Spark reads; None if it is empty."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
+    line = reader.readLine()
+    reader.close()
+    return line
+
+
+def read_sales_csv(spark: SparkSession, path: str | list[str], file_column: str | None = None, **kw) -> DataFrame:
+    """Raw CSV with stripped header names and missing-value tokens as NULL.
+
+    Columns are matched by name: files are read per distinct header line (only first lines are
+    looked at) and the layouts are united by name; a column that a layout lacks is NULL.
+    ``file_column`` adds the name of each row's file.
+    """
+    files = spark.read.text(path).inputFiles()
+    layouts: dict[str, list[str]] = {}
+    for f in sorted(files):
+        line = _header(spark, f, kw.get("encoding", "ISO-8859-1"))
+        if line is not None:
+            layouts.setdefault(line, []).append(f)
+    groups = [path] if len(layouts) < 2 else list(layouts.values())
+    out = None
+    for g in groups:
+        raw = read_csv_raw(spark, g, **kw)
+        part = apply_na_tokens(strip_header(raw))
+        if file_column:
+            names = [c.strip() for c in raw.columns]
+            tagged = raw.select("*", F.col("_metadata.file_name").alias(file_column))
+            part = apply_na_tokens(tagged.toDF(*names, file_column), names)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def clean_sales(df: DataFrame, columns: dict[str, str] | None = None,

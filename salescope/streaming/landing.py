@@ -1,11 +1,11 @@
 """Per-dataset KPIs that update as CSV files land in a folder.
 
-A Structured Streaming file source over the dataset folder, the same cleaning
-projection as the batch path, and a stateful ``groupBy(file, keys)`` aggregate.  State
-and progress live in ``checkpoint`` (a shared folder), so a restarted query or a lost
-executor resumes without double counting.  Grouping is per file because each uploaded
-file is its own dataset.  The file source tracks paths: land a new version of a file
-under a new name.
+The stream is one of file names: a ``binaryFile`` source whose content column is pruned, so
+no byte of a file is read by the source.  Each micro-batch reads its files by header name with
+the batch reader, aggregates per (file, keys) and replaces only those files' partitions of the
+result table.  Every file is its own dataset, so no state crosses batches; progress lives in
+``checkpoint`` (a shared folder), and a replayed batch writes the same partitions again.  The
+file source tracks paths: land a new version of a file under a new name.
 """
 
 from __future__ import annotations
@@ -14,57 +14,49 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from salescope.functions.cleaning import apply_na_tokens
 from salescope.functions.metrics import margin_pct
-from salescope.sources.csv import clean_sales
+from salescope.sources.csv import clean_sales, read_sales_csv
 
-# Fixed value: column order of the landed CSV files (declared, never inferred).
-LANDING_COLUMNS = ["Order Date", "Region", "Category", "Sub-Category", "Segment",
-                   "Product Name", "Sales", "Discount", "Profit"]
+# files per micro-batch: bounds the list of names that reaches the driver
+MAX_FILES_PER_TRIGGER = 1000
 
 
-def landing_schema(columns: Sequence[str] = LANDING_COLUMNS) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
+def landing_files(spark: SparkSession, directory: str, recursive: bool = False,
+                  max_files_per_trigger: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
+    """Stream of ``(path, length)`` of the CSV files that arrive in ``directory``."""
+    return (spark.readStream.format("binaryFile")
+            .schema("path string, modificationTime timestamp, length long, content binary")
+            .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", recursive)
+            .option("maxFilesPerTrigger", max_files_per_trigger).load(directory).select("path", "length"))
 
 
-def landing_stream(spark: SparkSession, directory: str, columns: Sequence[str] = LANDING_COLUMNS,
-                   encoding: str = "ISO-8859-1", max_files_per_trigger: int | None = None) -> DataFrame:
-    """Cleaned sales rows of every CSV file arriving in ``directory``, with their ``file``."""
-    reader = (spark.readStream.schema(landing_schema(columns)).option("header", True)
-              .option("encoding", encoding).option("escape", '"').option("pathGlobFilter", "*.csv"))
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = apply_na_tokens(reader.csv(directory)).withColumn("file", F.col("_metadata.file_name"))
-    return clean_sales(raw, strict_dates=False, keep=("file",))
-
-
-def landing_kpis(stream: DataFrame, keys: Sequence[str] = ("region",)) -> DataFrame:
-    """Running sums and margin per (file, keys) over the landing stream."""
+def landing_kpis(rows: DataFrame, keys: Sequence[str] = ("region",)) -> DataFrame:
+    """Sums and margin per (file, keys); rows in which any key is NULL are left out."""
     keys = list(keys)
-    agg = stream.where(F.col(keys[0]).isNotNull()) if keys else stream
-    agg = agg.groupBy("file", *keys).agg(F.sum("sales").alias("sales"),
-                                          F.sum("profit").alias("profit"))
-    return agg.select("file", *keys, "sales", "profit",
-                      margin_pct("profit", "sales").alias("margin"))
-
-
-def start_landing_kpis(spark: SparkSession, directory: str, checkpoint: str,
-                       query_name: str | None = None, output_path: str | None = None,
-                       keys: Sequence[str] = ("region",), available_now: bool = True) -> StreamingQuery:
-    """Start the KPI stream.
-
-    ``query_name``: complete-mode in-memory table (tests, notebooks).  ``output_path``:
-    each micro-batch overwrites a Parquet table with the complete result (idempotent, so
-    a replayed batch after a failure writes the same table).
-    """
-    kpis = landing_kpis(landing_stream(spark, directory), keys)
-    w = kpis.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    if output_path is not None:
-        def write_batch(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(output_path)
-        return w.foreachBatch(write_batch).start()
-    return w.format("memory").queryName(query_name or "landing_kpis").start()
+    known = rows
+    for k in keys:
+        known = known.where(F.col(k).isNotNull())
+    agg = known.groupBy("file", *keys).agg(F.sum("sales").alias("sales"), F.sum("profit").alias("profit"))
+    return agg.select("file", *keys, "sales", "profit", margin_pct("profit", "sales").alias("margin"))
+
+
+def start_landing_kpis(spark: SparkSession, directory: str, checkpoint: str, output_path: str,
+                       keys: Sequence[str] = ("region",), available_now: bool = True,
+                       recursive: bool = False, max_files_per_trigger: int = MAX_FILES_PER_TRIGGER) -> StreamingQuery:
+    """Start the KPI stream; the result is a Parquet table partitioned by ``file``."""
+
+    def write_batch(batch: DataFrame, _epoch: int) -> None:
+        paths = [r["path"] for r in batch.select("path").collect()]
+        if not paths:
+            return
+        rows = clean_sales(read_sales_csv(batch.sparkSession, paths, file_column="file"),
+                           strict_dates=False, keep=("file",))
+        (landing_kpis(rows, keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("file").parquet(output_path))
+
+    writer = (landing_files(spark, directory, recursive, max_files_per_trigger).writeStream
+              .option("checkpointLocation", checkpoint).foreachBatch(write_batch))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()

@@ -11,20 +11,34 @@ def _write(path, lines):
         f.write(HEADER + "".join(lines))
 
 
+def _kpis(spark, out):
+    return {(r["file"], r["region"]): (r["sales"], r["profit"]) for r in spark.read.parquet(out).collect()}
+
+
 def test_landing_kpis_update_per_file(spark, tmpdir_path):
-    src = os.path.join(tmpdir_path, "in")
+    src, ckpt, out = (os.path.join(tmpdir_path, n) for n in ("in", "ckpt", "out"))
     os.makedirs(src)
-    ckpt = os.path.join(tmpdir_path, "ckpt")
     _write(os.path.join(src, "one.csv"), ["1/2/2020,East,C,S,G,P,10,0.1,2\n", "1/3/2020,West,C,S,G,P,5,0,-1\n"])
-    q = lstream.start_landing_kpis(spark, src, ckpt, query_name="t1_kpis")
-    q.awaitTermination()
-    first = {(r["file"], r["region"]): r["sales"] for r in spark.table("t1_kpis").collect()}
-    assert first == {("one.csv", "East"): 10.0, ("one.csv", "West"): 5.0}
+    lstream.start_landing_kpis(spark, src, ckpt, out).awaitTermination()
+    first = {("one.csv", "East"): (10.0, 2.0), ("one.csv", "West"): (5.0, -1.0)}
+    assert _kpis(spark, out) == first
+    kept = {f: os.path.getmtime(os.path.join(out, "file=one.csv", f)) for f in os.listdir(os.path.join(out, "file=one.csv"))}
     _write(os.path.join(src, "two.csv"), ["2/2/2020,East,C,S,G,P,7,0.1,1\n", "2/2/2020,NA,C,S,G,P,1,0,0\n"])
-    q = lstream.start_landing_kpis(spark, src, ckpt, query_name="t1_kpis_2")
-    q.awaitTermination()
-    second = {(r["file"], r["region"]): r["sales"] for r in spark.table("t1_kpis_2").collect()}
-    assert second == {("one.csv", "East"): 10.0, ("one.csv", "West"): 5.0, ("two.csv", "East"): 7.0}
+    lstream.start_landing_kpis(spark, src, ckpt, out).awaitTermination()
+    assert _kpis(spark, out) == {**first, ("two.csv", "East"): (7.0, 1.0)}
+    # only the new file's partition is written
+    assert kept == {f: os.path.getmtime(os.path.join(out, "file=one.csv", f)) for f in os.listdir(os.path.join(out, "file=one.csv"))}
+
+
+def test_landing_reads_columns_by_name_and_drops_any_null_key(spark, tmpdir_path):
+    src, out = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "out")
+    os.makedirs(src)
+    with open(os.path.join(src, "b.csv"), "w") as f:
+        f.write("Row ID, Region ,Profit,Order Date,Sales,Discount,Category,Sub-Category,Segment,Product Name\n"
+                "1,East,2,1/2/2020,10,0.1,C,S,G,P\n2,East,1,1/2/2020,4,0.1,NA,S,G,P\n3,NA,1,1/2/2020,4,0.1,C,S,G,P\n")
+    _write(os.path.join(src, "a.csv"), ["1/2/2020,East,C,S,G,P,5,0,-1\n"])
+    lstream.start_landing_kpis(spark, src, os.path.join(tmpdir_path, "ck"), out, keys=("region", "category")).awaitTermination()
+    assert _kpis(spark, out) == {("b.csv", "East"): (10.0, 2.0), ("a.csv", "East"): (5.0, -1.0)}
 
 
 def test_feedback_stream_drops_malformed(spark, tmpdir_path):
