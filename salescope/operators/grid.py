@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salescope.functions.cleaning import py_strip
@@ -22,19 +22,20 @@ def _as_text(df: DataFrame) -> list[Column]:
 
 
 def preview_file(spark: SparkSession, path: str, n: int = PREVIEW_ROWS) -> DataFrame:
-    """The first ``n`` rows of the first Parquet file under ``path`` in file order, as text,
+    """The first ``n`` rows of a Parquet table in file order (files by name), as text,
     missing cells as the empty string (S6, S7 with n=5).
 
-    Only the first file (by name, from the file listing -- no data read) is scanned, and
-    row order is the file's own ``_metadata.row_index``, so the preview costs one file,
-    not a scan of the whole table.
+    The rows of the first non-empty files are enough: at most ``n`` file names, picked from row
+    counts that Spark reads from the footers, and the filter on the file name prunes the rest.
     """
-    files = sorted(spark.read.parquet(path).inputFiles())
-    first = spark.read.parquet(files[0])
-    cols = first.columns
-    ordered = first.select("*", F.col("_metadata.row_index").alias("_row")) \
-        .orderBy("_row").limit(n)
-    return ordered.select(*_as_text(ordered.select(*cols)))
+    whole = spark.read.parquet(path)
+    file = F.col("_metadata.file_path")
+    counted = whole.select(file.alias("f")).groupBy("f").count().orderBy("f").limit(n)
+    before = F.sum("count").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1))
+    names = [r["f"] for r in counted.select("f", F.coalesce(before, F.lit(0)).alias("b")).where(F.col("b") < n).collect()]
+    ordered = whole.where(file.isin(names)).select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_row")) \
+        .orderBy("_file", "_row").limit(n)
+    return ordered.select(*_as_text(ordered.select(*whole.columns)))
 
 
 def preview(df: DataFrame, order: Sequence[str], n: int = PREVIEW_ROWS) -> DataFrame:
@@ -66,8 +67,10 @@ def grid_search(df: DataFrame, keyword: str, columns: Sequence[str] | None = Non
     return df.where(cond)
 
 
-def grid_sort(df: DataFrame, column: str, descending: bool = True, n: int = PREVIEW_ROWS) -> DataFrame:
-    """Top ``n`` rows by one column; the other columns break ties so the result is stable."""
+def grid_sort(df: DataFrame, column: str, descending: bool = True, n: int | None = None) -> DataFrame:
+    """All rows sorted by one column, or the page of the first ``n``; the other columns break
+    ties so the result is stable (P8)."""
     first = F.col(column).desc() if descending else F.col(column).asc()
     rest = [F.col(c).asc() for c in df.columns if c != column]
-    return df.orderBy(first, *rest).limit(n)
+    ordered = df.orderBy(first, *rest)
+    return ordered if n is None else ordered.limit(n)

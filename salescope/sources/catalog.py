@@ -42,6 +42,25 @@ def catalog_dedup(catalogs: DataFrame) -> DataFrame:
     return first_per_key(catalogs, ["filename"], ["priority", "path"])
 
 
+def with_active(catalog: DataFrame, active: DataFrame) -> DataFrame:
+    """The catalogue with an ``active`` flag on the file that :func:`active_dataset` names."""
+    name = active.select(F.col("active_filename").alias("_active")).limit(1)
+    return (catalog.join(F.broadcast(name), F.col("filename") == F.col("_active"), "left")
+            .withColumn("active", F.col("_active").isNotNull()).drop("_active"))
+
+
+def select_dataset(spark: SparkSession, catalog: DataFrame, filename: str, config_path: str) -> None:
+    """Store the chosen file name as the one-row config table (S10); it must be in the catalogue."""
+    chosen = catalog.where(F.col("filename") == filename).select(F.col("filename").alias("active_filename")).limit(1)
+    if chosen.isEmpty():
+        raise ValueError(f"no such dataset: {filename}")
+    spark.createDataFrame([(filename,)], "active_filename string").coalesce(1).write.mode("overwrite").json(config_path)
+
+
+def read_selection(spark: SparkSession, config_path: str) -> DataFrame:
+    return spark.read.schema("active_filename string").json(config_path)
+
+
 def active_dataset(catalog: DataFrame, config: DataFrame | None, fallback: str | None) -> DataFrame:
     """One row ``(active_filename, source)``: the configured file if it exists, else the
     first CSV by name, else the fallback name (S10).

@@ -97,6 +97,33 @@ def landed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_MIXED: dict[tuple[str, str], str] = {}
+
+
+def mixed_csv_path(spark: SparkSession, sf_dir: str) -> str:
+    """The sales table as CSV files of three layouts that differ in the order of their columns."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _MIXED.get(key)
+    if path is None:
+        path = scratch_path(spark, "mixed-csv")
+        s = read_sales_columns(landed_sales(spark, sf_dir))
+        pick = F.pmod(F.xxhash64(*s.columns), F.lit(3))
+        orders = (s.columns, s.columns[::-1], sorted(s.columns))
+        for i, names in enumerate(orders):
+            s.where(pick == i).select(*names).write.mode("overwrite").option("header", True) \
+                .option("encoding", "ISO-8859-1").csv(f"{path}/layout{i}")
+        _MIXED[key] = path
+    return path
+
+
+def read_sales_columns(sales: DataFrame) -> DataFrame:
+    """Sales rows as text under the reference's column names."""
+    return sales.select(F.date_format("order_date", "M/d/yyyy").alias("Order Date"), F.col("region").alias("Region"),
+                        F.col("category").alias("Category"), F.col("sub_category").alias("Sub-Category"),
+                        F.col("segment").alias("Segment"), F.col("product_name").alias("Product Name"),
+                        *[F.col(c).cast("string").alias(c.capitalize()) for c in ("sales", "discount", "profit")])
+
+
 _CSV: dict[tuple[str, str], str] = {}
 
 

@@ -11,21 +11,23 @@ from pyspark.sql import functions as F
 
 
 def land_dataset(clean: DataFrame, root: str, dataset: str) -> None:
-    """Write one cleaned dataset under ``root/dataset=<name>``.
+    """Write one cleaned dataset as the folder ``root/dataset=<name>``.
 
-    With ``spark.sql.sources.partitionOverwriteMode=dynamic`` (set by
-    :func:`salescope.build_session`) only that dataset's partition is replaced; the other
-    datasets stay.  Readers then prune to one dataset by partition filter.
+    Only that folder is replaced, also by an empty dataset (its files then hold the schema
+    alone); the other datasets stay and no session setting is touched.
     """
-    spark = clean.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    clean.withColumn("dataset", F.lit(dataset)).write.mode("overwrite") \
-        .partitionBy("dataset").parquet(root)
+    clean.write.mode("overwrite").parquet(dataset_path(clean.sparkSession, root, dataset))
+
+
+def dataset_path(spark: SparkSession, root: str, dataset: str) -> str:
+    """Folder of a dataset, its name escaped as Spark escapes partition values."""
+    utils = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return f"{root.rstrip('/')}/dataset={utils.escapePathName(dataset)}"
 
 
 def read_dataset(spark: SparkSession, root: str, dataset: str) -> DataFrame:
-    """A landed dataset; the ``dataset`` filter prunes partitions (no other folder is listed)."""
-    return spark.read.parquet(root).where(F.col("dataset") == dataset).drop("dataset")
+    """A landed dataset; no other folder is listed."""
+    return spark.read.parquet(dataset_path(spark, root, dataset))
 
 
 def write_vector_table(vectors: DataFrame, path: str) -> None:

@@ -90,3 +90,55 @@ def test_reports_per_key_to_sink(spark, tmpdir_path):
     assert len(parts) == 5
     text = "\n".join(r["value"] for r in spark.read.text(os.path.join(out, parts[0])).collect())
     assert text.startswith("# Executive Business Report") and "## 3. Sales Forecasting" in text
+
+
+def test_preview_goes_on_to_the_next_files(spark, tmpdir_path):
+    from salescope.operators import grid
+    path = f"{tmpdir_path}/many"
+    for i in range(3):
+        spark.range(i * 30, i * 30 + 30).coalesce(1).write.mode("append").parquet(path)
+    spark.range(0).coalesce(1).write.mode("append").parquet(path)
+    assert grid.preview_file(spark, path, 70).count() == 70 and grid.preview_file(spark, path).count() == 90
+
+
+def test_grid_sort_without_a_page_keeps_all_rows(spark):
+    from salescope.operators import grid
+    df = spark.range(500).selectExpr("id", "id % 7 AS v")
+    assert [r["v"] for r in grid.grid_sort(df, "v").collect()] == sorted((i % 7 for i in range(500)), reverse=True)
+
+
+def test_relanding_an_empty_dataset_leaves_no_old_rows(spark, tmpdir_path):
+    from salescope.sources import landing
+    df = spark.range(5).selectExpr("id", "'x' AS v")
+    landing.land_dataset(df, tmpdir_path, "a b.csv")
+    landing.land_dataset(df, tmpdir_path, "other.csv")
+    landing.land_dataset(df.limit(0), tmpdir_path, "a b.csv")
+    assert landing.read_dataset(spark, tmpdir_path, "a b.csv").count() == 0
+    assert landing.read_dataset(spark, tmpdir_path, "other.csv").count() == 5
+
+
+def test_csv_layouts_are_matched_by_name(spark, tmpdir_path):
+    from salescope.sources.csv import clean_sales, read_csv_raw, read_sales_csv
+    with open(f"{tmpdir_path}/a.csv", "w") as f:
+        f.write("Region,Sales,Profit,Discount\nEast,10,2,0.1\n")
+    with open(f"{tmpdir_path}/b.csv", "w") as f:
+        f.write("Profit, Region ,Discount,Sales\n-1,West,0,5\n")
+    rows = clean_sales(read_sales_csv(spark, tmpdir_path)).collect()
+    assert sorted((r["region"], r["sales"], r["profit"]) for r in rows) == [("East", 10.0, 2.0), ("West", 5.0, -1.0)]
+    import pytest
+    with pytest.raises(Exception):
+        read_csv_raw(spark, tmpdir_path).collect()
+
+
+def test_selected_dataset_is_flagged(spark, tmpdir_path):
+    from salescope.sources import catalog
+    for n in ("a.csv", "b.csv"):
+        with open(f"{tmpdir_path}/{n}", "w") as f:
+            f.write("x\n1\n")
+    files = catalog.dataset_catalog(spark, tmpdir_path)
+    catalog.select_dataset(spark, files, "b.csv", f"{tmpdir_path}/config")
+    active = catalog.active_dataset(files, catalog.read_selection(spark, f"{tmpdir_path}/config"), None)
+    assert {r["filename"]: r["active"] for r in catalog.with_active(files, active).collect()} == {"a.csv": False, "b.csv": True}
+    import pytest
+    with pytest.raises(ValueError):
+        catalog.select_dataset(spark, files, "c.csv", f"{tmpdir_path}/config")
