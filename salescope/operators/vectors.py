@@ -187,16 +187,35 @@ class _DenseSide:
         self.ids = ids[order]
         self.mat = mat[order].astype(np.float64)
         self.n = len(ids)
-        self.cells_per_row = max(self.n * max(self.mat.shape[1], 1), 1)
+        self.cells_per_row = max(self.n, 1)
 
-    def d2(self, x: np.ndarray) -> np.ndarray:
-        diff = x[:, None, :] - self.mat[None, :, :]
-        return np.einsum("ijk,ijk->ij", diff, diff)
+    def d2(self, x: np.ndarray, k: int) -> np.ndarray:
+        """Squared distances by one matrix product; those that may be among a column's or row's
+        ``k`` best are computed again from the differences, so that ranks are exact."""
+        own, other = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", self.mat, self.mat)
+        out = np.maximum(own[:, None] + other[None, :] - 2.0 * (x @ self.mat.T), 0.0)
+        slack = 1e-7 * (1.0 + own.max(initial=0.0) + other.max(initial=0.0))
+        near = np.zeros(out.shape, dtype=bool)
+        for axis in (0, 1):
+            kth = np.partition(out, min(k, out.shape[axis]) - 1, axis=axis).take([min(k, out.shape[axis]) - 1], axis=axis)
+            near |= out <= kth + slack
+        r, c = np.nonzero(near)
+        for s in range(0, len(r), 4096):
+            diff = x[r[s:s + 4096]] - self.mat[c[s:s + 4096]]
+            out[r[s:s + 4096], c[s:s + 4096]] = np.einsum("ij,ij->i", diff, diff)
+        return out
 
 
 def _topk_merge(best: dict[str, np.ndarray] | None, d2: np.ndarray, ids: np.ndarray,
                 k: int) -> dict[str, np.ndarray]:
     """Running per-column top-k (by round(d2, 9), then id) of a (rows x queries) block."""
+    if len(d2) > 4 * k:  # only the k-th best and its ties can rank: sort those, not the block
+        key = np.round(d2, 9)
+        kth = np.partition(key, k - 1, axis=0)[k - 1]
+        if best is not None and len(best["d2"]) >= k:
+            kth = np.minimum(kth, np.round(best["d2"], 9)[k - 1])
+        alive = (key <= kth).any(axis=1)
+        d2, ids = d2[alive], ids[alive]
     if best is not None:
         d2 = np.vstack([best["d2"], d2])
         ids = np.vstack([best["ids"], ids])
@@ -207,6 +226,9 @@ def _topk_merge(best: dict[str, np.ndarray] | None, d2: np.ndarray, ids: np.ndar
             "ids": np.take_along_axis(ids, order, axis=0)}
 
 
+_ROW = "_block_row"
+
+
 def _collect_side(df: DataFrame, max_rows: int) -> pa.Table:
     """Collect one block whose row count :func:`_blocks` has already checked."""
     tbl = df.toArrow()
@@ -218,14 +240,13 @@ def _collect_side(df: DataFrame, max_rows: int) -> pa.Table:
 def _blocks(df: DataFrame, id_col: str, max_rows: int, level: int = 0) -> list[DataFrame]:
     """Split ``df`` into hash blocks of at most ``max_rows`` rows (counts only, no collect).
 
-    A block that comes out over the cap is split again with a different hash salt, so
-    every block is within the cap whatever the hash balance.
+    ``id_col`` names a unique row number, so rows that share an id are split too.  A block
+    that comes out over the cap is split again with a different hash salt, so every block is
+    within the cap whatever the hash balance.
     """
     n = df.count()
     if n <= max_rows:
         return [df] if n else []
-    if level > 12:
-        raise ValueError(f"cannot split {n} rows under {max_rows}: duplicate ids in {id_col!r}?")
     nb = int(np.ceil(n / (max_rows * 0.7)))
     out: list[DataFrame] = []
     for i in range(nb):
@@ -260,7 +281,7 @@ def _scan_topk(stream: DataFrame, stream_id: str, side, score, k: int, q_is_stre
             step = max(1, _SCORE_CELLS // blk.cells_per_row)
             for s in range(0, rb.num_rows, step):
                 part = rb.slice(s, step)
-                d2 = score(blk, part)
+                d2 = score(blk, part, k)
                 pids = sids[s:s + part.num_rows]
                 if q_is_stream:
                     kk = min(k, blk.n)
@@ -283,7 +304,7 @@ def _scan_topk(stream: DataFrame, stream_id: str, side, score, k: int, q_is_stre
     return stream.select(*cols).mapInArrow(run, schema)
 
 
-def _sparse_score(blk: _SparseSide, rb: pa.RecordBatch) -> np.ndarray:
+def _sparse_score(blk: _SparseSide, rb: pa.RecordBatch, _k: int) -> np.ndarray:
     offsets, idx = _list_parts(rb.column("idx"))
     _, val = _list_parts(rb.column("val"))
     rows = np.repeat(np.arange(rb.num_rows, dtype=np.int64), np.diff(offsets))
@@ -291,12 +312,12 @@ def _sparse_score(blk: _SparseSide, rb: pa.RecordBatch) -> np.ndarray:
     return 2.0 - 2.0 * dots
 
 
-def _dense_score(blk: _DenseSide, rb: pa.RecordBatch) -> np.ndarray:
+def _dense_score(blk: _DenseSide, rb: pa.RecordBatch, k: int) -> np.ndarray:
     offsets, vals = _list_parts(rb.column("vec"))
     dim = blk.mat.shape[1]
     if len(vals) != rb.num_rows * dim or np.any(np.diff(offsets) != dim):
         raise ValueError("all vectors must have the same dimension as the queries")
-    return blk.d2(vals.astype(np.float64).reshape(rb.num_rows, dim))
+    return blk.d2(vals.astype(np.float64).reshape(rb.num_rows, dim), k)
 
 
 def _sparse_block(tbl: pa.Table, id_col: str) -> tuple:
@@ -339,7 +360,7 @@ def _search(queries: DataFrame, corpus: DataFrame, qid: str, id_col: str, k: int
     parts = []
     if broadcast_side == "queries":
         small = queries.select(qid, *payload).checkpoint(eager=True)
-        blocks = _blocks(small, qid, max_broadcast)
+        blocks = _blocks(small.withColumn(_ROW, F.monotonically_increasing_id()), _ROW, max_broadcast)
         if len(blocks) > 1:   # several passes: embed the streamed side once, not per block
             corpus = materialize(corpus)
         for blk_df in blocks:
@@ -348,7 +369,7 @@ def _search(queries: DataFrame, corpus: DataFrame, qid: str, id_col: str, k: int
                                     qid_type, [id_col, *payload]))
     else:
         small = corpus.select(id_col, *payload).checkpoint(eager=True)
-        blocks = _blocks(small, id_col, max_broadcast)
+        blocks = _blocks(small.withColumn(_ROW, F.monotonically_increasing_id()), _ROW, max_broadcast)
         if len(blocks) > 1:
             queries = materialize(queries)
         for blk_df in blocks:

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from salescope.operators import facts as facts_op
 from salescope.operators import vectors
 from salescope.operators.grid import nonblank_texts
+from salescope.sources.partitioning import dimension_join
 from salescope.sources.landing import read_vector_table, write_vector_table
 
 
 def build_text_index(texts: DataFrame, path: str, id_col: str = "id", text: str = "text",
                      dim: int = vectors.DEFAULT_DIM, hash_fn: str = "md5") -> None:
-    """Non-blank, stripped texts with their hashed vectors, written to ``path`` (V2)."""
-    clean = nonblank_texts(texts.select(id_col, text), text)
+    """Non-blank texts on one line each (C2), stripped, with their hashed vectors, written to ``path`` (V2)."""
+    clean = nonblank_texts(texts.select(id_col, F.replace(F.col(text), F.lit("\n"), F.lit(" ")).alias(text)), text)
     write_vector_table(vectors.sparse_embed(clean, id_col, text, dim, hash_fn, keep=(text,)), path)
 
 
@@ -35,5 +36,6 @@ def search_index(spark: SparkSession, path: str, questions: DataFrame, k: int =
     index = read_vector_table(spark, path)
     q = vectors.sparse_embed(questions, qid, question, dim, hash_fn)
     hits = vectors.search_sparse(q, index.select("id", "idx", "val"), k, qid, "id")
-    return index.select("id", "text").join(F.broadcast(hits), "id") \
-        .select(qid, "rank", "id", "d2", "text")
+    # at most questions x k hits: broadcast only while that bound is under the cap
+    joined = dimension_join(index.select("id", "text"), hits, "id", bound_rows=questions.count() * k)
+    return joined.select(qid, "rank", "id", "d2", "text")

@@ -102,3 +102,17 @@ def test_encoder_hook_batches(spark):
     df = spark.createDataFrame([("a b",), ("",), (None,)], "t string")
     got = [list(r[0]) for r in df.select(enc("t")).collect()]
     assert got == [[3.0, 1.0, 1.0], [0.0, 0.0, 1.0], [0.0, 0.0, 1.0]]
+
+
+def test_search_with_many_rows_of_one_id(spark):
+    q = spark.createDataFrame([(1, [float(i), 0.0]) for i in range(30)], "qid int, vec array<double>")
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id int, vec array<double>")
+    hits = V.knn_dense(q, v, k=1, max_broadcast=10, broadcast_side="queries").collect()
+    assert [(r["qid"], round(r["d2"], 9)) for r in hits] == [(1, 1.0)]
+
+
+def test_dense_ranks_are_exact_for_close_large_vectors(spark):
+    base = [1e4, -2e4, 3e4]
+    v = spark.createDataFrame([(i, [base[0] + i * 1e-4, base[1], base[2]]) for i in range(50)], "id int, vec array<double>")
+    q = spark.createDataFrame([(7, base)], "qid int, vec array<double>")
+    assert [r["id"] for r in V.knn_dense(q, v, k=5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
