@@ -70,16 +70,11 @@ def loss_summary(loss_subs: DataFrame, loss_prods: DataFrame, n_products: int =
     b = prod_lines.agg(F.expr(
         "listagg(line, '') WITHIN GROUP (ORDER BY profit, sub_category, product_name)")
         .alias("product_summary"))
-    return _one_row_join(a, b).select(
+    return side_by_side(a, b).select(
         F.coalesce("loss_summary", F.lit("None")).alias("loss_summary"),
         F.coalesce("product_summary", F.lit("None")).alias("product_summary"))
 
 
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two single-row aggregates side by side (union + aggregate, no join)."""
-    return side_by_side(a, b)
-
-
 def forecast_lines(forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Forecast rows as text lines joined in date order, one text per series."""
     keys = list(keys)
@@ -113,7 +108,9 @@ def rag_context(hits: DataFrame, qid: str = "qid", text: str = "text", rank: str
     return ctx.select(qid, F.coalesce("context", F.lit(NO_FACTS)).alias("context"))
 
 
-# Fixed value: the chat prompt layout (context, history, question).
+# Fixed value: the chat prompt layout (context, history, question).  Its blank lines carry the
+# indentation, except those around the first lines.
+_GAP = "\n" + " " * 8 + "\n"
 CHAT_PROMPT = """
         You are a Senior Business Intelligence chatbot.
         Answer the user's business question using ONLY the provided business facts from our data catalog.
@@ -133,7 +130,59 @@ CHAT_PROMPT = """
         User Question: {question}
 
         Business Answer:
-        """
+        """.replace("\n\n", _GAP)
+
+# The prompts of the root-cause, forecast and recommendation steps.
+ROOT_CAUSE_PROMPT = """
+        You are a Root Cause Analysis Agent.
+        Analyze these underperforming areas in our sales dataset:
+
+        Loss-making Sub-categories:
+        {losses}
+
+        Top Loss-making Products:
+        {products}
+
+        Correlation between Discount and Profit: {corr}
+
+        Explain:
+        1. Why these specific categories/products are losing money.
+        2. The role discount is playing in these losses (e.g., discount erosion).
+        3. Make it clear, concise, and formatted in markdown.
+        """.replace("\n\n", _GAP)
+FORECAST_PROMPT = """
+    You are a Senior Business Analyst.
+    Analyze the following sales forecast results:
+
+    Forecasted Sales for the Next 6 Months:
+    {forecast}
+
+    Provide:
+    1. Overall Revenue Trend (increasing, decreasing, stable).
+    2. Best anticipated month and lowest anticipated month.
+    3. Potential business risks indicated by the confidence intervals or historical data.
+    4. Practical, high-level business insights.
+
+    Format in clean markdown for an executive audience.
+    """.replace("\n\n", "\n    \n")
+RECOMMENDATION_PROMPT = """
+    You are a Lead Business Consultant.
+    Review the following business data, root cause explanation, and sales forecast insights:
+
+    {summary}
+
+    Forecast Insights:
+    {insights}
+
+    Provide:
+    1. Executive Summary: Quick overview of state of the business.
+    2. Priority Action Items: Clear, bulleted action items with assigned priorities (High, Medium, Low).
+    3. Growth Opportunities: Where to invest or allocate capital based on profitable segments/regions.
+    4. Risk Mitigation Strategies: How to fix the loss-making segments or pricing structures.
+    5. Final Business Decision/Verdict.
+
+    Format the response in clean, professional markdown.
+    """.replace("\n\n", "\n    \n")
 
 
 def prompt_table(questions: DataFrame, context: DataFrame, history: DataFrame | None = None,
@@ -179,6 +228,61 @@ FINAL_REPORT = """# Executive Business Report
 """
 
 
+def root_cause_prompt(losses: DataFrame, products: DataFrame, corr: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One root-cause prompt per report key: ``keys, prompt``.
+
+    ``losses`` and ``products`` are the loss-making sub-categories and the top loss products per key
+    (few rows each), ``corr`` one row per key with ``corr_discount_profit``.
+    """
+    keys = list(keys)
+    numbers = {"profit": money(F.round("profit", 4)), "sales": money(F.round("sales", 2)),
+               "discount": fixed(F.round("discount", 6), 1)}
+    sub = losses.select(*keys, "profit", "sub_category", _fill(LOSS_SUB_LINE, {"sub": F.col("sub_category"), **numbers}).alias("line"))
+    prod = products.select(*keys, "profit", "sub_category", "product_name", _fill(LOSS_PRODUCT_LINE, {
+        "product": F.col("product_name"), "sub": F.col("sub_category"), **numbers}).alias("line"))
+    out = corr.join(ordered_concat(sub, keys, "line", ["profit", "sub_category"], "losses"), keys, "left")
+    out = out.join(ordered_concat(prod, keys, "line", ["profit", "sub_category", "product_name"], "products"), keys, "left")
+    c = F.col("corr_discount_profit")
+    return out.select(*keys, _fill(ROOT_CAUSE_PROMPT, {
+        "losses": F.coalesce("losses", F.lit("None")), "products": F.coalesce("products", F.lit("None")),
+        "corr": F.when(F.isnan(c), F.lit("nan")).otherwise(fixed(F.round(c, 6), 4))}).alias("prompt"))
+
+
+def forecast_prompt(forecast_text: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One forecast-explanation prompt per key from X3's text."""
+    return forecast_text.select(*keys, _fill(FORECAST_PROMPT, {"forecast": F.col("forecast_text")}).alias("prompt"))
+
+
+def recommendation_prompt(summary: DataFrame, insights: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One recommendation prompt per key (X6): the business summary and the forecast insights."""
+    keys = list(keys)
+    both = summary.join(insights, keys, "left")
+    return both.select(*keys, _fill(RECOMMENDATION_PROMPT, {
+        "summary": F.col("summary"), "insights": F.coalesce("insights", F.lit(""))}).alias("prompt"))
+
+
+def business_summary(overall: DataFrame, loss_subs: DataFrame | None, keys: Sequence[str] = ()) -> DataFrame:
+    """The KPI block per report key, with the loss lines where the root-cause step ran."""
+    keys = list(keys)
+    summary = overall.select(*keys, _fill(BUSINESS_SUMMARY, {
+        "sales": money(F.round("total_sales", 2)), "profit": money(F.round("total_profit", 4)),
+        "margin": fixed(F.round("overall_margin", 6), 2),
+        "discount": fixed(F.round(F.coalesce("avg_discount", F.lit(0.0)), 6), 2)})
+        .alias("summary"))
+    if loss_subs is None:
+        return summary
+    lines = loss_subs.select(*keys, "profit", "sub_category", _fill(REPORT_LOSS_LINE, {
+        "sub": F.col("sub_category"), "profit": money(F.round("profit", 4)),
+        "discount": fixed(F.round("discount", 6), 1)}).alias("line"))
+    if keys:
+        rc = ordered_concat(lines, keys, "line", ["profit", "sub_category"], "rc")
+        summary = summary.join(rc, keys, "left")
+    else:
+        rc = lines.agg(F.expr("listagg(line, '') WITHIN GROUP (ORDER BY profit, sub_category)").alias("rc"))
+        summary = side_by_side(summary, rc)
+    return summary.select(*keys, F.concat("summary", F.lit(ROOT_CAUSE_HEADER), F.coalesce("rc", F.lit(""))).alias("summary"))
+
+
 def final_report(overall: DataFrame, loss_subs: DataFrame | None, forecast_text: DataFrame | None,
                  root_cause_text: str = NO_DETAILS, recommendation_text: str = "",
                  keys: Sequence[str] = ()) -> DataFrame:
@@ -191,24 +295,7 @@ def final_report(overall: DataFrame, loss_subs: DataFrame | None, forecast_text:
     sections are inputs.
     """
     keys = list(keys)
-    summary = overall.select(*keys, _fill(BUSINESS_SUMMARY, {
-        "sales": money(F.round("total_sales", 2)), "profit": money(F.round("total_profit", 4)),
-        "margin": fixed(F.round("overall_margin", 6), 2),
-        "discount": fixed(F.round(F.coalesce("avg_discount", F.lit(0.0)), 6), 2)})
-        .alias("summary"))
-    if loss_subs is not None:
-        lines = loss_subs.select(*keys, "profit", "sub_category", _fill(REPORT_LOSS_LINE, {
-            "sub": F.col("sub_category"), "profit": money(F.round("profit", 4)),
-            "discount": fixed(F.round("discount", 6), 1)}).alias("line"))
-        if keys:
-            rc = ordered_concat(lines, keys, "line", ["profit", "sub_category"], "rc")
-            summary = summary.join(rc, keys, "left")
-        else:
-            rc = lines.agg(F.expr("listagg(line, '') WITHIN GROUP (ORDER BY profit, sub_category)")
-                           .alias("rc"))
-            summary = side_by_side(summary, rc)
-        summary = summary.select(*keys, F.concat(
-            "summary", F.lit(ROOT_CAUSE_HEADER), F.coalesce("rc", F.lit(""))).alias("summary"))
+    summary = business_summary(overall, loss_subs, keys)
     if forecast_text is not None:
         ft = forecast_text.select(*keys, "forecast_text")
         summary = summary.join(ft, keys, "left") if keys else side_by_side(summary, ft)
@@ -220,10 +307,6 @@ def final_report(overall: DataFrame, loss_subs: DataFrame | None, forecast_text:
     return summary.select(*keys, report.alias("report"))
 
 
-def _strip_ws(c: Column) -> Column:
-    return py_strip(c)
-
-
 def parse_plan(replies: DataFrame, text: str = "text") -> DataFrame:
     """Planner reply text -> plan.
 
@@ -235,10 +318,10 @@ def parse_plan(replies: DataFrame, text: str = "text") -> DataFrame:
     ``plan array<string>`` and ``plan_is_default boolean``.  (``NaN`` inside an array is
     valid for Python but not for strict JSON.)
     """
-    s = _strip_ws(F.col(text))
+    s = py_strip(F.col(text))
     s1 = F.when(s.startswith("```json"), s.substr(F.lit(8), F.length(s))).otherwise(s)
     s2 = F.when(s1.endswith("```"), s1.substr(F.lit(1), F.length(s1) - 3)).otherwise(s1)
-    body = _strip_ws(s2)
+    body = py_strip(s2)
     v = F.try_parse_json(body)
     items = F.transform(F.try_variant_get(v, "$", "array<variant>"),
                         lambda e: F.try_variant_get(e, "$", "string"))

@@ -24,10 +24,6 @@ def _records(df: DataFrame, order: list[str], alias: str) -> DataFrame:
         F.transform("_l", lambda r: F.struct(*[r[c].alias(c) for c in df.columns])).alias(alias))
 
 
-def _join1(a: DataFrame, b: DataFrame) -> DataFrame:
-    return side_by_side(a, b)
-
-
 def analysis_result(sales: DataFrame) -> DataFrame:
     """KPIs plus regional, category and sub-category breakdowns in one row."""
     g = materialize(kpi.kpi_grouping_sets(sales, grains={
@@ -44,7 +40,7 @@ def analysis_result(sales: DataFrame) -> DataFrame:
     sub = _records(g.where(F.col("grain") == "subcategory").select(
         "category", F.col("sub_category").alias("subcategory"), "sales", "profit", "margin",
         "discount"), ["category", "subcategory"], "subcategory_analysis")
-    return _join1(_join1(_join1(overall, reg), cat), sub)
+    return side_by_side(overall, reg, cat, sub)
 
 
 def root_cause_result(sales: DataFrame, k: int = 10) -> DataFrame:
@@ -55,7 +51,7 @@ def root_cause_result(sales: DataFrame, k: int = 10) -> DataFrame:
                      "loss_products")
     corr = kpi.discount_profit_corr(sales).where(F.col("scope") == "overall") \
         .select(F.col("corr_discount_profit").alias("correlation_discount_profit"))
-    return _join1(_join1(subs, prods), corr)
+    return side_by_side(subs, prods, corr)
 
 
 def forecast_result(sales: DataFrame) -> DataFrame:
@@ -66,7 +62,7 @@ def forecast_result(sales: DataFrame) -> DataFrame:
         F.col("yhat_lower").alias("lower"), F.col("yhat_upper").alias("upper"))
     hist = series.last_n(m, 12).select(F.date_format("ds", "yyyy-MM-dd").alias("date"),
                                        F.col("y").alias("sales"))
-    return _join1(_records(pred, ["date"], "predictions"), _records(hist, ["date"], "history"))
+    return side_by_side(_records(pred, ["date"], "predictions"), _records(hist, ["date"], "history"))
 
 
 def results_json(sales: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def _margin(p: str = "sum(profit)", s: str = "sum(sales)") -> str:
 
 _KPI_COLS = f"""round(sum(sales), 2) AS sales, round(sum(profit), 4) AS profit,
   round({_margin()}, 6) AS margin"""
-_KPI_COLS_D = _KPI_COLS + ", round((sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0, 6) AS discount"
+_KPI_COLS_D = _KPI_COLS + ", round((sum(round(discount * 100)::BIGINT) / 100.0 / count(discount)) * 100.0, 6) AS discount"
 
 ORACLE: dict[str, str] = {}
 
@@ -33,7 +33,7 @@ ORACLE["kpi_overall"] = SALES_CTE + f"""
 SELECT round(coalesce(sum(sales), 0), 2) AS total_sales,
        round(coalesce(sum(profit), 0), 4) AS total_profit,
        round({_margin('coalesce(sum(profit),0)', 'coalesce(sum(sales),0)')}, 6) AS overall_margin,
-       round((sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0, 6) AS avg_discount
+       round((sum(round(discount * 100)::BIGINT) / 100.0 / count(discount)) * 100.0, 6) AS avg_discount
 FROM sales"""
 
 ORACLE["kpi_region"] = SALES_CTE + f"""
@@ -52,7 +52,7 @@ SELECT segment, {_KPI_COLS} FROM sales WHERE segment IS NOT NULL GROUP BY segmen
 ORACLE["kpi_grouping_sets"] = SALES_CTE + f"""
 , g AS (
   SELECT region, category, sub_category, segment, product_name,
-         sum(sales) AS s, sum(profit) AS p, (sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) AS d,
+         sum(sales) AS s, sum(profit) AS p, (sum(round(discount * 100)::BIGINT) / 100.0 / count(discount)) AS d,
          grouping(region, category, sub_category, segment, product_name) AS gid
   FROM sales
   GROUP BY GROUPING SETS ((), (region), (category), (category, sub_category), (segment),
@@ -71,20 +71,20 @@ WHERE gid = 31 OR (gid = 15 AND region IS NOT NULL) OR (gid = 23 AND category IS
 
 ORACLE["loss_subcategories"] = SALES_CTE + """
 SELECT sub_category, round(sum(profit), 4) AS profit, round(sum(sales), 2) AS sales,
-       round((sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0, 6) AS discount
+       round((sum(round(discount * 100)::BIGINT) / 100.0 / count(discount)) * 100.0, 6) AS discount
 FROM sales WHERE sub_category IS NOT NULL GROUP BY sub_category HAVING sum(profit) < 0
 ORDER BY sum(profit), sub_category"""
 
 ORACLE["loss_products"] = SALES_CTE + """
 SELECT sub_category, product_name, round(sum(profit), 4) AS profit, round(sum(sales), 2) AS sales,
-       round((sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0, 6) AS discount
+       round((sum(round(discount * 100)::BIGINT) / 100.0 / count(discount)) * 100.0, 6) AS discount
 FROM sales WHERE sub_category IS NOT NULL AND product_name IS NOT NULL
 GROUP BY sub_category, product_name HAVING sum(profit) < 0
 ORDER BY sum(profit), sub_category, product_name LIMIT 10"""
 
 ORACLE["worst_subcategories"] = SALES_CTE + """
 SELECT category, sub_category, round(sum(profit), 4) AS profit, round(sum(sales), 2) AS sales,
-       round((sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0, 6) AS discount
+       round((sum(round(discount * 100)::BIGINT) / 100.0 / count(discount)) * 100.0, 6) AS discount
 FROM sales WHERE category IS NOT NULL AND sub_category IS NOT NULL
 GROUP BY category, sub_category HAVING sum(profit) < 0
 ORDER BY sum(profit), category, sub_category LIMIT 3"""
@@ -127,7 +127,7 @@ _MODEL_CTES = """,
 lin AS (SELECT coalesce(regr_intercept(y, t), 0.0) AS a, coalesce(regr_slope(y, t), 0.0) AS b,
                count(*) AS n, max(t) AS last_t, max(ds) AS last_ds FROM s),
 r AS (SELECT s.mo, lin.n, s.y - (lin.a + lin.b * s.t) AS r FROM s, lin),
-season AS (SELECT mo, CASE WHEN max(n) >= 24 THEN avg(r) ELSE 0.0 END AS season FROM r GROUP BY mo),
+season AS (SELECT mo, sum(r) / (count(r) + 1.0) AS season FROM r GROUP BY mo),
 sdt AS (SELECT coalesce(stddev_samp(r.r - season.season), 0.0) AS sd FROM r JOIN season USING (mo)),
 fut AS (SELECT lin.a, lin.b, sdt.sd, last_day(lin.last_ds + to_months(h::INTEGER))::DATE AS ds,
                lin.last_t + h AS t
@@ -173,7 +173,7 @@ def _model_ctes_keyed(k: str) -> str:
 lin AS (SELECT {k}, coalesce(regr_intercept(y, t), 0.0) AS a, coalesce(regr_slope(y, t), 0.0) AS b,
                count(*) AS n, max(t) AS last_t, max(ds) AS last_ds FROM s GROUP BY {k}),
 r AS (SELECT s.{k}, s.mo, lin.n, s.y - (lin.a + lin.b * s.t) AS r FROM s JOIN lin USING ({k})),
-season AS (SELECT {k}, mo, CASE WHEN max(n) >= 24 THEN avg(r) ELSE 0.0 END AS season
+season AS (SELECT {k}, mo, sum(r) / (count(r) + 1.0) AS season
            FROM r GROUP BY {k}, mo),
 sdt AS (SELECT {k}, coalesce(stddev_samp(r.r - season.season), 0.0) AS sd
         FROM r JOIN season USING ({k}, mo) GROUP BY {k}),

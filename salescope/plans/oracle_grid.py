@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from salescope.functions.cleaning import NA_TOKENS, PY_WHITESPACE
-from salescope.plans.oracle import ORACLE, SALES_CTE
+from salescope.plans.oracle import _KPI_COLS, _KPI_COLS_D, ORACLE, SALES_CTE
+
+# Fixed values, written out apart from the implementation's: missing-value tokens of a pandas CSV
+# read, and the characters that Python's str.strip() removes (as code points).
+_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+       "NULL", "NaN", "None", "n/a", "nan", "null")
+_SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+                            0x202F, 0x205F, 0x3000]))
 
 # The CSV path must reproduce the Parquet path's results exactly.
 ORACLE["csv_kpi_category"] = ORACLE["kpi_category"]
@@ -17,7 +23,7 @@ FROM sales"""
 ORACLE["parse_dates"] = SALES_CTE + """
 SELECT strftime(order_date, '%Y-%m-%d') AS order_date, count(*) AS n_rows FROM sales GROUP BY 1"""
 
-_TOKENS = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
+_TOKENS = ", ".join("'" + t.replace("'", "''") + "'" for t in _NA)
 
 ORACLE["na_tokens"] = f"""
 SELECT conv_id, turn,
@@ -31,7 +37,7 @@ SELECT category, sub_category,
        '$' || format('{:,.2f}', round(sum(profit), 4)) AS profit_text,
        format('{:.2f}', round(CASE WHEN sum(sales) > 0 THEN sum(profit) / sum(sales) * 100.0 ELSE 0.0 END, 6))
          AS margin_text,
-       format('{:.1f}', round((sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0, 6)) AS discount_text
+       format('{:.1f}', round((sum(round(discount * 100)::BIGINT) / 100.0 / count(discount)) * 100.0, 6)) AS discount_text
 FROM sales WHERE category IS NOT NULL AND sub_category IS NOT NULL
 GROUP BY category, sub_category"""
 
@@ -56,7 +62,7 @@ FROM (SELECT * FROM lineitem LIMIT 100)"""
 
 ORACLE["nonblank_texts"] = f"""
 SELECT doc_id, t AS text FROM (
-  SELECT doc_id, trim(text, '{PY_WHITESPACE}') AS t FROM documents)
+  SELECT doc_id, trim(text, '{_SPACES}') AS t FROM documents)
 WHERE t <> ''"""
 
 _GRID_COLS = """strftime(order_date, '%Y-%m-%d') AS order_date, region, category, sub_category, segment,
@@ -76,3 +82,43 @@ SELECT {_GRID_COLS} FROM sales
 ORDER BY sales DESC, strftime(order_date, '%Y-%m-%d'), region, category, sub_category, segment, product_name,
          discount, profit
 LIMIT 100"""
+
+ORACLE["csv_mixed_layouts"] = ORACLE["kpi_category"]
+
+ORACLE["stream_landing_kpi"] = SALES_CTE + """
+SELECT region, round(sum(sales), 2) AS sales, round(sum(profit), 4) AS profit FROM sales
+WHERE region IS NOT NULL GROUP BY region"""
+
+ORACLE["land_dataset"] = SALES_CTE + f"""
+SELECT region, {_KPI_COLS} FROM sales WHERE region IN ('EUROPE', 'AMERICA') GROUP BY region"""
+
+ORACLE["feedback"] = """
+SELECT via, role AS category, (turn % 5 + 1)::INTEGER AS rating, count(*) AS n_rows
+FROM conversations CROSS JOIN (VALUES ('files'), ('stream')) AS v(via) GROUP BY ALL"""
+
+ORACLE["dataset_catalog"] = """
+SELECT * FROM (VALUES (true, 1, 1), (false, 1, 1)) AS t(active, sized, dated)
+WHERE EXISTS (SELECT 1 FROM lineitem)"""
+
+ORACLE["na_tokens_hard"] = f"""
+SELECT o_orderkey, CASE WHEN cell IN ({_TOKENS}) THEN NULL ELSE cell END AS cell FROM (
+  SELECT o_orderkey, ['N/A', 'NA', '-', 'null', 'Null', ' NA', '', 'nan', 'NONE', 'None', '#N/A', '0', '1.#IND', 'n/a '][
+    (o_orderkey % 14 + 1)::INTEGER] AS cell FROM orders)"""
+
+ORACLE["coerce_numeric_hard"] = """
+SELECT l_orderkey, l_linenumber, round(CASE (l_orderkey + l_linenumber) % 8
+    WHEN 0 THEN p WHEN 3 THEN p WHEN 4 THEN '-inf'::DOUBLE WHEN 7 THEN p * 10 ELSE 0.0 END, 1) AS v
+FROM (SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS p FROM lineitem)"""
+
+ORACLE["parse_dates_hard"] = """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders"""
+
+ORACLE["nonblank_texts_hard"] = f"""
+SELECT doc_id, trim(text, '{_SPACES}') AS text FROM documents
+WHERE doc_id % 4 <> 1 AND trim(text, '{_SPACES}') <> ''"""
+
+ORACLE["grid_sort_all"] = SALES_CTE + """
+SELECT region, count(*) AS n_rows, min(sales) AS lowest, max(sales) AS highest FROM sales GROUP BY region"""
+
+ORACLE["preview_head"] = """
+SELECT * FROM (SELECT coalesce(CAST(COLUMNS(*) AS VARCHAR), '') FROM (SELECT * FROM orders LIMIT 5))"""

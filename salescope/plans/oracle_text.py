@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salescope.functions.cleaning import PY_WHITESPACE
+from salescope.plans.oracle_grid import _SPACES
 from salescope.plans.oracle import _MODEL_CTES, _Z80, ORACLE, SALES_CTE, _model_ctes_keyed, _monthly_ctes
 
 
@@ -17,7 +17,7 @@ def _fixed(x: str, decimals: int) -> str:
 _FACT_G = f"""
 , g AS (
   SELECT region, category, sub_category, segment, product_name,
-         sum(sales) AS s, sum(profit) AS p, (sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0 AS d,
+         sum(sales) AS s, sum(profit) AS p, (sum(round(discount * 100)::BIGINT) / 100.0 / count(discount)) * 100.0 AS d,
          coalesce(covar_pop(discount, profit) / nullif(stddev_pop(discount) * stddev_pop(profit), 0),
                   'NaN'::DOUBLE) AS c,
          grouping(region, category, sub_category, segment, product_name) AS gid
@@ -83,10 +83,10 @@ SELECT 'correlation:' || category, 7, 'Root Cause Correlation: In Category ''' |
 FROM f WHERE gid = 23 AND category IS NOT NULL"""
 
 _LOSS_CTES = """
-, subs AS (SELECT sub_category, sum(profit) AS p, sum(sales) AS s, (sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0 AS d
+, subs AS (SELECT sub_category, sum(profit) AS p, sum(sales) AS s, (sum(round(discount * 100)::BIGINT) / 100.0 / count(discount)) * 100.0 AS d
            FROM sales WHERE sub_category IS NOT NULL GROUP BY sub_category HAVING sum(profit) < 0),
 prods AS (SELECT sub_category, product_name, sum(profit) AS p, sum(sales) AS s,
-                 (sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0 AS d
+                 (sum(round(discount * 100)::BIGINT) / 100.0 / count(discount)) * 100.0 AS d
           FROM sales WHERE sub_category IS NOT NULL AND product_name IS NOT NULL
           GROUP BY sub_category, product_name HAVING sum(profit) < 0
           ORDER BY p, sub_category, product_name LIMIT 5)"""
@@ -118,7 +118,7 @@ _MARGIN_SQL = "CASE WHEN ts > 0 THEN tp / ts * 100.0 ELSE 0.0 END"
 
 ORACLE["final_report"] = SALES_CTE + _monthly_ctes() + _MODEL_CTES + _FORECAST_TEXT + _LOSS_CTES + f""",
 kpi AS (SELECT coalesce(sum(sales), 0.0) AS ts, coalesce(sum(profit), 0.0) AS tp,
-               (sum(discount::DECIMAL(38,10))::DOUBLE / count(discount)) * 100.0 AS ad FROM sales),
+               (sum(round(discount * 100)::BIGINT) / 100.0 / count(discount)) * 100.0 AS ad FROM sales),
 summ AS (SELECT chr(10) || '    Business KPIs:' || chr(10) || '    - Total Sales: ' || {_money("ts", 2)}
                 || chr(10) || '    - Total Profit: ' || {_money("tp", 4)} || chr(10)
                 || '    - Profit Margin: ' || {_fixed(_MARGIN_SQL, 2)}
@@ -148,7 +148,7 @@ r4 AS (SELECT conv_id, turn,
 p AS (SELECT conv_id, turn, coalesce(parsed, ['analysis', 'root_cause', 'forecast', 'explanation',
               'recommendation']) AS plan, parsed IS NULL AS plan_is_default FROM r4)"""
 
-_PLAN_CTES = _PLAN_CTES.replace("__WHITESPACE__", "'" + PY_WHITESPACE + "'")
+_PLAN_CTES = _PLAN_CTES.replace("__WHITESPACE__", "'" + _SPACES + "'")
 
 ORACLE["parse_plan"] = _PLAN_CTES + """
 SELECT conv_id, turn, array_to_string(plan, ',') AS plan, plan_is_default FROM p"""
@@ -160,7 +160,7 @@ SELECT conv_id, turn,
 FROM p"""
 
 
-_MEAN_D = "(sum(discount::DECIMAL(38,10))::DOUBLE / count(discount))"
+_MEAN_D = "(sum(round(discount * 100)::BIGINT) / 100.0 / count(discount))"
 
 ORACLE["final_report_by_region"] = SALES_CTE + _monthly_ctes("region") + _model_ctes_keyed("region") + f""",
 ft AS (SELECT region, string_agg('- Date: ' || strftime(ds, '%Y-%m-%d') || ', Forecasted Sales: '
@@ -190,3 +190,90 @@ SELECT summ.region,
        || coalesce(ft.forecast_text, '') || chr(10) || chr(10)
        || '## 4. Strategic Recommendations & Action Plan' || chr(10) || '' || chr(10) AS report
 FROM summ LEFT JOIN ft USING (region)"""
+
+
+# planner replies in which every rule of the parser matters, derived from the turns
+_HARD = """(SELECT conv_id, turn, CASE (conv_id + turn) % 7
+    WHEN 0 THEN ' ```json' || chr(10) || '["analysis", "forecast"]' || chr(10) || '``` '
+    WHEN 1 THEN '["forecast", "' || role || '", 3, null]' WHEN 2 THEN '["analysis",' WHEN 3 THEN '{"plan": ["analysis"]}'
+    WHEN 4 THEN chr(10) || '["recommendation","analysis","bogus"]' || chr(10)
+    WHEN 5 THEN '```json' || chr(10) || '[]' || chr(10) || '```' ELSE text END AS text, 'assistant' AS role
+  FROM conversations) AS hard"""
+ORACLE["parse_plan_hard"] = ORACLE["parse_plan"].replace("FROM conversations", f"FROM {_HARD}")
+ORACLE["resolve_plan_hard"] = ORACLE["resolve_plan"].replace("FROM conversations", f"FROM {_HARD}")
+
+
+def _lines(text: str, indent: int) -> str:
+    """SQL text of lines; an empty line carries the indentation."""
+    pad = " " * indent
+    return " || chr(10) || ".join("'" + (pad + x).replace("'", "''") + "'" for x in text.split("\n"))
+
+
+_REGION = SALES_CTE + _monthly_ctes("region") + _model_ctes_keyed("region") + f""",
+ft AS (SELECT region, string_agg('- Date: ' || strftime(ds, '%Y-%m-%d') || ', Forecasted Sales: '
+                || {_money("yhat", 4)} || ' (Confidence: ' || {_money(f"yhat - {_Z80} * sd", 4)}
+                || ' to ' || {_money(f"yhat + {_Z80} * sd", 4)} || ')' || chr(10), '' ORDER BY ds) AS t
+       FROM fc GROUP BY region),
+subs AS (SELECT region, sub_category, sum(profit) AS p, sum(sales) AS s, {_MEAN_D} * 100.0 AS d
+         FROM sales WHERE region IS NOT NULL AND sub_category IS NOT NULL GROUP BY ALL HAVING sum(profit) < 0)"""
+
+ORACLE["prompt_forecast"] = _REGION + f"""
+SELECT region, chr(10) || {_lines("You are a Senior Business Analyst.", 4)} || chr(10)
+  || {_lines("Analyze the following sales forecast results:", 4)} || chr(10) || {_lines("", 4)} || chr(10)
+  || {_lines("Forecasted Sales for the Next 6 Months:", 4)} || chr(10) || '    ' || t || chr(10) || {_lines("", 4)} || chr(10)
+  || {_lines("Provide:", 4)} || chr(10) || {_lines("1. Overall Revenue Trend (increasing, decreasing, stable).", 4)} || chr(10)
+  || {_lines("2. Best anticipated month and lowest anticipated month.", 4)} || chr(10)
+  || {_lines("3. Potential business risks indicated by the confidence intervals or historical data.", 4)} || chr(10)
+  || {_lines("4. Practical, high-level business insights.", 4)} || chr(10) || {_lines("", 4)} || chr(10)
+  || {_lines("Format in clean markdown for an executive audience.", 4)} || chr(10) || '    ' AS prompt
+FROM ft"""
+
+ORACLE["prompt_root_cause"] = SALES_CTE + f""",
+subs AS (SELECT region, sub_category, sum(profit) AS p, sum(sales) AS s, {_MEAN_D} * 100.0 AS d
+         FROM sales WHERE region IS NOT NULL AND sub_category IS NOT NULL GROUP BY ALL HAVING sum(profit) < 0),
+prods AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY p, sub_category, product_name) AS rn FROM (
+          SELECT region, sub_category, product_name, sum(profit) AS p, sum(sales) AS s, {_MEAN_D} * 100.0 AS d
+          FROM sales WHERE region IS NOT NULL AND sub_category IS NOT NULL AND product_name IS NOT NULL
+          GROUP BY ALL HAVING sum(profit) < 0)) WHERE rn <= 5),
+sl AS (SELECT region, string_agg('- ' || sub_category || ': Profit: ' || {_money("p", 4)} || ', Sales: ' || {_money("s", 2)}
+         || ', Avg Discount: ' || {_fixed("d", 1)} || '%' || chr(10), '' ORDER BY p, sub_category) AS t FROM subs GROUP BY region),
+pl AS (SELECT region, string_agg('- ' || product_name || ' (' || sub_category || '): Profit: ' || {_money("p", 4)} || ', Sales: '
+         || {_money("s", 2)} || ', Avg Discount: ' || {_fixed("d", 1)} || '%' || chr(10), '' ORDER BY p, sub_category, product_name) AS t
+       FROM prods GROUP BY region),
+c AS (SELECT region, coalesce(covar_pop(discount, profit) / nullif(stddev_pop(discount) * stddev_pop(profit), 0), 'NaN'::DOUBLE) AS c
+      FROM sales WHERE region IS NOT NULL GROUP BY region)
+SELECT c.region, chr(10) || {_lines("You are a Root Cause Analysis Agent.", 8)} || chr(10)
+  || {_lines("Analyze these underperforming areas in our sales dataset:", 8)} || chr(10) || {_lines("", 8)} || chr(10)
+  || {_lines("Loss-making Sub-categories:", 8)} || chr(10) || '        ' || coalesce(sl.t, 'None') || chr(10) || {_lines("", 8)} || chr(10)
+  || {_lines("Top Loss-making Products:", 8)} || chr(10) || '        ' || coalesce(pl.t, 'None') || chr(10) || {_lines("", 8)} || chr(10)
+  || '        Correlation between Discount and Profit: ' || CASE WHEN isnan(c) THEN 'nan' ELSE {_fixed("c", 4)} END || chr(10)
+  || {_lines("", 8)} || chr(10) || {_lines("Explain:", 8)} || chr(10)
+  || {_lines("1. Why these specific categories/products are losing money.", 8)} || chr(10)
+  || {_lines("2. The role discount is playing in these losses (e.g., discount erosion).", 8)} || chr(10)
+  || {_lines("3. Make it clear, concise, and formatted in markdown.", 8)} || chr(10) || '        ' AS prompt
+FROM c LEFT JOIN sl USING (region) LEFT JOIN pl USING (region)"""
+
+ORACLE["prompt_recommendation"] = _REGION + f""",
+rcs AS (SELECT region, string_agg('- ' || sub_category || ': Loss: ' || {_money("p", 4)} || ', Discount: ' || {_fixed("d", 1)} || '%'
+          || chr(10), '' ORDER BY p, sub_category) AS rc FROM subs GROUP BY region),
+kpi AS (SELECT region, sum(sales) AS ts, sum(profit) AS tp, {_MEAN_D} * 100.0 AS ad FROM sales WHERE region IS NOT NULL GROUP BY region)
+SELECT kpi.region, chr(10) || {_lines("You are a Lead Business Consultant.", 4)} || chr(10)
+  || {_lines("Review the following business data, root cause explanation, and sales forecast insights:", 4)} || chr(10)
+  || {_lines("", 4)} || chr(10) || '    ' || chr(10) || {_lines("Business KPIs:", 4)} || chr(10)
+  || '    - Total Sales: ' || {_money("ts", 2)} || chr(10) || '    - Total Profit: ' || {_money("tp", 4)} || chr(10)
+  || '    - Profit Margin: ' || {_fixed(_MARGIN_SQL, 2)} || '%' || chr(10)
+  || '    - Average Discount: ' || {_fixed("coalesce(ad, 0.0)", 2)} || '%' || chr(10) || '    ' || chr(10)
+  || 'Root Cause: Underperforming sub-categories show average discounts like:' || chr(10) || coalesce(rc, '') || chr(10)
+  || {_lines("", 4)} || chr(10) || {_lines("Forecast Insights:", 4)} || chr(10) || '    ' || coalesce(ft.t, '') || chr(10)
+  || {_lines("", 4)} || chr(10) || {_lines("Provide:", 4)} || chr(10)
+  || {_lines("1. Executive Summary: Quick overview of state of the business.", 4)} || chr(10)
+  || {_lines("2. Priority Action Items: Clear, bulleted action items with assigned priorities (High, Medium, Low).", 4)} || chr(10)
+  || {_lines("3. Growth Opportunities: Where to invest or allocate capital based on profitable segments/regions.", 4)} || chr(10)
+  || {_lines("4. Risk Mitigation Strategies: How to fix the loss-making segments or pricing structures.", 4)} || chr(10)
+  || {_lines("5. Final Business Decision/Verdict.", 4)} || chr(10) || {_lines("", 4)} || chr(10)
+  || {_lines("Format the response in clean, professional markdown.", 4)} || chr(10) || '    ' AS prompt
+FROM kpi LEFT JOIN rcs USING (region) LEFT JOIN ft USING (region)"""
+
+ORACLE["report_sink"] = f"""
+SELECT region AS report_key, length(report) - length(replace(report, chr(10), '')) + 1 AS n_lines
+FROM ({ORACLE["final_report_by_region"]})"""

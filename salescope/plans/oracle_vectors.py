@@ -2,9 +2,34 @@
 
 from __future__ import annotations
 
-from salescope.operators.text import CHAT_PROMPT, NO_FACTS
-from salescope.operators.vectors import DEFAULT_DIM
 from salescope.plans.oracle import ORACLE
+from salescope.plans.oracle_grid import _SPACES
+
+# Fixed values, written out apart from the implementation's.
+DEFAULT_DIM = 262144
+NO_FACTS = "No relevant facts found."
+_PAD = " " * 8
+CHAT_PROMPT = "\n".join(["", *(_PAD + x for x in (
+    "You are a Senior Business Intelligence chatbot.",
+    "Answer the user's business question using ONLY the provided business facts from our data catalog.",
+    "",
+    "Rules:",
+    "1. Base your answers strictly on the facts listed in the context.",
+    "2. If the context does not contain the answer, say \"I don't have that specific data in my current analysis, "
+    "but I can help you analyze the dataset if you tell me what you're looking for.\"",
+    "3. Do not make up any numbers or insights.",
+    "4. Refer to the specific numbers (e.g. Sales, Profits, Discounts) in your response.",
+    "",
+    "Retrieved Business Facts (Context):",
+    "{context}",
+    "",
+    "Conversation History:",
+    "{history}",
+    "",
+    "User Question: {question}",
+    "",
+    "Business Answer:",
+    ""))])
 
 _SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -55,20 +80,18 @@ def _rag_ctes() -> str:
     facts_sql = ORACLE["facts"]
     return f"""
 WITH facts AS ({facts_sql}),
-uq AS (SELECT conv_id, turn AS q_turn, text AS question,
-              row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn
-       FROM conversations WHERE role = 'user'),
-questions AS (SELECT conv_id, q_turn, question FROM uq WHERE rn = 1),""" + \
+questions AS (SELECT conv_id || '/' || turn AS qid, conv_id, turn AS q_turn, text AS question
+              FROM conversations WHERE role = 'user'),""" + \
         _sparse("facts", "fact_id", "text", "fv") + "," + \
-        _sparse("questions", "conv_id", "question", "qv") + "," + _ranked("qv", "fv", 5) + f""",
-ctx AS (SELECT rk.qid AS conv_id, string_agg('- ' || f.text, chr(10) ORDER BY rk.rank) AS context
+        _sparse("questions", "qid", "question", "qv") + "," + _ranked("qv", "fv", 5) + f""",
+ctx AS (SELECT rk.qid, string_agg('- ' || f.text, chr(10) ORDER BY rk.rank) AS context
         FROM rk JOIN facts f ON f.fact_id = rk.cid GROUP BY rk.qid),
-context AS (SELECT q.conv_id, coalesce(ctx.context, '{NO_FACTS}') AS context
-            FROM questions q LEFT JOIN ctx USING (conv_id))"""
+context AS (SELECT q.qid, q.conv_id, q.q_turn, coalesce(ctx.context, '{NO_FACTS}') AS context
+            FROM questions q LEFT JOIN ctx USING (qid))"""
 
 
 ORACLE["rag_context"] = _rag_ctes() + """
-SELECT conv_id, context FROM context"""
+SELECT conv_id, q_turn, context FROM context"""
 
 
 def _sql_template(template: str, values: dict[str, str]) -> str:
@@ -84,11 +107,20 @@ def _sql_template(template: str, values: dict[str, str]) -> str:
 
 
 ORACLE["prompt_table"] = _rag_ctes() + """,
-hist AS (SELECT c.conv_id,
+hist AS (SELECT q.qid,
                 string_agg(upper(substr(c.role, 1, 1)) || lower(substr(c.role, 2)) || ': ' || c.text
                            || chr(10), '' ORDER BY c.turn) AS history
          FROM conversations c JOIN questions q ON c.conv_id = q.conv_id AND c.turn < q.q_turn
-         GROUP BY c.conv_id)
-SELECT q.conv_id, """ + _sql_template(CHAT_PROMPT, {
+         GROUP BY q.qid)
+SELECT q.conv_id, q.q_turn, """ + _sql_template(CHAT_PROMPT, {
     "context": "x.context", "history": "coalesce(h.history, '')", "question": "q.question"}) + """ AS prompt
-FROM questions q LEFT JOIN context x USING (conv_id) LEFT JOIN hist h USING (conv_id)"""
+FROM questions q LEFT JOIN context x USING (qid) LEFT JOIN hist h USING (qid)"""
+
+
+ORACLE["index_search"] = """WITH clean AS (
+  SELECT doc_id, trim(replace(text, chr(10), ' '), '""" + _SPACES + """') AS text FROM documents),
+stored AS (SELECT * FROM clean WHERE text <> '')""" + "," + \
+    _sparse("stored", "doc_id", "text", "dv") + "," + \
+    _sparse("benchmark", "item_id", "text", "qv") + "," + _ranked("qv", "dv", 2) + """
+SELECT rk.qid AS item_id, rk.rank, rk.cid AS doc_id, round(rk.d2, 6) AS d2, d.text
+FROM rk JOIN stored d ON d.doc_id = rk.cid"""

@@ -12,15 +12,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from salescope.functions.cleaning import na_to_null
+from salescope.functions.cleaning import na_to_null, parse_mixed_date, to_number
 from salescope.functions.formats import fixed, iso_date, money
+from salescope.functions.metrics import pearson
 from salescope.operators import facts, forecast_model, grid, kpi, series, text, vectors
-from salescope.plans import analysis
+from salescope.plans import analysis, retrieval
 from salescope.plans.present import present
-from salescope.session import materialize
+from salescope.session import materialize, scratch_path
 from salescope.sources import catalog
 from salescope.sources.csv import clean_sales, read_sales_csv
-from salescope.sources.fixture import landed_sales, sales_csv_path, table
+from salescope.sources.feedback import append_feedback, read_feedback
+from salescope.sources.fixture import landed_sales, mixed_csv_path, sales_csv_path, table
+from salescope.sources.landing import land_dataset, read_dataset, write_reports
+from salescope.streaming.feedback import start_feedback_sink
+from salescope.streaming.landing import start_landing_kpis
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,9 +115,8 @@ def q_forecast_fitted(spark, sf_dir):
 
 
 def q_forecast_summary(spark, sf_dir):
-    m = _monthly(spark, sf_dir)
-    params, _ = series.trend_season_model(m)
-    summ = series.forecast_summary(series.forecast_trend_season(m), params)
+    model = series.trend_season_model(_monthly(spark, sf_dir))
+    summ = series.forecast_summary(series.forecast_trend_season(None, model=model), model[0])
     summ = summ.select(iso_date("best_month").alias("best_month"),
                        F.round("best_yhat", 2).alias("best_yhat"),
                        iso_date("worst_month").alias("worst_month"),
@@ -194,10 +198,9 @@ def q_text_search(spark, sf_dir):
 
 
 def chat_questions(conv: DataFrame) -> DataFrame:
-    """Per conversation: its last user turn is the question (window per conversation)."""
-    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    users = conv.where(F.col("role") == "user").withColumn("_rn", F.row_number().over(w))
-    return users.where(F.col("_rn") == 1).select(
+    """Every user turn is a question: ``qid`` (conversation and turn), conv_id, q_turn, question."""
+    return conv.where(F.col("role") == "user").select(
+        F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"),
         "conv_id", F.col("turn").alias("q_turn"), F.col("text").alias("question"))
 
 
@@ -206,20 +209,190 @@ def _rag(spark, sf_dir):
     qs = chat_questions(conv)
     # facts are few (bounded by the dimensions) and read several times below
     fct = materialize(facts.facts(_sales(spark, sf_dir)).select(F.col("fact_id").alias("id"), "text"))
-    hits = vectors.text_search(qs.select(F.col("conv_id").alias("qid"), "question"), fct, k=RAG_K)
-    ctx = text.rag_context(hits, qid="qid", questions=qs.select(F.col("conv_id").alias("qid")))
-    return conv, qs, ctx.withColumnRenamed("qid", "conv_id")
+    hits = vectors.text_search(qs.select("qid", "question"), fct, k=RAG_K)
+    return conv, qs, text.rag_context(hits, qid="qid", questions=qs.select("qid"))
 
 
 def q_rag_context(spark, sf_dir):
-    return _rag(spark, sf_dir)[2]
+    _, qs, ctx = _rag(spark, sf_dir)
+    return qs.select("qid", "conv_id", "q_turn").join(ctx, "qid").select("conv_id", "q_turn", "context")
 
 
 def q_prompt_table(spark, sf_dir):
     conv, qs, ctx = _rag(spark, sf_dir)
-    before = conv.join(qs.select("conv_id", "q_turn"), "conv_id").where(F.col("turn") < F.col("q_turn"))
-    hist = text.chat_history(before)
-    return text.prompt_table(qs, ctx, hist, qid="conv_id", conv="conv_id")
+    # a question's history is every turn before it
+    before = conv.join(qs.select("qid", "conv_id", "q_turn"), "conv_id").where(F.col("turn") < F.col("q_turn"))
+    prompts = text.prompt_table(qs, ctx, text.chat_history(before, conv="qid"), qid="qid", conv="qid")
+    return qs.select("qid", "conv_id", "q_turn").join(prompts, "qid").select("conv_id", "q_turn", "prompt")
+
+
+REPORT_KEYS = ["region"]
+
+
+def _region_losses(sales):
+    by_sub = kpi.kpi_by(sales, [*REPORT_KEYS, "sub_category"], discount="discount").where(F.col("profit") < 0)
+    return by_sub.select(*REPORT_KEYS, "sub_category", "profit", "sales", "discount")
+
+
+def q_prompt_root_cause(spark, sf_dir):
+    sales = _sales(spark, sf_dir)
+    products = kpi.kpi_by(sales, [*REPORT_KEYS, "sub_category", "product_name"], discount="discount").where(F.col("profit") < 0)
+    worst = Window.partitionBy(*REPORT_KEYS).orderBy("profit", "sub_category", "product_name")
+    top = products.withColumn("_rn", F.row_number().over(worst)).where(F.col("_rn") <= 5)
+    corr = sales.where(F.col("region").isNotNull()).groupBy(*REPORT_KEYS).agg(
+        pearson("discount", "profit").alias("corr_discount_profit"))
+    return text.root_cause_prompt(_region_losses(sales), top, corr, REPORT_KEYS)
+
+
+def _region_forecast(spark, sf_dir):
+    return text.forecast_lines(series.forecast_trend_season(_monthly(spark, sf_dir, REPORT_KEYS), REPORT_KEYS), REPORT_KEYS)
+
+
+def q_prompt_forecast(spark, sf_dir):
+    return text.forecast_prompt(_region_forecast(spark, sf_dir), REPORT_KEYS)
+
+
+def q_prompt_recommendation(spark, sf_dir):
+    sales = _sales(spark, sf_dir)
+    overall = kpi.kpi_by(sales, REPORT_KEYS, discount="discount").select(
+        *REPORT_KEYS, F.col("sales").alias("total_sales"), F.col("profit").alias("total_profit"),
+        F.col("margin").alias("overall_margin"), F.col("discount").alias("avg_discount"))
+    # the forecast lines stand in for the model-written insights
+    insights = _region_forecast(spark, sf_dir).withColumnRenamed("forecast_text", "insights")
+    return text.recommendation_prompt(text.business_summary(overall, _region_losses(sales), REPORT_KEYS), insights, REPORT_KEYS)
+
+
+def q_stream_landing_kpi(spark, sf_dir):
+    """CSV files of three column orders, landed as a stream; the per-file sums added up per region."""
+    out, progress = scratch_path(spark, "stream-kpis"), scratch_path(spark, "stream-progress")
+    start_landing_kpis(spark, mixed_csv_path(spark, sf_dir), progress, out, recursive=True).awaitTermination()
+    return present(spark.read.parquet(out).groupBy("region").agg(F.sum("sales").alias("sales"), F.sum("profit").alias("profit")))
+
+
+def q_csv_mixed_layouts(spark, sf_dir):
+    folders = [f"{mixed_csv_path(spark, sf_dir)}/layout{i}" for i in range(3)]
+    return present(kpi.kpi_category(clean_sales(read_sales_csv(spark, folders))))
+
+
+def q_land_dataset(spark, sf_dir):
+    """Regions landed as datasets, one of them landed again; read back and summed."""
+    root, sales = scratch_path(spark, "datasets"), _sales(spark, sf_dir)
+    for name in ("EUROPE", "ASIA"):
+        land_dataset(sales.where(F.col("region") == name), root, f"{name}.csv")
+    land_dataset(sales.where(F.col("region") == "AMERICA"), root, "ASIA.csv")
+    both = read_dataset(spark, root, "EUROPE.csv").unionByName(read_dataset(spark, root, "ASIA.csv"))
+    return present(kpi.kpi_region(both))
+
+
+def q_feedback(spark, sf_dir):
+    """Conversation turns appended as feedback by two writers, streamed into a table and read back."""
+    folder, out, progress = (scratch_path(spark, n) for n in ("feedback", "feedback-table", "feedback-progress"))
+    conv = table(spark, sf_dir, "conversations")
+    rows = conv.select((F.col("turn") % 5 + 1).alias("rating"), F.col("role").alias("category"), F.col("text").alias("comment"))
+    append_feedback(rows.where(F.col("category") == "user"), folder)
+    append_feedback(rows.where(F.col("category") != "user"), folder)
+    start_feedback_sink(spark, folder, out, progress).awaitTermination()
+    stored = read_feedback(spark, folder).select("rating", "category", "comment", F.lit("files").alias("via")).unionByName(
+        spark.read.parquet(out).select("rating", "category", "comment", F.lit("stream").alias("via")))
+    return stored.groupBy("via", "category", "rating").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_index_search(spark, sf_dir):
+    """An index of all documents, built once, and searched for every benchmark item (k = 2)."""
+    path = scratch_path(spark, "text-index")
+    retrieval.build_text_index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), path)
+    qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    hits = retrieval.search_index(spark, path, qs, k=2)
+    return present(hits.select(F.col("qid").alias("item_id"), F.col("rank").cast("bigint"), F.col("id").alias("doc_id"), "d2", "text"))
+
+
+def q_report_sink(spark, sf_dir):
+    """The reports per region written as text files and read back line by line."""
+    path = scratch_path(spark, "reports")
+    write_reports(analysis.final_reports(_sales(spark, sf_dir), REPORT_KEYS).withColumnRenamed("region", "report_key"), path)
+    return spark.read.text(path).groupBy("report_key").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def q_dataset_catalog(spark, sf_dir):
+    """The landed CSV files per layout, one of them selected: sizes are known, one is active."""
+    root = mixed_csv_path(spark, sf_dir)
+    cats = [catalog.dataset_catalog(spark, f"{root}/layout{i}", priority=i) for i in range(3)]
+    files = catalog.catalog_dedup(cats[0].unionByName(cats[1]).unionByName(cats[2]))
+    config = scratch_path(spark, "active")
+    first = files.agg(F.max("filename")).first()[0]
+    catalog.select_dataset(spark, files, first, config)
+    flagged = catalog.with_active(files, catalog.active_dataset(files, catalog.read_selection(spark, config), None))
+    return flagged.groupBy("active").agg(F.min((F.col("size") > 0).cast("int")).alias("sized"),
+                                         F.min((F.length("uploaded_at") > 0).cast("int")).alias("dated"))
+
+
+# Replies a planner may give, picked by conversation and turn; the rest are the turns themselves.
+def _planner_replies(conv):
+    n = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7))
+    hard = (F.when(n == 0, F.lit(' ```json\n["analysis", "forecast"]\n``` ')).when(n == 1, F.concat(F.lit('["forecast", "'), F.col("role"), F.lit('", 3, null]')))
+            .when(n == 2, F.lit('["analysis",')).when(n == 3, F.lit('{"plan": ["analysis"]}'))
+            .when(n == 4, F.lit('\n["recommendation","analysis","bogus"]\n')).when(n == 5, F.lit("```json\n[]\n```")))
+    return conv.withColumn("text", F.coalesce(hard, F.col("text")))
+
+
+def _hard_plans(spark, sf_dir):
+    return text.parse_plan(_planner_replies(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+def q_parse_plan_hard(spark, sf_dir):
+    return _hard_plans(spark, sf_dir).select("conv_id", "turn", F.array_join("plan", ",").alias("plan"), "plan_is_default")
+
+
+def q_resolve_plan_hard(spark, sf_dir):
+    return text.resolve_plan(_hard_plans(spark, sf_dir)).select("conv_id", "turn", F.array_join("stages", ",").alias("stages"))
+
+
+def q_na_tokens_hard(spark, sf_dir):
+    """Every order comment cell replaced, by its key, by a token or by something that only looks like one."""
+    cells = F.array(*[F.lit(x) for x in HARD_CELLS])
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(cells, (F.col("o_orderkey") % len(HARD_CELLS) + 1).cast("int")).alias("cell"))
+    return o.select("o_orderkey", na_to_null("cell").alias("cell"))
+
+
+HARD_CELLS = ["N/A", "NA", "-", "null", "Null", " NA", "", "nan", "NONE", "None", "#N/A", "0", "1.#IND", "n/a "]
+
+
+def q_coerce_numeric_hard(spark, sf_dir):
+    """Line prices as text in eight dresses, by key: plain, currency, thousands, padded, inf, nan, empty, exponent."""
+    price = F.format_string("%.2f", F.col("l_extendedprice"))
+    n = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(8))
+    cell = (F.when(n == 1, F.concat(F.lit("$"), price)).when(n == 2, F.lit("1,234")).when(n == 3, F.concat(F.lit("  "), price, F.lit(" ")))
+            .when(n == 4, F.lit("-inf")).when(n == 5, F.lit("NaN")).when(n == 6, F.lit("")).when(n == 7, F.concat(price, F.lit("e1"))).otherwise(price))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", to_number(cell).alias("v"))
+    return li.select("l_orderkey", "l_linenumber", F.round("v", 1).alias("v"))
+
+
+def q_parse_dates_hard(spark, sf_dir):
+    """Order dates written in twelve layouts, by key, must all come back."""
+    d, n = F.col("o_orderdate"), F.pmod(F.col("o_orderkey"), F.lit(12))
+    layouts = ["M/d/yyyy", "yyyy/MM/dd", "dd-MMM-yyyy", "MMM d, yyyy", "MM-dd-yyyy", "M/d/yy", "yyyyMMdd", "yyyy-MM-dd",
+               "M/d/yyyy H:mm", "yyyy-MM-dd'T'HH:mm:ss", "MMMM d, yyyy", "d MMM yyyy"]
+    cell = F.coalesce(*[F.when(n == i, F.date_format(d, f)) for i, f in enumerate(layouts)])
+    o = table(spark, sf_dir, "orders").select("o_orderkey", cell.alias("cell"))
+    return o.select("o_orderkey", F.date_format(parse_mixed_date("cell"), "yyyy-MM-dd").alias("d"))
+
+
+def q_nonblank_texts_hard(spark, sf_dir):
+    """Document texts padded or blanked by id: no-break and thin spaces, tabs, line ends."""
+    n = F.pmod(F.col("doc_id"), F.lit(4))
+    t = (F.when(n == 1, F.lit(" \t\u00a0\n")).when(n == 2, F.concat(F.lit("\u2009 \u3000"), F.col("text"), F.lit("\r\n\x1c")))
+         .otherwise(F.col("text")))
+    return grid.nonblank_texts(table(spark, sf_dir, "documents").select("doc_id", t.alias("text")))
+
+
+def q_grid_sort_all(spark, sf_dir):
+    """The whole table sorted: its order shows in each row's place among equal regions."""
+    s = grid.grid_sort(_grid_sales(spark, sf_dir), "sales", descending=False)
+    return s.groupBy("region").agg(F.count(F.lit(1)).alias("n_rows"), F.min("sales").alias("lowest"), F.max("sales").alias("highest"))
+
+
+def q_preview_head(spark, sf_dir):
+    return grid.preview_file(spark, f"{sf_dir.rstrip('/')}/orders.parquet", 5)
 
 
 def _csv_sales(spark, sf_dir):
@@ -351,4 +524,22 @@ QUERIES: dict[str, Query] = {
     "grid_search": q_grid_search,
     "grid_sort": q_grid_sort,
     "results_json": q_results_json,
+    "prompt_root_cause": q_prompt_root_cause,
+    "prompt_forecast": q_prompt_forecast,
+    "prompt_recommendation": q_prompt_recommendation,
+    "stream_landing_kpi": q_stream_landing_kpi,
+    "csv_mixed_layouts": q_csv_mixed_layouts,
+    "land_dataset": q_land_dataset,
+    "feedback": q_feedback,
+    "index_search": q_index_search,
+    "report_sink": q_report_sink,
+    "dataset_catalog": q_dataset_catalog,
+    "parse_plan_hard": q_parse_plan_hard,
+    "resolve_plan_hard": q_resolve_plan_hard,
+    "na_tokens_hard": q_na_tokens_hard,
+    "coerce_numeric_hard": q_coerce_numeric_hard,
+    "parse_dates_hard": q_parse_dates_hard,
+    "nonblank_texts_hard": q_nonblank_texts_hard,
+    "grid_sort_all": q_grid_sort_all,
+    "preview_head": q_preview_head,
 }
