@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from salescope.llm import decontam, kdshard, langid, linededup, mixing, neardup, pii, quality_clf, quality_rules, tokens
 from salescope.llm.common import documents
+from salescope.llm.oracles import ORACLE
 
 N_SHARDS = 16
 MIX_RATIO, MIX_EPOCHS = 1.5, 2.0
@@ -82,4 +83,4 @@ LLM_QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_mixing": op5_mixing,
 }
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = dict(ORACLE)
