@@ -33,6 +33,51 @@ def month_end(col: Column | str) -> Column:
     return F.last_day(_c(col))
 
 
+def mean_parts(col: Column | str, prefix: str, scale: int = 10) -> list[Column]:
+    """Aggregates ``{prefix}_exact, _rest, _beyond, _n`` that :func:`mean_of_parts` turns into a mean.
+
+    All four are sums, so they may be taken in two steps (:func:`merged_parts`).
+    """
+    c = F.nanvl(_c(col).cast("double"), F.lit(None).cast("double"))
+    inf = F.lit(float("inf"))
+    finite = F.when(F.abs(c) < inf, c)
+    exact = F.coalesce(finite.try_cast(f"decimal(28,{scale})"), F.lit(0).cast(f"decimal(28,{scale})"))
+    return [F.sum(exact).alias(f"{prefix}_exact"), F.sum(finite - exact.cast("double")).alias(f"{prefix}_rest"),
+            # a sum of the infinities alone is an infinity, or NaN if both signs occur
+            F.sum(F.when(F.abs(c) == inf, c)).alias(f"{prefix}_beyond"), F.count(c).alias(f"{prefix}_n")]
+
+
+def merged_parts(prefix: str) -> list[Column]:
+    return [F.sum(f"{prefix}_{p}").alias(f"{prefix}_{p}") for p in ("exact", "rest", "beyond", "n")]
+
+
+def mean_of_parts(prefix: str) -> Column:
+    total = F.col(f"{prefix}_exact").cast("double") + F.col(f"{prefix}_rest")
+    return F.coalesce(F.col(f"{prefix}_beyond"), F.try_divide(total, F.col(f"{prefix}_n").cast("double")))
+
+
+def pearson_parts(x: str, y: str, prefix: str) -> list[Column]:
+    """Mergeable moments of the rows in which both are known; extremes tell a constant column."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    sums = {"n": F.when(both, F.lit(1.0)), "x": a, "y": b, "xx": a * a, "yy": b * b, "xy": a * b}
+    return [F.sum(v).alias(f"{prefix}_{k}") for k, v in sums.items()] + [
+        f(v).alias(f"{prefix}_{n}") for n, f, v in (("x0", F.min, a), ("x1", F.max, a), ("y0", F.min, b), ("y1", F.max, b))]
+
+
+def merged_pearson(prefix: str) -> list[Column]:
+    return [F.sum(f"{prefix}_{k}").alias(f"{prefix}_{k}") for k in ("n", "x", "y", "xx", "yy", "xy")] + [
+        f(f"{prefix}_{k}").alias(f"{prefix}_{k}") for k, f in (("x0", F.min), ("x1", F.max), ("y0", F.min), ("y1", F.max))]
+
+
+def pearson_of_parts(prefix: str) -> Column:
+    p = lambda k: F.col(f"{prefix}_{k}")
+    cov = p("n") * p("xy") - p("x") * p("y")
+    spread = F.sqrt(F.greatest(p("n") * p("xx") - p("x") * p("x"), F.lit(0.0))) * F.sqrt(F.greatest(p("n") * p("yy") - p("y") * p("y"), F.lit(0.0)))
+    varies = (p("x0") < p("x1")) & (p("y0") < p("y1"))
+    return F.coalesce(F.when(varies, F.try_divide(cov, F.when(spread != 0, spread))), F.lit(float("nan")))
+
+
 def exact_mean(col: Column | str, scale: int = 10) -> Column:
     """Mean whose value does not depend on partitioning or summation order.
 
@@ -42,11 +87,5 @@ def exact_mean(col: Column | str, scale: int = 10) -> Column:
     can land on either side of an exact rounding tie depending on how rows were split.
     As in pandas, NaN counts as missing, and an infinity decides the mean (both signs: NaN).
     """
-    c = F.nanvl(_c(col).cast("double"), F.lit(None).cast("double"))
-    inf = F.lit(float("inf"))
-    finite = F.when(F.abs(c) < inf, c)
-    exact = F.coalesce(finite.try_cast(f"decimal(28,{scale})"), F.lit(0).cast(f"decimal(28,{scale})"))
-    total = F.sum(exact).cast("double") + F.sum(finite - exact.cast("double"))
-    # a sum of the infinities alone is an infinity, or NaN if both signs occur
-    beyond = F.sum(F.when(F.abs(c) == inf, c))
-    return F.coalesce(beyond, F.try_divide(total, F.count(c).cast("double")))
+    exact, rest, beyond, n = mean_parts(col, "_", scale)
+    return F.coalesce(beyond, F.try_divide(exact.cast("double") + rest, n.cast("double")))

@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salescope.functions.metrics import exact_mean, margin_pct, pearson
+from salescope.functions.metrics import (
+    exact_mean, margin_pct, mean_of_parts, mean_parts, merged_parts, merged_pearson, pearson, pearson_of_parts, pearson_parts)
 
 
 def _not_null(keys: Sequence[str]) -> Column:
@@ -97,17 +98,33 @@ def kpi_grouping_sets(df: DataFrame, grains: dict[str, tuple[str, ...]] | None =
                       discount: str = "discount", with_corr: bool = False) -> DataFrame:
     """All breakdowns in one pass.
 
-    One scan, one Expand feeding a partial HashAggregate, one shuffle of partial
-    aggregates.  ``grouping_id`` tells a rolled-up NULL from a NULL key; rows whose own
-    grouping key is NULL are dropped, as a per-grouping ``groupBy`` would.
+    All measures are mergeable, so the rows are first aggregated once by all keys that the
+    wanted grains use, and the GROUPING SETS expand only those groups, not the rows.  Products
+    are many: their grain is an aggregate of its own beside the few groups of the others.
+    ``grouping_id`` tells a rolled-up NULL from a NULL key; rows whose own grouping key is
+    NULL are dropped, as a per-grouping ``groupBy`` would.
     """
     grains = grains or GRAINS
+    many = {k: g for k, g in grains.items() if "product_name" in g}
+    if many and len(many) < len(grains):
+        few = {k: g for k, g in grains.items() if k not in many}
+        one, two = (kpi_grouping_sets(df, g, sales, profit, discount, with_corr) for g in (few, many))
+        return one.unionByName(two)
     keys = GRAIN_KEYS
+    used = [k for k in keys if any(k in g for g in grains.values())]
+    parts = mean_parts(discount, "_d") + (pearson_parts(discount, profit, "_c") if with_corr else [])
+    rows = df
+    df = rows.groupBy(*used).agg(F.sum(sales).alias("_sales"), F.sum(profit).alias("_profit"), *parts)
+    df = df.select(*[F.col(k) if k in used else F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys],
+                   *[c for c in df.columns if c.startswith("_")])
     sets = [[F.col(k) for k in g] for g in grains.values()]
     gid = F.grouping_id(*[F.col(k) for k in keys])
-    extra = [pearson(discount, profit).alias("corr_discount_profit")] if with_corr else []
-    agg = df.groupingSets(sets, *keys).agg(*_measures(sales, profit, discount), *extra,
-                                           gid.alias("_gid"))
+    extra = merged_pearson("_c") if with_corr else []
+    agg = df.groupingSets(sets, *keys).agg(F.sum("_sales").alias("sales"), F.sum("_profit").alias("profit"),
+                                           *merged_parts("_d"), *extra, gid.alias("_gid"))
+    agg = agg.withColumn("discount", mean_of_parts("_d") * 100.0)
+    if with_corr:
+        agg = agg.withColumn("corr_discount_profit", pearson_of_parts("_c"))
     grain = None
     keep = F.lit(False)
     for name, g in grains.items():
