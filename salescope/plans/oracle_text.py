@@ -277,3 +277,24 @@ FROM kpi LEFT JOIN rcs USING (region) LEFT JOIN ft USING (region)"""
 ORACLE["report_sink"] = f"""
 SELECT region AS report_key, length(report) - length(replace(report, chr(10), '')) + 1 AS n_lines
 FROM ({ORACLE["final_report_by_region"]})"""
+
+
+def _json_rows(part: str, name: str, where: str, group: str, order: str, more: str = "") -> str:
+    return f"""SELECT '{part}' AS part, row_number() OVER (ORDER BY {order}) - 1 AS at, {name} AS name,
+       round(s, 2) AS a, round(p, 2) AS b
+FROM (SELECT {group}, sum(sales) AS s, sum(profit) AS p FROM sales WHERE {where} GROUP BY ALL {more})"""
+
+
+ORACLE["results_json_rows"] = SALES_CTE + _monthly_ctes() + _MODEL_CTES + "\n" + " UNION ALL ".join([
+    _json_rows("regional_analysis", "region", "region IS NOT NULL", "region", "region"),
+    _json_rows("category_analysis", "category", "category IS NOT NULL", "category", "category"),
+    _json_rows("subcategory_analysis", "category || '/' || sub_category", "category IS NOT NULL AND sub_category IS NOT NULL",
+               "category, sub_category", "category, sub_category"),
+    _json_rows("loss_subcategories", "sub_category", "sub_category IS NOT NULL", "sub_category", "p, sub_category",
+               "HAVING sum(profit) < 0"),
+    _json_rows("loss_products", "sub_category || '/' || product_name", "sub_category IS NOT NULL AND product_name IS NOT NULL",
+               "sub_category, product_name", "p, sub_category, product_name",
+               "HAVING sum(profit) < 0 ORDER BY p, sub_category, product_name LIMIT 10"),
+    """SELECT 'predictions', row_number() OVER (ORDER BY ds) - 1, strftime(ds, '%Y-%m-%d'), round(yhat, 2), NULL FROM fc""",
+    """SELECT 'history', row_number() OVER (ORDER BY ds) - 1, strftime(ds, '%Y-%m-%d'), round(y, 2), NULL
+FROM (SELECT * FROM s ORDER BY ds DESC LIMIT 12)"""])

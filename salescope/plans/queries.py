@@ -478,6 +478,32 @@ def q_results_json(spark, sf_dir):
     return analysis.results_json(_sales(spark, sf_dir))
 
 
+RESULT_SCHEMA = """overall_margin double, regional_analysis array<struct<region string, sales double, profit double>>,
+    category_analysis array<struct<category string, sales double, profit double>>,
+    subcategory_analysis array<struct<category string, subcategory string, sales double, profit double>>,
+    loss_subcategories array<struct<sub_category string, sales double, profit double>>,
+    loss_products array<struct<sub_category string, product_name string, sales double, profit double>>,
+    predictions array<struct<date string, forecast double>>, history array<struct<date string, sales double>>"""
+
+
+def q_results_json_rows(spark, sf_dir):
+    """The nested JSON results parsed back into rows, with each record's place in its list."""
+    parsed = analysis.results_json(_sales(spark, sf_dir)).select(F.from_json("json", RESULT_SCHEMA).alias("r")).select("r.*")
+    lists = [("regional_analysis", ["region"], "sales", "profit"), ("category_analysis", ["category"], "sales", "profit"),
+             ("subcategory_analysis", ["category", "subcategory"], "sales", "profit"),
+             ("loss_subcategories", ["sub_category"], "sales", "profit"),
+             ("loss_products", ["sub_category", "product_name"], "sales", "profit"),
+             ("predictions", ["date"], "forecast", None), ("history", ["date"], "sales", None)]
+    out = None
+    for name, keys, a, b in lists:
+        e = parsed.select(F.posexplode(name).alias("at", "x"))
+        rows = e.select(F.lit(name).alias("part"), F.col("at").cast("bigint").alias("at"),
+                        F.concat_ws("/", *[F.col(f"x.{k}") for k in keys]).alias("name"), F.round(f"x.{a}", 2).alias("a"),
+                        (F.round(f"x.{b}", 2) if b else F.lit(None).cast("double")).alias("b"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 QUERIES: dict[str, Query] = {
     "kpi_overall": q_kpi_overall,
     "kpi_region": q_kpi_region,
@@ -524,6 +550,7 @@ QUERIES: dict[str, Query] = {
     "grid_search": q_grid_search,
     "grid_sort": q_grid_sort,
     "results_json": q_results_json,
+    "results_json_rows": q_results_json_rows,
     "prompt_root_cause": q_prompt_root_cause,
     "prompt_forecast": q_prompt_forecast,
     "prompt_recommendation": q_prompt_recommendation,
