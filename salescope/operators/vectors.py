@@ -227,6 +227,8 @@ def _topk_merge(best: dict[str, np.ndarray] | None, d2: np.ndarray, ids: np.ndar
 
 
 _ROW = "_block_row"
+# array cells of a broadcast block, at most: with 12 bytes each, 240 MB
+MAX_BROADCAST_CELLS = 20_000_000
 
 
 def _collect_side(df: DataFrame, max_rows: int) -> pa.Table:
@@ -237,21 +239,23 @@ def _collect_side(df: DataFrame, max_rows: int) -> pa.Table:
     return tbl
 
 
-def _blocks(df: DataFrame, id_col: str, max_rows: int, level: int = 0) -> list[DataFrame]:
+def _blocks(df: DataFrame, id_col: str, max_rows: int, cells: str, level: int = 0) -> list[DataFrame]:
     """Split ``df`` into hash blocks of at most ``max_rows`` rows (counts only, no collect).
 
     ``id_col`` names a unique row number, so rows that share an id are split too.  A block
     that comes out over the cap is split again with a different hash salt, so every block is
     within the cap whatever the hash balance.
     """
-    n = df.count()
-    if n <= max_rows:
-        return [df] if n else []
-    nb = int(np.ceil(n / (max_rows * 0.7)))
+    n, total = df.agg(F.count(F.lit(1)), F.sum(F.size(cells))).first()
+    if n == 0:
+        return []
+    if n == 1 or (n <= max_rows and total <= MAX_BROADCAST_CELLS):
+        return [df]
+    nb = max(2, int(np.ceil(n / (max_rows * 0.7))), int(np.ceil(total / (MAX_BROADCAST_CELLS * 0.7))))
     out: list[DataFrame] = []
     for i in range(nb):
         part = df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(level)), F.lit(nb)) == i)
-        out.extend(_blocks(part, id_col, max_rows, level + 1))
+        out.extend(_blocks(part, id_col, max_rows, cells, level + 1))
     return out
 
 
@@ -360,7 +364,7 @@ def _search(queries: DataFrame, corpus: DataFrame, qid: str, id_col: str, k: int
     parts = []
     if broadcast_side == "queries":
         small = queries.select(qid, *payload).checkpoint(eager=True)
-        blocks = _blocks(small.withColumn(_ROW, F.monotonically_increasing_id()), _ROW, max_broadcast)
+        blocks = _blocks(small.withColumn(_ROW, F.monotonically_increasing_id()), _ROW, max_broadcast, payload[0])
         if len(blocks) > 1:   # several passes: embed the streamed side once, not per block
             corpus = materialize(corpus)
         for blk_df in blocks:
@@ -369,7 +373,7 @@ def _search(queries: DataFrame, corpus: DataFrame, qid: str, id_col: str, k: int
                                     qid_type, [id_col, *payload]))
     else:
         small = corpus.select(id_col, *payload).checkpoint(eager=True)
-        blocks = _blocks(small.withColumn(_ROW, F.monotonically_increasing_id()), _ROW, max_broadcast)
+        blocks = _blocks(small.withColumn(_ROW, F.monotonically_increasing_id()), _ROW, max_broadcast, payload[0])
         if len(blocks) > 1:
             queries = materialize(queries)
         for blk_df in blocks:
