@@ -165,9 +165,8 @@ class _SparseSide:
 
     def dots(self, rows: np.ndarray, idx: np.ndarray, val: np.ndarray, n_rows: int) -> np.ndarray:
         """(n_rows x n) dot products between streamed sparse rows and this block."""
-        out = np.zeros(n_rows * self.n, dtype=np.float64)
         if len(idx) == 0 or self.n == 0:
-            return out.reshape(n_rows, self.n)
+            return np.zeros((n_rows, self.n))
         pos = np.searchsorted(self.ub, idx)
         pos_c = np.minimum(pos, len(self.ub) - 1)
         hit = self.ub[pos_c] == idx
@@ -177,8 +176,8 @@ class _SparseSide:
         rep_val = np.repeat(e_val, cnt)
         first = np.repeat(self.start[p] - np.concatenate(([0], np.cumsum(cnt)[:-1])), cnt)
         j = first + np.arange(cnt.sum())
-        np.add.at(out, rep_rows * self.n + self.col[j], rep_val * self.w[j])
-        return out.reshape(n_rows, self.n)
+        cell = rep_rows * self.n + self.col[j]
+        return np.bincount(cell, rep_val * self.w[j], n_rows * self.n).reshape(n_rows, self.n)
 
 
 class _DenseSide:
@@ -441,11 +440,55 @@ def text_search(questions: DataFrame, texts: DataFrame, k: int = 5, qid: str = "
     return joined.select(qid, "rank", id_col, "d2", text)
 
 
+# labels that a task adds up before it hands on its sums
+_LABELS = 10_000
+
+
 def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
-    """Mean vector per label: ``(label, vec array<double>)`` (element-wise ``avg``)."""
-    e = vectors.select(label, F.posexplode(vec).alias("pos", "x"))
-    m = e.groupBy(label, "pos").agg(F.avg("x").alias("x"))
-    return m.groupBy(label).agg(
+    """Mean vector per label: ``(label, vec array<double>)`` (element-wise mean; null vectors are skipped).
+
+    Each task adds up its own vectors per label, so what is exploded and shuffled is one sum per
+    label and task (or per ``_LABELS`` labels seen), not every vector.
+    """
+    rows = vectors.where(F.col(vec).isNotNull()).select(label, F.col(vec).cast("array<double>").alias("v"))
+    kind = rows.schema[label].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[Any, list] = {}
+
+        def flush() -> pa.RecordBatch:
+            names = list(held)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(names, id_type), pa.array([held[n][0].tolist() for n in names], pa.list_(pa.float64())),
+                 pa.array([held[n][1] for n in names], pa.int64())], ["l", "s", "n"])
+            held.clear()
+            return out
+
+        id_type = pa.null()
+        for rb in batches:
+            id_type = rb.column(0).type
+            offsets, flat = _list_parts(rb.column(1))
+            width = np.diff(offsets)
+            if rb.num_rows and np.any(width != width[0]):
+                raise ValueError("all vectors must have the same dimension")
+            names = np.array(rb.column(0).to_pylist(), dtype=object)
+            mat = flat.astype(np.float64).reshape(rb.num_rows, -1)
+            for name in dict.fromkeys(names.tolist()):
+                mine = mat[[n == name if n is not None else name is None for n in names]]
+                if name in held:
+                    held[name][0] += mine.sum(axis=0)
+                    held[name][1] += len(mine)
+                else:
+                    held[name] = [mine.sum(axis=0), len(mine)]
+            if len(held) > _LABELS:
+                yield flush()
+        if held:
+            yield flush()
+
+    part = rows.mapInArrow(sums, f"l {kind}, s array<double>, n long")
+    e = part.select("l", "n", F.posexplode("s").alias("pos", "x"))
+    m = e.groupBy("l", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
+    return m.groupBy(F.col("l").alias(label)).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"])
         .alias("vec"))
 
