@@ -18,14 +18,15 @@ WINDOW = 5
 FEATURES = ("f_word_len", "f_symbols", "f_dup_lines", "f_repeat", "f_caps")
 #: share of a group that the estimate is concentrated on, and number of concentration steps
 SUPPORT, STEPS = 0.75, 3
-#: variance that every feature has at least: a statistic that is constant in a group must not
-#: turn a tiny deviation into an infinite distance
-FLOOR = 0.0025
+#: deviation that every feature has at least: a statistic that is constant in a group (no symbols, no
+#: repeated lines) must not turn a tiny deviation into a large distance.  A tenth in log word length, 1.5 %
+#: of the characters, a tenth of the lines, 5 % of the words, 5 % of the characters.
+FLOORS = (0.1, 0.015, 0.1, 0.05, 0.05)
 #: pseudo-rows with which the estimate over all documents supports that of a small group
 PRIOR_ROWS = 20.0
 #: squared distance beyond which a document is an outlier.  The features are bounded and far from
-#: normal, so this is well above the chi-square quantile (20.5 at 0.999 for five features).
-CUTOFF = 60.0
+#: normal, so this is above the chi-square quantile (20.5 at 0.999 for five features).
+CUTOFF = 30.0
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -72,9 +73,9 @@ def base_failed() -> Column:
 
 
 def features() -> list[Column]:
-    """Bounded, variance-stabilised statistics: square roots of shares, log of the mean word length."""
+    """Bounded statistics: shares, and the log of the mean word length."""
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    share = lambda a, b: F.sqrt(F.least(a / b, F.lit(1.0)))
+    share = lambda a, b: F.least(a / b, F.lit(1.0))
     return [F.log1p(F.col("word_chars") / words).alias("f_word_len"),
             share(F.col("n_symbols"), chars).alias("f_symbols"),
             share(F.col("n_dup_lines"), F.greatest(F.col("n_lines"), F.lit(1))).alias("f_dup_lines"),
@@ -89,19 +90,19 @@ def _moments(cols: list[str]) -> list[Column]:
                   for i, a in enumerate(cols) for j, b in enumerate(cols) if j <= i]
 
 
-def _centre_and_cholesky(d: int, scale: float) -> tuple[list[Column], list[list[Column]]]:
+def _centre_and_cholesky(floors: tuple[float, ...], scale: float) -> tuple[list[Column], list[list[Column]]]:
     """Layers of columns: mean m_i, covariance c_i_j (prior rows mixed in), Cholesky factor l_i_j."""
-    n = F.col("n") + PRIOR_ROWS
+    d, n = len(floors), F.col("n") + PRIOR_ROWS
     s = lambda k: (F.col(f"s_{k}") + PRIOR_ROWS * F.col(f"g_{k}")) / n
     means = [s(str(i)).alias(f"m_{i}") for i in range(d)]
     layers: list[list[Column]] = []
     layers.append([(scale * (s(f"{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}"))
-                    + (FLOOR if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)])
+                    + (floors[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)])
     for j in range(d):  # one column of the factor after the other
         diag = F.col(f"c_{j}_{j}")
         for k in range(j):
             diag = diag - F.col(f"l_{j}_{k}") * F.col(f"l_{j}_{k}")
-        layers.append([F.sqrt(F.greatest(diag, F.lit(FLOOR * 1e-3))).alias(f"l_{j}_{j}")])
+        layers.append([F.sqrt(F.greatest(diag, F.lit(floors[j] ** 2 * 1e-3))).alias(f"l_{j}_{j}")])
         below = []
         for i in range(j + 1, d):
             v = F.col(f"c_{i}_{j}")
@@ -130,10 +131,10 @@ def _with_distance(rows: DataFrame, cols: list[str], model: DataFrame, keys: lis
     return out.withColumn("d2", d2).select(*rows.columns, "d2")
 
 
-def robust_distance(rows: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+def robust_distance(rows: DataFrame, cols: list[str], keys: list[str], floors: tuple[float, ...]) -> DataFrame:
     """Add ``d2``: squared distance to the group's MCD estimate; ``rows`` is a landed, narrow table.
 
-    Start: distance to the group's medians in units of its (floored) median deviation.  Each step
+    Start: distance to the group's medians in units of the ``floors``.  Each step
     keeps the ``SUPPORT`` share of rows of least distance (by a quantile sketch), re-estimates mean and
     covariance on them, and measures all rows again.  Groups with few rows lean on the estimate over
     all rows by a fixed number of pseudo-rows; null keys form groups of their own.
@@ -149,7 +150,7 @@ def robust_distance(rows: DataFrame, cols: list[str], keys: list[str]) -> DataFr
         c = F.col(k).eqNullSafe(F.col(f"__{k}"))
         on = c if on is None else on & c
     start = rows.join(small(medians, n_groups), on)
-    z = [F.pow((F.col(c) - F.col(f"m_{i}")), 2) / F.lit(FLOOR) for i, c in enumerate(cols)]
+    z = [F.pow((F.col(c) - F.col(f"m_{i}")) / F.lit(floors[i]), 2) for i, c in enumerate(cols)]
     current = start.withColumn("d2", sum(z[1:], z[0])).select(*rows.columns, "d2")
     # consistency factor of the half-sample covariance: rows inside the SUPPORT ellipsoid vary less
     scale = 1.0 / SUPPORT
@@ -162,7 +163,7 @@ def robust_distance(rows: DataFrame, cols: list[str], keys: list[str]) -> DataFr
         model = sums
         for m in moments:
             model = model.withColumn(f"g_{m}", F.lit(float(whole[f"g_{m}"] or 0.0)))
-        means, layers = _centre_and_cholesky(d, scale)
+        means, layers = _centre_and_cholesky(floors, scale)
         model = model.select("*", *means)
         for layer in layers:
             model = model.select("*", *layer)
@@ -179,7 +180,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     langs and sources are groups; null texts fail the base rule; repeated rows are all judged.
     """
     rows = land(base_counts(docs).select("*", *features()), "quality-stats")
-    judged = robust_distance(rows, list(FEATURES), ["lang", "source"])
+    judged = robust_distance(rows, list(FEATURES), ["lang", "source"], FLOORS)
     return (judged.withColumn("base_failed", base_failed())
             .withColumn("outlier", F.col("d2") > cutoff)
             .withColumn("kept", ~F.col("base_failed") & ~F.col("outlier")))

@@ -212,7 +212,7 @@ def test_mahalanobis_distance_equals_numpy(spark):
     x = rng.normal(size=(400, 2)) @ np.array([[1.0, 0.4], [0.0, 0.5]])
     x[:40] += 8
     d = spark.createDataFrame([(int(i), "g", float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, g string, a double, b double")
-    got = {r["id"]: r["d2"] for r in collect(quality_rules.robust_distance(d, ["a", "b"], ["g"]))}
+    got = {r["id"]: r["d2"] for r in collect(quality_rules.robust_distance(d, ["a", "b"], ["g"], (0.05, 0.05)))}
     assert min(got[i] for i in range(40)) > 5 * sorted(got[i] for i in range(40, 400))[340]
 
 
