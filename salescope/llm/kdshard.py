@@ -46,7 +46,9 @@ def kd_shards(meta: DataFrame, n_shards: int, size: str, dims: list[str], tie: l
         rows = rows.withColumn(f"__d{i}", F.coalesce(F.col(d).cast("double"), F.lit(0.0)))
     axes = [f"__d{i}" for i in range(len(dims))]
     wide = rows.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
-    rows = (rows.withColumn("__lo", F.lit(0)).withColumn("__k", F.lit(n_shards)).withColumn("__rn", F.lit(0).cast("long")))
+    # the root's number as a column, not a literal: a literal key would turn the first join into a cross join
+    root = (F.col(size) * 0).cast("int")
+    rows = rows.withColumn("__lo", root).withColumn("__k", F.lit(n_shards)).withColumn("__rn", F.lit(0).cast("long"))
     order = [F.col("__key"), *[F.col(t) for t in tie]]
     for level in range(max(1, math.ceil(math.log2(n_shards)))):
         spreads = [(F.max(a) - F.min(a)) / F.lit(float(wide[a] or 1.0)) for a in axes]
