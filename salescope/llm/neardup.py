@@ -77,13 +77,13 @@ def _set_keys(u: np.ndarray) -> tuple[int, int]:
 
 def sketch(docs: DataFrame, k: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per document: row, doc_id, n_shingles, k1, k2 (set name), sig (low bytes of the minima),
-    bands (64-bit bucket key per band; null for an empty set).  Landed without the text."""
+    bands (64-bit bucket key per band), marks (their low 32 bits); null for an empty set.  Landed without the text."""
     n_hash = rows * bands
     mult, add = _family(n_hash)
 
     def run(batches):
         for batch in batches:
-            names, sizes, one, two, sigs, keys = [], [], [], [], [], []
+            sizes, one, two, sigs, keys, marks = [], [], [], [], [], []
             for first, sets in shingle_sets(batch.column(2), k):
                 lens = np.array([len(u) for u in sets])
                 filled = np.flatnonzero(lens)
@@ -108,14 +108,16 @@ def sketch(docs: DataFrame, k: int = SHINGLE, rows: int = ROWS, bands: int = BAN
                     n = at.get(i)
                     sigs.append(None if n is None else m[n].astype(np.uint8).tobytes())
                     keys.append(None if n is None else key[n].astype(np.int64))
+                    marks.append(None if n is None else key[n].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()),
-                 pa.array(two, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["row", "doc_id", "n_shingles", "k1", "k2", "sig", "bands"])
+                 pa.array(two, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(marks, pa.binary())],
+                ["row", "doc_id", "n_shingles", "k1", "k2", "sig", "bands", "marks"])
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                          F.col("text").cast("string").alias("text"))
-    return land(source.mapInArrow(run, "row long, doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<bigint>"),
+    return land(source.mapInArrow(run, "row long, doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<bigint>, marks binary"),
                 "dup-sketch")
 
 
@@ -229,11 +231,11 @@ def _rest_of_buckets(members: DataFrame, sketches: DataFrame, docs: DataFrame, c
     """Links between components inside buckets; ``members`` (band, key, node, comp) of mixed buckets."""
     group = ["band", "key", "bi", "bj"]
     dealt = land(_blocks(members, block), "dup-blocks")
-    prints = sketches.select(F.col("node").alias("__s"), "sig", "bands")
+    prints = sketches.select(F.col("node").alias("__s"), "sig", "marks")
     full = dealt.join(prints, F.col("node") == F.col("__s")).drop("__s")
 
     def read(table):
-        band = np.array(table.column("bands").to_pylist(), np.int64)
+        band = _matrix(table.column("marks"), np.uint32)
         return _matrix(table.column("sig"), np.uint8), band, np.array(table.column("comp").to_pylist()), np.array(table.column("side").to_pylist())
 
     def flag(table):
@@ -289,12 +291,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHINGL
     n_classes = classes.count()
     firsts = classes.select(F.col("node").alias("__f"))
     sketches = some.join(F.broadcast(firsts) if n_classes <= PICK_ROWS else firsts, F.col("row") == F.col("__f"), "left_semi")
-    sketches = sketches.select(F.col("row").alias("node"), "sig", "bands")
-    exploded = sketches.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = land(exploded.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-                   .select(F.col("band").alias("__b"), F.col("key").alias("__k"), "pivot"), "dup-buckets")
-    n_buckets = buckets.count()
-    in_bucket = exploded.join(small(buckets, n_buckets), (F.col("band") == F.col("__b")) & (F.col("key") == F.col("__k")))
+    sketches = sketches.select(F.col("row").alias("node"), "sig", "bands", "marks")
+    # one exchange serves the buckets' sizes and the join back to their members
+    dealt = sketches.select("node", F.posexplode("bands").alias("band", "key")).repartition("band", "key")
+    buckets = (dealt.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+               .select(F.col("band").alias("__b"), F.col("key").alias("__k"), "pivot"))
+    in_bucket = dealt.join(buckets.hint("merge"), (F.col("band") == F.col("__b")) & (F.col("key") == F.col("__k")))
     members = land(in_bucket.select("band", "key", "node", "pivot"), "dup-members")
     stars = members.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     alike = land(_alike(stars, sketches, agree), "dup-alike")
