@@ -3,9 +3,10 @@
 Distances are squared L2, exact, ascending, ties broken by id -- a flat index, as the
 reference uses, but parallel over partitions:
 
-* The **smaller** side (checked with ``count()`` against ``max_broadcast``) is collected
-  once and broadcast; when it is over the cap it is split into hash blocks of at most
-  that size and each block is handled in turn, so nothing unbounded reaches the driver.
+* The **smaller** side (checked against ``max_broadcast`` rows and ``MAX_BROADCAST_CELLS``) is
+  collected once and broadcast.  When it is over either bound, both sides are dealt to a grid
+  of blocks by a hash of the row, and executors score block pairs (``cogroup``): one plan,
+  no loop over blocks, nothing but a count reaches the driver.
 * The **larger** side is streamed through ``mapInArrow``.  Each Arrow batch is scored
   against the broadcast block with numpy, and each task keeps a running top-k per query,
   so a task emits at most ``queries x k`` rows however much data it reads.  No cross
@@ -238,24 +239,15 @@ def _collect_side(df: DataFrame, max_rows: int) -> pa.Table:
     return tbl
 
 
-def _blocks(df: DataFrame, id_col: str, max_rows: int, cells: str, level: int = 0) -> list[DataFrame]:
-    """Split ``df`` into hash blocks of at most ``max_rows`` rows (counts only, no collect).
+def _size(df: DataFrame, cells: str) -> tuple[int, int]:
+    """(rows, array cells) of a side; counts only."""
+    n, total = df.agg(F.count(F.lit(1)), F.sum(F.size(cells).cast("long"))).first()
+    return n, total or 0
 
-    ``id_col`` names a unique row number, so rows that share an id are split too.  A block
-    that comes out over the cap is split again with a different hash salt, so every block is
-    within the cap whatever the hash balance.
-    """
-    n, total = df.agg(F.count(F.lit(1)), F.sum(F.size(cells))).first()
-    if n == 0:
-        return []
-    if n == 1 or (n <= max_rows and total <= MAX_BROADCAST_CELLS):
-        return [df]
-    nb = max(2, int(np.ceil(n / (max_rows * 0.7))), int(np.ceil(total / (MAX_BROADCAST_CELLS * 0.7))))
-    out: list[DataFrame] = []
-    for i in range(nb):
-        part = df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(level)), F.lit(nb)) == i)
-        out.extend(_blocks(part, id_col, max_rows, cells, level + 1))
-    return out
+
+def _n_blocks(rows: int, cells: int, max_rows: int) -> int:
+    """Blocks so many that one holds about 0.7 of either bound at most."""
+    return max(1, int(np.ceil(rows / (max_rows * 0.7))), int(np.ceil(cells / (MAX_BROADCAST_CELLS * 0.7))))
 
 
 def _final_topk(cands: DataFrame, qid: str, id_col: str, k: int) -> DataFrame:
@@ -263,6 +255,36 @@ def _final_topk(cands: DataFrame, qid: str, id_col: str, k: int) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _score_batches(batches, blk, stream_id: str, score, k: int, q_is_stream: bool, qid: str, id_col: str) -> Iterator[pa.RecordBatch]:
+    """Top-k rows of streamed batches against a block.
+
+    ``q_is_stream``: per streamed row over the block; otherwise a running top-k per row of the block.
+    """
+    best = None
+    for rb in batches:
+        if rb.num_rows == 0 or blk.n == 0:
+            continue
+        sids = np.asarray(rb.column(stream_id).to_numpy(zero_copy_only=False))
+        step = max(1, _SCORE_CELLS // blk.cells_per_row)
+        for s in range(0, rb.num_rows, step):
+            part = rb.slice(s, step)
+            d2 = score(blk, part, k)
+            pids = sids[s:s + part.num_rows]
+            if q_is_stream:
+                kk = min(k, blk.n)
+                key = np.round(d2, 9)  # block ids are sorted, so a stable sort ties by id
+                order = np.argsort(key, axis=1, kind="stable")[:, :kk]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(pids, kk)), pa.array(blk.ids[order].ravel()),
+                     pa.array(np.take_along_axis(d2, order, axis=1).ravel())], [qid, id_col, "d2"])
+            else:
+                best = _topk_merge(best, d2, np.repeat(pids[:, None], blk.n, axis=1), k)
+    if best is not None and not q_is_stream:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.tile(blk.ids, best["d2"].shape[0])), pa.array(best["ids"].ravel()), pa.array(best["d2"].ravel())],
+            [qid, id_col, "d2"])
+
+
 def _scan_topk(stream: DataFrame, stream_id: str, side, score, k: int, q_is_stream: bool,
                qid: str, id_col: str, id_type: str, qid_type: str, cols: list[str]) -> DataFrame:
     """Stream ``stream`` through ``score`` against the broadcast ``side``; emit top-k rows.
@@ -275,34 +297,7 @@ def _scan_topk(stream: DataFrame, stream_id: str, side, score, k: int, q_is_stre
     schema = f"`{qid}` {qid_type}, `{id_col}` {id_type}, d2 double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blk = _build_side(bside.value)
-        best = None
-        for rb in batches:
-            if rb.num_rows == 0 or blk.n == 0:
-                continue
-            sids = np.asarray(rb.column(stream_id).to_numpy(zero_copy_only=False))
-            step = max(1, _SCORE_CELLS // blk.cells_per_row)
-            for s in range(0, rb.num_rows, step):
-                part = rb.slice(s, step)
-                d2 = score(blk, part, k)
-                pids = sids[s:s + part.num_rows]
-                if q_is_stream:
-                    kk = min(k, blk.n)
-                    key = np.round(d2, 9)  # block ids are sorted, so a stable sort ties by id
-                    order = np.argsort(key, axis=1, kind="stable")[:, :kk]
-                    q = np.repeat(pids, kk)
-                    ids = blk.ids[order].ravel()
-                    dd = np.take_along_axis(d2, order, axis=1).ravel()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(q), pa.array(ids), pa.array(dd)], [qid, id_col, "d2"])
-                else:
-                    best = _topk_merge(best, d2, np.repeat(pids[:, None], blk.n, axis=1), k)
-        if best is not None and not q_is_stream:
-            kk = best["d2"].shape[0]
-            q = np.tile(blk.ids, kk)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q), pa.array(best["ids"].ravel()), pa.array(best["d2"].ravel())],
-                [qid, id_col, "d2"])
+        yield from _score_batches(batches, _build_side(bside.value), stream_id, score, k, q_is_stream, qid, id_col)
 
     return stream.select(*cols).mapInArrow(run, schema)
 
@@ -352,7 +347,7 @@ def _search(queries: DataFrame, corpus: DataFrame, qid: str, id_col: str, k: int
 
     ``sizes`` (queries, corpus) picks the broadcast side without computing the inputs;
     without it both are counted.  The broadcast side is checkpointed once to the shared
-    checkpoint folder, so counting its blocks and collecting them never recomputes it.
+    checkpoint folder, so sizing and collecting it never recomputes it.
     """
     qid_type = queries.schema[qid].dataType.simpleString()
     id_type = corpus.schema[id_col].dataType.simpleString()
@@ -360,34 +355,53 @@ def _search(queries: DataFrame, corpus: DataFrame, qid: str, id_col: str, k: int
         nq, nc = sizes if sizes is not None else (queries.count(), corpus.count())
         broadcast_side = "queries" if nq <= nc else "corpus"
     checkpoint_root(queries.sparkSession)
-    parts = []
-    if broadcast_side == "queries":
-        small = queries.select(qid, *payload).checkpoint(eager=True)
-        blocks = _blocks(small.withColumn(_ROW, F.monotonically_increasing_id()), _ROW, max_broadcast, payload[0])
-        if len(blocks) > 1:   # several passes: embed the streamed side once, not per block
-            corpus = materialize(corpus)
-        for blk_df in blocks:
-            blk = make_block(_collect_side(blk_df, max_broadcast), qid)
-            parts.append(_scan_topk(corpus, id_col, blk, score, k, False, qid, id_col, id_type,
-                                    qid_type, [id_col, *payload]))
-    else:
-        small = corpus.select(id_col, *payload).checkpoint(eager=True)
-        blocks = _blocks(small.withColumn(_ROW, F.monotonically_increasing_id()), _ROW, max_broadcast, payload[0])
-        if len(blocks) > 1:
-            queries = materialize(queries)
-        for blk_df in blocks:
-            blk = make_block(_collect_side(blk_df, max_broadcast), id_col)
-            parts.append(_scan_topk(queries, qid, blk, score, k, True, qid, id_col, id_type,
-                                    qid_type, [qid, *payload]))
-    if not parts:
+    corpus_small = broadcast_side == "corpus"
+    side, side_id, stream, stream_id = (corpus, id_col, queries, qid) if corpus_small else (queries, qid, corpus, id_col)
+    side = side.select(side_id, *payload).checkpoint(eager=True)
+    rows, cells = _size(side, payload[0])
+    if rows == 0:
         schema = f"`{qid}` {qid_type}, `{id_col}` {id_type}, d2 double, rank int"
         return queries.sparkSession.createDataFrame([], schema)
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
+    if rows <= max_broadcast and cells <= MAX_BROADCAST_CELLS:
+        blk = make_block(_collect_side(side, max_broadcast), side_id)
+        cands = _scan_topk(stream, stream_id, blk, score, k, corpus_small, qid, id_col, id_type, qid_type, [stream_id, *payload])
+    else:
+        cands = _grid_topk(side, side_id, _n_blocks(rows, cells, max_broadcast), stream, stream_id, payload, make_block, score, k,
+                           corpus_small, qid, id_col, id_type, qid_type, max_broadcast)
     return _final_topk(cands, qid, id_col, k)
 
 
+def _grid_topk(side: DataFrame, side_id: str, n_side: int, stream: DataFrame, stream_id: str, payload: list[str], make_block,
+               score, k: int, q_is_stream: bool, qid: str, id_col: str, id_type: str, qid_type: str, max_rows: int) -> DataFrame:
+    """Top-k candidates of every pair of blocks, scored on the executors.
+
+    Rows go to blocks by a hash of a row number, so equal ids are split too.  Each side is copied once
+    per block of the other; a group holds one block of each, and gives at most queries x k rows.
+    """
+    stream = materialize(stream.select(stream_id, *payload))
+    n_stream = _n_blocks(*_size(stream, payload[0]), max_rows)
+
+    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_own)).cast("int")
+        return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    left = dealt(side, "_side", n_side, "_stream", n_stream).groupBy("_side", "_stream")
+    right = dealt(stream, "_stream", n_stream, "_side", n_side).groupBy("_side", "_stream")
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        out = []
+        if one.num_rows and two.num_rows:
+            blk = _build_side(make_block(one, side_id))
+            batches = two.select([stream_id, *payload]).combine_chunks().to_batches()
+            out = list(_score_batches(batches, blk, stream_id, score, k, q_is_stream, qid, id_col))
+        schema = pa.schema([(qid, one.schema.field(qid).type if qid in one.column_names else two.schema.field(qid).type),
+                            (id_col, one.schema.field(id_col).type if id_col in one.column_names else two.schema.field(id_col).type),
+                            ("d2", pa.float64())])
+        return pa.Table.from_batches(out).cast(schema) if out else schema.empty_table()
+
+    return left.cogroup(right).applyInArrow(run, f"`{qid}` {qid_type}, `{id_col}` {id_type}, d2 double")
+
+
 def search_sparse(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "qid",
                   id_col: str = "id", max_broadcast: int = MAX_BROADCAST_ROWS,
                   broadcast_side: str | None = None,

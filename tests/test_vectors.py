@@ -116,3 +116,18 @@ def test_dense_ranks_are_exact_for_close_large_vectors(spark):
     v = spark.createDataFrame([(i, [base[0] + i * 1e-4, base[1], base[2]]) for i in range(50)], "id int, vec array<double>")
     q = spark.createDataFrame([(7, base)], "qid int, vec array<double>")
     assert [r["id"] for r in V.knn_dense(q, v, k=5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_both_sides_large_is_one_plan_of_block_pairs(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(70, 4)), rng.normal(size=(90, 4))
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "qid int, vec array<double>")
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "id int, vec array<double>")
+    for side in ("queries", "corpus"):
+        hits = V.knn_dense(q, c, k=3, max_broadcast=12, broadcast_side=side)
+        plan = hits._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("FlatMapCoGroupsInArrow") == 1 and "Union" not in plan
+        got = {(r["qid"], r["rank"]): r["id"] for r in hits.collect()}
+        d2 = ((x[:, None] - y[None]) ** 2).sum(axis=2)
+        assert got == {(i, j + 1): int(c) for i in range(70) for j, c in enumerate(np.argsort(d2[i], kind="stable")[:3])}
