@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salescope.plans.oracle import _KPI_COLS, _KPI_COLS_D, ORACLE, SALES_CTE
+from salescope.plans.oracle import _KPI_COLS, ORACLE, SALES_CTE
 
 # Fixed values, written out apart from the implementation's: missing-value tokens of a pandas CSV
 # read, and the characters that Python's str.strip() removes (as code points).

@@ -7,7 +7,6 @@ executor only re-runs its task; nothing is kept on a machine-local disk.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def land_dataset(clean: DataFrame, root: str, dataset: str) -> None:
