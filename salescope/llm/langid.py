@@ -18,14 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salescope.llm.common import small
-from salescope.llm.process import per_process
+from salescope.llm.process import give_back, per_process
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 #: bounds of the training sample: documents per language (in expectation) and in all, and landmarks
 SAMPLE_PER_LANG, SAMPLE_TOTAL, LANDMARKS = 300, 2400, 240
 RIDGE = 1e-3
-BATCH_ROWS, BATCH_CHARS = 64, 1 << 21
+BATCH_ROWS, BATCH_CHARS = 64, 1 << 18
+#: rows of an Arrow batch that are turned into Python strings at once
+SLICE_ROWS = 512
 UND = "und"
 
 
@@ -151,12 +153,12 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, total: int = SAMPLE_TO
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
             bits, has = [], []
-            for a, b in _pieces(texts):
-                x, h = presence(texts[a:b])
-                bits += [r.tobytes() for r in np.packbits(x, axis=1)]
-                has += h.tolist()
+            for texts in _strings(batch.column(2)):
+                for a, b in _pieces(texts):
+                    x, h = presence(texts[a:b])
+                    bits += [r.tobytes() for r in np.packbits(x, axis=1)]
+                    has += h.tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())],
                                              ["lang", "draw", "bits"]).filter(pa.array(has, pa.bool_()))
 
@@ -165,18 +167,23 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, total: int = SAMPLE_TO
     return fit_arrays(x, rows["lang"].to_pylist())
 
 
-def _named(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
+def _strings(column: pa.Array):
+    """A text column as lists of at most SLICE_ROWS strings; nulls are empty."""
+    for lo in range(0, len(column), SLICE_ROWS):
+        yield [t or "" for t in column.slice(lo, SLICE_ROWS).to_pylist()]
+
+
+def _named(column: pa.Array, model: Model) -> tuple[list[str], list[float]]:
     """Language and score of every text, in pieces of bounded size."""
     names, scores = [], []
-    for a, b in _pieces(texts):
-        if not model.langs:
-            names += [UND] * (b - a)
-            scores += [0.0] * (b - a)
-            continue
-        x, has = presence(texts[a:b])
-        f = model.decide(x)
-        names += [model.langs[i] if h else UND for i, h in zip(f.argmax(axis=1), has, strict=True)]
-        scores += np.where(has, np.clip((f.max(axis=1) + 1) / 2, 0.0, 1.0), 0.0).tolist()
+    if not model.langs:
+        return [UND] * len(column), [0.0] * len(column)
+    for texts in _strings(column):
+        for a, b in _pieces(texts):
+            x, has = presence(texts[a:b])
+            f = model.decide(x)
+            names += [model.langs[i] if h else UND for i, h in zip(f.argmax(axis=1), has, strict=True)]
+            scores += np.where(has, np.clip((f.max(axis=1) + 1) / 2, 0.0, 1.0), 0.0).tolist()
     return names, scores
 
 
@@ -188,9 +195,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     def run(batches):
         for batch in batches:
-            names, scores = _named([t or "" for t in batch.column(2).to_pylist()], model)
+            names, scores = _named(batch.column(2), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              ["doc_id", "held_out", "lang_pred", "score"])
+        give_back()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -206,7 +214,8 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            names, _ = _named([t or "" for t in batch.column(at).to_pylist()], model)
+            names, _ = _named(batch.column(at), model)
             yield batch.filter(pa.array([n != UND for n in names], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

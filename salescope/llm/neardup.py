@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from salescope.llm import wordhash
 from salescope.llm.common import land, small
 from salescope.llm.components import connected_components
+from salescope.llm.process import give_back
 
 SHINGLE, THRESHOLD = 4, 80
 #: 40 bands of 6 minima: a pair at similarity 0.8 shares no band with probability 5e-6
@@ -114,6 +115,7 @@ def sketch(docs: DataFrame, k: int = SHINGLE, rows: int = ROWS, bands: int = BAN
                  pa.array(two, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                  pa.array(marks, pa.binary())],
                 ["row", "doc_id", "n_shingles", "k1", "k2", "sig", "bands", "marks"])
+        give_back()
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                          F.col("text").cast("string").alias("text"))
@@ -133,6 +135,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 keep.append(linked(np.frombuffer(sa.as_py(), np.uint64), np.frombuffer(sb.as_py(), np.uint64), threshold))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+        give_back()
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -181,6 +184,7 @@ def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, k: int) -> Dat
                     out.append(u.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(out, pa.binary())],
                                              ["x1", "x2", "set"])
+        give_back()
 
     made = source.mapInArrow(run, "x1 long, x2 long, set binary")
     named = want.select("node", "k1", "k2")

@@ -15,7 +15,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2 ** 64)
 #: bytes that are handled at once; a longer text is a chunk of its own
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
