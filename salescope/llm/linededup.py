@@ -66,12 +66,16 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """
     rows, removed = repeated_lines(docs, min_run)
     none = F.array().cast("array<int>")
-    plan = (rows.join(removed.withColumnRenamed("row", "__r"), F.col("row") == F.col("__r"), "left")
-            .select(F.col("doc_id").alias("__d"), F.col("tie").alias("__t"), "n_lines", F.coalesce("lines", none).alias("removed"),
-                    F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("row")).alias("__n")))
-    t = docs.select("doc_id", text_or_empty("text").alias("t")).withColumn("tie", F.xxhash64("t"))
-    t = t.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy(F.lit(0))))
-    both = t.join(plan, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("tie") == F.col("__t")) & (F.col("nth") == F.col("__n")))
+    key = F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("tie"))
+    plan = rows.join(removed.withColumnRenamed("row", "__r"), F.col("row") == F.col("__r"), "left")
+    # rows equal in id and text: all after the first repeat it and lose the same lines, so two lists do
+    plan = (plan.select(key.alias("__k"), "row", "n_lines", F.coalesce("lines", none).alias("lines")).groupBy("__k")
+            .agg(F.first("n_lines").alias("n_lines"), F.min_by("lines", "row").alias("__one"), F.max_by("lines", "row").alias("__more")))
+    t = docs.select("doc_id", text_or_empty("text").alias("t")).withColumn("tie", F.xxhash64("t")).withColumn("key", key)
+    # the text is dealt once, by the key of both the count and the join
+    t = t.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+    both = t.join(plan, F.col("key") == F.col("__k"))
+    both = both.withColumn("removed", F.when(F.col("nth") == 1, F.col("__one")).otherwise(F.col("__more")))
     lines = text_lines(F.col("t"))
     stay = F.filter(F.arrays_zip(lines.alias("l"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i")),
                     lambda x: ~F.array_contains("removed", x["i"]))
