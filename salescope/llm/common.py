@@ -32,6 +32,15 @@ def text_or_empty(text: Column | str) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def row_key() -> tuple[Column, Column]:
+    """128 bits that name a document by its id and its text; rows without an id are told apart by their texts.
+
+    A null text counts as an empty one.
+    """
+    t, d, bare = text_or_empty("text"), F.col("doc_id"), F.col("doc_id").isNull()
+    return F.xxhash64(d, bare, t), F.xxhash64(t, d, bare)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only.  ``lower`` is faster and equal on pure ASCII texts."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

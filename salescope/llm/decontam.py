@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salescope.llm.common import ascii_lower, land, small, text_or_empty
+from salescope.llm.common import ascii_lower, land, row_key, small, text_or_empty
 
 WINDOW = 13
 #: how many of a window's rarest terms are intersected before the word-by-word check
@@ -43,22 +43,26 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> tuple[DataFrame,
 class PositionalIndex:
     """Postings of the training texts for a vocabulary, landed in the shared folder.
 
-    ``docs``: row (unique number), doc_id, n_words.  ``postings``: term id, row, pos (0-based).
+    ``docs``: row (unique number), doc_id, x1, x2 (row key), n_words.  ``postings``: term id, row, pos (0-based).
     """
 
     def __init__(self, docs: DataFrame, vocabulary: DataFrame):
         """``vocabulary``: distinct (term, tid); it is broadcast only if its counted rows allow."""
-        numbered = docs.select("doc_id", text_or_empty("text").alias("t"))
-        words = numbered.select(F.monotonically_increasing_id().alias("row"), "doc_id", normal_words(F.col("t")).alias("w"))
+        one, two = row_key()
+        numbered = docs.select("doc_id", text_or_empty("text").alias("t"), one.alias("x1"), two.alias("x2"))
+        words = numbered.select(F.monotonically_increasing_id().alias("row"), "doc_id", "x1", "x2", normal_words(F.col("t")).alias("w"))
         self.n_terms = vocabulary.count()
-        tokens = words.select("row", "doc_id", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "term"))
+        tokens = words.select("row", "doc_id", "x1", "x2", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "term"))
         known = tokens.join(small(vocabulary.select("term", "tid"), self.n_terms), "term", "left")
         # every row keeps its first token, so that documents without any known term stay in the index
-        kept = known.filter(F.col("tid").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0))
-        self.table = land(kept.select("tid", "row", "pos", "n_words", "doc_id"), "postings")
+        first = F.col("pos").isNull() | (F.col("pos") == 0)
+        kept = known.filter(F.col("tid").isNotNull() | first)
+        # the row key is written once a document, with its first token
+        self.table = land(kept.select("tid", "row", "pos", "n_words", "doc_id", F.when(first, F.col("x1")).alias("x1"),
+                                      F.when(first, F.col("x2")).alias("x2")), "postings")
         self.postings = self.table.filter(F.col("tid").isNotNull()).select("tid", "row", "pos")
-        self.docs = (self.table.filter(F.col("pos").isNull() | (F.col("pos") == 0))
-                     .select("row", "doc_id", F.greatest("n_words", F.lit(0)).cast("long").alias("n_words")))
+        self.docs = (self.table.filter(first)
+                     .select("row", "doc_id", "x1", "x2", F.greatest("n_words", F.lit(0)).cast("long").alias("n_words")))
         self.frequency = land(self.postings.groupBy("tid").agg(F.count("*").alias("cf")), "postings-cf")
 
     def phrases(self, windows: DataFrame, anchors: int = ANCHORS) -> DataFrame:
@@ -134,6 +138,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hit_sh
     Null and empty texts have no words and are clean; an empty benchmark hits nothing; repeated rows
     are judged one by one.
     """
+    return judge(docs, benchmark, n, hit_share).drop("x1", "x2")
+
+
+def judge(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hit_share: int = HIT_SHARE) -> DataFrame:
+    """The rows of ``decontaminate`` with their row key (x1, x2)."""
     windows, member = benchmark_windows(benchmark, n)
     index = PositionalIndex(docs, vocabulary_of(windows))
     matches = land(index.phrases(with_term_ids(windows)), "phrases")
@@ -142,13 +151,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hit_sh
              .select("row", F.col("item_id").cast("string").alias("item")).distinct()
              .groupBy(F.col("row").alias("__i")).agg(F.sort_array(F.collect_list("item")).alias("items")))
     out = (index.docs.join(hits, F.col("row") == F.col("__r"), "left").join(items, F.col("row") == F.col("__i"), "left"))
-    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    out = out.select("doc_id", "x1", "x2", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                      F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return (out.withColumn("n_items", F.size("items").cast("long"))
             .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * hit_share >= F.col("n_words"))))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, columns unchanged."""
-    dirty = land(decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__d")).distinct(), "dirty")
-    return docs.join(small(dirty, dirty.count()), F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+    """The documents that are not contaminated, columns unchanged; null and repeated ids are judged by their own texts."""
+    dirty = judge(docs, benchmark).filter("contaminated").select(F.col("x1").alias("__1"), F.col("x2").alias("__2"))
+    dirty = land(dirty.distinct(), "dirty")
+    one, two = row_key()
+    return docs.join(small(dirty, dirty.count()), (one == F.col("__1")) & (two == F.col("__2")), "left_anti")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salescope.llm import wordhash
-from salescope.llm.common import land, small
+from salescope.llm.common import land, row_key, small
 from salescope.llm.components import connected_components
 from salescope.llm.process import give_back
 
@@ -77,7 +77,7 @@ def _set_keys(u: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(docs: DataFrame, k: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """One row per document: row, doc_id, n_shingles, k1, k2 (set name), sig (low bytes of the minima),
+    """One row per document: row, doc_id, x1, x2 (its row key), n_shingles, k1, k2 (set name), sig (low bytes of the minima),
     bands (64-bit bucket key per band), marks (their low 32 bits); null for an empty set.  Landed without the text."""
     n_hash = rows * bands
     mult, add = _family(n_hash)
@@ -85,7 +85,7 @@ def sketch(docs: DataFrame, k: int = SHINGLE, rows: int = ROWS, bands: int = BAN
     def run(batches):
         for batch in batches:
             sizes, one, two, sigs, keys, marks = [], [], [], [], [], []
-            for first, sets in shingle_sets(batch.column(2), k):
+            for first, sets in shingle_sets(batch.column(4), k):
                 lens = np.array([len(u) for u in sets])
                 filled = np.flatnonzero(lens)
                 minima = np.zeros((n_hash, len(filled)), np.uint32)
@@ -111,15 +111,16 @@ def sketch(docs: DataFrame, k: int = SHINGLE, rows: int = ROWS, bands: int = BAN
                     keys.append(None if n is None else key[n].astype(np.int64))
                     marks.append(None if n is None else key[n].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()),
+                [*batch.columns[:4], pa.array(sizes, pa.int64()), pa.array(one, pa.int64()),
                  pa.array(two, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                  pa.array(marks, pa.binary())],
-                ["row", "doc_id", "n_shingles", "k1", "k2", "sig", "bands", "marks"])
+                ["row", "doc_id", "x1", "x2", "n_shingles", "k1", "k2", "sig", "bands", "marks"])
         give_back()
 
+    one, two = row_key()
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                         F.col("text").cast("string").alias("text"))
-    return land(source.mapInArrow(run, "row long, doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<bigint>, marks binary"),
+                         one.alias("x1"), two.alias("x2"), F.col("text").cast("string").alias("text"))
+    return land(source.mapInArrow(run, "row long, doc_id long, x1 long, x2 long, n_shingles long, k1 long, k2 long, sig binary, bands array<bigint>, marks binary"),
                 "dup-sketch")
 
 
@@ -279,18 +280,28 @@ def _rest_of_buckets(members: DataFrame, sketches: DataFrame, docs: DataFrame, c
     return whole.groupBy(*group).applyInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE, agree: float = AGREE,
-                    block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept per document.
+def near_duplicates(docs: DataFrame, **params) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept per document; parameters as in :func:`decide`.
 
     Links are pairs with 100 * intersection >= ``threshold`` * union of their distinct ``k``-word
     shingles.  Texts without words (or null) are alone.  ``component_id`` is the least doc_id reachable;
     rows that repeat an id and text are linked like any copies; null ids are never the least, and a group
-    of null ids alone has a null component_id.
+    of null ids alone has a null component_id.  Exactly one row of a component is kept, whatever the ids.
+    """
+    return decide(docs, **params).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def decide(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE, agree: float = AGREE,
+           block: int = BLOCK) -> DataFrame:
+    """The rows of ``near_duplicates`` with their row key (x1, x2).
+
+    A component keeps its row of the least id, of the least row key among rows that share that id.
     """
     sketched = sketch(docs, k)
     some = sketched.filter("n_shingles > 0")
-    classes = land(some.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("row", "doc_id")).alias("r"), F.min("doc_id").alias("least"))
+    # nulls last, and no row number before the key, so that reruns keep the same row
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "x1", "x2", "row")).alias("least")
+    classes = land(some.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("row", "doc_id")).alias("r"), least)
                    .select("k1", "k2", "n_shingles", F.col("r.row").alias("node"), F.col("r.doc_id").alias("doc"), "least"), "dup-classes")
     n_classes = classes.count()
     firsts = classes.select(F.col("node").alias("__f"))
@@ -318,23 +329,32 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHINGL
     labels = land(connected_components(links.unionByName(more)), "dup-labels")
     joined = classes.join(labels.withColumnRenamed("node", "__l"), F.col("node") == F.col("__l"), "left")
     joined = land(joined.select("k1", "k2", "least", F.coalesce("component", "node").alias("comp")), "dup-joined")
-    lowest = joined.groupBy(F.col("comp").alias("__c")).agg(F.min("least").alias("component_id"))
+    lowest = joined.groupBy(F.col("comp").alias("__c")).agg(F.min("least").alias("least"))
     named = (joined.join(lowest, F.col("comp") == F.col("__c"))
-             .select(F.col("k1").alias("__1"), F.col("k2").alias("__2"), "component_id"))
-    rows = (some.select("doc_id", "n_shingles", "k1", "k2")
-            .join(named, (F.col("k1") == F.col("__1")) & (F.col("k2") == F.col("__2"))).select("doc_id", "n_shingles", "component_id"))
-    bare = sketched.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+             .select(F.col("k1").alias("__1"), F.col("k2").alias("__2"), lowest["least.doc_id"].alias("component_id"), lowest["least.row"].alias("__r")))
+    rows = (some.select("row", "doc_id", "x1", "x2", "n_shingles", "k1", "k2")
+            .join(named, (F.col("k1") == F.col("__1")) & (F.col("k2") == F.col("__2")))
+            .select("doc_id", "x1", "x2", "n_shingles", "component_id", (F.col("row") == F.col("__r")).alias("kept")))
+    bare = sketched.filter("n_shingles = 0").select("doc_id", "x1", "x2", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return rows.unionByName(bare)
 
 
 def keep_one_of_each(docs: DataFrame, **params) -> DataFrame:
-    """Documents without near duplicates: of every group the one with the least id stays, columns unchanged.
+    """Documents without near duplicates: one row of every group stays (see ``decide``), columns unchanged.
 
-    Rows that repeat a kept id are near copies or clashing ids; one of them stays.
+    Rows are told apart by id and text, so null and repeated ids lose nothing but near copies; of rows
+    equal in both, one stays.  Texts without words (or null) all stay.
     """
-    kept = land(near_duplicates(docs, **params).filter("kept").groupBy(F.col("doc_id").alias("__d"))
-                .agg(F.count("*").alias("rows")), "dup-kept")
-    n, repeats = kept.agg(F.count("*"), F.max("rows")).first()
-    ids = kept.select("__d")
-    out = docs.join(F.broadcast(ids) if n <= PICK_ROWS else ids, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if (repeats or 0) > 1 else out
+    keys = (decide(docs, **params).filter("n_shingles > 0").groupBy(F.col("x1").alias("__1"), F.col("x2").alias("__2"))
+            .agg(F.max("kept").alias("kept"), F.count("*").alias("rows")))
+    away = land(keys.filter("not kept or rows > 1"), "dup-away")
+    n, repeats = away.agg(F.count("*"), F.count_if("kept")).first()
+    one, two = row_key()
+    keyed = docs.withColumns({"__x1": one, "__x2": two})
+    same = (F.col("__x1") == F.col("__1")) & (F.col("__x2") == F.col("__2"))
+    pick = lambda k, rows: F.broadcast(k.select("__1", "__2")) if rows <= PICK_ROWS else k.select("__1", "__2")
+    out = keyed.join(pick(away, n), same, "left_anti")
+    if repeats:
+        again = keyed.join(pick(away.filter("kept"), repeats), same, "left_semi")
+        out = out.unionByName(again.dropDuplicates(["__x1", "__x2"]))
+    return out.select(*docs.columns)

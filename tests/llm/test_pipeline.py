@@ -32,6 +32,24 @@ def test_stages_keep_clean_documents_and_drop_what_they_reject(spark, tmpdir_pat
     assert sorted(r["shard"] for r in out[4].select("shard").distinct().collect())[-1] <= 15
 
 
+def test_stages_judge_rows_with_null_and_repeated_ids_by_their_own_texts(spark, tmpdir_path):
+    other = [f"{w} rivers run past old mills and over stones near {w} towns" for w in ("seven", "cold", "broad", "green")]
+    copy = "a copy that was taken from the very first document of this table"
+    passage = "the benchmark asks which of these four answers is the right one here today"
+    rows = [(None, other[0], "a"), (None, other[1], "b"), (8, other[2], "c"), (8, other[3], "d"),
+            (1, copy, "e"), (9, copy, "f"), (9, "nine has another text that nobody else wrote down", "g"),
+            (None, passage, "h"), (8, passage + " once more", "i"), (None, "a group of copies without any id at all", "j"),
+            (None, "a group of copies without any id at all", "k"), (None, None, "l"), (None, "", "m")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bench(spark, tmpdir_path, [(1, passage)])
+    unique = C.near_dedup(spark, d, tmpdir_path)
+    names = sorted(r["source"] for r in unique.collect())
+    assert unique.columns == d.columns
+    assert names in (sorted("abcdeg" + x + y + "lm") for x in ("h", "i", "hi") for y in "jk")
+    clean = sorted(r["source"] for r in C.decontamination(spark, d, tmpdir_path).collect())
+    assert clean == list("abcdefgjklm")
+
+
 def test_pipeline_of_an_empty_table(spark, tmpdir_path):
     bench(spark, tmpdir_path, [])
     assert [x.count() for x in stages(spark, empty(spark), tmpdir_path)] == [0] * 5
