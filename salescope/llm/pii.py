@@ -1,10 +1,10 @@
 """Personal data: exact base patterns plus bootstrapped contextual extraction (native Spark).
 
 Base: e-mail, IP, card and phone patterns with checks, as spans in code points.  Bootstrapping: the
-base spans are seed instances; the words around them, with the shape of the value, are lexical
-patterns.  Patterns and instances form a bipartite graph that Spark scores iteratively: a pattern is
+base spans are seed instances; the words around them, with the class of the value (digits, address,
+word), are lexical patterns.  Patterns and instances form a bipartite graph that Spark scores iteratively: a pattern is
 trusted by the share of its distinct instances that are trusted, an instance by its best pattern.
-Tokens in which a trusted pattern finds an unseen identifier become additional spans ``ctx_<kind>``.
+Tokens and chains of digit groups in which a trusted pattern finds an unseen identifier become additional spans ``ctx_<kind>``.
 """
 
 from __future__ import annotations
@@ -28,6 +28,14 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: a token with a digit or an at sign: what may be an identifier
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
+# a maximal chain of digit groups, as a phone or card number is written: it starts and ends at white space or
+# punctuation, and no group is left in the middle of a word
+_JOIN = "[ .()-]{1,3}"
+_GROUP = rf"[0-9]++(?={_JOIN}[0-9]|[)\]}}\"',;:.!?>-]*+(?:\s|$))"
+CHAIN = rf"(?<![^\s(\[{{\"'=:,;<+])(?<![0-9]{_JOIN})\+?+\(?+{_GROUP}(?:{_JOIN}{_GROUP})*+"
+#: digits of a chain: more than the longest card number is a list of numbers
+CHAIN_DIGITS = (5, 19)
+
 LEFT_CHARS, RIGHT_CHARS = 48, 32
 MIN_VALUE = 5
 ITERATIONS, MIN_SEEDS, TRUST = 3, 3, 0.6
@@ -93,44 +101,52 @@ def _tokens(t: Column) -> Column:
         m["start"], m["ord"], m["end"], F.substring(m["value"], m["skip"] + 1, m["end"] - m["start"]).alias("value")))
 
 
+def _chains(t: Column) -> Column:
+    """Chains of digit groups, with ``ord`` -2."""
+    count = lambda v: F.char_length(F.regexp_replace(v, "[^0-9]", ""))
+    fit = F.filter(match_spans(t, CHAIN), lambda m: count(m["value"]).between(*CHAIN_DIGITS))
+    return F.transform(fit, lambda m: F.struct(m["start"].alias("start"), F.lit(-2).alias("ord"), m["end"].alias("end"), m["value"].alias("value")))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One narrow landed row per document: ``row`` (its number), doc_id, ``base`` and ``mentions``."""
     d = docs.select("doc_id", text_or_empty("text").alias("t"))
     d = d.select("doc_id", "t", base_spans(F.col("t")).alias("b"))
-    tokens = F.when(F.col("t").rlike("[0-9@]"), _tokens(F.col("t"))).otherwise(
+    tokens = F.when(F.col("t").rlike("[0-9@]"), F.concat(_chains(F.col("t")), _tokens(F.col("t")))).otherwise(
         F.array().cast("array<struct<start:int,ord:int,end:int,value:string>>"))
     return land(d.select(F.monotonically_increasing_id().alias("row"), "doc_id",
                          F.transform("b", lambda m: F.struct(m["start"], m["ord"], m["end"])).alias("base"),
                          _contextual(F.col("t"), F.concat("b", tokens)).alias("mentions")), "pii-scan")
 
 
-def _shape(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(value), r"\p{L}+", "a"), r"[0-9]+", "9")
+def _class(value: Column) -> Column:
+    """What a value is, however it is written: grouping, separators and a sign make no difference."""
+    return F.when(value.contains("@"), "address").when(value.rlike(r"\p{L}"), "word").otherwise("digits")
 
 
 def mentions(scanned: DataFrame) -> DataFrame:
-    """One row per base span (``ord`` >= 0) or token that no base span overlaps (``ord`` -1)."""
+    """One row per base span (``ord`` >= 0), chain that no base span overlaps (-2) or token that neither overlaps (-1)."""
     m = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     by = Window.partitionBy("row").orderBy("start", "ord")
-    base_end, base_start = F.when(F.col("ord") >= 0, F.col("end")), F.when(F.col("ord") >= 0, F.col("start"))
-    m = (m.withColumn("__e", F.max(base_end).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-         .withColumn("__s", F.min(base_start).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
     free = ~F.coalesce(F.col("__e") > F.col("start"), F.lit(False)) & ~F.coalesce(F.col("__s") < F.col("end"), F.lit(False))
-    m = m.filter((F.col("ord") >= 0) | free).drop("__e", "__s")
+    for wins, stays in ((F.col("ord") >= 0, F.col("ord") >= 0), (F.col("ord") == -2, F.col("ord") != -1)):
+        m = (m.withColumn("__e", F.max(F.when(wins, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+             .withColumn("__s", F.min(F.when(wins, F.col("start"))).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
+        m = m.filter(stays | free).drop("__e", "__s")
     word = lambda c, p: F.lower(F.regexp_extract(c, p, 1))
-    return m.select("row", "start", "end", "ord", F.lower("value").alias("value"), _shape(F.col("value")).alias("shape"),
+    return m.select("row", "start", "end", "ord", F.lower("value").alias("value"), _class(F.col("value")).alias("class"),
                     word(F.col("left"), r"(\S*\s*)$").alias("l1"), word(F.col("left"), r"(\S*\s+\S*\s*)$").alias("l2"),
                     word(F.col("right"), r"^(\s*\S*)").alias("r1"))
 
 
 def _edges(ms: DataFrame) -> DataFrame:
-    """(pattern, mention): two words to the left, or one on either side, each with the value's shape."""
+    """(pattern, mention): two words to the left, or one on either side, each with the value's class."""
     both = F.array(F.struct(F.lit("L2").alias("t"), F.col("l2").alias("a"), F.lit("").alias("b")),
                    F.struct(F.lit("LR").alias("t"), F.col("l1").alias("a"), F.col("r1").alias("b")))
-    p = ms.select("row", "start", "end", "ord", "value", "shape", F.explode(both).alias("p"))
+    p = ms.select("row", "start", "end", "ord", "value", "class", F.explode(both).alias("p"))
     p = p.filter(F.trim("p.a") != "")
     return p.select("row", "start", "end", "ord", "value",
-                    F.xxhash64("p.t", F.regexp_replace(F.trim("p.a"), r"\s+", " "), F.trim("p.b"), "shape").alias("pattern"))
+                    F.xxhash64("p.t", F.regexp_replace(F.trim("p.a"), r"\s+", " "), F.trim("p.b"), "class").alias("pattern"))
 
 
 def bootstrap(ms: DataFrame, iterations: int = ITERATIONS, min_seeds: int = MIN_SEEDS, trust: float = TRUST) -> DataFrame:

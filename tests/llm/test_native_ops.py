@@ -174,6 +174,23 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert pii.personal_data(empty(spark)).count() == 0
 
 
+def test_bootstrapping_finds_every_kind_however_it_is_written(spark):
+    cases = [
+        (3, "please ring phone {} before noon", [f"+1 (947) 555-766{i}" for i in range(8)],
+         ["555 867 5309", "(555) 867-5309", "555.867.5310", "+49 1234"]),
+        (2, "then charge card {} this week", ["4111 1111 1111 1111", "5500-0055-5555-5559", "4012 8888 8888 1881", "4222222222222220",
+                                              "6011 0009 9013 9424", "4000 0566 5566 5556", "5555 5555 5555 4444"], ["4111 1111 1112", "99887766"]),
+        (1, "old server at {} went down", [f"10.0.0.{i}" for i in range(1, 8)], ["10.0.0.300", "10-20-30-40"]),
+        (0, "kindly write to {} for help", [f"joe{i}@mail.example.com" for i in range(7)], ["joe.doe@localhost"]),
+    ]
+    ts = [(text.format(v), k, v if new else None) for k, text, seeds, unseen in cases for new, vs in ((0, seeds), (1, unseen)) for v in vs]
+    ts += [("the years 1998 1999 2000 were long", None, None), ("order 12345 67890 came", None, None)]
+    d = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(ts)], "doc_id long, text string")
+    found = {r["doc_id"]: [tuple(s) for s in r["found"]] for r in pii.personal_data(d).collect()}
+    for i, (t, kind, value) in enumerate(ts):
+        assert found[i] == ([] if value is None else [(t.index(value), kind, t.index(value) + len(value))]), t
+
+
 # quality rules
 
 def test_base_counts_equal_brute_force(spark):
