@@ -4,19 +4,33 @@ Every source gets a word target: weights share a multiple of all words, a target
 ``max_epochs`` times its source's words, and what is cut off goes to the other sources by weight
 (water filling).  Whole epochs come first; the fractional rest is a weighted sample without
 replacement: each document draws the exponential key -ln(u) / w, where u is a hash of its id and w
-its quality weight, and the source's documents are taken in key order while the running total of
-words fits.  One closing document per source -- the one left over whose size is nearest to the gap,
-if it comes nearer than stopping -- brings the total close to the target without cutting a text.
+its quality weight.  A source's documents are walked in key order; each one that still fits into what
+is left of the word budget is taken, and one that does not is passed over.  When none fits any more, one
+closing document -- the one left over whose size is nearest to the gap, if it comes nearer than
+stopping -- may be added.
+
+The walk is distributed: a round takes the longest prefix (by a distributed prefix sum) of the
+documents no larger than the gap; the first that does not fit ends the round, and the next round looks
+only at documents no larger than the new gap.  That equals the walk one by one, because whatever a
+round passed over is larger than every later gap.  Rows with one draw (equal id and text) are one class
+in the prefix sum, and a cut may fall inside a class: then so many of its rows are taken as fit.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salescope.llm.common import WORD, land, running_totals, small, text_or_empty
 
 CYCLE = (5.0, 2.0, 1.0)
+DRAW = ("key", "id", "size", "crc")
+_CUTS = "array<struct<gap:bigint,upto:struct<key:double,id:bigint,size:bigint,crc:bigint>>>"
+_PARTS = "array<struct<draw:struct<key:double,id:bigint,size:bigint,crc:bigint>,take:bigint,n:bigint,words:bigint>>"
+#: share of its target by which whole documents may miss it
+TOLERANCE = 0.05
 
 
 def word_count(text: str = "text") -> Column:
@@ -67,65 +81,154 @@ def draw_keys(docs: DataFrame, salt: str) -> list[Column]:
             word_count().alias("size"), F.crc32(F.encode(text_or_empty("text"), "UTF-8")).alias("crc")]
 
 
+def _part(draw: Column, take: Column | int, words: Column | int) -> Column:
+    take, words = (c if isinstance(c, Column) else F.lit(c) for c in (take, words))
+    return F.struct(draw.alias("draw"), take.cast("long").alias("take"), F.col("n").alias("n"), words.cast("long").alias("words"))
+
+
+def _round(classes: DataFrame, gaps: DataFrame, n_sources: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """One round: (per source what it took, the classes it left).
+
+    ``classes``: source, draw columns, n.  ``gaps``: source, gap.
+    """
+    g = gaps.select(F.col("source").alias("__s"), "gap")
+    fits = (classes.join(small(g, n_sources), F.col("source").eqNullSafe(F.col("__s")))
+            .filter(F.col("size") <= F.col("gap")).drop("__s", "gap").withColumn("weight", F.col("n") * F.col("size")))
+    rows = (running_totals(fits, ["source"], [F.col(c) for c in DRAW], "weight", f"mix-{name}", n_sources)
+            .join(small(g, n_sources), F.col("source").eqNullSafe(F.col("__s"))))
+    draw, whole, before = F.struct(*DRAW), F.col("cum") <= F.col("gap"), F.col("cum") - F.col("weight")
+    part = F.when(~whole & (before <= F.col("gap")), F.floor((F.col("gap") - before) / F.col("size")).cast("long"))
+    taken = rows.withColumn("part", part).groupBy("source").agg(
+        F.first("gap").alias("gap"), F.max(F.when(whole, draw)).alias("upto"),
+        F.coalesce(F.max(F.when(whole, F.col("cum"))), F.lit(0).cast("long")).alias("used"),
+        F.max(F.when(F.col("part") > 0, _part(draw, F.col("part"), 0))).alias("partial"))
+    return land(taken, f"mix-taken-{name}"), rows.filter(~whole).select("source", *DRAW, "n")
+
+
 def source_cuts(docs: DataFrame, ratio: float, max_epochs: float, salt: str) -> tuple[DataFrame, DataFrame, int]:
     """(narrow, cuts, number of sources).
 
-    ``narrow``: source and draw (a struct) of every document, landed.  ``cuts``, one row per source:
-    source_size, target, epochs, ``upto`` (the last draw inside the fraction; null if none) and ``close``
-    (the draw of the closing document; null if none).
+    ``narrow``: source and draw of every document, landed.  ``cuts``, one row per source: source_size,
+    target, epochs; ``cuts``, an array of (gap, upto), one per round: documents no larger than gap whose
+    draw is at most upto are taken; and ``parts``, an array of (draw, take, n, words): of the n rows with
+    this draw, ``take`` are taken, and ``words`` words of one more.
     """
     narrow = land(docs.select("source", *draw_keys(docs, salt)), "mix-draws")
     targets = land(source_targets(narrow, ratio, max_epochs), "mix-targets")
     n_sources = targets.count()
-    order = [F.col(c) for c in ("key", "id", "size", "crc")]
-    totals = running_totals(narrow, ["source"], order, "size", "mix-keys", n_sources)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    t = targets.withColumnRenamed("source", "__s").withColumn("epochs", epochs)
-    rows = totals.join(small(t, n_sources), F.col("source").eqNullSafe(F.col("__s")))
-    rows = rows.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    draw = F.struct(*order)
-    inside = F.col("cum") <= F.col("rest")
-    cuts = (rows.groupBy("source").agg(
-        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("epochs").alias("epochs"),
-        F.max(F.when(inside, draw)).alias("upto"), (F.first("rest") - F.coalesce(F.max(F.when(inside, F.col("cum"))), F.lit(0))).alias("gap")))
+    state = targets.withColumn("epochs", epochs)
+    gaps = state.select("source", (F.floor("target") - F.col("epochs") * F.col("source_size")).cast("long").alias("gap"))
+    classes = narrow.filter(F.col("size") > 0).groupBy("source", *DRAW).agg(F.count("*").alias("n"))
+    rounds: list[DataFrame] = []
+    left, now = classes, gaps
+    while n_sources:
+        taken, left = _round(left, now, n_sources, str(len(rounds)))
+        if taken.isEmpty():
+            break
+        rounds.append(taken)
+        used = F.col("used") + F.coalesce(F.col("partial.take") * F.col("partial.draw.size"), F.lit(0).cast("long"))
+        now = taken.select("source", (F.col("gap") - used).alias("gap"))
+    if not rounds:
+        none = [F.array().cast(_CUTS).alias("cuts"), F.array().cast(_PARTS).alias("parts")]
+        steps = gaps.select("source", *none, F.lit(0).cast("long").alias("used"))
+    else:
+        # one row per source and round: rounds are few, since each ends with a smaller gap
+        steps = reduce(DataFrame.unionByName, rounds).groupBy("source").agg(
+            F.collect_list(F.when(F.col("upto").isNotNull(), F.struct("gap", "upto"))).cast(_CUTS).alias("cuts"),
+            F.collect_list("partial").cast(_PARTS).alias("parts"),
+            F.sum(F.col("used") + F.coalesce(F.col("partial.take") * F.col("partial.draw.size"), F.lit(0))).alias("used"))
+    steps = steps.withColumnRenamed("source", "__s")
+    g = gaps.withColumnRenamed("source", "__g")
+    cuts = (state.join(small(steps, n_sources), F.col("source").eqNullSafe(F.col("__s")), "left")
+            .join(small(g, n_sources), F.col("source").eqNullSafe(F.col("__g")))
+            .select("source", "source_size", "target", "epochs", F.coalesce("cuts", F.array().cast(_CUTS)).alias("cuts"),
+                    F.coalesce("parts", F.array().cast(_PARTS)).alias("parts"),
+                    (F.col("gap") - F.coalesce("used", F.lit(0).cast("long"))).alias("gap")))
     cuts = land(cuts, "mix-cuts")
-    # closing document: among those left out, the one nearest to the gap, if it comes nearer than stopping
-    left = (narrow.join(small(cuts.select(F.col("source").alias("__s"), "upto", "gap"), n_sources), F.col("source").eqNullSafe(F.col("__s")))
-            .filter((F.col("size") > 0) & (F.col("upto").isNull() | (draw > F.col("upto"))) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap"))))
-    closing = (left.groupBy(F.col("source").alias("__s"))
-               .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), draw.alias("draw"))).getField("draw").alias("close")))
-    cuts = land(cuts.join(small(closing, n_sources), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "gap"), "mix-closed")
-    return narrow, cuts, n_sources
+    # closing document: among those left out, the one nearest to the gap, if it comes nearer than stopping,
+    # or, where that misses the target by too much, the first one left out, cut
+    over = _with_cuts(classes, cuts, n_sources).filter((F.col("n") > F.col("__sure") + F.col("__some")) & (F.col("gap") > 0))
+    draw, miss = F.struct(*DRAW), F.abs(F.col("size") - F.col("gap"))
+    closing = (over.groupBy(F.col("source").alias("__s"))
+               .agg(F.first("gap").alias("__gap"), F.first("target").alias("__target"),
+                    F.min(F.when(miss < F.col("gap"), F.struct(miss.alias("miss"), draw.alias("draw"), _part(draw, 1, 0).alias("part")))).alias("near"),
+                    F.min(F.struct(draw.alias("draw"), _part(draw, 0, F.col("gap")).alias("part"))).alias("next"))
+               .select("__s", F.when(F.coalesce("near.miss", "__gap") > F.lit(TOLERANCE) * F.col("__target"), F.col("next.part"))
+                       .otherwise(F.col("near.part")).alias("close")))
+    cuts = (cuts.join(small(closing, n_sources), F.col("source").eqNullSafe(F.col("__s")), "left")
+            .withColumn("parts", F.when(F.col("close").isNull(), F.col("parts")).otherwise(F.concat("parts", F.array("close"))).cast(_PARTS))
+            .drop("__s", "close"))
+    return narrow, land(cuts, "mix-closed"), n_sources
+
+
+def _with_cuts(rows: DataFrame, cuts: DataFrame, n_sources: int) -> DataFrame:
+    """Join each row's source; add ``__sure`` (n if all rows of its draw are taken, else 0), ``__some`` (how
+    many of them are, where the cut falls inside the class) and ``__words`` (those of the cut row)."""
+    draw = F.struct(*DRAW)
+    inside = F.exists("cuts", lambda c: (F.col("size") <= c["gap"]) & (draw <= c["upto"]))
+    own = F.filter("parts", lambda p: p["draw"] == draw)
+    some, cut = (F.aggregate(own, F.lit(0).cast("long"), lambda a, p: a + p[f]) for f in ("take", "words"))
+    joined = rows.join(small(cuts.withColumnRenamed("source", "__s"), n_sources), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    return (joined.withColumn("__some", some).withColumn("__words", cut)
+            .withColumn("__sure", F.when(inside & (F.col("size") > 0), F.col("n") if "n" in rows.columns else F.lit(1).cast("long"))
+                        .otherwise(F.lit(0).cast("long"))))
+
+
+def _extra(rows: DataFrame, cuts: DataFrame, n_sources: int, ties: list[Column], name: str) -> DataFrame:
+    """``rows`` (one per document, draw columns beside ``source``) with ``whole``, its epochs plus 0 or 1,
+    and ``part``, words of a cut document.
+
+    Only rows of a class that a cut divides are numbered, in the order of ``ties`` (equal rows in any
+    order); every other row's copies follow from its own draw and its source's cuts, without a shuffle.
+    """
+    joined = _with_cuts(rows, cuts, n_sources)
+    own = F.get(F.filter("parts", lambda p: p["draw"] == F.struct(*DRAW)), F.lit(0))["n"]
+    divided, none = F.coalesce(own > 1, F.lit(False)) & (F.col("__sure") == 0), F.lit(0).cast("long")
 
+    def decided(df: DataFrame, place: Column) -> DataFrame:
+        whole = F.greatest(F.col("__sure"), (place <= F.col("__some")).cast("long"))
+        return df.select(*rows.columns, "source_size", "target", (F.col("epochs") + whole).alias("whole"),
+                         F.when(place == F.col("__some") + 1, F.col("__words")).otherwise(none).alias("part"))
 
-def _copies() -> Column:
-    draw = F.struct("key", "id", "size", "crc")
-    extra = F.coalesce(draw <= F.col("upto"), F.lit(False)) | F.coalesce(draw == F.col("close"), F.lit(False))
-    return F.col("epochs") + extra.cast("long")
+    lone = decided(joined.filter(~divided), F.lit(1).cast("long"))
+    if cuts.filter(F.exists("parts", lambda p: p["n"] > 1)).isEmpty():  # no class of several rows is divided
+        return lone
+    shared = running_totals(joined.filter(divided).withColumn("__one", F.lit(1).cast("long")), ["source", *DRAW], ties, "__one",
+                            f"mix-{name}", n_sources * 64)
+    return lone.unionByName(decided(shared, F.col("rn")))
 
 
 def mix_plan(docs: DataFrame, ratio: float = 1.5, max_epochs: float = 2.0, salt: str = "mix") -> DataFrame:
-    """One narrow row per document: doc_id, source, size, source_size, target, copies, taken.
+    """One narrow row per document: doc_id, source, size, source_size, target, copies, part, taken.
 
-    ``copies`` is how often the mix takes the document, ``taken`` = copies * size.  Null texts have
+    ``copies`` is how often the mix holds the document, ``part`` the words of the last of them if that one
+    is cut (else 0), ``taken`` the words of all.  Null texts have
     size 0; a null source is a source of its own.  Reruns agree, because the draw is a hash of the id;
-    rows equal in id and text share a draw and are taken alike.
+    of rows equal in id and text, so many are taken as fit.  Very long texts are one draw like any other:
+    where they do not fit, smaller ones fill the gap.  An empty table gives an empty plan; other columns
+    are not read.
     """
     narrow, cuts, n = source_cuts(docs, ratio, max_epochs, salt)
-    rows = narrow.join(small(cuts.withColumnRenamed("source", "__s"), n), F.col("source").eqNullSafe(F.col("__s")))
-    return (rows.withColumn("copies", _copies())
-            .select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies",
-                    (F.col("copies") * F.col("size")).alias("taken")))
+    rows = _extra(narrow, cuts, n, [F.col(c) for c in DRAW], "numbered")
+    return rows.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target",
+                       (F.col("whole") + (F.col("part") > 0).cast("long")).alias("copies"), "part",
+                       (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, ratio: float = 1.5, max_epochs: float = 2.0, salt: str = "mix") -> DataFrame:
-    """The mixed documents: every row as often as the plan takes it, columns unchanged.
+    """The mixed documents: every row as often as the plan takes it, columns unchanged; a cut document's
+    ``text`` ends after its part (its other columns stay).
 
-    A row's copies follow from its own draw and its source's cut (one small row), so no text is shuffled.
+    A row's copies follow from its own draw and its source's cuts (one small row), so no text is
+    shuffled but those of equal rows that a cut divides.
     """
     _, cuts, n = source_cuts(docs, ratio, max_epochs, salt)
-    cuts = small(cuts.withColumnRenamed("source", "__s"), n)
     drawn = docs.select(F.struct(*docs.columns).alias("__doc"), "source", *draw_keys(docs, salt))
-    rows = drawn.join(cuts, F.col("source").eqNullSafe(F.col("__s"))).select("__doc", _copies().alias("__n"))
-    return (rows.filter(F.col("__n") > 0).select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__i"))
-            .select("__doc.*"))
+    order = F.xxhash64(*[F.col(f"__doc.`{c}`") for c in docs.columns])
+    rows = _extra(drawn, cuts, n, [order], "documents")
+    # pieces of a text that each end with a word
+    begun = F.array_join(F.slice(F.split(F.col("__doc.text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("part").cast("int")), "")
+    cut = F.when(F.col("part") > 0, F.array(F.col("__doc").withField("text", begun))).otherwise(F.array().cast(rows.select(F.array("__doc")).schema[0].dataType))
+    return (rows.filter((F.col("whole") > 0) | (F.col("part") > 0))
+            .select(F.explode(F.concat(F.array_repeat("__doc", F.col("whole").cast("int")), cut)).alias("__doc")).select("__doc.*"))

@@ -26,7 +26,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.m,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)"""
 
 MIXING = rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 k AS (SELECT doc_id, source, len(regexp_extract_all(t, '{_WORD}')) AS size,
              round(0.25 + 0.75 * CASE WHEN length(t) > 0 THEN length(regexp_replace(t, '[^\p{{L}} ]+', '', 'g')) / length(t) ELSE 0.0 END, 6) AS wt,
@@ -40,15 +40,22 @@ l AS (SELECT *, (1.5 * sum(source_size) OVER ()::DOUBLE
                 / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM l AS x WHERE x.level * x.w <= x.cap ORDER BY x.cap / x.w, x.level LIMIT 1) * w, cap)) AS target
       FROM l),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
-r AS (SELECT n.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
-             sum(size) OVER (PARTITION BY n.source ORDER BY key, doc_id)::BIGINT AS cum
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs,
+             row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM t),
+r AS (SELECT n.*, e.source_size, e.target, e.epochs, e.sid, row_number() OVER (PARTITION BY e.sid ORDER BY key, doc_id) AS pos
       FROM n JOIN e ON n.source IS NOT DISTINCT FROM e.source),
-g AS (SELECT *, cum <= rest AS inside, rest - coalesce(max(CASE WHEN cum <= rest THEN cum END) OVER (PARTITION BY source), 0) AS gap FROM r),
-f AS (SELECT *, row_number() OVER (PARTITION BY source, NOT inside AND size > 0 AND abs(size - gap) < gap
-                                   ORDER BY abs(size - gap), key, doc_id) AS near FROM g)
+-- the budget left after whole epochs, document by document in draw order: one that fits is taken, others are passed over
+walk AS (SELECT sid, 0::BIGINT AS pos, floor(target)::BIGINT - epochs * source_size AS gap, false AS inside FROM e
+         UNION ALL
+         SELECT w.sid, r.pos, w.gap - CASE WHEN r.size <= w.gap THEN r.size ELSE 0 END, r.size <= w.gap
+         FROM walk w JOIN r ON r.sid = w.sid AND r.pos = w.pos + 1),
+g AS (SELECT r.*, walk.inside, min(walk.gap) OVER (PARTITION BY r.sid) AS gap FROM r JOIN walk ON walk.sid = r.sid AND walk.pos = r.pos),
+f AS (SELECT *, row_number() OVER (PARTITION BY sid, NOT inside AND size < 2 * gap ORDER BY abs(size - gap), key, doc_id) AS near,
+             row_number() OVER (PARTITION BY sid, inside OR size = 0 ORDER BY key, doc_id) AS first_out,
+             least(gap, coalesce(min(CASE WHEN NOT inside THEN abs(size - gap) END) OVER (PARTITION BY sid), gap)) > 0.05::DOUBLE * target AS cut FROM g)
 SELECT doc_id, size, source_size, target,
-       (epochs + CASE WHEN inside OR (size > 0 AND abs(size - gap) < gap AND near = 1) THEN 1 ELSE 0 END) * size AS taken
+       (epochs + CASE WHEN inside OR (NOT cut AND size < 2 * gap AND near = 1) THEN 1 ELSE 0 END) * size
+       + CASE WHEN cut AND NOT inside AND size > 0 AND first_out = 1 THEN gap ELSE 0 END AS taken
 FROM f"""
 
 LINE_DEDUP = r"""

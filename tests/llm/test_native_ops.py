@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -102,6 +103,55 @@ def test_mix_reruns_agree_and_documents_follow_the_plan(spark):
     assert mixed == collections.Counter({k: v for k, v in plan.items() if v})
 
 
+def walked(rows, gap):
+    """The documents one by one in draw order: what fits is taken."""
+    out = collections.Counter()
+    for r in sorted(rows, key=lambda r: (r["key"], r["id"] is not None, r["id"] or 0, r["size"], r["crc"])):
+        if 0 < r["size"] <= gap:
+            out[r["id"], r["size"], r["crc"]] += 1
+            gap -= r["size"]
+    return out, gap
+
+
+def test_rounds_equal_the_walk_one_by_one(spark):
+    rng = random.Random(3)
+    long = " ".join(["word"] * 3000)
+    rows = [(rng.choice([None, 1, 2, i]), long if i % 60 == 0 else " ".join(["w%d" % (i % 7)] * rng.randint(0, 40)), "en", "s%d" % (i % 4 and i % 3), i)
+            for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, place long")
+    narrow, cuts, _ = mixing.source_cuts(d, 0.4, 2.0, "mix")
+    by = collections.defaultdict(list)
+    for r in narrow.collect():
+        by[r["source"]].append(r)
+    close = {}
+    plan = collect(mixing.mix_plan(d, 0.4))
+    for r in plan:
+        close.setdefault(r["source"], [r["target"], r["source_size"], 0])[2] += r["taken"]
+    for s, (target, source_size, taken) in close.items():
+        epochs = int(target // source_size)
+        want, gap = walked(by[s], int(target) - epochs * source_size)
+        sizes = collections.Counter((r["id"], r["size"], r["crc"]) for r in by[s])
+        left = min([gap] + [abs(k[1] - gap) for k in sizes if sizes[k] > want[k] and k[1]])
+        assert abs(taken - int(target)) == (left if left <= 0.05 * target else 0)
+        whole = collections.Counter()
+        for r in plan:
+            if r["source"] == s and r["size"]:
+                whole[r["doc_id"], r["size"]] += r["copies"] - epochs
+        walk = collections.Counter()
+        for (i, size, _), n in want.items():
+            walk[i, size] += n
+        assert sum((whole - walk).values()) <= 1 and not walk - whole
+    mixed = mixing.mix_documents(d, 0.4)
+    assert mixed.columns == d.columns
+    assert sum(len(words(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in plan)
+
+
+def test_equal_rows_are_cut_inside_their_draw(spark):
+    d = spark.createDataFrame([(None, "a b c", "en", "s")] * 1000, "doc_id long, text string, lang string, source string")
+    assert sum(r["taken"] for r in collect(mixing.mix_plan(d, ratio=0.4))) == 1200
+    assert mixing.mix_documents(d, ratio=0.4).count() == 400
+
+
 def test_better_documents_are_drawn_more_often(spark):
     rows = [(i, ("word " if i % 2 else "#$%& ") * 10, "en", "a" if i < 2000 else "b") for i in range(8000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
