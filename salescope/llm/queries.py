@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from salescope.llm import decontam, kdshard, langid, linededup, mixing, neardup, pii, quality_clf, quality_rules, tokens
+from salescope.llm import (decontam, kdshard, langid, linededup, mixing, neardup, pieces, pii, quality_clf, quality_rules,
+                           tokens)
 from salescope.llm.common import documents
 from salescope.llm.oracles import ORACLE
 
@@ -71,6 +72,13 @@ def op10_token_output(spark, sf_dir):
     return tokens.token_output(documents(spark, sf_dir), tokenizer_file())
 
 
+def op12_sentencepiece(spark, sf_dir):
+    coded = pieces.encode_pieces(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 LLM_QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -82,5 +90,6 @@ LLM_QUERIES = {
     "op3_kd_tree_sharding": op3_kd_tree_sharding,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_mixing": op5_mixing,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 LLM_ORACLE: dict[str, str] = dict(ORACLE)
