@@ -85,9 +85,58 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+# crc32 of the decimal digits of an id: the table of its polynomial, then one step per digit
+_CRC_TABLE = """bits AS (SELECT b, 0 AS k, b AS c FROM (SELECT unnest(range(0, 256)) AS b)
+         UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8)"""
+
+
+def _crc(ident: str) -> str:
+    return (f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({ident}::VARCHAR, ''), lambda x: ascii(x)::BIGINT), "
+            "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+def _value(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+
+MANIFEST = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, source, {" || ".join(_value(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head, text,
+             CASE WHEN {_crc("doc_id")} % 5 = 0 THEN {_LOWER.format("text")} ELSE text END AS other FROM documents, tab),
+g AS (SELECT source, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS gid FROM (SELECT DISTINCT source FROM documents)),
+l AS (SELECT doc_id, gid, sha256(head || {_value("text")}) AS leaf, sha256(head || {_value("other")}) AS claimed,
+             row_number() OVER (PARTITION BY gid ORDER BY doc_id) - 1 AS pos
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+tree AS (SELECT gid, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY gid) AS n FROM l
+         UNION ALL
+         SELECT gid, level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM tree WHERE n > 1 GROUP BY gid, level, pos // 16),
+sub AS (SELECT gid, h, level AS top FROM tree WHERE n = 1),
+over AS (SELECT 0 AS level, gid AS pos, h, count(*) OVER () AS n FROM sub
+         UNION ALL
+         SELECT level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM over WHERE n > 1 GROUP BY level, pos // 16),
+root AS (SELECT h AS root FROM over WHERE n = 1),
+-- every node's siblings to its left and to its right
+side AS (SELECT a.gid, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lft,
+                coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS rgt
+         FROM tree a JOIN tree b ON a.gid = b.gid AND a.level = b.level AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY ALL),
+oside AS (SELECT a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lft,
+                 coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS rgt
+          FROM over a JOIN over b ON a.level = b.level AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY ALL),
+path AS (SELECT doc_id, side.level AS step, lft, rgt FROM l JOIN side ON side.gid = l.gid AND side.pos = l.pos // power(16, side.level)::BIGINT
+         UNION ALL
+         SELECT doc_id, top + oside.level, lft, rgt FROM l JOIN sub USING (gid) JOIN oside ON oside.pos = l.gid // power(16, oside.level)::BIGINT),
+walk AS (SELECT doc_id, 0 AS step, claimed AS h FROM l
+         UNION ALL SELECT w.doc_id, w.step + 1, sha256(p.lft || w.h || p.rgt) FROM walk w JOIN path p ON p.doc_id = w.doc_id AND p.step = w.step),
+folded AS (SELECT doc_id, arg_max(h, step) AS folded_root FROM walk GROUP BY doc_id),
+proof AS (SELECT doc_id, sha256(string_agg(lft || rgt, '' ORDER BY step)) AS proof_sha256 FROM path GROUP BY doc_id)
+SELECT l.doc_id, leaf, sub.h AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN sub USING (gid) JOIN folded USING (doc_id) LEFT JOIN proof USING (doc_id), root"""
+
 ORACLE = {
     "op4_minhash_near_dedup": NEAR_DUP,
     "op5_mixing": MIXING,
     "op6_line_dedup": LINE_DEDUP,
     "op8_decontamination": DECONTAMINATION,
+    "op13_merkle_manifest": MANIFEST,
 }

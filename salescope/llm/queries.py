@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from salescope.llm import (decontam, kdshard, langid, linededup, mixing, neardup, pieces, pii, quality_clf, quality_rules,
+from salescope.llm import (decontam, kdshard, langid, linededup, merkle, mixing, neardup, pieces, pii, quality_clf, quality_rules,
                            tokens)
-from salescope.llm.common import documents
+from salescope.llm.common import ascii_lower, documents
 from salescope.llm.oracles import ORACLE
 
 N_SHARDS = 16
@@ -79,6 +79,19 @@ def op12_sentencepiece(spark, sf_dir):
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    # where 5 divides the checksum of the id, the holder's text has lost its capitals
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    text = F.when(changed, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    claimed = merkle.leaf_digest([*[F.col(c) for c in LEAF_COLUMNS[:-1]], text])
+    out = merkle.manifest(documents(spark, sf_dir), "source", "doc_id", LEAF_COLUMNS, claimed)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root",
+                      (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 LLM_QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -91,5 +104,6 @@ LLM_QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_mixing": op5_mixing,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 LLM_ORACLE: dict[str, str] = dict(ORACLE)
