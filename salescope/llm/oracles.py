@@ -1,7 +1,8 @@
 """DuckDB SQL of the training-data queries that SQL can express.
 
 Language ID, the classifier, personal data (iterated graph scores), quality rules (concentration
-steps), sharding (its CRC-32 column) and token output have none; their tests hold them against brute force.
+steps), sharding (its CRC-32 column), token output and SentencePiece pieces have none; their tests hold them
+against brute force or the library itself.
 """
 
 from __future__ import annotations
@@ -133,10 +134,28 @@ proof AS (SELECT doc_id, sha256(string_agg(lft || rgt, '' ORDER BY step)) AS pro
 SELECT l.doc_id, leaf, sub.h AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM l JOIN sub USING (gid) JOIN folded USING (doc_id) LEFT JOIN proof USING (doc_id), root"""
 
+TRIE = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+own AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS v
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, v, {_crc("c")} % 6 AS h FROM own, tab),
+b AS (SELECT h.c, coalesce(own.v[1:h.h], []) || h.v[h.h + 1:] AS v FROM h LEFT JOIN own ON own.c = h.c - h.c % 100),
+pre AS (SELECT c, v, unnest(range(0, len(v) + 1)) AS d FROM b),
+nodes AS (SELECT v[1:d] AS p, d AS depth, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = len(v)), '') AS ends
+          FROM pre GROUP BY ALL),
+kids AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)),
+up AS (SELECT p[1:a] AS p, n_children = 0 AS leaf, CASE WHEN depth > 0 THEN (n_convs - 1) * length(p[depth].t) ELSE 0 END AS saved
+       FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM full_nodes)),
+sums AS (SELECT p, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY p)
+SELECT f.conv_id, f.depth, parent.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_nodes f JOIN sums USING (p) LEFT JOIN nodes parent ON f.depth > 0 AND parent.p = f.p[1:f.depth - 1]"""
+
 ORACLE = {
     "op4_minhash_near_dedup": NEAR_DUP,
     "op5_mixing": MIXING,
     "op6_line_dedup": LINE_DEDUP,
     "op8_decontamination": DECONTAMINATION,
+    "op11_prefix_trie": TRIE,
     "op13_merkle_manifest": MANIFEST,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from salescope.llm import (decontam, kdshard, langid, linededup, merkle, mixing, neardup, pieces, pii, quality_clf, quality_rules,
-                           tokens)
+                           tokens, turntrie)
 from salescope.llm.common import ascii_lower, documents
 from salescope.llm.oracles import ORACLE
 
@@ -92,6 +92,10 @@ def op13_merkle_manifest(spark, sf_dir):
                       (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return turntrie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 LLM_QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -103,6 +107,7 @@ LLM_QUERIES = {
     "op3_kd_tree_sharding": op3_kd_tree_sharding,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_mixing": op5_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
