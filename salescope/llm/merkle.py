@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salescope.llm.common import land, running_totals, small
+from salescope.llm.process import give_back
 
 FANOUT = 16
 #: a block holds FANOUT ** BLOCK_LEVELS leaves
@@ -171,6 +172,8 @@ def _manifest_rows(own: pa.Table, above: pa.Table, levels: int) -> pa.Table:
         seen.update(tail.encode())
         out.append((seen.hexdigest(), node, nodes))
     n = len(own)
+    if n >= 1024:
+        give_back()
     return pa.table({"doc_id": own["doc_id"], "leaf": own["digest"].cast(pa.string()),
                      "subroot": pa.array([above["root"][0].as_py()] * n, pa.string()),
                      "root": pa.array([above["top"][0].as_py()] * n, pa.string()),
@@ -184,7 +187,7 @@ def manifest(docs: DataFrame, group: str, key: str, columns: list[str], claimed:
     """One row per document: ``key`` (as doc_id), leaf, subroot, root, proof_sha256, folded_root, sid, pos, proof_nodes.
 
     ``leaf`` digests ``columns``; leaves stand by ``key`` (nulls first) inside their ``group``, groups by
-    their UTF-8 bytes (null first).  ``claimed`` is the leaf that a holder of the row would present (default:
+    their UTF-8 bytes (null first).  ``claimed`` is the leaf that a holder of the row would present (null:
     the leaf itself); ``folded_root`` is what it and the row's siblings lead to, so it equals ``root`` only for
     untampered rows.  ``proof_sha256`` digests all siblings, level by level, left to right; ``proof_nodes``
     counts them; ``sid`` and ``pos`` are the group's and the row's places.
@@ -194,9 +197,8 @@ def manifest(docs: DataFrame, group: str, key: str, columns: list[str], claimed:
     size is dealt to blocks, a group of one row is its own subroot.
     """
     leaf = leaf_digest([F.col(c) for c in columns])
-    rows = docs.select(F.col(group).cast("string").alias("grp"), F.col(key).cast("long").alias("doc_id"), leaf.alias("digest"),
-                       (claimed if claimed is not None else leaf).alias("claimed"))
-    rows = land(rows.withColumn("claimed", F.when(F.col("claimed") != F.col("digest"), F.col("claimed"))), "merkle-leaves")
+    rows = land(docs.select(F.col(group).cast("string").alias("grp"), F.col(key).cast("long").alias("doc_id"), leaf.alias("digest"),
+                            (claimed if claimed is not None else F.lit(None).cast("string")).alias("claimed")), "merkle-leaves")
     # places of the groups, then of the rows in them
     sizes = land(rows.groupBy("grp").agg(F.count("*").alias("n")), "merkle-groups")
     groups = sizes.count()
