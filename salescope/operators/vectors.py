@@ -4,9 +4,9 @@ Distances are squared L2, exact, ascending, ties broken by id -- a flat index, a
 reference uses, but parallel over partitions:
 
 * The **smaller** side (checked against ``max_broadcast`` rows and ``MAX_BROADCAST_CELLS``) is
-  collected once and broadcast.  When it is over either bound, both sides are dealt to a grid
-  of blocks by a hash of the row, and executors score block pairs (``cogroup``): one plan,
-  no loop over blocks, nothing but a count reaches the driver.
+  collected once and broadcast.  When it is over either bound, the corpus is dealt to blocks of
+  near neighbours and each query visits only blocks whose bound lets them hold a better vector
+  (:mod:`salescope.operators.pruned`).
 * The **larger** side is streamed through ``mapInArrow``.  Each Arrow batch is scored
   against the broadcast block with numpy, and each task keeps a running top-k per query,
   so a task emits at most ``queries x k`` rows however much data it reads.  No cross
@@ -366,40 +366,12 @@ def _search(queries: DataFrame, corpus: DataFrame, qid: str, id_col: str, k: int
         blk = make_block(_collect_side(side, max_broadcast), side_id)
         cands = _scan_topk(stream, stream_id, blk, score, k, corpus_small, qid, id_col, id_type, qid_type, [stream_id, *payload])
     else:
-        cands = _grid_topk(side, side_id, _n_blocks(rows, cells, max_broadcast), stream, stream_id, payload, make_block, score, k,
-                           corpus_small, qid, id_col, id_type, qid_type, max_broadcast)
-    return _final_topk(cands, qid, id_col, k)
-
-
-def _grid_topk(side: DataFrame, side_id: str, n_side: int, stream: DataFrame, stream_id: str, payload: list[str], make_block,
-               score, k: int, q_is_stream: bool, qid: str, id_col: str, id_type: str, qid_type: str, max_rows: int) -> DataFrame:
-    """Top-k candidates of every pair of blocks, scored on the executors.
+        from salescope.operators import pruned  # it builds on this module
 
-    Rows go to blocks by a hash of a row number, so equal ids are split too.  Each side is copied once
-    per block of the other; a group holds one block of each, and gives at most queries x k rows.
-    """
-    stream = materialize(stream.select(stream_id, *payload))
-    n_stream = _n_blocks(*_size(stream, payload[0]), max_rows)
-
-    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_own)).cast("int")
-        return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
-    left = dealt(side, "_side", n_side, "_stream", n_stream).groupBy("_side", "_stream")
-    right = dealt(stream, "_stream", n_stream, "_side", n_side).groupBy("_side", "_stream")
-
-    def run(one: pa.Table, two: pa.Table) -> pa.Table:
-        out = []
-        if one.num_rows and two.num_rows:
-            blk = _build_side(make_block(one, side_id))
-            batches = two.select([stream_id, *payload]).combine_chunks().to_batches()
-            out = list(_score_batches(batches, blk, stream_id, score, k, q_is_stream, qid, id_col))
-        schema = pa.schema([(qid, one.schema.field(qid).type if qid in one.column_names else two.schema.field(qid).type),
-                            (id_col, one.schema.field(id_col).type if id_col in one.column_names else two.schema.field(id_col).type),
-                            ("d2", pa.float64())])
-        return pa.Table.from_batches(out).cast(schema) if out else schema.empty_table()
-
-    return left.cogroup(right).applyInArrow(run, f"`{qid}` {qid_type}, `{id_col}` {id_type}, d2 double")
+        other = materialize(stream.select(stream_id, *payload))
+        q, c = (other, side) if corpus_small else (side, other)
+        cands = pruned.candidates(q, c, qid, id_col, k, payload, make_block, score, max_broadcast)
+    return _final_topk(cands, qid, id_col, k)
 
 
 def search_sparse(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "qid",
