@@ -76,6 +76,54 @@ def to_number(col: Column | str) -> Column:
     return F.coalesce(F.nanvl(parsed, F.lit(0.0)), F.lit(0.0))
 
 
+def _by_formats(s: Column) -> Column:
+    """The definition: the first layout that parses the text.  Every failed try costs an exception."""
+    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
+    short = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in SHORT_YEAR_FORMATS])
+    short = F.when(F.year(short) >= 2069, short - F.expr("INTERVAL 100 YEARS")).otherwise(short)
+    return F.coalesce(parsed, short).cast("timestamp_ntz")
+
+
+def _by_shape(s: Column) -> Column:
+    """The same for texts of the usual shapes; NULL for any other text.
+
+    Where separators, letters and colons stand decides the one layout to try, so that a try rarely
+    fails; only a first number of 12 or less leaves month-first and day-first open.
+    """
+    size, slash, dash = F.length(s), F.instr(s, "/"), F.instr(s, "-")
+    letters, colon = s.rlike("[A-Za-z]"), F.instr(s, ":")
+    # four characters after the last separator, or two
+    year_last = F.substring(s, -5, 1).isin("/", "-") & ~F.substring(s, -3, 1).isin("/", "-")
+    seconds = F.substring(s, -6, 1) == ":"
+
+    def at(fmt: str) -> Column:
+        return F.try_to_timestamp(s, F.lit(fmt))
+
+    def either(month_first: str, day_first: str, sep: str) -> Column:
+        first = F.substring_index(s, sep, 1).try_cast("int")
+        return F.when(first > 12, at(day_first)).otherwise(F.coalesce(at(month_first), at(day_first)))
+
+    def century(t: Column) -> Column:
+        return F.when(F.year(t) >= 2069, t - F.expr("INTERVAL 100 YEARS")).otherwise(t)
+
+    near = F.when(slash > 0, slash).otherwise(dash).between(2, 3)  # one or two characters before the first separator
+    lettered = (F.when((size == 19) & (dash == 5), at("yyyy-MM-dd'T'HH:mm:ss"))
+                .when(dash > 0, at("d-MMM-yyyy"))
+                .when(F.instr(s, ",") == 0, at("d MMM yyyy"))
+                .when(F.instr(s, " ") == 4, at("MMM d, yyyy")).otherwise(at("MMMM d, yyyy")))
+    timed = (F.when((dash == 5) & (size == 19), at("yyyy-MM-dd HH:mm:ss"))
+             .when(near & (slash > 0) & seconds, either("M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss", "/"))
+             .when(near & (slash > 0), either("M/d/yyyy H:mm", "d/M/yyyy H:mm", "/")))
+    slashed = (F.when(near & year_last, either("M/d/yyyy", "d/M/yyyy", "/"))
+               .when(near, century(either("M/d/yy", "d/M/yy", "/")))
+               .when((slash == 5) & (size <= 10), at("yyyy/M/d")))
+    dashed = (F.when((dash == 5) & (size == 10), at("yyyy-MM-dd"))
+              .when(near & year_last, either("M-d-yyyy", "d-M-yyyy", "-"))
+              .when(near, century(either("M-d-yy", "d-M-yy", "-"))))
+    return (F.when(letters, lettered).when(colon > 0, timed).when(slash > 0, slashed).when(dash > 0, dashed)
+            .when(size == 8, at("yyyyMMdd"))).cast("timestamp_ntz")
+
+
 def parse_mixed_date(col: Column | str, strict: bool = True) -> Column:
     """Parse month-first, then day-first, then ISO dates.
 
@@ -85,10 +133,8 @@ def parse_mixed_date(col: Column | str, strict: bool = True) -> Column:
     """
     c = F.col(col) if isinstance(col, str) else col
     s = F.trim(c.cast("string"))
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
-    short = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in SHORT_YEAR_FORMATS])
-    short = F.when(F.year(short) >= 2069, short - F.expr("INTERVAL 100 YEARS")).otherwise(short)
-    parsed = F.coalesce(parsed, short).cast("timestamp_ntz")
+    # every layout has four digits or more: what has them and is none of the usual shapes is tried layout by layout
+    parsed = F.coalesce(_by_shape(s), F.when(F.regexp_count(s, F.lit("[0-9]")) >= 4, _by_formats(s)))
     if not strict:
         return parsed
     bad = s.isNotNull() & parsed.isNull()
