@@ -8,10 +8,14 @@ runs on the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv as _csv
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.functions.cleaning import apply_na_tokens, parse_mixed_date, strip_header, to_number
+from salescope.functions.cleaning import apply_na_tokens, na_to_null, parse_mixed_date, to_number
+from salescope.session import materialize
+from salescope.sources.partitioning import dimension_join
 
 # The reference's column names and the canonical names we give them.
 REFERENCE_COLUMNS = {
@@ -26,6 +30,8 @@ REFERENCE_COLUMNS = {
     "Profit": "profit",
 }
 NUMERIC = ("sales", "discount", "profit")
+#: different header lines that one read may meet
+MAX_LAYOUTS = 200
 
 
 def read_csv_raw(spark: SparkSession, path: str | list[str], encoding: str = "ISO-8859-1",
@@ -44,41 +50,67 @@ def read_csv_raw(spark: SparkSession, path: str | list[str], encoding: str = "IS
             .csv(path))
 
 
-def _header(spark: SparkSession, file: str, encoding: str) -> str | None:
-    """First line of a file in any store that Spark reads; None if it is empty."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
-    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
-    line = reader.readLine()
-    reader.close()
-    return line
+def file_layouts(spark: SparkSession, path: str | list[str], encoding: str = "ISO-8859-1") -> DataFrame:
+    """Header line of every non-empty file: ``(file, header)``, found on the executors.
+
+    The first line of a file is the first row of its block at offset 0; each task keeps one candidate
+    per file before the shuffle.  Nothing is opened, listed or read on the driver.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                         F.decode(F.col("value").cast("binary"), encoding).alias("line"))
+    return (lines.where(F.col("at") == 0).withColumn("nth", F.monotonically_increasing_id())
+            .groupBy("file").agg(F.min_by("line", "nth").alias("header")))
+
+
+def _names(header: str) -> list[str]:
+    """Column names of a header line, stripped; a name that comes again gets its place appended."""
+    cells = [c.strip() for c in next(_csv.reader([header]), [])]
+    return [c if cells.index(c) == i and c else f"{c or '_c'}{i}" for i, c in enumerate(cells)]
 
 
-def read_sales_csv(spark: SparkSession, path: str | list[str], file_column: str | None = None, **kw) -> DataFrame:
+def read_sales_csv(spark: SparkSession, path: str | list[str], file_column: str | None = None, encoding: str = "ISO-8859-1",
+                   multi_line: bool = False) -> DataFrame:
     """Raw CSV with stripped header names and missing-value tokens as NULL.
 
-    Columns are matched by name: files are read per distinct header line (only first lines are
-    looked at) and the layouts are united by name; a column that a layout lacks is NULL.
-    ``file_column`` adds the name of each row's file.
+    Columns are matched by name.  A table of layouts is made from the files' first lines
+    (:func:`file_layouts`); only its distinct headers reach the driver.  Files of one layout are read
+    as they are; where layouts differ, all files are read at once by position, and each row's
+    layout says which position holds which column.  A column that a layout lacks is NULL.
+    ``file_column`` adds the full path of each row's file.
     """
-    files = spark.read.text(path).inputFiles()
-    layouts: dict[str, list[str]] = {}
-    for f in sorted(files):
-        line = _header(spark, f, kw.get("encoding", "ISO-8859-1"))
-        if line is not None:
-            layouts.setdefault(line, []).append(f)
-    groups = [path] if len(layouts) < 2 else list(layouts.values())
-    out = None
-    for g in groups:
-        raw = read_csv_raw(spark, g, **kw)
-        part = apply_na_tokens(strip_header(raw))
-        if file_column:
-            names = [c.strip() for c in raw.columns]
-            tagged = raw.select("*", F.col("_metadata.file_name").alias(file_column))
-            part = apply_na_tokens(tagged.toDF(*names, file_column), names)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    found = file_layouts(spark, path, encoding)
+    # distinct headers are few: layouts, not files
+    headers = [r["header"] for r in found.select("header").distinct().orderBy("header").limit(MAX_LAYOUTS + 1).collect()]
+    if len(headers) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different header lines")
+    file = F.col("_metadata.file_path").alias(file_column) if file_column else None
+    if len(headers) < 2:
+        raw = read_csv_raw(spark, path, encoding, multi_line)
+        names = _names(headers[0]) if headers else [c.strip() for c in raw.columns]
+        if file is None:
+            return apply_na_tokens(raw.toDF(*names))
+        return apply_na_tokens(raw.select("*", file).toDF(*names, file_column), names)
+    places = [{n: i for i, n in enumerate(_names(h))} for h in headers]
+    width = max(len(p) for p in places)
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    rows = (spark.read.schema(schema).option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
+    # one small number per file instead of its header; broadcast only while the files are few
+    number = F.coalesce(*[F.when(F.col("header") == h, F.lit(i)) for i, h in enumerate(headers)])
+    layouts = materialize(found.select(F.col("file").alias("__file"), number.alias("__layout")))
+    rows = rows.select("*", F.col("_metadata.file_path").alias("__path"))
+    rows = dimension_join(rows, layouts, F.col("__path") == F.col("__file"))
+
+    def column(name: str) -> Column:
+        at: dict[int, list[int]] = {}
+        for i, p in enumerate(places):
+            if name in p:
+                at.setdefault(p[name], []).append(i)
+        return F.coalesce(*[F.when(F.col("__layout").isin(own), F.col(f"_c{place}")) for place, own in at.items()])
+
+    names = list(dict.fromkeys(n for p in places for n in p))
+    cells = [na_to_null(column(n)).alias(n) for n in names]
+    return rows.select(*cells, *([F.col("__path").alias(file_column)] if file_column else []))
 
 
 def clean_sales(df: DataFrame, columns: dict[str, str] | None = None,

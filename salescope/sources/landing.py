@@ -20,8 +20,12 @@ def land_dataset(clean: DataFrame, root: str, dataset: str) -> None:
 
 def dataset_path(spark: SparkSession, root: str, dataset: str) -> str:
     """Folder of a dataset, its name escaped as Spark escapes partition values."""
-    utils = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    return f"{root.rstrip('/')}/dataset={utils.escapePathName(dataset)}"
+    return f"{root.rstrip('/')}/dataset={escaped(spark, dataset)}"
+
+
+def escaped(spark: SparkSession, value: str) -> str:
+    """A partition value as Spark writes it into a folder's name."""
+    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
 
 
 def read_dataset(spark: SparkSession, root: str, dataset: str) -> DataFrame:

@@ -142,3 +142,30 @@ def test_selected_dataset_is_flagged(spark, tmpdir_path):
     import pytest
     with pytest.raises(ValueError):
         catalog.select_dataset(spark, files, "c.csv", f"{tmpdir_path}/config")
+
+
+def test_ten_thousand_small_files_of_several_layouts(spark, tmpdir_path):
+    """Layouts are found on the executors: no file is opened by the driver, whatever their number."""
+    from salescope.sources.csv import file_layouts, read_sales_csv
+    full = "Order Date,Region,Category,Sub-Category,Segment,Product Name,Sales,Discount,Profit\n1/2/2020,R\xe9gion,C,S,G,P,{},0.1,2\n"
+    other = 'Sales,"Region ",Order Date,Profit,Discount\n{},NA,1/2/2020,1,0\n'
+    poor = "Sales\n{}\n"
+    for i in range(10_000):
+        folder = os.path.join(tmpdir_path, f"d{i % 10}")
+        os.makedirs(folder, exist_ok=True)
+        with open(os.path.join(folder, f"f{i}.csv"), "w", encoding="latin-1") as f:
+            f.write("" if i == 77 else (poor if i == 5 else other if i % 3 == 0 else full).format(i))
+    calls = []
+    real = spark.sparkContext._gateway._gateway_client.send_command
+    spark.sparkContext._gateway._gateway_client.send_command = lambda *a, **k: (calls.append(1), real(*a, **k))[1]
+    try:
+        df = read_sales_csv(spark, os.path.join(tmpdir_path, "*"), file_column="path")
+    finally:
+        spark.sparkContext._gateway._gateway_client.send_command = real
+    assert len(calls) < 3000  # calls grow with layouts and columns, not with files
+    rows = df.select("Region", "Sales", "Category", "path").collect()
+    assert len(rows) == 9_999
+    for r in rows:
+        i = int(r["Sales"])
+        assert r["path"].endswith(f"/f{i}.csv") and (r["Region"], r["Category"]) == ((None, None) if i % 3 == 0 or i == 5 else ("R\xe9gion", "C"))
+    assert file_layouts(spark, os.path.join(tmpdir_path, "d5")).count() == 1000

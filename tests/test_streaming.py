@@ -41,6 +41,48 @@ def test_landing_reads_columns_by_name_and_drops_any_null_key(spark, tmpdir_path
     assert _kpis(spark, out) == {("b.csv", "East"): (10.0, 2.0), ("a.csv", "East"): (5.0, -1.0)}
 
 
+def _by_path(spark, out):
+    return {"/".join(r["path"].split("/")[-2:]): r["sales"] for r in spark.read.parquet(out).collect()}
+
+
+def test_files_of_one_name_and_files_that_land_again(spark, tmpdir_path):
+    src, ckpt, out = (os.path.join(tmpdir_path, n) for n in ("in", "ckpt", "out"))
+    row = "1/2/2020,East,C,S,G,P,{},0.1,2\n"
+
+    def land(folder, sales, name="sales.csv"):
+        os.makedirs(os.path.join(src, folder), exist_ok=True)
+        _write(os.path.join(src, folder, name), [row.format(x) for x in sales])
+
+    def run():
+        lstream.start_landing_kpis(spark, src, ckpt, out, recursive=True).awaitTermination()
+        return _by_path(spark, out)
+
+    land("a", [60, 40])
+    land("b", [10])
+    assert run() == {"a/sales.csv": 100.0, "b/sales.csv": 10.0}
+    land("c", [7])
+    assert run() == {"a/sales.csv": 100.0, "b/sales.csv": 10.0, "c/sales.csv": 7.0}
+    # the same path again: its old sums are retracted; nothing else is written
+    kept = {f: os.path.getmtime(f) for f in _data_files(out) if "a/sales" not in f}
+    land("a", [1, 2, 3])
+    land("d e+f", [5], "x=[1].csv")
+    assert run() == {"a/sales.csv": 6.0, "b/sales.csv": 10.0, "c/sales.csv": 7.0, "d e+f/x=[1].csv": 5.0}
+    same = [f for f in kept if os.path.exists(f) and os.path.getmtime(f) == kept[f]]
+    assert len(same) >= 2
+    # a replay changes nothing, a file without a valid row or without a path loses its sums
+    before = {f: os.path.getmtime(f) for f in _data_files(out)}
+    assert lstream.refresh_landing(spark, src, out, recursive=True) == 0
+    assert before == {f: os.path.getmtime(f) for f in _data_files(out)}
+    _write(os.path.join(src, "b", "sales.csv"), ["1/2/2020,NA,C,S,G,P,9,0.1,2\n"])
+    os.remove(os.path.join(src, "c", "sales.csv"))
+    assert lstream.refresh_landing(spark, src, out, recursive=True, max_files=1) == 2
+    assert _by_path(spark, out) == {"a/sales.csv": 6.0, "d e+f/x=[1].csv": 5.0}
+
+
+def _data_files(root):
+    return [os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if f.endswith(".parquet")]
+
+
 def test_feedback_stream_drops_malformed(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "fb")
     os.makedirs(src)
