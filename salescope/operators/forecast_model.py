@@ -1,9 +1,10 @@
 """Many-series forecast with change points and yearly Fourier terms.
 
-Spark groups the gap-filled monthly series by key and hands each one series -- at most
-a few hundred monthly rows, already aggregated -- to a small numpy fit through
-``applyInPandas`` (Arrow batches).  Scale is in the number of series, which Spark
-spreads over tasks; no group ever holds raw order lines.
+Spark gathers each gap-filled monthly series -- at most a few hundred monthly rows, already
+aggregated -- into one row and solves its normal equations there, in column expressions (sums of
+products, Cholesky factor, two substitutions).  Scale is in the number of series, which Spark spreads
+over tasks; no row ever holds raw order lines.  :func:`fit_predict` is the same fit in numpy, for one
+series.
 
 Model (the additive design published by Taylor & Letham, 2018, fitted as one penalised
 least-squares problem instead of by sampling):
@@ -18,13 +19,16 @@ points and the seasonal terms, and an 80 % interval ``yhat +/- z * sd(residual)`
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salescope.session import materialize
+
 # Model defaults.
 N_CHANGEPOINTS = 25
 CHANGEPOINT_RANGE = 0.8
@@ -75,11 +79,87 @@ def fit_predict(ds: pd.Series, y: pd.Series, horizon: int, z: float = Z80,
     return out if include_history else out.iloc[n:].reset_index(drop=True)
 
 
+# --------------------------------------------------------------------------- the same fit on Spark
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: an expression used inside a lambda is not shared."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def _columns(days: Column, span: Column, points: Column, order: int) -> Column:
+    """The design, one array per column: ones, time, hinges, sines, cosines."""
+    angle = 2.0 * math.pi / YEAR_DAYS
+    waves = F.sequence(F.lit(1), F.lit(order))
+    return F.concat(
+        F.array(F.transform(days, lambda d: F.lit(1.0)), F.transform(days, lambda d: d / span)),
+        F.transform(points, lambda s: F.transform(days, lambda d: F.greatest(F.lit(0.0), d / span - s))),
+        F.transform(waves, lambda n: F.transform(days, lambda d: F.sin(d * n * F.lit(angle)))),
+        F.transform(waves, lambda n: F.transform(days, lambda d: F.cos(d * n * F.lit(angle)))))
+
+
+def _cholesky(m: Column) -> Column:
+    """Lower factor of a symmetric positive definite matrix given by the rows of its lower triangle."""
+    def row(low: Column, own: Column) -> Column:
+        # entries before the diagonal, left to right, then the diagonal
+        before = F.aggregate(F.slice(low, F.lit(1), F.size(own) - 1), F.array().cast("array<double>"), lambda r, l: F.concat(
+            r, F.array((F.get(own, F.size(r)) - _dot(r, F.slice(l, F.lit(1), F.size(r)))) / F.get(l, F.size(r)))))
+        return _let(before, lambda r: F.concat(r, F.array(F.sqrt(F.get(own, F.size(own) - 1) - _dot(r, r)))))
+    return F.aggregate(m, F.array().cast("array<array<double>>"), lambda low, own: F.concat(low, F.array(row(low, own))))
+
+
+def _solve(low: Column, rhs: Column) -> Column:
+    """x with (low low') x = rhs, by forward and backward substitution."""
+    forward = F.aggregate(low, F.array().cast("array<double>"), lambda z, l: F.concat(
+        z, F.array((F.get(rhs, F.size(z)) - _dot(F.slice(l, F.lit(1), F.size(z)), z)) / F.get(l, F.size(z)))))
+    size = F.size(low)
+
+    def back(z: Column) -> Column:
+        # from the last unknown up; the unknowns found so far stand in order
+        def step(x: Column, i: Column) -> Column:
+            below = F.transform(F.slice(low, i + 2, size), lambda l: F.get(l, i))
+            return F.concat(F.array((F.get(z, i) - _dot(below, x)) / F.get(F.get(low, i), i)), x)
+        return F.aggregate(F.reverse(F.sequence(F.lit(0), size - 1)), F.array().cast("array<double>"), step)
+    return _let(forward, back)
+
+
+def _fitted(days: Column, ys: Column, all_days: Column) -> Column:
+    """Fitted values at ``all_days`` (history first) of the model estimated on ``days`` and ``ys``."""
+    n = F.size(days)
+    span = F.greatest(F.element_at(days, -1), F.lit(1.0))
+    last = F.floor(F.lit(CHANGEPOINT_RANGE) * (n - 1)).cast("int")
+    n_cp = F.least(F.lit(N_CHANGEPOINTS), last)
+    spots = F.filter(F.transform(F.sequence(F.lit(0), F.lit(N_CHANGEPOINTS)), lambda i: F.when((i > 0) & (i <= n_cp), i)), lambda i: i.isNotNull())
+    points = F.transform(spots, lambda i: F.get(days, F.floor(i * (last / (n_cp + 1.0))).cast("int")) / span)
+    scale = F.array_max(F.transform(ys, lambda y: F.abs(y)))
+    scale = F.when(scale > 0, scale).otherwise(F.lit(1.0))
+
+    def estimate(x: Column) -> Column:
+        cols, points, scale = x["cols"], x["points"], x["scale"]
+        hinges = F.size(points)
+        penalty = lambda i: F.lit(1e-9) + F.when(i < 2, 0.0).when(i < 2 + hinges, CHANGEPOINT_PENALTY).otherwise(SEASON_PENALTY)
+        # sums of products over the history: the lower triangle, penalties on its diagonal
+        seen = F.transform(cols, lambda c: F.slice(c, F.lit(1), n))
+        normal = F.transform(seen, lambda c, i: F.transform(F.slice(seen, F.lit(1), i + 1), lambda b, j: _dot(c, b) + F.when(i == j, penalty(i)).otherwise(0.0)))
+        rhs = F.transform(seen, lambda c: _dot(c, F.transform(ys, lambda y: y / scale)))
+        beta = _let(normal, lambda m: _let(_cholesky(m), lambda low: _let(rhs, lambda r: _solve(low, r))))
+        return _let(beta, lambda b: F.transform(all_days, lambda d, t: scale * F.aggregate(
+            F.zip_with(cols, b, lambda c, w: F.get(c, t) * w), F.lit(0.0), lambda s, v: s + v)))
+
+    parts = F.struct(_columns(all_days, span, points, FOURIER_ORDER).alias("cols"), points.alias("points"), scale.alias("scale"))
+    return _let(parts, estimate)
+
+
 def forecast_fourier(series: DataFrame, keys: Sequence[str] = (), horizon: int = 6,
                      z: float = Z80, include_history: bool = False) -> DataFrame:
-    """Per-series forecast via ``groupBy(keys).applyInPandas``.
+    """Per-series forecast by normal equations in column expressions.
 
-    ``series`` is a gap-filled monthly table ``(keys..., ds date, y double)``.
+    ``series`` is a gap-filled monthly table ``(keys..., ds date, y double)``; a series is one row of
+    months, a few hundred numbers.  Its design's sums of products are factored and solved where the row
+    is: no Python worker, and no shuffle but the one that gathers a series' months.
     Output: ``keys..., ds date, yhat, yhat_lower, yhat_upper``.
     """
     keys = list(keys)
@@ -87,17 +167,24 @@ def forecast_fourier(series: DataFrame, keys: Sequence[str] = (), horizon: int =
     if added:
         series = series.withColumn("_series", F.lit(0))
         keys = ["_series"]
-    key_fields = [f for f in series.schema.fields if f.name in keys]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
-    schema += ", ds date, yhat double, yhat_lower double, yhat_upper double"
-
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame(columns=keys + ["ds", "yhat", "yhat_lower", "yhat_upper"])
-        res = fit_predict(pdf["ds"], pdf["y"], horizon, z, include_history)
-        for k in keys:
-            res.insert(0, k, pdf[k].iloc[0])
-        return res[keys + ["ds", "yhat", "yhat_lower", "yhat_upper"]]
-
-    out = series.select(*keys, "ds", "y").groupBy(*keys).applyInPandas(per_series, schema)
+    months = (series.where(F.col("y").isNotNull() & F.col("ds").isNotNull()).groupBy(*keys)
+              .agg(F.array_sort(F.collect_list(F.struct(F.col("ds").cast("date").alias("ds"), F.col("y").cast("double").alias("y")))).alias("m")))
+    last = F.element_at("m", -1)["ds"]
+    # the first month end after the last month
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda i: F.last_day(F.add_months(last, i - F.when(last == F.last_day(last), 0).otherwise(1))))
+    dates = months.select(*keys, F.transform("m", lambda x: x["y"]).alias("ys"),
+                          F.concat(F.transform("m", lambda x: x["ds"]), ahead).alias("all_ds")).repartition(*keys)
+    days = F.transform("all_ds", lambda d: F.date_diff(d, F.get("all_ds", F.lit(0))).cast("double"))
+    n = F.size("ys")
+    timed = dates.select(*keys, "ys", "all_ds", days.alias("all_days"))
+    fit = timed.withColumn("fit", _fitted(F.slice("all_days", F.lit(1), n), F.col("ys"), F.col("all_days")))
+    fit = materialize(fit.select(*keys, "ys", "all_ds", "fit"))
+    resid = F.zip_with("ys", F.slice("fit", F.lit(1), n), lambda y, f: y - f)
+    mean = lambda r: F.aggregate(r, F.lit(0.0), lambda s, v: s + v) / n
+    spread = _let(resid, lambda r: _let(mean(r), lambda m: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / F.greatest(n - 1, F.lit(1)))))
+    rows = fit.select(*keys, n.alias("n"), spread.alias("sd"), F.posexplode(F.arrays_zip(F.col("all_ds").alias("ds"), F.col("fit").alias("yhat"))).alias("pos", "p"))
+    if not include_history:
+        rows = rows.where(F.col("pos") >= F.col("n"))
+    yhat, half = F.col("p.yhat"), F.lit(z) * F.col("sd")
+    out = rows.select(*keys, F.col("p.ds").alias("ds"), yhat.alias("yhat"), (yhat - half).alias("yhat_lower"), (yhat + half).alias("yhat_upper"))
     return out.drop("_series") if added else out

@@ -182,3 +182,36 @@ fut AS (SELECT lin.{k}, lin.a, lin.b, sdt.sd, last_day(lin.last_ds + to_months(h
         FROM lin JOIN sdt USING ({k}), range(1, 7) AS hh(h)),
 fc AS (SELECT fut.{k}, fut.ds, fut.a + fut.b * fut.t + coalesce(season.season, 0.0) AS yhat, fut.sd
        FROM fut LEFT JOIN season ON fut.{k} = season.{k} AND month(fut.ds) = season.mo)"""
+
+
+# Change points and yearly waves by ridge regression: products summed row by row, then Gauss-Jordan elimination.
+ORACLE["forecast_fourier"] = SALES_CTE.replace("WITH", "WITH RECURSIVE", 1) + _monthly_ctes("sub_category, segment") + f""",
+ser AS (SELECT sub_category, segment, list(ds ORDER BY ds) AS h, list(y ORDER BY ds) AS ys, count(*)::INTEGER AS n,
+               greatest(max(abs(y)), 0.0) AS top FROM s GROUP BY ALL),
+sers AS (SELECT *, CASE WHEN top > 0 THEN top ELSE 1.0 END AS scale, greatest(date_diff('day', h[1], h[n])::DOUBLE, 1.0) AS span,
+                floor(0.8::DOUBLE * (n - 1))::INTEGER AS last FROM ser),
+pts AS (SELECT *, list_transform(range(1, least(25, last) + 1), lambda i: date_diff('day', h[1], h[floor(i * (last / (least(25, last) + 1.0::DOUBLE)))::INTEGER + 1]) / span) AS cps FROM sers),
+obs AS (SELECT sub_category, segment, n, scale, cps, span, h[1] AS d0, unnest(range(1, n + 7)) AS i, h, ys FROM pts),
+dated AS (SELECT *, CASE WHEN i <= n THEN h[i] ELSE last_day(h[n] + to_months((i - n)::INTEGER))::DATE END AS ds FROM obs),
+x AS (SELECT sub_category, segment, n, scale, i, ds, ys[i] AS y, len(cps) AS hinges,
+             [1.0::DOUBLE, date_diff('day', d0, ds) / span]
+             || list_transform(cps, lambda c: greatest(0.0, date_diff('day', d0, ds) / span - c))
+             || list_transform(range(1, 11), lambda k: sin(2 * pi() * k * date_diff('day', d0, ds) / 365.25))
+             || list_transform(range(1, 11), lambda k: cos(2 * pi() * k * date_diff('day', d0, ds) / 365.25)) AS v FROM dated),
+places AS (SELECT unnest(range(1, 48)) AS a),
+ne AS (SELECT sub_category, segment, a, list(e ORDER BY b) AS r FROM (
+         SELECT sub_category, segment, p.a, q.a AS b,
+                sum(v[p.a] * v[q.a]) + CASE WHEN p.a <> q.a THEN 0.0 WHEN p.a <= 2 THEN 1e-9 WHEN p.a <= 2 + any_value(hinges) THEN 4.0 + 1e-9 ELSE 1e-4 + 1e-9 END AS e
+         FROM x JOIN places p ON p.a <= len(v) JOIN places q ON q.a <= len(v) WHERE i <= n GROUP BY sub_category, segment, p.a, q.a
+         UNION ALL
+         SELECT sub_category, segment, a, 99 AS b, sum(v[a] * y / scale) AS e FROM x JOIN places ON a <= len(v) WHERE i <= n GROUP BY ALL) GROUP BY ALL),
+elim AS (SELECT sub_category, segment, 1 AS j, count(*) AS p, list(r ORDER BY a) AS m FROM ne GROUP BY ALL
+         UNION ALL
+         SELECT sub_category, segment, j + 1, p, list_transform(m, lambda row, i: CASE WHEN i = j THEN list_transform(row, lambda e: e / row[j])
+                ELSE list_transform(row, lambda e, k: e - row[j] * m[j][k] / m[j][j]) END) FROM elim WHERE j <= p),
+beta AS (SELECT sub_category, segment, list_transform(m, lambda row: row[p + 1]) AS w FROM elim WHERE j = p + 1),
+fit AS (SELECT x.*, scale * list_sum(list_transform(v, lambda e, k: e * w[k])) AS yhat FROM x JOIN beta USING (sub_category, segment)),
+sd AS (SELECT sub_category, segment, coalesce(stddev_samp(y - yhat), 0.0) AS sd FROM fit WHERE i <= n GROUP BY ALL)
+SELECT sub_category, segment, strftime(ds, '%Y-%m-%d') AS ds, round(yhat, 2) AS yhat,
+       round(yhat - {_Z80} * sd, 2) AS yhat_lower, round(yhat + {_Z80} * sd, 2) AS yhat_upper
+FROM fit JOIN sd USING (sub_category, segment) WHERE i > n"""

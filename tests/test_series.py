@@ -66,6 +66,24 @@ def test_fourier_many_series(spark):
     assert all(r["yhat_lower"] <= r["yhat"] <= r["yhat_upper"] for r in out)
 
 
+def test_normal_equations_equal_the_numpy_fit(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for k, n in [("one", 1), ("two", 2), ("short", 7), ("year", 14), ("long", 81), ("flat", 20), ("longer", 200)]:
+        months = pd.date_range("2004-01-31", periods=n, freq="ME")
+        y = np.zeros(n) if k == "flat" else 1e5 * (1 + rng.random(n)) + 500.0 * np.arange(n)
+        rows += [(k, d.date(), float(v)) for d, v in zip(months, y)]
+        want[k] = forecast_model.fit_predict(pd.Series(months), pd.Series(y), horizon=6, include_history=True)
+    df = spark.createDataFrame(rows, "k string, ds date, y double").repartition(5)
+    got = forecast_model.forecast_fourier(df, keys=["k"], include_history=True).toPandas().sort_values(["k", "ds"])
+    for k, w in want.items():
+        g = got[got.k == k]
+        assert list(g.ds) == list(w.ds)
+        for c in ("yhat", "yhat_lower", "yhat_upper"):
+            assert np.allclose(g[c], w[c], rtol=1e-6, atol=1e-4), k
+    assert forecast_model.forecast_fourier(df.limit(0), keys=["k"]).count() == 0
+
+
 def test_gap_filled_series_sum_to_total(spark):
     from salescope.operators.kpi import kpi_overall
     from salescope.sources.fixture import sales_view
