@@ -205,17 +205,32 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
+    """Fit and predict: one row per row of ``docs``, as ``predict`` says.  Null texts are ``und``; null, tied and
+    repeated ids give one row each (a null id counts as held out or not by its empty checksum); texts of any
+    length are read whole, in pieces; an empty table gives an empty one; other columns are not read."""
     return predict(docs, fit(docs))
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is identified (not ``und``), columns unchanged; no text is shuffled."""
+#: score below which a language is not identified: 0.5 is a classifier's boundary between its language and
+#: the rest, 0 stands for "not this language"; short texts have few n-grams and may lie a little below
+MIN_SCORE = 0.4
+
+
+def keep_identified(docs: DataFrame, languages: list[str] | None = None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The documents whose predicted language is one of ``languages`` (None: any that was learned) with a
+    score of at least ``min_score``; columns unchanged, no text is shuffled.
+
+    The prediction alone decides, not the documents' own ``lang``.  ``und`` (null texts, texts without a letter,
+    all texts where nothing was learned) is no language.  Null and repeated ids are judged row by row; equal texts
+    are judged alike; texts of any length are judged whole; an empty table stays empty.
+    """
     model, at = fit(docs), docs.columns.index("text")
+    wanted = set(model.langs if languages is None else languages) - {UND}
 
     def run(batches):
         for batch in batches:
-            names, _ = _named(batch.column(at), model)
-            yield batch.filter(pa.array([n != UND for n in names], pa.bool_()))
+            names, scores = _named(batch.column(at), model)
+            yield batch.filter(pa.array([n in wanted and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
         give_back()
 
     return docs.mapInArrow(run, docs.schema)

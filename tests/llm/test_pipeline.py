@@ -1,3 +1,5 @@
+import random
+
 import __spark_entry__ as E
 import corpus_pipeline as C
 from salescope.llm.common import land
@@ -50,6 +52,23 @@ def test_stages_judge_rows_with_null_and_repeated_ids_by_their_own_texts(spark,
     assert clean == list("abcdefgjklm")
 
 
+def test_language_id_drops_by_its_prediction(spark, tmpdir_path, monkeypatch):
+    rng = random.Random(6)
+    syllables = {"en": ["the", "ing", "th", "wh"], "de": ["sch", "ung", "ei", "ver"], "fr": ["eau", "ou", "que", "tion"], "es": ["ez", "lla", "cio", "na"]}
+    text = lambda p: " ".join("".join(rng.choice(p) for _ in range(3)) for _ in range(30))
+    rows = [(i, text(p), lang if i % 7 else None) for i, (lang, p) in enumerate([*syllables.items()] * 40)]
+    # labels of these are wrong: the text decides
+    rows += [(1000, text(syllables["de"]), "en"), (1001, text(syllables["en"]), None), (1002, "xyxxy yyxyx xxyxy " * 9, None), (1003, None, "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in C.language_id(spark, d, tmpdir_path).collect()}
+    assert kept == {r[0] for r in rows} - {1002, 1003}  # no learned language is like 1002
+    monkeypatch.setattr(C, "LANGUAGES", ["en"])
+    out = C.language_id(spark, d, tmpdir_path)
+    assert out.columns == d.columns
+    kept = {r["doc_id"] for r in out.collect()}
+    assert kept == {i for i in range(160) if i % 4 == 0} | {1001}
+
+
 def test_pipeline_of_an_empty_table(spark, tmpdir_path):
     bench(spark, tmpdir_path, [])
     assert [x.count() for x in stages(spark, empty(spark), tmpdir_path)] == [0] * 5
@@ -58,4 +77,4 @@ def test_pipeline_of_an_empty_table(spark, tmpdir_path):
 def test_all_queries_are_registered():
     names = set(E.queries())
     assert "pipeline" in names
-    assert all(any(q.startswith(f"op{i}_") for q in names) for i in range(1, 11))
+    assert all(any(q.startswith(f"op{i}_") for q in names) for i in range(1, 14))
