@@ -15,10 +15,13 @@ from salescope.llm import decontam, kdshard, langid, mixing, neardup
 from salescope.llm.common import documents, land
 from salescope.llm.queries import MIX_EPOCHS, MIX_RATIO, N_SHARDS
 
+#: target languages (None: all that the documents' labels teach) and the least score of a prediction
+LANGUAGES, MIN_SCORE = None, langid.MIN_SCORE
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without an identifiable language (null texts, texts without a letter)."""
-    return langid.keep_identified(docs)
+    """Keeps documents that are predicted to be in one of ``LANGUAGES`` with a score of ``MIN_SCORE`` or more."""
+    return langid.keep_identified(docs, LANGUAGES, MIN_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
