@@ -1,36 +1,90 @@
 """Line dedup by winnowing over line hashes.
 
-A run of at least ``min_run`` consecutive lines that occurs earlier in the corpus (by document id, then
-position) is deleted; the first occurrence stays.  Winnowing finds the candidates: in every window of
-``min_run`` lines the least line hash is a fingerprint, so two equal windows have the same one.  Positions
-are joined on fingerprints that occur more than once; only there the windows around a fingerprint are
-compared, and matching windows that overlap extend to whole runs in both directions.
+A passage that occurs earlier in the corpus (by document id, then position) is deleted; the first
+occurrence stays.  A passage is a run of at least ``min_run`` lines, or one line of at least ``min_words``
+words, or a text of fewer than ``min_run`` lines as a whole.
+
+1. Winnowing: in every window of ``min_run`` lines the least line hash (the rightmost of equal ones) is
+   selected, so two equal windows select the same line; a line of ``min_words`` words is a window of its own.
+   One row per selected line is kept, with the windows that selected it.
+2. Positions are joined on fingerprints that occur more than once: each window to its first place.
+3. Matches on one diagonal (the same two documents at the same distance) are extended both ways over
+   the line hashes until lines differ, and the later of the two runs is deleted.  Lines without a word
+   go only beside one that has a word.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salescope.llm.common import land, text_or_empty
+from salescope.llm.common import WORD, land, text_or_empty
 
-MIN_RUN = 2
+MIN_RUN, MIN_WORDS = 2, 50
+#: later places that one task compares with one first place; more are dealt to several
+PLACES = 1000
 
 
 def text_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _windows(h: Column, n: int) -> Column:
-    """array<struct<at, finger, print>>: every window of n line hashes (a shorter text is one window),
-    its 0-based start, the least hash in it and a hash of all of it."""
-    last = F.greatest(F.size(h) - n, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
-        i.alias("at"), F.array_min(F.slice(h, i + 1, n)).alias("finger"),
-        F.xxhash64(F.slice(h, i + 1, n), F.size(F.slice(h, i + 1, n))).alias("print")))
+def _print(h: Column, at: Column, n: Column) -> Column:
+    part = F.slice(h, at + 1, n)
+    return F.xxhash64(part, F.size(part))
+
+
+def _anchors(h: Column, w: Column, n: int, min_words: int) -> Column:
+    """array<struct<line, wins>>: every selected line, and the windows (at, print) that selected it.
+
+    ``h`` line hashes, ``w`` words per line.  Windows without a word are left out.
+    """
+    size = F.size(h)
+    last = F.greatest(size - n, F.lit(0))
+
+    def least(i: Column) -> Column:
+        part = F.slice(h, i + 1, n)
+        return i + F.size(part) - F.array_position(F.reverse(part), F.array_min(part)).cast("int")
+
+    chosen = F.transform(F.sequence(F.lit(0), last), least)
 
+    def of(line: Column) -> Column:
+        own = F.filter(F.sequence(F.greatest(line - n + 1, F.lit(0)), F.least(line, last)),
+                       lambda i: (F.get(chosen, i) == line) & (F.array_max(F.slice(w, i + 1, n)) > 0))
+        wins = F.transform(own, lambda i: F.struct(i.alias("at"), _print(h, i, F.lit(n)).alias("print")))
+        alone = F.when((F.get(w, line) >= min_words) & (size > 1) & F.lit(n > 1),
+                       F.array(F.struct(line.alias("at"), _print(h, line, F.lit(1)).alias("print"))))
+        return F.struct(line.alias("line"), F.concat(wins, F.coalesce(alone, F.array().cast("array<struct<at:int,print:bigint>>"))).alias("wins"))
 
-def repeated_lines(docs: DataFrame, min_run: int = MIN_RUN) -> tuple[DataFrame, DataFrame]:
+    long = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get(w, i) >= min_words)
+    return F.filter(F.transform(F.array_distinct(F.concat(chosen, long)), of), lambda x: F.size(x["wins"]) > 0)
+
+
+def _extend(h: np.ndarray, words: np.ndarray, other: np.ndarray, shift: int, at: np.ndarray, min_run: int, min_words: int) -> np.ndarray:
+    """Lines of runs that equal ``other`` moved by ``shift`` and hold one of the matched lines ``at``."""
+    lo, hi = max(0, shift), min(len(h), len(other) + shift)
+    same = np.zeros(len(h) + 2, bool)  # one line of margin on either side
+    same[lo + 1:hi + 1] = h[lo:hi] == other[lo - shift:hi - shift]
+    begin = np.flatnonzero(same[1:] & ~same[:-1])
+    end = np.flatnonzero(same[:-1] & ~same[1:])
+    own = np.unique(np.searchsorted(begin, at, "right") - 1)
+    gone = []
+    for b, e in zip(begin[own].tolist(), end[own].tolist(), strict=True):
+        full = words[b:e] > 0
+        if e - b >= min(min_run, len(h)):
+            reach = full.copy()
+            for step in range(1, min(min_run, e - b)):  # a window that reaches from a line with a word
+                reach[step:] |= full[:-step]
+                reach[:-step] |= full[step:]
+            gone.append(b + np.flatnonzero(reach))
+        else:
+            gone.append(b + np.flatnonzero(words[b:e] >= min_words))
+    return np.concatenate(gone) if gone else np.zeros(0, np.int64)
+
+
+def repeated_lines(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(rows, removed): ``row, doc_id, n_lines`` per document and ``row, lines`` -- the sorted 0-based
     numbers of the lines to delete -- for documents that lose any.
 
@@ -39,32 +93,53 @@ def repeated_lines(docs: DataFrame, min_run: int = MIN_RUN) -> tuple[DataFrame,
     """
     t = docs.select("doc_id", text_or_empty("text").alias("t"))
     t = t.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("t").alias("tie"), text_lines(F.col("t")).alias("l"))
-    # blank lines get one hash each way, so that a window knows whether it holds any word
     hashes = F.transform("l", lambda x: F.xxhash64(x))
-    filled = F.transform("l", lambda x: x.rlike(r"[^\x20\x09-\x0D]").cast("int"))
-    rows = land(t.select("row", "doc_id", "tie", hashes.alias("h"), filled.alias("f")), "lines")
-    wins = rows.select("row", "doc_id", "tie", F.size("h").alias("n_lines"), "f", F.explode(_windows(F.col("h"), min_run)).alias("w"))
-    wins = wins.filter(F.array_max(F.slice("f", F.col("w.at") + 1, min_run)) == 1)
-    wins = land(wins.select("row", "doc_id", "tie", "n_lines", "w.*"), "line-windows")
-    # fingerprints that occur at one place only cannot be in a repeated run
-    shared = wins.groupBy(F.col("finger").alias("__f")).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    near = wins.join(shared, F.col("finger") == F.col("__f"), "left_semi")
+    words = F.transform("l", lambda x: F.regexp_count(x, F.lit(WORD)))
+    rows = land(t.select("row", "doc_id", "tie", hashes.alias("h"), words.alias("w")), "lines")
+    picked = rows.select("row", "doc_id", "tie", "h", F.explode(_anchors(F.col("h"), F.col("w"), min_run, min_words)).alias("a"))
+    anchors = land(picked.select("row", "doc_id", "tie", F.get("h", F.col("a.line")).alias("finger"), F.col("a.wins").alias("wins")), "line-anchors")
+    # fingerprints of one place cannot be in a repeated run
+    shared = anchors.groupBy(F.col("finger").alias("__f")).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    near = (anchors.join(shared, F.col("finger") == F.col("__f"), "left_semi")
+            .select("row", "doc_id", "tie", F.explode("wins").alias("win")).select("row", "doc_id", "tie", "win.*"))
+    near = land(near, "line-places")
     place = F.struct("doc_id", "tie", "row", "at")
     first = (near.groupBy(F.col("print").alias("__w")).agg(F.min(place).alias("first"), F.count("*").alias("n"))
              .filter("n > 1").drop("n"))
     later = near.join(first, F.col("print") == F.col("__w")).filter(place != F.col("first"))
-    width = F.least(F.lit(min_run), F.col("n_lines"))
-    removed = (later.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + width - 1)).alias("line"))
-               .groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("lines")))
+    # one row per diagonal; a much-copied first document is sent to several tasks
+    runs = land(later.groupBy("row", F.col("first.row").alias("first_row"), (F.col("at") - F.col("first.at")).alias("shift"))
+                .agg(F.sort_array(F.collect_set("at")).alias("at")), "line-runs")
+    spread = (runs.groupBy(F.col("first_row").alias("__first")).agg(F.ceil(F.count("*") / F.lit(PLACES)).cast("int").alias("__parts")))
+    others = (rows.select(F.col("row").alias("__first_row"), F.col("h").alias("other")).join(spread, F.col("__first_row") == F.col("__first"))
+              .select("__first_row", "__parts", "other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part")))
+    dealt = (runs.join(spread, F.col("first_row") == F.col("__first"))
+             .withColumn("__p", F.pmod(F.xxhash64("row", "shift"), F.col("__parts")).cast("int")).drop("__first", "__parts"))
+    own = rows.select(F.col("row").alias("__row"), "h", "w")
+    paired = (dealt.join(own, F.col("row") == F.col("__row"))
+              .join(others, (F.col("first_row") == F.col("__first_row")) & (F.col("__p") == F.col("__part")))
+              .select("row", "shift", "at", "h", "w", "other"))
+
+    def extend(batches):
+        for batch in batches:
+            row, shift = batch.column(0), batch.column(1).to_pylist()
+            lists = [[x.values.to_numpy(zero_copy_only=False) for x in batch.column(i)] for i in range(2, 6)]
+            gone = [_extend(h, w, o, s, a, min_run, min_words) for s, a, h, w, o in zip(shift, *lists, strict=True)]
+            yield pa.RecordBatch.from_arrays([row, pa.array([g.astype(np.int32) for g in gone], pa.list_(pa.int32()))], ["row", "lines"])
+
+    found = paired.mapInArrow(extend, "row long, lines array<int>")
+    removed = found.groupBy("row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
     return rows.select("row", "doc_id", "tie", F.size("h").cast("long").alias("n_lines")), removed
 
 
-def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (sorted line numbers) and ``text`` without the repeated runs.
+def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (sorted line numbers) and ``text`` without the repeated passages.
 
-    Rows that share an id and a text lose lines one by one: the first of them stays as it is.
+    Rows that share an id and a text lose lines one by one: the first of them stays as it is.  Null texts
+    are empty ones; a text of any length is taken whole; an empty table gives an empty one; other columns
+    are not read.
     """
-    rows, removed = repeated_lines(docs, min_run)
+    rows, removed = repeated_lines(docs, min_run, min_words)
     none = F.array().cast("array<int>")
     key = F.xxhash64(F.col("doc_id"), F.col("doc_id").isNull(), F.col("tie"))
     plan = rows.join(removed.withColumnRenamed("row", "__r"), F.col("row") == F.col("__r"), "left")

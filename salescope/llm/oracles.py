@@ -61,8 +61,11 @@ FROM f"""
 
 LINE_DEDUP = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-w AS (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 1, 1) + 1)) AS i FROM d),
-v AS (SELECT doc_id, i, len(l[i:i + 1]) AS n, array_to_string(l[i:i + 1], chr(10)) AS x FROM w),
+w AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+-- passages: two lines, a text of one line, or one line of 50 words
+v AS (SELECT doc_id, i, len(l[i:i + 1]) AS n, array_to_string(l[i:i + 1], chr(10)) AS x FROM w WHERE i < len(l) OR len(l) = 1
+      UNION ALL
+      SELECT doc_id, i, 1 AS n, l[i] AS x FROM w WHERE len(l) > 1 AND len(regexp_extract_all(l[i], '[^\x20\x09-\x0D]+')) >= 50),
 o AS (SELECT *, row_number() OVER (PARTITION BY x, n ORDER BY doc_id, i) AS nth FROM v WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 gone AS (SELECT doc_id, list_sort(list(DISTINCT line)) AS gone FROM (
   SELECT doc_id, unnest(range(i - 1, i - 1 + n)) AS line FROM o WHERE nth > 1) GROUP BY doc_id),

@@ -126,6 +126,25 @@ def test_line_runs_equal_brute_force(spark, run):
     assert got == brute_lines(ts, run)
 
 
+def test_a_long_line_goes_alone_and_a_short_one_does_not(spark):
+    long, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(49))
+    ts = [f"a\n{long}\nb\n{short}", f"c\n{long}\nd", f"e\n{short}\nf", long, short, short, f"{long}\n{long}", f"\n \n{long}\n\n"]
+    d = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    got = {r["doc_id"]: list(r["removed"]) for r in linededup.dedup_lines(d).collect()}
+    assert got == {0: [], 1: [1], 2: [], 3: [0], 4: [], 5: [0], 6: [0, 1], 7: [2]}
+
+
+def test_runs_are_extended_from_their_first_place(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(linededup, "PLACES", 3)
+    lines = ["alpha", "beta", "", " ", "gamma delta", "epsilon", "one two three"]
+    ts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12))) for _ in range(80)]
+    d = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    for n in (2, 3):
+        got = {r["doc_id"]: (r["n_lines"], list(r["removed"]), r["text"]) for r in linededup.dedup_lines(d, n).collect()}
+        assert got == brute_lines(ts, n)
+
+
 def test_line_dedup_of_empty_and_repeated_rows(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
     same = spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (None, "a\nb")], "doc_id long, text string")
