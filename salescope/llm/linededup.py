@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salescope.llm import wordhash
 from salescope.llm.common import WORD, land, text_or_empty
 
 MIN_RUN, MIN_WORDS = 2, 50
@@ -31,35 +32,59 @@ def text_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _print(h: Column, at: Column, n: Column) -> Column:
-    part = F.slice(h, at + 1, n)
-    return F.xxhash64(part, F.size(part))
+def _prints(windows: np.ndarray) -> np.ndarray:
+    """One hash per row of line hashes; the number of lines counts."""
+    out = np.full(len(windows), windows.shape[1], np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(windows.shape[1]):
+            out = wordhash.mix(out * np.uint64(0x9E3779B97F4A7C15) + windows[:, k].view(np.uint64))
+    return out.view(np.int64)
 
 
-def _anchors(h: Column, w: Column, n: int, min_words: int) -> Column:
-    """array<struct<line, wins>>: every selected line, and the windows (at, print) that selected it.
+def _anchors(h: np.ndarray, words: np.ndarray, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(selected line, start, print) of every window of a text, by selected line.
 
-    ``h`` line hashes, ``w`` words per line.  Windows without a word are left out.
+    Windows without a word are left out; of equal least hashes the rightmost is selected.
     """
-    size = F.size(h)
-    last = F.greatest(size - n, F.lit(0))
-
-    def least(i: Column) -> Column:
-        part = F.slice(h, i + 1, n)
-        return i + F.size(part) - F.array_position(F.reverse(part), F.array_min(part)).cast("int")
-
-    chosen = F.transform(F.sequence(F.lit(0), last), least)
-
-    def of(line: Column) -> Column:
-        own = F.filter(F.sequence(F.greatest(line - n + 1, F.lit(0)), F.least(line, last)),
-                       lambda i: (F.get(chosen, i) == line) & (F.array_max(F.slice(w, i + 1, n)) > 0))
-        wins = F.transform(own, lambda i: F.struct(i.alias("at"), _print(h, i, F.lit(n)).alias("print")))
-        alone = F.when((F.get(w, line) >= min_words) & (size > 1) & F.lit(n > 1),
-                       F.array(F.struct(line.alias("at"), _print(h, line, F.lit(1)).alias("print"))))
-        return F.struct(line.alias("line"), F.concat(wins, F.coalesce(alone, F.array().cast("array<struct<at:int,print:bigint>>"))).alias("wins"))
-
-    long = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get(w, i) >= min_words)
-    return F.filter(F.transform(F.array_distinct(F.concat(chosen, long)), of), lambda x: F.size(x["wins"]) > 0)
+    size = min(n, len(h))
+    spots = np.arange(len(h) - size + 1)[:, None] + np.arange(size)
+    windows = h[spots]
+    line = spots[:, 0] + size - 1 - windows[:, ::-1].argmin(axis=1)
+    full = words[spots].max(axis=1) > 0
+    line, at, prints = line[full], spots[full, 0], _prints(np.ascontiguousarray(windows[full]))
+    if n > 1 and len(h) > 1:
+        long = np.flatnonzero(words >= min_words)
+        line, at, prints = np.append(line, long), np.append(at, long), np.append(prints, _prints(h[long][:, None]))
+    order = np.argsort(line, kind="stable")
+    return line[order], at[order], prints[order]
+
+
+def _select(batches, n: int, min_words: int):
+    """Rows (row, doc_id, tie, h, w) to rows (row, doc_id, tie, finger, at, print): one per selected line."""
+    for batch in batches:
+        h, w = (number_lists(batch.column(i)) for i in (3, 4))
+        of, fingers, counts, ats, prints = [], [], [], [], []
+        for i, (own, words) in enumerate(zip(h, w, strict=True)):
+            line, at, p = _anchors(own, words, n, min_words)
+            begin = np.flatnonzero(np.diff(line, prepend=-1))
+            of.append(np.full(len(begin), i))
+            fingers.append(own[line[begin]])
+            counts.append(np.diff(np.append(begin, len(line))))
+            ats.append(at)
+            prints.append(p)
+        if not of:
+            continue
+        take = pa.array(np.concatenate(of))
+        bounds = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x), t)) for x, t in ((ats, pa.int32()), (prints, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), pa.array(np.concatenate(fingers)), *lists],
+                                         ["row", "doc_id", "tie", "finger", "at", "print"])
+
+
+def number_lists(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column as numpy arrays."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.split(flat, np.cumsum(np.asarray(column.value_lengths()))[:-1]) if len(column) else []
 
 
 def _extend(h: np.ndarray, words: np.ndarray, other: np.ndarray, shift: int, at: np.ndarray, min_run: int, min_words: int) -> np.ndarray:
@@ -96,12 +121,13 @@ def repeated_lines(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN
     hashes = F.transform("l", lambda x: F.xxhash64(x))
     words = F.transform("l", lambda x: F.regexp_count(x, F.lit(WORD)))
     rows = land(t.select("row", "doc_id", "tie", hashes.alias("h"), words.alias("w")), "lines")
-    picked = rows.select("row", "doc_id", "tie", "h", F.explode(_anchors(F.col("h"), F.col("w"), min_run, min_words)).alias("a"))
-    anchors = land(picked.select("row", "doc_id", "tie", F.get("h", F.col("a.line")).alias("finger"), F.col("a.wins").alias("wins")), "line-anchors")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    anchors = land(rows.mapInArrow(lambda batches: _select(batches, min_run, min_words),
+                                   f"row long, doc_id {kind}, tie long, finger long, at array<int>, print array<bigint>"), "line-anchors")
     # fingerprints of one place cannot be in a repeated run
     shared = anchors.groupBy(F.col("finger").alias("__f")).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     near = (anchors.join(shared, F.col("finger") == F.col("__f"), "left_semi")
-            .select("row", "doc_id", "tie", F.explode("wins").alias("win")).select("row", "doc_id", "tie", "win.*"))
+            .select("row", "doc_id", "tie", F.explode(F.arrays_zip("at", "print")).alias("win")).select("row", "doc_id", "tie", "win.*"))
     near = land(near, "line-places")
     place = F.struct("doc_id", "tie", "row", "at")
     first = (near.groupBy(F.col("print").alias("__w")).agg(F.min(place).alias("first"), F.count("*").alias("n"))
@@ -123,7 +149,7 @@ def repeated_lines(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN
     def extend(batches):
         for batch in batches:
             row, shift = batch.column(0), batch.column(1).to_pylist()
-            lists = [[x.values.to_numpy(zero_copy_only=False) for x in batch.column(i)] for i in range(2, 6)]
+            lists = [number_lists(batch.column(i)) for i in range(2, 6)]
             gone = [_extend(h, w, o, s, a, min_run, min_words) for s, a, h, w, o in zip(shift, *lists, strict=True)]
             yield pa.RecordBatch.from_arrays([row, pa.array([g.astype(np.int32) for g in gone], pa.list_(pa.int32()))], ["row", "lines"])
 
