@@ -43,8 +43,10 @@ def op2_pii(spark, sf_dir):
     count = lambda i: F.size(F.filter("base", lambda m: m["ord"] == i)).cast("long")
     return found.select(
         "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
-        F.sha2(F.array_join(pii.all_spans(F.col("base"), none), ","), 256).alias("base_sha256"),
-        F.array_join(pii.all_spans(F.col("base"), F.col("found")), ",").alias("spans"))
+        F.sha2(F.array_join(pii.all_spans(F.col("base"), none, none), ","), 256).alias("base_sha256"),
+        F.array_join(pii.all_spans(F.col("base"), F.col("secrets"), F.col("found")), ",").alias("spans"),
+        F.size("secrets").cast("long").alias("n_secret"),
+        (F.size("base") + F.size("secrets") + F.size("found")).cast("long").alias("n_spans"))
 
 
 def op6_line_dedup(spark, sf_dir):

@@ -241,6 +241,77 @@ def test_bootstrapping_finds_every_kind_however_it_is_written(spark):
         assert found[i] == ([] if value is None else [(t.index(value), kind, t.index(value) + len(value))]), t
 
 
+def test_secrets_are_spans_and_seeds(spark):
+    key, hexa = "AKIA" + "ABCDEFGH12345678", "0123456789abcdef" * 2 + "01"
+    ts = [f"use {key}.", f'token = "{hexa}" here', "password=abc123def456ghi", "password: letters", "the secret=12 is short", hexa.upper(), "no key id: AKIA1234"]
+    ts += [f"set the vault pin to {hexa[i:]}{i}f today" for i in range(3)] + ["set the vault pin to Zk81-xx_97/Qw2 today"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.personal_data(d).collect()}
+    cut = {i: [ts[i][s["start"]:s["end"]] for s in rows[i]["secrets"]] for i in rows}
+    assert cut[0] == [key] and cut[1] == [hexa] and cut[2] == ["abc123def456ghi"] and cut[3] == cut[4] == cut[5] == cut[6] == []
+    # the last one has no known form: its context, learned from hexadecimal keys, finds it
+    assert cut[10] == [] and [(ts[10][s["start"]:s["end"]], s["ord"]) for s in rows[10]["found"]] == [("Zk81-xx_97/Qw2", 4)]
+
+
+def brute_bootstrap(rows, iterations, min_seeds, trust):
+    """Scores on the pattern-instance graph in plain Python; rows: (mention, value, ord, patterns)."""
+    graph, kinds = collections.defaultdict(set), collections.defaultdict(set)
+    for _, value, ord_, patterns in rows:
+        for p in patterns:
+            graph[p].add(value)
+            if ord_ >= 0:
+                kinds[value].add(ord_)
+    scores = {(v, k): 1.0 for v, ks in kinds.items() for k in ks}
+    for i in range(iterations):
+        conf = {}
+        for p, values in graph.items():
+            for k in range(5):
+                support = sum(scores.get((v, k), 0.0) for v in values)
+                if support >= min_seeds and support / (len(values) + 1) >= trust:
+                    conf[p, k] = support / (len(values) + 1)
+        if i + 1 < iterations:
+            scores = {(v, k): 1.0 for v, ks in kinds.items() for k in ks}
+            for (p, k), c in conf.items():
+                for v in graph[p]:
+                    scores[v, k] = max(scores.get((v, k), 0.0), c)
+    best = {}
+    for mention, _, ord_, patterns in rows:
+        found = [(c, -k) for p in patterns for (q, k), c in conf.items() if q == p]
+        if ord_ < 0 and found:
+            best[mention] = -max(found)[1]
+    return best
+
+
+def test_graph_scores_equal_plain_python(spark):
+    rng = random.Random(12)
+    words = ["call", "me", "at", "server", "pay", "to", "now", "please"]
+    values = [f"10.0.0.{i}" for i in range(1, 9)] + [f"10.0.0.{i}" for i in range(300, 306)] + [f"+1 (947) 555-76{i}" for i in range(10, 18)] + ["98765", "555 867 5309"]
+    ts = [f"{rng.choice(words)} {rng.choice(words)} {rng.choice(values)} {rng.choice(words)}" for _ in range(300)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "doc_id long, text string")
+    ms = pii.mentions(pii.scan(d)).cache()
+    edges = collections.defaultdict(set)
+    for r in pii._edges(ms).collect():
+        edges[(r["row"], r["start"], r["end"]), r["value"], r["ord"]].add(r["pattern"])
+    rows = [(m, v, o, p) for (m, v, o), p in edges.items()]
+    for trust in (0.3, 0.6):
+        report = []
+        got = {(r["row"], r["start"], r["end"]): r["kind"] for r in pii.bootstrap(ms, 3, 3, trust, report).collect()}
+        want = brute_bootstrap(rows, 3, 3, trust)
+        assert got == want and len(report) == 3 and report[-1][1] == len(got)
+    assert want or trust
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+    took = []
+    for n in (16_000, 32_000):
+        d = spark.createDataFrame([(1, " ".join(str(10_000_000 + i) for i in range(n)) + " a@b.cc")], "doc_id long, text string")
+        start = time.time()
+        assert [tuple(x) for x in pii.personal_data(d).first()["base"]] == [(9 * n, 0, 9 * n + 6)]
+        took.append(time.time() - start)
+    assert took[1] < 2.5 * took[0] + 2, took
+
+
 # quality rules
 
 def test_base_counts_equal_brute_force(spark):
