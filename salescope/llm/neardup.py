@@ -33,7 +33,7 @@ AGREE = 0.67
 #: members of a bucket that one task compares at once
 BLOCK = 1024
 #: up to so many single ids are broadcast to pick the rows that are needed
-PICK_ROWS = 1_000_000
+PICK_ROWS = 100_000
 
 _M = [np.uint64(x) for x in (3, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                              0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
