@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salescope.functions.cleaning import py_strip
+from salescope.operators.ordering import with_place
 
 PREVIEW_ROWS = 100
 
@@ -67,6 +68,20 @@ def grid_search(df: DataFrame, keyword: str, columns: Sequence[str] | None = Non
     return df.where(cond)
 
 
+def grid_sort_places(df: DataFrame, column: str, descending: bool = True) -> DataFrame:
+    """Every row with its 0-based ``place`` in :func:`grid_sort`'s order of the whole table: range partitions
+    plus the counts of those before, no one-task window (P8)."""
+    first = F.col(column).desc() if descending else F.col(column).asc()
+    return with_place(df, [first, *[F.col(c).asc() for c in df.columns if c != column]])
+
+
+def write_sorted(df: DataFrame, column: str, path: str, descending: bool = True) -> None:
+    """The whole table sorted, one run of places per file (P8); read back, ``place`` orders it."""
+    placed = grid_sort_places(df, column, descending)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed.repartitionByRange(parts, "place").sortWithinPartitions("place").write.parquet(path)
+
+
 def grid_sort(df: DataFrame, column: str, descending: bool = True, n: int | None = None) -> DataFrame:
     """All rows sorted by one column, or the page of the first ``n``; the other columns break
     ties so the result is stable (P8)."""

@@ -89,10 +89,43 @@ def forecast_lines(forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def chat_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                  text: str = "text") -> DataFrame:
-    """``Role: content`` lines per conversation in turn order."""
-    lines = turns.select(conv, turn, F.concat(capitalize(F.col(role)), F.lit(": "),
-                                              F.col(text), F.lit("\n")).alias("_line"))
-    return ordered_concat(lines, [conv], "_line", [turn], "history")
+    """``Role: content`` lines per conversation in turn order.
+
+    Lines meet in segments of ``SEGMENT_TURNS`` turn numbers, then the finished segments of a conversation
+    do, so a long conversation is not one task's list of turns.  A turn without role or text gives no line.
+    """
+    parts = _segments(_chat_lines(turns, conv, turn, role, text), conv, turn)
+    return ordered_concat(parts, [conv], "_text", ["_seg"], "history")
+
+
+#: turn numbers whose lines are joined at once
+SEGMENT_TURNS = 256
+
+
+def _chat_lines(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    line = F.concat(capitalize(F.col(role)), F.lit(": "), F.col(text), F.lit("\n"))
+    return turns.select(conv, turn, F.floor(F.col(turn) / SEGMENT_TURNS).alias("_seg"), line.alias("_line"))
+
+
+def _segments(lines: DataFrame, conv: str, turn: str) -> DataFrame:
+    return ordered_concat(lines, [conv, "_seg"], "_line", [turn], "_text")
+
+
+def history_before(turns: DataFrame, questions: DataFrame, qid: str = "qid", conv: str = "conv_id", q_turn: str = "q_turn",
+                   turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """``(qid, history)``: the lines of a question's conversation before its turn.
+
+    A question takes the finished segments before its own as they are, and single lines from its own
+    only: at most ``SEGMENT_TURNS`` rows and one per segment, not one per earlier turn.
+    """
+    lines = _chat_lines(turns, conv, turn, role, text)
+    asked = questions.select(F.col(qid).alias("_q"), F.col(conv).alias("_c"), F.col(q_turn).alias("_t"),
+                             F.floor(F.col(q_turn) / SEGMENT_TURNS).alias("_own"))
+    own = lines.join(asked, (F.col(conv) == F.col("_c")) & (F.col("_seg") == F.col("_own")) & (F.col(turn) < F.col("_t")))
+    own = ordered_concat(own, ["_q", "_seg"], "_line", [turn], "_text")
+    whole = _segments(lines, conv, turn).join(asked, (F.col(conv) == F.col("_c")) & (F.col("_seg") < F.col("_own")))
+    parts = own.unionByName(whole.select("_q", "_seg", "_text"))
+    return ordered_concat(parts, ["_q"], "_text", ["_seg"], "history").withColumnRenamed("_q", qid)
 
 
 def rag_context(hits: DataFrame, qid: str = "qid", text: str = "text", rank: str = "rank",

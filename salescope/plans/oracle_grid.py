@@ -90,15 +90,25 @@ SELECT region, round(sum(sales), 2) AS sales, round(sum(profit), 4) AS profit FR
 WHERE region IS NOT NULL GROUP BY region"""
 
 ORACLE["land_dataset"] = SALES_CTE + f"""
-SELECT region, {_KPI_COLS} FROM sales WHERE region IN ('EUROPE', 'AMERICA') GROUP BY region"""
+SELECT dataset || '.csv' AS dataset, region, {_KPI_COLS} FROM (
+  SELECT sales.*, d.dataset FROM sales JOIN (SELECT DISTINCT region AS dataset FROM sales) d
+  ON region = d.dataset OR (d.dataset = (SELECT min(region) FROM sales) AND region = (SELECT max(region) FROM sales)))
+WHERE region IS NOT NULL GROUP BY dataset, region"""
 
 ORACLE["feedback"] = """
 SELECT via, role AS category, (turn % 5 + 1)::INTEGER AS rating, count(*) AS n_rows
 FROM conversations CROSS JOIN (VALUES ('files'), ('stream')) AS v(via) GROUP BY ALL"""
 
-ORACLE["dataset_catalog"] = """
-SELECT * FROM (VALUES (true, 1, 1), (false, 1, 1)) AS t(active, sized, dated)
-WHERE EXISTS (SELECT 1 FROM lineitem)"""
+ORACLE["dataset_catalog"] = SALES_CTE + """
+SELECT region || '.csv' AS filename, sum(strlen(concat_ws(',', category, product_name)) + 1)::BIGINT AS bytes,
+       region = (SELECT max(region) FROM sales) AS active, 'config' AS source,
+       'first:' || (SELECT min(region) FROM sales) || '.csv' AS without, true AS recent
+FROM sales GROUP BY region"""
+
+ORACLE["feedback_quarantine"] = """
+SELECT kind, CASE WHEN kind = 'entry' THEN role ELSE '-' END AS category, CASE WHEN kind = 'entry' THEN turn % 5 + 1 ELSE 0 END::INTEGER AS rating,
+       count(*) AS n_rows, sum(CASE WHEN kind = 'entry' THEN length(text) ELSE 0 END)::BIGINT AS chars
+FROM (SELECT *, CASE WHEN turn % 3 = 0 THEN 'malformed' ELSE 'entry' END AS kind FROM conversations) GROUP BY ALL"""
 
 ORACLE["na_tokens_hard"] = f"""
 SELECT o_orderkey, CASE WHEN cell IN ({_TOKENS}) THEN NULL ELSE cell END AS cell FROM (
@@ -117,8 +127,10 @@ ORACLE["nonblank_texts_hard"] = f"""
 SELECT doc_id, trim(text, '{_SPACES}') AS text FROM documents
 WHERE doc_id % 4 <> 1 AND trim(text, '{_SPACES}') <> ''"""
 
-ORACLE["grid_sort_all"] = SALES_CTE + """
-SELECT region, count(*) AS n_rows, min(sales) AS lowest, max(sales) AS highest FROM sales GROUP BY region"""
+ORACLE["grid_sort_all"] = SALES_CTE + f"""
+SELECT {_GRID_COLS}, row_number() OVER (ORDER BY sales, strftime(order_date, '%Y-%m-%d'), region, category, sub_category, segment,
+       product_name, discount, profit) - 1 AS place
+FROM sales"""
 
 ORACLE["preview_head"] = """
 SELECT * FROM (SELECT coalesce(CAST(COLUMNS(*) AS VARCHAR), '') FROM (SELECT * FROM orders LIMIT 5))"""

@@ -275,8 +275,8 @@ SELECT kpi.region, chr(10) || {_lines("You are a Lead Business Consultant.", 4)}
 FROM kpi LEFT JOIN rcs USING (region) LEFT JOIN ft USING (region)"""
 
 ORACLE["report_sink"] = f"""
-SELECT region AS report_key, length(report) - length(replace(report, chr(10), '')) + 1 AS n_lines
-FROM ({ORACLE["final_report_by_region"]})"""
+SELECT region AS report_key, line, count(*) AS n_lines
+FROM (SELECT region, unnest(string_split(report, chr(10))) AS line FROM ({ORACLE["final_report_by_region"]})) GROUP BY ALL"""
 
 
 def _json_rows(part: str, name: str, where: str, group: str, order: str, more: str = "") -> str:

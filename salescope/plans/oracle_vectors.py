@@ -124,3 +124,23 @@ stored AS (SELECT * FROM clean WHERE text <> '')""" + "," + \
     _sparse("benchmark", "item_id", "text", "qv") + "," + _ranked("qv", "dv", 2) + """
 SELECT rk.qid AS item_id, rk.rank, rk.cid AS doc_id, round(rk.d2, 6) AS d2, d.text
 FROM rk JOIN stored d ON d.doc_id = rk.cid"""
+
+ORACLE["text_search_pruned"] = "WITH " + _sparse("documents", "doc_id", "text", "dv") + "," + \
+    _sparse("benchmark", "item_id", "text", "qv") + "," + _ranked("qv", "dv", 5) + """
+SELECT qid AS item_id, rank, cid AS doc_id, round(d2, 6) AS d2 FROM rk"""
+
+ORACLE["knn_pruned"] = """
+WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS near_id, sum((a.x - b.x) * (a.x - b.x)) AS d2 FROM e a JOIN e b ON a.pos = b.pos GROUP BY ALL)
+SELECT vec_id, rank, near_id, round(d2, 6) AS d2
+FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d2, 9), near_id) AS rank FROM d) WHERE rank <= 3"""
+
+_LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (((length({0}) - length(replace({0}, c, '')))::DOUBLE / greatest(length({0}), 1))::FLOAT)::DOUBLE)"
+
+ORACLE["dense_index_search"] = """WITH stored AS (SELECT * FROM (
+  SELECT doc_id, trim(replace(text, chr(10), ' '), '""" + _SPACES + """') AS text FROM documents) WHERE text <> ''),
+d AS (SELECT doc_id, """ + _LETTERS.format("text") + """ AS v FROM stored),
+q AS (SELECT item_id, """ + _LETTERS.format("text") + """ AS v FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT item_id, doc_id, list_sum(list_transform(range(1, 27), lambda i: (q.v[i] - d.v[i]) * (q.v[i] - d.v[i]))) AS d2 FROM q CROSS JOIN d),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(d2, 9), doc_id) AS rank FROM p) WHERE rank <= 2)
+SELECT rk.item_id, rk.rank, rk.doc_id, round(rk.d2, 6) AS d2, stored.text FROM rk JOIN stored USING (doc_id)"""

@@ -8,6 +8,7 @@ row caps, id subsets or prefixes.  A ``limit`` appears only where it is the feat
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from salescope.functions.cleaning import na_to_null, parse_mixed_date, to_number
 from salescope.functions.formats import fixed, iso_date, money
 from salescope.functions.metrics import pearson
-from salescope.operators import facts, forecast_model, grid, kpi, series, text, vectors
+from salescope.operators import facts, forecast_model, grid, kpi, pruned, series, text, vectors
 from salescope.plans import analysis, retrieval
 from salescope.plans.present import present
 from salescope.session import materialize, scratch_path
@@ -23,8 +24,8 @@ from salescope.sources import catalog
 from salescope.sources.csv import clean_sales, read_sales_csv
 from salescope.sources.feedback import append_feedback, read_feedback
 from salescope.sources.fixture import landed_sales, mixed_csv_path, sales_csv_path, table
-from salescope.sources.landing import land_dataset, read_dataset, write_reports
-from salescope.streaming.feedback import start_feedback_sink
+from salescope.sources.landing import land_dataset, read_dataset, write_csv_file, write_reports
+from salescope.streaming.feedback import start_feedback_quarantine, start_feedback_sink
 from salescope.streaming.landing import start_landing_kpis
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,8 +222,7 @@ def q_rag_context(spark, sf_dir):
 def q_prompt_table(spark, sf_dir):
     conv, qs, ctx = _rag(spark, sf_dir)
     # a question's history is every turn before it
-    before = conv.join(qs.select("qid", "conv_id", "q_turn"), "conv_id").where(F.col("turn") < F.col("q_turn"))
-    prompts = text.prompt_table(qs, ctx, text.chat_history(before, conv="qid"), qid="qid", conv="qid")
+    prompts = text.prompt_table(qs, ctx, text.history_before(conv, qs), qid="qid", conv="qid")
     return qs.select("qid", "conv_id", "q_turn").join(prompts, "qid").select("conv_id", "q_turn", "prompt")
 
 
@@ -275,13 +275,14 @@ def q_csv_mixed_layouts(spark, sf_dir):
 
 
 def q_land_dataset(spark, sf_dir):
-    """Regions landed as datasets, one of them landed again; read back and summed."""
+    """Every region landed as a dataset, one of them landed again with the sales of two; all read back and summed."""
     root, sales = scratch_path(spark, "datasets"), _sales(spark, sf_dir)
-    for name in ("EUROPE", "ASIA"):
+    names = [r["region"] for r in sales.select("region").distinct().orderBy("region").collect()]
+    for name in names:
         land_dataset(sales.where(F.col("region") == name), root, f"{name}.csv")
-    land_dataset(sales.where(F.col("region") == "AMERICA"), root, "ASIA.csv")
-    both = read_dataset(spark, root, "EUROPE.csv").unionByName(read_dataset(spark, root, "ASIA.csv"))
-    return present(kpi.kpi_region(both))
+    land_dataset(sales.where(F.col("region").isin(names[0], names[-1])), root, f"{names[0]}.csv")
+    out = [kpi.kpi_region(read_dataset(spark, root, f"{n}.csv")).withColumn("dataset", F.lit(f"{n}.csv")) for n in names]
+    return present(reduce(DataFrame.unionByName, out))
 
 
 def q_feedback(spark, sf_dir):
@@ -306,24 +307,82 @@ def q_index_search(spark, sf_dir):
     return present(hits.select(F.col("qid").alias("item_id"), F.col("rank").cast("bigint"), F.col("id").alias("doc_id"), "d2", "text"))
 
 
+class LetterShares:
+    """A deterministic encoder: the share of each letter a to z among a text's characters."""
+
+    def encode(self, texts):
+        import numpy as np
+        return np.array([[t.count(c) / max(len(t), 1) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], dtype=np.float32)
+
+
+def q_dense_index_search(spark, sf_dir):
+    """An index of all documents by a plugged-in encoder, searched for every benchmark item (k = 2)."""
+    path = scratch_path(spark, "dense-index")
+    retrieval.build_dense_index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), path, LetterShares, 26)
+    qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    hits = retrieval.search_dense_index(spark, path, qs, LetterShares, 26, k=2)
+    return present(hits.select(F.col("qid").alias("item_id"), F.col("rank").cast("bigint"), F.col("id").alias("doc_id"), "d2", "text"))
+
+
+def q_knn_pruned(spark, sf_dir):
+    """Every vector's three nearest among all, by blocks of neighbours and bounds."""
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    hits = pruned.knn_dense_pruned(emb.withColumnRenamed("id", "qid"), emb, k=3, block_rows=256)
+    return present(hits.select(F.col("qid").alias("vec_id"), F.col("rank").cast("bigint"), F.col("id").alias("near_id"), "d2"))
+
+
+def q_text_search_pruned(spark, sf_dir):
+    """As ``text_search``, by blocks of neighbours and bucket maxima."""
+    qs = vectors.sparse_embed(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), "qid", "text")
+    docs = vectors.sparse_embed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id", "text")
+    hits = pruned.search_sparse_pruned(qs, docs, k=SEARCH_K, block_rows=256)
+    return present(hits.select(F.col("qid").alias("item_id"), F.col("rank").cast("bigint"), F.col("id").alias("doc_id"), "d2"))
+
+
+def q_feedback_quarantine(spark, sf_dir):
+    """Turns as feedback lines, every third cut short: entries and malformed lines land in two tables."""
+    folder, out, bad, progress = (scratch_path(spark, n) for n in ("lines", "entries", "malformed", "lines-progress"))
+    conv = table(spark, sf_dir, "conversations")
+    whole = F.to_json(F.struct((F.col("turn") % 5 + 1).alias("rating"), F.col("role").alias("category"), F.col("text").alias("comment")))
+    line = F.when(F.col("turn") % 3 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+    conv.select(line.alias("value")).write.text(folder)
+    start_feedback_quarantine(spark, folder, out, bad, progress).awaitTermination()
+    good = spark.read.parquet(out).select(F.lit("entry").alias("kind"), "category", "rating", F.length("comment").alias("chars"))
+    rest = spark.read.parquet(bad).select(F.lit("malformed").alias("kind"), F.lit(None).cast("string").alias("category"),
+                                          F.lit(None).cast("int").alias("rating"), F.lit(None).cast("int").alias("chars"))
+    return (good.unionByName(rest).groupBy("kind", F.coalesce("category", F.lit("-")).alias("category"), F.coalesce("rating", F.lit(0)).alias("rating"))
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars")))
+
+
 def q_report_sink(spark, sf_dir):
-    """The reports per region written as text files and read back line by line."""
+    """The reports per region written as text files and read back line by line: how often each line stands in each."""
     path = scratch_path(spark, "reports")
     write_reports(analysis.final_reports(_sales(spark, sf_dir), REPORT_KEYS).withColumnRenamed("region", "report_key"), path)
-    return spark.read.text(path).groupBy("report_key").agg(F.count(F.lit(1)).alias("n_lines"))
+    return spark.read.text(path).groupBy("report_key", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def q_dataset_catalog(spark, sf_dir):
-    """The landed CSV files per layout, one of them selected: sizes are known, one is active."""
-    root = mixed_csv_path(spark, sf_dir)
-    cats = [catalog.dataset_catalog(spark, f"{root}/layout{i}", priority=i) for i in range(3)]
-    files = catalog.catalog_dedup(cats[0].unionByName(cats[1]).unionByName(cats[2]))
-    config = scratch_path(spark, "active")
-    first = files.agg(F.max("filename")).first()[0]
-    catalog.select_dataset(spark, files, first, config)
-    flagged = catalog.with_active(files, catalog.active_dataset(files, catalog.read_selection(spark, config), None))
-    return flagged.groupBy("active").agg(F.min((F.col("size") > 0).cast("int")).alias("sized"),
-                                         F.min((F.length("uploaded_at") > 0).cast("int")).alias("dated"))
+    """One CSV file per region, named after it, beside a file of another kind; the last one is selected.
+
+    A row is a file's region, its rank by size, its number of bytes, whether it is active, and where the
+    choice comes from: the selection, and the first name once the selection names no file.
+    """
+    root, config = scratch_path(spark, "catalog"), scratch_path(spark, "active")
+    sales = _sales(spark, sf_dir).select("region", F.concat_ws(",", "category", "product_name").alias("line"))
+    names = [r["region"] for r in sales.select("region").distinct().orderBy("region").collect()]
+    for name in names:
+        write_csv_file(sales.where(F.col("region") == name).select("line"), f"{root}/{name}.csv")
+    write_csv_file(sales.where(F.col("region") == names[0]).select("line"), f"{root}/notes.txt")
+    files = catalog.catalog_dedup(catalog.dataset_catalog(spark, root))
+    catalog.select_dataset(spark, files, f"{names[-1]}.csv", config)
+    chosen = catalog.active_dataset(files, catalog.read_selection(spark, config), None)
+    other = catalog.active_dataset(files, spark.createDataFrame([("gone.csv",)], "active_filename string"), None)
+    flagged = catalog.with_active(files, chosen).withColumn("__one", F.lit(1))
+    both = flagged.join(chosen.select(F.lit(1).alias("__one"), F.col("source").alias("source")), "__one").join(
+        other.select(F.lit(1).alias("__one"), F.concat_ws(":", "source", "active_filename").alias("without")), "__one")
+    recent = (F.col("uploaded_at").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}$")
+              & F.to_timestamp("uploaded_at").between(F.current_timestamp() - F.expr("INTERVAL 1 DAY"), F.current_timestamp() + F.expr("INTERVAL 1 DAY")))
+    return both.select("filename", F.col("size").alias("bytes"), "active", "source", "without", recent.alias("recent"))
 
 
 # Replies a planner may give, picked by conversation and turn; the rest are the turns themselves.
@@ -386,9 +445,10 @@ def q_nonblank_texts_hard(spark, sf_dir):
 
 
 def q_grid_sort_all(spark, sf_dir):
-    """The whole table sorted: its order shows in each row's place among equal regions."""
-    s = grid.grid_sort(_grid_sales(spark, sf_dir), "sales", descending=False)
-    return s.groupBy("region").agg(F.count(F.lit(1)).alias("n_rows"), F.min("sales").alias("lowest"), F.max("sales").alias("highest"))
+    """The whole table written sorted and read back: every row with its place."""
+    path = scratch_path(spark, "sorted")
+    grid.write_sorted(_grid_sales(spark, sf_dir), "sales", path, descending=False)
+    return present(spark.read.parquet(path))
 
 
 def q_preview_head(spark, sf_dir):
@@ -568,5 +628,9 @@ QUERIES: dict[str, Query] = {
     "parse_dates_hard": q_parse_dates_hard,
     "nonblank_texts_hard": q_nonblank_texts_hard,
     "grid_sort_all": q_grid_sort_all,
+    "dense_index_search": q_dense_index_search,
+    "knn_pruned": q_knn_pruned,
+    "text_search_pruned": q_text_search_pruned,
+    "feedback_quarantine": q_feedback_quarantine,
     "preview_head": q_preview_head,
 }

@@ -39,6 +39,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+CORRUPT = "malformed"
+QUARANTINE_SCHEMA = T.StructType([*FEEDBACK_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def split_feedback(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, malformed lines) of rows read with ``QUARANTINE_SCHEMA``; together they are all lines."""
+    bad = F.col(CORRUPT).isNotNull()
+    return lines.where(~bad).drop(CORRUPT), lines.where(bad).select(F.col(CORRUPT).alias("line"))
+
+
+def read_feedback_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """Every line: an entry, or ``malformed`` with the line as it stands."""
+    return spark.read.schema(QUARANTINE_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(directory)
+
+
 def read_feedback(spark: SparkSession, directory: str) -> DataFrame:
     """All feedback entries; empty when the folder is missing."""
     if not _exists(spark, directory):

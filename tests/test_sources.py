@@ -169,3 +169,44 @@ def test_ten_thousand_small_files_of_several_layouts(spark, tmpdir_path):
         i = int(r["Sales"])
         assert r["path"].endswith(f"/f{i}.csv") and (r["Region"], r["Category"]) == ((None, None) if i % 3 == 0 or i == 5 else ("R\xe9gion", "C"))
     assert file_layouts(spark, os.path.join(tmpdir_path, "d5")).count() == 1000
+
+
+def test_readers_keep_their_version_while_a_dataset_lands_again(spark, tmpdir_path):
+    df = spark.range(10).selectExpr("id", "1 AS v")
+    landing.land_dataset(df, tmpdir_path, "a.csv")
+    held = landing.read_dataset(spark, tmpdir_path, "a.csv")
+    # a landing that fails half-way changes nothing
+    broken = df.selectExpr("id", "IF(id = 9, CAST(raise_error('lost') AS INT), 2) AS v")
+    try:
+        landing.land_dataset(broken, tmpdir_path, "a.csv")
+        raise AssertionError("should fail")
+    except Exception as e:  # noqa: BLE001
+        assert "lost" in str(e)
+    assert landing.read_dataset(spark, tmpdir_path, "a.csv").agg({"v": "sum"}).first()[0] == 10
+    landing.land_dataset(df.selectExpr("id", "3 AS v"), tmpdir_path, "a.csv")
+    # the reader from before still has its files, a new one the new rows
+    assert held.agg({"v": "sum"}).first()[0] == 10
+    assert landing.read_dataset(spark, tmpdir_path, "a.csv").agg({"v": "sum"}).first()[0] == 30
+    for i in range(4):
+        landing.land_dataset(df.limit(i), tmpdir_path, "a.csv")
+    assert landing.read_dataset(spark, tmpdir_path, "a.csv").count() == 3
+    versions = [d for d in os.listdir(landing.dataset_path(spark, tmpdir_path, "a.csv")) if d.startswith("version=")]
+    assert len(versions) <= landing.KEEP_VERSIONS + 1  # the failed one's folder is unreferenced
+
+
+def test_sorted_places_and_a_written_sort(spark, tmpdir_path):
+    df = spark.range(2000).selectExpr("id", "id % 7 AS v", "IF(id % 5 = 0, NULL, id % 3) AS w").repartition(6)
+    rows = [(r["v"], r["id"], r["w"]) for r in df.collect()]
+    want = sorted(rows, key=lambda r: (-r[0], r[1]))
+    got = [(r["v"], r["id"], r["w"]) for r in grid.grid_sort_places(df, "v").orderBy("place").collect()]
+    assert got == want
+    grid.write_sorted(df, "v", f"{tmpdir_path}/sorted")
+    back = spark.read.parquet(f"{tmpdir_path}/sorted")
+    assert [r["place"] for r in back.orderBy("place").collect()] == list(range(2000))
+    assert [(r["v"], r["id"], r["w"]) for r in back.orderBy("place").collect()] == want
+
+
+def test_catalogue_names_of_paths(spark):
+    from salescope.functions.formats import basename
+    df = spark.createDataFrame([("file:/a/b c.csv",), ("x.csv",), ("s3://k/",)], "path string")
+    assert [r[0] for r in df.select(basename("path")).collect()] == ["b c.csv", "x.csv", ""]

@@ -94,3 +94,18 @@ def test_feedback_stream_drops_malformed(spark, tmpdir_path):
     q.awaitTermination()
     got = sorted(r["rating"] for r in spark.read.parquet(out).collect())
     assert got == [2, 5]
+
+
+def test_malformed_feedback_goes_to_its_own_table(spark, tmpdir_path):
+    src, out, bad, ck = (os.path.join(tmpdir_path, n) for n in ("fb", "out", "bad", "ck"))
+    os.makedirs(src)
+
+    def run(name, lines):
+        with open(os.path.join(src, name), "w") as f:
+            f.write("\n".join(lines) + "\n")
+        fstream.start_feedback_quarantine(spark, src, out, bad, ck).awaitTermination()
+        return (sorted(r["rating"] for r in spark.read.parquet(out).collect()), sorted(r["line"] for r in spark.read.parquet(bad).collect()))
+
+    assert run("a.json", ['{"rating": 5, "category": "ui", "comment": "ok", "timestamp": "t1"}', "{oops", '{"rating": "five"}']) == (
+        [5], ['{"rating": "five"}', "{oops"])
+    assert run("b.json", ['{"rating": 2}', "[1", '{"rating": 3, "extra": 1}']) == ([2, 3, 5], ["[1", '{"rating": "five"}', "{oops"])

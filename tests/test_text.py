@@ -59,3 +59,24 @@ def test_final_report_without_optional_parts(spark):
     rep = text.final_report(overall, None, None).collect()[0]["report"]
     assert rep.startswith("# Executive Business Report\n\n## 1. System Performance Overview\n")
     assert "- Total Sales: $10.00" in rep and "No details available." in rep
+
+
+def test_long_conversations_are_joined_by_segments(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(text, "SEGMENT_TURNS", 4)
+    rows = [(c, t, "user" if t % 2 else "assistant", f"text {c} {t}") for c, n in ((1, 50), (2, 1), (3, 9)) for t in range(n)]
+    rows += [(3, 100, None, "no role"), (3, 101, "user", None), (4, None, "user", "unnumbered")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    line = lambda r: f"{r[2].capitalize()}: {r[3]}\n"
+    whole = {r["conv_id"]: r["history"] for r in text.chat_history(turns).collect()}
+    full = [r for r in rows if r[2] and r[3]]
+    assert whole == {c: "".join(line(r) for r in full if r[0] == c) for c in (1, 2, 3, 4)}
+    asked = turns.where("turn IS NOT NULL").select(F.concat_ws("/", "conv_id", "turn").alias("qid"), "conv_id", F.col("turn").alias("q_turn"))
+    got = {r["qid"]: r["history"] for r in text.history_before(turns, asked).collect()}
+    for c, t, _, _ in rows:
+        if t is not None:
+            before = "".join(line(r) for r in full if r[0] == c and r[1] is not None and r[1] < t)
+            assert (got.get(f"{c}/{t}") or "") == before
+    # a question meets at most the lines of its own segment and one text per earlier one
+    plan = text.history_before(turns, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan

@@ -131,3 +131,15 @@ def test_both_sides_large_is_one_plan_of_block_pairs(spark):
         got = {(r["qid"], r["rank"]): r["id"] for r in hits.collect()}
         d2 = ((x[:, None] - y[None]) ** 2).sum(axis=2)
         assert got == {(i, j + 1): int(c) for i in range(70) for j, c in enumerate(np.argsort(d2[i], kind="stable")[:3])}
+
+
+def test_dense_index_uses_one_encoder_for_texts_and_questions(spark, tmpdir_path):
+    from salescope.plans.retrieval import build_dense_index, search_dense_index
+    texts = spark.createDataFrame([(1, "a b\nc"), (2, "abcdef"), (3, "  "), (4, None), (5, "a  b")], "id long, text string")
+    path = f"{tmpdir_path}/dense"
+    for _ in range(2):  # a rebuild replaces, never appends
+        build_dense_index(texts, path, _ToyEncoder, 3)
+    assert {r["id"]: r["text"] for r in spark.read.parquet(path).collect()} == {1: "a b c", 2: "abcdef", 5: "a  b"}
+    qs = spark.createDataFrame([(10, "x y z"), (11, "abcdeg"), (12, None)], "qid long, question string")
+    hits = {(r["qid"], r["rank"]): (r["id"], r["d2"], r["text"]) for r in search_dense_index(spark, path, qs, _ToyEncoder, 3, k=2).collect()}
+    assert hits == {(10, 1): (1, 0.0, "a b c"), (10, 2): (5, 1.0, "a  b"), (11, 1): (2, 0.0, "abcdef"), (11, 2): (1, 5.0, "a b c")}
