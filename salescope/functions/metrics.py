@@ -33,27 +33,40 @@ def month_end(col: Column | str) -> Column:
     return F.last_day(_c(col))
 
 
-def mean_parts(col: Column | str, prefix: str, scale: int = 10) -> list[Column]:
-    """Aggregates ``{prefix}_exact, _rest, _beyond, _n`` that :func:`mean_of_parts` turns into a mean.
+#: decimal places of a value that are summed exactly, values up to which they are, and bits of the lower half
+EXACT_SCALE, EXACT_BELOW, HALF_BITS = 10 ** 8, 9e7, 30
 
-    All four are sums, so they may be taken in two steps (:func:`merged_parts`).
-    """
+
+def _parts(col: Column | str) -> dict[str, Column]:
+    """What is summed for a mean: a value in whole units of 1 / ``EXACT_SCALE``, in two halves that no sum
+    of billions of rows overflows; the rest of it in double; infinities; a count."""
     c = F.nanvl(_c(col).cast("double"), F.lit(None).cast("double"))
     inf = F.lit(float("inf"))
-    finite = F.when(F.abs(c) < inf, c)
-    exact = F.coalesce(finite.try_cast(f"decimal(28,{scale})"), F.lit(0).cast(f"decimal(28,{scale})"))
-    return [F.sum(exact).alias(f"{prefix}_exact"), F.sum(finite - exact.cast("double")).alias(f"{prefix}_rest"),
-            # a sum of the infinities alone is an infinity, or NaN if both signs occur
-            F.sum(F.when(F.abs(c) == inf, c)).alias(f"{prefix}_beyond"), F.count(c).alias(f"{prefix}_n")]
+    units = F.when(F.abs(c) < EXACT_BELOW, F.rint(c * F.lit(float(EXACT_SCALE)))).otherwise(F.lit(0.0)).cast("bigint")
+    rest = F.when(F.abs(c) < inf, c - units / F.lit(float(EXACT_SCALE)))
+    # a sum of the infinities alone is an infinity, or NaN if both signs occur
+    return {"high": F.shiftright(units, HALF_BITS), "low": units.bitwiseAND(F.lit((1 << HALF_BITS) - 1)), "rest": rest,
+            "beyond": F.when(F.abs(c) == inf, c), "n": F.when(c.isNotNull(), F.lit(1).cast("bigint"))}
+
+
+def mean_parts(col: Column | str, prefix: str) -> list[Column]:
+    """Sums ``{prefix}_high, _low, _rest, _beyond, _n`` that :func:`mean_of_parts` turns into a mean; they may be
+    taken in two steps (:func:`merged_parts`)."""
+    return [F.sum(v).alias(f"{prefix}_{k}") for k, v in _parts(col).items()]
 
 
 def merged_parts(prefix: str) -> list[Column]:
-    return [F.sum(f"{prefix}_{p}").alias(f"{prefix}_{p}") for p in ("exact", "rest", "beyond", "n")]
+    return [F.sum(f"{prefix}_{p}").alias(f"{prefix}_{p}") for p in ("high", "low", "rest", "beyond", "n")]
+
+
+def _mean(high: Column, low: Column, rest: Column, beyond: Column, n: Column) -> Column:
+    whole = high.cast("decimal(20,0)") * F.lit(1 << HALF_BITS).cast("decimal(11,0)") + low.cast("decimal(20,0)")
+    total = (whole / F.lit(EXACT_SCALE).cast("decimal(9,0)")).cast("double") + rest
+    return F.coalesce(beyond, F.try_divide(total, n.cast("double")))
 
 
 def mean_of_parts(prefix: str) -> Column:
-    total = F.col(f"{prefix}_exact").cast("double") + F.col(f"{prefix}_rest")
-    return F.coalesce(F.col(f"{prefix}_beyond"), F.try_divide(total, F.col(f"{prefix}_n").cast("double")))
+    return _mean(*[F.col(f"{prefix}_{p}") for p in ("high", "low", "rest", "beyond", "n")])
 
 
 def pearson_parts(x: str, y: str, prefix: str) -> list[Column]:
@@ -78,14 +91,13 @@ def pearson_of_parts(prefix: str) -> Column:
     return F.coalesce(F.when(varies, F.try_divide(cov, F.when(spread != 0, spread))), F.lit(float("nan")))
 
 
-def exact_mean(col: Column | str, scale: int = 10) -> Column:
+def exact_mean(col: Column | str) -> Column:
     """Mean whose value does not depend on partitioning or summation order.
 
-    Values are summed as ``decimal(28, scale)`` (exact and associative, so every partial
-    aggregation order gives the same total); what that type cannot hold -- digits below
-    10^-scale, or very large values -- is summed in double beside it.  A plain double ``avg``
-    can land on either side of an exact rounding tie depending on how rows were split.
+    Values are summed as whole numbers of their 8th decimal place (exact and associative, so every partial
+    aggregation order gives the same total); what that cannot hold -- further digits, or very large
+    values -- is summed in double beside it.  A plain double ``avg`` can land on either side of an exact
+    rounding tie depending on how rows were split.
     As in pandas, NaN counts as missing, and an infinity decides the mean (both signs: NaN).
     """
-    exact, rest, beyond, n = mean_parts(col, "_", scale)
-    return F.coalesce(beyond, F.try_divide(exact.cast("double") + rest, n.cast("double")))
+    return _mean(*[F.sum(v) for v in _parts(col).values()])
