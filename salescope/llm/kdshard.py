@@ -5,8 +5,7 @@ rows spread widest (relative to the spread over all rows), at the weighted media
 (more generally: at the share of bytes that belongs to the left half of its shards), until every
 leaf is one shard.  The medians come from distributed running totals, so a node of any size --
 the root holds all rows -- is never gathered in one task, and they are exact: rows of equal
-coordinate are ordered by text checksum and document id, which keeps copies of a text together
-unless a cut falls inside their group.
+coordinate are ordered by text checksum and document id.
 """
 
 from __future__ import annotations
@@ -18,19 +17,22 @@ from pyspark.sql import functions as F
 
 from salescope.llm.common import land, running_totals, small, text_or_empty
 
-#: bytes of a string that count as its coordinate
-PREFIX_BYTES = 6
-
-
 def text_size(text: str = "text") -> Column:
     return F.octet_length(text_or_empty(text)).cast("long") + 1
 
 
-def string_coordinate(name: str) -> Column:
-    """Order-preserving number from the first bytes of a string; null is 0."""
-    raw = F.substring(F.rpad(F.hex(F.encode(F.coalesce(F.col(name).cast("string"), F.lit("")), "UTF-8")),
-                             2 * PREFIX_BYTES, "0"), 1, 2 * PREFIX_BYTES)
-    return F.conv(raw, 16, 10).cast("double")
+def with_ranks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Add ``__<column>``: the rank (from 1) of a string among the distinct ones by UTF-8 bytes; null is 0.
+
+    The ranks of one column are a table of its distinct values, numbered by running totals.
+    """
+    for c in columns:
+        values = land(rows.filter(F.col(c).isNotNull()).select(F.col(c).alias("__value"), F.lit(1).cast("long").alias("__one")).distinct(), "kd-values")
+        n = values.count()
+        ranks = running_totals(values, [], [F.col("__value")], "__one", "kd-ranks", 1).select("__value", F.col("rn").cast("double").alias(f"__{c}"))
+        rows = (rows.join(small(ranks, n), F.col(c) == F.col("__value"), "left").drop("__value")
+                .withColumn(f"__{c}", F.coalesce(f"__{c}", F.lit(0.0))))
+    return rows
 
 
 def kd_shards(meta: DataFrame, n_shards: int, size: str, dims: list[str], tie: list[str]) -> DataFrame:
@@ -77,14 +79,17 @@ def kd_shards(meta: DataFrame, n_shards: int, size: str, dims: list[str], tie: l
 def shard_documents(docs: DataFrame, n_shards: int | None = 16, target_bytes: int | None = None) -> DataFrame:
     """Documents' metadata with ``size``, ``text_crc32``, ``shard`` and ``slot``; law ``bytes``.
 
-    Dimensions: source, lang, log2 of the size and doc_id.  ``target_bytes`` (with n_shards None)
+    Dimensions: source and lang (ranks of their distinct values), log2 of the size and doc_id.  Copies of a
+    text share shards only where source, lang and doc_id, which are split first, leave them together.
+    Very long texts count with all their bytes; an empty table gives an empty result; other columns are
+    not read.  ``target_bytes`` (with n_shards None)
     sets the number of leaves by the total.  Null texts have size 1 and the checksum of an empty
     text; null ids, langs and sources sort first; repeated rows are all kept.
     """
-    meta = docs.select("doc_id", "source", "lang", text_size().alias("size"),
-                       F.crc32(F.encode(text_or_empty("text"), "UTF-8")).alias("text_crc32"))
-    meta = land(meta.select("doc_id", "size", "text_crc32", string_coordinate("source").alias("__source"),
-                       string_coordinate("lang").alias("__lang"), F.log2("size").alias("__log")), "kd-meta")
+    meta = land(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
+                            text_size().alias("size"), F.crc32(F.encode(text_or_empty("text"), "UTF-8")).alias("text_crc32"),
+                            F.log2(text_size()).alias("__log")), "kd-meta")
+    meta = with_ranks(meta, ["source", "lang"]).drop("source", "lang")
     if n_shards is None:
         total = meta.agg(F.sum("size")).first()[0] or 0
         n_shards = max(1, math.ceil(total / target_bytes))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -36,6 +37,53 @@ def test_shards_are_even_gapless_and_complete(spark):
         assert sum(r["size"] for r in shard) <= total / 7 + 3 * largest
 
 
+def brute_kd(rows, n):
+    """A k-d tree in plain Python: shard of every row; rows: (doc_id, source, lang, size, crc)."""
+    rank = lambda at: {v: i + 1 for i, v in enumerate(sorted({r[at] for r in rows if r[at] is not None}, key=lambda s: s.encode()))}
+    sources, langs = rank(1), rank(2)
+    points = [((sources.get(r[1], 0), langs.get(r[2], 0), math.log2(r[3]), r[0] or 0), r) for r in rows]
+    spread = lambda ps, a: max(p[0][a] for p in ps) - min(p[0][a] for p in ps)
+    wide = [spread(points, a) or 1.0 for a in range(4)]
+    out = {}
+
+    def split(ps, lo, k):
+        if k == 1 or not ps:
+            out.update({p[1]: lo for p in ps})
+            return
+        shares = [spread(ps, a) / wide[a] for a in range(4)]
+        axis = shares.index(max(shares))
+        ps = sorted(ps, key=lambda p: (p[0][axis], p[1][4], p[1][0] is not None, p[1][0] or 0))
+        total, cum, half, cut = sum(p[1][3] for p in ps), 0, k // 2, 0
+        for p in ps:
+            cum += p[1][3]
+            cut += (2 * cum - p[1][3]) * k <= 2 * total * half
+        split(ps[:cut], lo, half)
+        split(ps[cut:], lo + half, k - half)
+
+    split(points, 0, n)
+    return out
+
+
+@pytest.mark.parametrize("n", [5, 16])
+def test_shards_equal_a_plain_tree_and_are_even(spark, n):
+    rng = random.Random(n)
+    rows = [(i if i % 31 else None, f"https://source.example/{rng.randint(0, 6)}" if i % 9 else None, rng.choice(["en", "de", "fr", None]),
+             "x" * rng.choice([rng.randint(0, 50), rng.randint(0, 900), 3000])) for i in range(700)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    got = collect(kdshard.shard_documents(d, n))
+    plain = [(r[0], r[1], r[2], len(r[3]) + 1, zlib.crc32(r[3].encode())) for r in rows]
+    want = brute_kd(plain, n)
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in got) == collections.Counter(
+        (k[0], k[3], k[4], want[k]) for k in plain)
+    # a cut misses its share by at most half a document, once per level
+    total, sizes = sum(k[3] for k in plain), collections.Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    levels, largest = math.ceil(math.log2(n)), max(k[3] for k in plain)
+    assert set(sizes) == set(range(n)) and all(abs(s - total / n) <= levels * largest for s in sizes.values())
+    assert levels * largest < total / n  # the bound says something
+
+
 def test_shards_of_equal_rows_stay_balanced(spark):
     same = spark.createDataFrame([(i, "x" * 99, "en", "s") for i in range(64)], "doc_id long, text string, lang string, source string")
     counts = collections.Counter(r["shard"] for r in collect(kdshard.shard_documents(same, 16)))
