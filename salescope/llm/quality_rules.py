@@ -1,9 +1,11 @@
 """Quality rules: base counts and robust multivariate outliers per language and source (native Spark).
 
 Base rules look at one document.  The method looks at the group (lang, source): a minimum-
-covariance-determinant estimate of centre and scatter of transformed statistics, refined by
-concentration steps, and rejection by Mahalanobis distance.  Everything is algebraic aggregation
-(sums, products and mergeable quantile sketches), so a group of any size leaves one row per task.
+covariance-determinant estimate of centre and scatter of transformed statistics, and rejection by
+Mahalanobis distance.  Several starts are refined side by side by concentration steps until no group's
+determinant falls any more, and each group keeps the start of least determinant.  Everything is algebraic
+aggregation (sums, products and mergeable quantile sketches), so a group of any size leaves one row
+per task and start.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from salescope.llm.common import land, small, text_or_empty, word_array
 WINDOW = 5
 #: transformed statistics of the method
 FEATURES = ("f_word_len", "f_symbols", "f_dup_lines", "f_repeat", "f_caps")
-#: share of a group that the estimate is concentrated on, and number of concentration steps
-SUPPORT, STEPS = 0.75, 3
+#: share of a group that the estimate is concentrated on, and most concentration steps
+SUPPORT, STEPS = 0.75, 8
+#: starts: distances from the medians in floors and in the group's own spread, and quarters picked by a hash
+STARTS = ("floors", "spread", "hash0", "hash1")
 #: deviation that every feature has at least: a statistic that is constant in a group (no symbols, no
 #: repeated lines) must not turn a tiny deviation into a large distance.  A tenth in log word length, 1.5 %
 #: of the characters, a tenth of the lines, 5 % of the words, 5 % of the characters.
@@ -114,14 +118,17 @@ def _centre_and_cholesky(floors: tuple[float, ...], scale: float) -> tuple[list[
     return means, layers
 
 
+def _same(keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return on
+
+
 def _with_distance(rows: DataFrame, cols: list[str], model: DataFrame, keys: list[str], n_groups: int) -> DataFrame:
     """Squared Mahalanobis distance ``d2`` by forward substitution with the group's factor."""
     d = len(cols)
-    on = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"__{k}"))
-        on = c if on is None else on & c
-    out = rows.join(small(model, n_groups), on)
+    out = rows.join(small(model, n_groups), _same(keys))
     for i in range(d):
         y = F.col(cols[i]) - F.col(f"m_{i}")
         for k in range(i):
@@ -131,53 +138,111 @@ def _with_distance(rows: DataFrame, cols: list[str], model: DataFrame, keys: lis
     return out.withColumn("d2", d2).select(*rows.columns, "d2")
 
 
-def robust_distance(rows: DataFrame, cols: list[str], keys: list[str], floors: tuple[float, ...]) -> DataFrame:
-    """Add ``d2``: squared distance to the group's MCD estimate; ``rows`` is a landed, narrow table.
+def _quantile(c: Column, q: float) -> Column:
+    return F.percentile_approx(c, F.lit(q), F.lit(1000))
 
-    Start: distance to the group's medians in units of the ``floors``.  Each step
-    keeps the ``SUPPORT`` share of rows of least distance (by a quantile sketch), re-estimates mean and
-    covariance on them, and measures all rows again.  Groups with few rows lean on the estimate over
-    all rows by a fixed number of pseudo-rows; null keys form groups of their own.
-    """
-    d = len(cols)
+
+def start_hash(cols: list[str], number: int) -> Column:
+    """A quarter (0 to 3) of the rows for a start: by a hash of the statistics."""
+    return F.pmod(F.xxhash64(F.lit(number), *cols), F.lit(4))
+
+
+def _starts(rows: DataFrame, cols: list[str], keys: list[str], floors: tuple[float, ...]) -> tuple[DataFrame, int]:
+    """(rows once per start with ``start`` and ``d2``, number of groups): what the first concentration ranks by."""
     named = [F.col(k).alias(f"__{k}") for k in keys]
-    quantile = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(1000))
-    medians = land(rows.groupBy(*named).agg(*[quantile(F.col(c), 0.5).alias(f"m_{i}") for i, c in enumerate(cols)]),
-                   "mcd-medians")
+    medians = land(rows.groupBy(*named).agg(*[_quantile(F.col(c), 0.5).alias(f"m_{i}") for i, c in enumerate(cols)]), "mcd-medians")
     n_groups = medians.count()
-    on = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"__{k}"))
-        on = c if on is None else on & c
-    start = rows.join(small(medians, n_groups), on)
-    z = [F.pow((F.col(c) - F.col(f"m_{i}")) / F.lit(floors[i]), 2) for i, c in enumerate(cols)]
-    current = start.withColumn("d2", sum(z[1:], z[0])).select(*rows.columns, "d2")
-    # consistency factor of the half-sample covariance: rows inside the SUPPORT ellipsoid vary less
-    scale = 1.0 / SUPPORT
+    near = rows.join(small(medians, n_groups), _same(keys)).drop(*[f"__{k}" for k in keys])
+    apart = [F.abs(F.col(c) - F.col(f"m_{i}")) for i, c in enumerate(cols)]
+    spread = land(near.groupBy(*named).agg(*[_quantile(a, 0.5).alias(f"v_{i}") for i, a in enumerate(apart)]), "mcd-spread")
+    near = near.join(small(spread, n_groups), _same(keys)).drop(*[f"__{k}" for k in keys])
+    # 1.4826 turns the median deviation of normal rows into their standard deviation
+    units = {"floors": [F.lit(f) for f in floors], "spread": [F.lit(1.4826) * F.col(f"v_{i}") + F.lit(f) for i, f in enumerate(floors)]}
+    ranks = []
+    for s in STARTS:
+        if s in units:
+            z = [F.pow(a / u, 2) for a, u in zip(apart, units[s], strict=True)]
+            ranks.append(sum(z[1:], z[0]))
+        else:
+            ranks.append(F.when(start_hash(cols, int(s[4:])) == 0, 0.0).otherwise(1.0))
+    both = F.explode(F.array(*[F.struct(F.lit(i).alias("start"), r.alias("d2")) for i, r in enumerate(ranks)])).alias("s")
+    out = near.select(*keys, *cols, both).select(*keys, *cols, "s.start", "s.d2")
+    return out, n_groups
+
+
+def mcd_models(rows: DataFrame, cols: list[str], keys: list[str], floors: tuple[float, ...]) -> tuple[DataFrame, int]:
+    """(one row per group: centre, factor of the scatter, start and ``logdet`` of the least determinant; number of groups).
+
+    Each step keeps the ``SUPPORT`` share of rows of least distance (by a quantile sketch; a hash start
+    begins with its quarter), re-estimates mean and covariance on them, and measures all rows again.  The steps end
+    when no determinant falls.  Groups with few rows lean on the estimate over all rows by a fixed number of
+    pseudo-rows; null keys form groups of their own.
+    """
+    d = len(cols)
+    group = [*keys, "start"]
+    named = [F.col(k).alias(f"__{k}") for k in group]
+    current, n_groups = _starts(rows, cols, keys, floors)
+    current = land(current, "mcd-starts")
+    points, many = current.drop("d2"), n_groups * len(STARTS)
+    moments = [f"{i}" for i in range(d)] + [f"{i}_{j}" for i in range(d) for j in range(i + 1)]
+    # consistency factor of the covariance: rows inside the SUPPORT ellipsoid vary less
+    means, layers = _centre_and_cholesky(floors, 1.0 / SUPPORT)
+    names = [f"__{k}" for k in group]
+    factor = [*[f"m_{i}" for i in range(d)], *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)]]
+    hashed = F.col("start").isin([i for i, s in enumerate(STARTS) if s.startswith("hash")])
+    best = None
     for step in range(STEPS):
-        cut = land(current.groupBy(*named).agg(quantile(F.col("d2"), SUPPORT).alias("__q")), f"mcd-cut{step}")
-        inside = current.join(small(cut, n_groups), on).filter(F.col("d2") <= F.col("__q"))
-        sums = land(inside.groupBy(*named).agg(*_moments(cols)), f"mcd-moments{step}")
-        moments = [f"{i}" for i in range(d)] + [f"{i}_{j}" for i in range(d) for j in range(i + 1)]
-        whole = sums.agg(*[(F.sum(f"s_{m}") / F.sum("n")).alias(f"g_{m}") for m in moments]).first()
-        model = sums
-        for m in moments:
-            model = model.withColumn(f"g_{m}", F.lit(float(whole[f"g_{m}"] or 0.0)))
-        means, layers = _centre_and_cholesky(floors, scale)
+        cut = land(current.groupBy(*named).agg(_quantile(F.col("d2"), SUPPORT).alias("__q")), f"mcd-cut{step}")
+        keep = F.col("d2") <= F.col("__q")
+        if step == 0:  # a hash start's quarter
+            keep = F.when(hashed, F.col("d2") == 0.0).otherwise(keep)
+        inside = current.join(small(cut, many), _same(group)).filter(keep)
+        sums = land(cut.drop("__q").join(inside.groupBy(*[F.col(k).alias(f"i_{k}") for k in group]).agg(*_moments(cols)),
+                                         _all_equal(names, [f"i_{k}" for k in group]), "left").drop(*[f"i_{k}" for k in group]), f"mcd-moments{step}")
+        whole = sums.groupBy(F.col("__start").alias("g_start")).agg(*[(F.sum(f"s_{m}") / F.sum("n")).alias(f"g_{m}") for m in moments])
+        model = sums.join(small(whole, len(STARTS)), F.col("__start") == F.col("g_start"))
+        model = model.select(*names, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("n", *[f"s_{m}" for m in moments], *[f"g_{m}" for m in moments])])
         model = model.select("*", *means)
         for layer in layers:
             model = model.select("*", *layer)
-        model = land(model.select(*[f"__{k}" for k in keys], *[f"m_{i}" for i in range(d)],
-                                  *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)]), f"mcd-model{step}")
-        current = _with_distance(rows, cols, model, keys, n_groups)
-    return current
+        logdet = sum((2.0 * F.log(F.col(f"l_{i}_{i}")) for i in range(1, d)), 2.0 * F.log(F.col("l_0_0")))
+        model = land(model.select(*names, *factor, logdet.alias("logdet")), f"mcd-model{step}")
+        if best is None:
+            best, falls = model, many
+        else:
+            was = best.select(*[F.col(x).alias(f"was{x}") for x in names], *[F.col(x).alias(f"was_{x}") for x in (*factor, "logdet")])
+            both = model.join(small(was, many), _all_equal(names, [f"was{x}" for x in names]))
+            lower = F.col("logdet") < F.col("was_logdet") - 1e-9
+            best = land(both.select(*names, *[F.when(lower, F.col(x)).otherwise(F.col(f"was_{x}")).alias(x) for x in (*factor, "logdet")],
+                                    lower.alias("fell")), f"mcd-best{step}")
+            falls = best.filter("fell").count()
+        if not falls:
+            break
+        if step + 1 < STEPS:
+            current = _with_distance(points, cols, model, group, many).select(*points.columns, "d2")
+    chosen = best.groupBy(*[f"__{k}" for k in keys]).agg(F.min(F.struct("logdet", "__start", *factor)).alias("b"))
+    return land(chosen.select(*[f"__{k}" for k in keys], "b.*"), "mcd-chosen"), n_groups
+
+
+def _all_equal(left: list[str], right: list[str]) -> Column:
+    on = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return on
+
+
+def robust_distance(rows: DataFrame, cols: list[str], keys: list[str], floors: tuple[float, ...]) -> DataFrame:
+    """Add ``d2``: squared distance to the group's MCD estimate; ``rows`` is a landed, narrow table."""
+    model, n_groups = mcd_models(rows, cols, keys, floors)
+    return _with_distance(rows, cols, model.drop("logdet", "__start"), keys, n_groups)
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Base counts, ``base_failed``, ``d2`` and ``kept`` per document.
 
     A document is kept if it passes the base rules and is no outlier of its (lang, source).  Null
-    langs and sources are groups; null texts fail the base rule; repeated rows are all judged.
+    langs and sources are groups; null texts fail the base rule; repeated rows are all judged; very long
+    texts are counted whole; an empty table has no rows; other columns are not read.
     """
     rows = land(base_counts(docs).select("*", *features()), "quality-stats")
     judged = robust_distance(rows, list(FEATURES), ["lang", "source"], FLOORS)

@@ -402,6 +402,55 @@ def test_mahalanobis_distance_equals_numpy(spark):
     assert min(got[i] for i in range(40)) > 5 * sorted(got[i] for i in range(40, 400))[340]
 
 
+def test_least_determinant_of_several_starts_equals_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(11)
+    floors, support, prior = (0.05, 0.05), quality_rules.SUPPORT, quality_rules.PRIOR_ROWS
+    x = rng.normal(size=(300, 2)) @ np.array([[1.0, 0.6], [0.0, 0.3]])
+    x[:60] = rng.normal(size=(60, 2)) * 0.02 + [4.0, -4.0]  # a tight cluster apart: starts end differently
+    d = spark.createDataFrame([("g", float(a), float(b)) for a, b in x], "g string, a double, b double").withColumn("id", F.monotonically_increasing_id())
+    d = d.select("id", "g", "a", "b", *[quality_rules.start_hash(["a", "b"], i).alias(f"h{i}") for i in range(2)])
+    rows = sorted(collect(d), key=lambda r: r["id"])
+    x = np.array([[r["a"], r["b"]] for r in rows])
+    quantile = lambda v, q: np.sort(v)[int(np.ceil(q * len(v))) - 1]
+
+    def estimate(inside):
+        n = inside.sum()
+        # the estimate over all rows, which supports small groups, is this group's own
+        s, ss = x[inside].sum(axis=0), x[inside].T @ x[inside]
+        mean = (s + prior * s / n) / (n + prior)
+        cov = ((ss + prior * ss / n) / (n + prior) - np.outer(mean, mean)) / support + np.diag(np.square(floors))
+        return mean, cov
+
+    def refine(inside):
+        best, path = None, []
+        for _ in range(quality_rules.STEPS):
+            mean, cov = estimate(inside)
+            det = np.log(np.linalg.det(cov))
+            path.append(det)
+            if best is not None and det >= best[0] - 1e-9:
+                break
+            best = det, mean, cov
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            inside = d2 <= quantile(d2, support)
+        return best
+
+    median = np.array([quantile(x[:, i], 0.5) for i in range(2)])
+    apart = np.abs(x - median)
+    spread = np.array([1.4826 * quantile(apart[:, i], 0.5) + floors[i] for i in range(2)])
+    first = [((apart / floors) ** 2).sum(axis=1), ((apart / spread) ** 2).sum(axis=1)]
+    found = [refine(f <= quantile(f, support)) for f in first] + [refine(np.array([r[f"h{i}"] == 0 for r in rows])) for i in range(2)]
+    least = min(range(4), key=lambda i: (found[i][0], i))
+    model, _ = quality_rules.mcd_models(d, ["a", "b"], ["g"], floors)
+    got = model.first()
+    assert got["logdet"] == pytest.approx(found[least][0], abs=1e-6)
+    assert np.allclose([got["m_0"], got["m_1"]], found[least][1], atol=1e-6)
+    dist = {r["id"]: r["d2"] for r in collect(quality_rules.robust_distance(d, ["a", "b"], ["g"], floors))}
+    _, mean, cov = found[least]
+    want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    assert np.allclose([dist[r["id"]] for r in rows], want, rtol=1e-5)
+
+
 # decontamination
 
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
