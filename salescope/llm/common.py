@@ -61,23 +61,30 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: rows of a narrow table that one range partition is worth
+ROWS_PER_RANGE = 20_000
+
+
 def running_totals(df: DataFrame, group: list[str], order: list[Column], weight: str, name: str,
-                   n_groups: int) -> DataFrame:
+                   n_groups: int, rows: int | None = None) -> DataFrame:
     """Add ``cum`` (sum of ``weight``) and ``rn`` (row count), both inclusive, in ``order`` within ``group``.
 
     A window over a group would put a group of any size into one task.  Here rows are range
     partitioned by (group, order), whatever the size of a group, and landed with their partition
     number; the totals per (group, partition) -- one row per partition and group -- give each
     partition's offset (at most partitions + ``n_groups`` rows).  ``order`` should be unique within
-    the group: ties take any order.
+    the group: ties take any order.  ``rows``, where known, keeps a small table from being dealt to
+    many files.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows is not None:
+        parts = min(parts, rows // ROWS_PER_RANGE + 1)
     dealt = (df.repartitionByRange(parts, *[F.col(g) for g in group], *order)
              .withColumn("__part", F.spark_partition_id()))
-    rows = land(dealt, name)
+    landed = land(dealt, name)
     keys = [F.col(g) for g in group]
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (rows.groupBy("__part", *group).agg(F.sum(weight).alias("__w"), F.count("*").alias("__n"))
+    offsets = (landed.groupBy("__part", *group).agg(F.sum(weight).alias("__w"), F.count("*").alias("__n"))
                .select(F.col("__part").alias("__p"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
                        F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__w0"),
                        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0")))
@@ -85,7 +92,7 @@ def running_totals(df: DataFrame, group: list[str], order: list[Column], weight:
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
     here = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (rows.join(small(offsets, parts + n_groups), on)
+    return (landed.join(small(offsets, parts + n_groups), on)
             .withColumn("cum", F.col("__w0") + F.sum(weight).over(here))
             .withColumn("rn", F.col("__n0") + F.row_number().over(here))
             .drop("__part", "__p", "__w0", "__n0", *[f"__g{i}" for i in range(len(group))]))

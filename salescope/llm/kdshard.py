@@ -29,7 +29,7 @@ def with_ranks(rows: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         values = land(rows.filter(F.col(c).isNotNull()).select(F.col(c).alias("__value"), F.lit(1).cast("long").alias("__one")).distinct(), "kd-values")
         n = values.count()
-        ranks = running_totals(values, [], [F.col("__value")], "__one", "kd-ranks", 1).select("__value", F.col("rn").cast("double").alias(f"__{c}"))
+        ranks = running_totals(values, [], [F.col("__value")], "__one", "kd-ranks", 1, n).select("__value", F.col("rn").cast("double").alias(f"__{c}"))
         rows = (rows.join(small(ranks, n), F.col(c) == F.col("__value"), "left").drop("__value")
                 .withColumn(f"__{c}", F.coalesce(f"__{c}", F.lit(0.0))))
     return rows

@@ -203,7 +203,7 @@ def manifest(docs: DataFrame, group: str, key: str, columns: list[str], claimed:
     sizes = land(rows.groupBy("grp").agg(F.count("*").alias("n")), "merkle-groups")
     groups = sizes.count()
     one = F.lit(1).cast("long")
-    placed = running_totals(sizes.withColumn("__one", one), [], [F.col("grp").asc_nulls_first()], "__one", "merkle-sids", groups)
+    placed = running_totals(sizes.withColumn("__one", one), [], [F.col("grp").asc_nulls_first()], "__one", "merkle-sids", groups, groups)
     placed = land(placed.select(F.col("grp").alias("__grp"), "n", (F.col("rn") - 1).alias("gid")), "merkle-placed")
     ordered = running_totals(rows.withColumn("__one", one), ["grp"], [F.col("doc_id").asc_nulls_first(), F.col("digest")], "__one",
                              "merkle-rows", groups)

@@ -94,7 +94,7 @@ def _round(classes: DataFrame, gaps: DataFrame, n_sources: int, name: str) -> tu
     g = gaps.select(F.col("source").alias("__s"), "gap")
     fits = (classes.join(small(g, n_sources), F.col("source").eqNullSafe(F.col("__s")))
             .filter(F.col("size") <= F.col("gap")).drop("__s", "gap").withColumn("weight", F.col("n") * F.col("size")))
-    rows = (running_totals(fits, ["source"], [F.col(c) for c in DRAW], "weight", f"mix-{name}", n_sources)
+    rows = (running_totals(fits, ["source"], [F.col(c) for c in DRAW], "weight", f"mix-{name}", n_sources, fits.count())
             .join(small(g, n_sources), F.col("source").eqNullSafe(F.col("__s"))))
     draw, whole, before = F.struct(*DRAW), F.col("cum") <= F.col("gap"), F.col("cum") - F.col("weight")
     part = F.when(~whole & (before <= F.col("gap")), F.floor((F.col("gap") - before) / F.col("size")).cast("long"))
