@@ -161,13 +161,14 @@ def walked(rows, gap):
     return out, gap
 
 
-def test_rounds_equal_the_walk_one_by_one(spark):
+def test_rounds_equal_the_walk_one_by_one(spark, monkeypatch):
     rng = random.Random(3)
     long = " ".join(["word"] * 3000)
     rows = [(rng.choice([None, 1, 2, i]), long if i % 60 == 0 else " ".join(["w%d" % (i % 7)] * rng.randint(0, 40)), "en", "s%d" % (i % 4 and i % 3), i)
             for i in range(400)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, place long")
-    narrow, cuts, _ = mixing.source_cuts(d, 0.4, 2.0, "mix")
+    monkeypatch.setattr(mixing, "AHEAD", 3)
+    narrow = mixing.source_cuts(d, 0.4, 2.0, "mix")[0]
     by = collections.defaultdict(list)
     for r in narrow.collect():
         by[r["source"]].append(r)
