@@ -27,7 +27,7 @@ def with_ranks(rows: DataFrame, columns: list[str]) -> DataFrame:
     The ranks of one column are a table of its distinct values, numbered by running totals.
     """
     for c in columns:
-        values = land(rows.filter(F.col(c).isNotNull()).select(F.col(c).alias("__value"), F.lit(1).cast("long").alias("__one")).distinct(), "kd-values")
+        values = rows.filter(F.col(c).isNotNull()).select(F.col(c).alias("__value"), F.lit(1).cast("long").alias("__one")).distinct()
         n = values.count()
         ranks = running_totals(values, [], [F.col("__value")], "__one", "kd-ranks", 1, n).select("__value", F.col("rn").cast("double").alias(f"__{c}"))
         rows = (rows.join(small(ranks, n), F.col(c) == F.col("__value"), "left").drop("__value")

@@ -103,15 +103,16 @@ class Model:
         return (x.astype(np.float32) @ self.weights) / size[:, None] + self.bias
 
 
-def fit_arrays(x: np.ndarray, y: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression on Nystrom features of the presence rows ``x`` (uint8)."""
+def fit_arrays(x: np.ndarray, y: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, packed: bool = False) -> Model:
+    """Kernel ridge regression on Nystrom features of the presence rows ``x`` (uint8; bits if ``packed``)."""
+    at = (lambda i: np.unpackbits(x[i], axis=1)) if packed else (lambda i: x[i])
     langs = sorted(set(y))
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     label = np.array([langs.index(v) for v in y])
     per = max(1, landmarks // len(langs))
     chosen = np.concatenate([np.flatnonzero(label == c)[:per] for c in range(len(langs))])
-    marks = x[chosen].astype(np.float32)
+    marks = at(chosen).astype(np.float32)
     marks /= np.sqrt(np.maximum(marks.sum(axis=1, keepdims=True), 1.0))
     k_ml = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(k_ml)
@@ -119,7 +120,7 @@ def fit_arrays(x: np.ndarray, y: list[str], landmarks: int = LANDMARKS, ridge: f
     root = vectors[:, keep] / np.sqrt(values[keep])
     k_xl = np.zeros((len(x), len(chosen)))
     for i in range(0, len(x), 128):
-        rows = x[i:i + 128].astype(np.float32)
+        rows = at(slice(i, i + 128)).astype(np.float32)
         k_xl[i:i + 128] = (rows @ marks.T) / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1.0))
     phi = k_xl @ root
     share = np.bincount(label, minlength=len(langs)) / len(label)
@@ -163,8 +164,11 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, total: int = SAMPLE_TO
                                              ["lang", "draw", "bits"]).filter(pa.array(has, pa.bool_()))
 
     rows = picked.mapInArrow(run, "lang string, draw double, bits binary").toArrow().sort_by([("draw", "ascending"), ("lang", "ascending")])
-    x = np.unpackbits(np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(-1, BUCKETS // 8), axis=1)
-    return fit_arrays(x, rows["lang"].to_pylist())
+    bits, langs = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(-1, BUCKETS // 8), rows["lang"].to_pylist()
+    del rows
+    model = fit_arrays(bits, langs, packed=True)
+    give_back()
+    return model
 
 
 def _strings(column: pa.Array):
