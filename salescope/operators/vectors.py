@@ -23,6 +23,7 @@ meanings; a neural encoder can be plugged in through :func:`encoder_udf`.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -38,8 +39,10 @@ from salescope.sources.partitioning import dimension_join, ensure_parallel
 DEFAULT_DIM = 1 << 18
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
 MAX_BROADCAST_ROWS = 20_000
-# Upper bound on the dense score block one numpy call builds (rows x queries).
-_SCORE_CELLS = 4_000_000
+# Upper bound on the dense score block one numpy call builds (rows x queries), and on the postings it matches
+_SCORE_CELLS = 1_000_000
+# array cells (words, weights) of an Arrow batch that one numpy call works on; one longer text goes alone
+_PIECE_CELLS = 1_000_000
 
 
 # --------------------------------------------------------------------------- hashing
@@ -98,6 +101,26 @@ def _list_parts(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], values
 
 
+def _pieces(rb: pa.RecordBatch, cells: str, max_rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``_PIECE_CELLS`` cells of its list column ``cells``, and ``max_rows`` rows, at most."""
+    ends = np.asarray(rb.column(cells).offsets, dtype=np.int64)
+    at = 0
+    while at < rb.num_rows:
+        until = max(int(np.searchsorted(ends, ends[at] + _PIECE_CELLS, side="right")) - 1, at + 1)
+        until = min(until, rb.num_rows, at + (max_rows or rb.num_rows))
+        yield rb.slice(at, until - at)
+        at = until
+
+
+def _give_back() -> None:
+    """Return freed memory at the end of a task: Python workers live on, beside those of other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def _counts_to_sparse(offsets: np.ndarray, buckets: np.ndarray, dim: int):
     """Per row: unique buckets, L2-normalised counts.  Returns (rows, idx, val, has_tokens)."""
     n = len(offsets) - 1
@@ -130,15 +153,17 @@ def sparse_embed(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_D
         f", `{f.name}` {f.dataType.simpleString()}" for f in keep_fields)
 
     def to_sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            offsets, vals = _list_parts(rb.column("_b"))
-            r, b, w, has = _counts_to_sparse(offsets, vals, dim)
-            starts = np.searchsorted(r, np.arange(len(has) + 1))
-            idx = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(b))
-            val = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(w))
-            cols = [rb.column("_id"), idx, val] + [rb.column(k) for k in keep]
-            out = pa.RecordBatch.from_arrays(cols, ["_id", "idx", "val", *keep])
-            yield out.filter(pa.array(has))
+        for whole in batches:
+            for rb in _pieces(whole, "_b"):
+                offsets, vals = _list_parts(rb.column("_b"))
+                r, b, w, has = _counts_to_sparse(offsets, vals, dim)
+                starts = np.searchsorted(r, np.arange(len(has) + 1))
+                idx = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(b))
+                val = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(w))
+                cols = [rb.column("_id"), idx, val] + [rb.column(k) for k in keep]
+                out = pa.RecordBatch.from_arrays(cols, ["_id", "idx", "val", *keep])
+                yield out.filter(pa.array(has))
+        _give_back()
 
     return src.mapInArrow(to_sparse, schema).withColumnRenamed("_id", id_col)
 
@@ -173,12 +198,20 @@ class _SparseSide:
         hit = self.ub[pos_c] == idx
         e_rows, e_val, p = rows[hit], val[hit], pos_c[hit]
         cnt = self.end[p] - self.start[p]
-        rep_rows = np.repeat(e_rows, cnt)
-        rep_val = np.repeat(e_val, cnt)
-        first = np.repeat(self.start[p] - np.concatenate(([0], np.cumsum(cnt)[:-1])), cnt)
-        j = first + np.arange(cnt.sum())
-        cell = rep_rows * self.n + self.col[j]
-        return np.bincount(cell, rep_val * self.w[j], n_rows * self.n).reshape(n_rows, self.n)
+        done = np.concatenate(([0], np.cumsum(cnt)))
+        out = np.zeros((n_rows, self.n))
+        at = 0
+        while at < len(cnt):  # whole rows with about _SCORE_CELLS matched postings at a time
+            until = max(int(np.searchsorted(done, done[at] + _SCORE_CELLS, side="right")) - 1, at + 1)
+            until = int(np.searchsorted(e_rows, e_rows[until - 1], side="right"))
+            c = cnt[at:until]
+            low, high = e_rows[at], e_rows[until - 1] + 1
+            j = np.repeat(self.start[p[at:until]] - (done[at:until] - done[at]), c) + np.arange(done[until] - done[at])
+            cell = np.repeat(e_rows[at:until] - low, c) * self.n + self.col[j]
+            part = np.bincount(cell, np.repeat(e_val[at:until], c) * self.w[j], (high - low) * self.n)
+            out[low:high] = part.reshape(high - low, self.n)
+            at = until
+        return out
 
 
 class _DenseSide:
@@ -265,11 +298,11 @@ def _score_batches(batches, blk, stream_id: str, score, k: int, q_is_stream: boo
         if rb.num_rows == 0 or blk.n == 0:
             continue
         sids = np.asarray(rb.column(stream_id).to_numpy(zero_copy_only=False))
-        step = max(1, _SCORE_CELLS // blk.cells_per_row)
-        for s in range(0, rb.num_rows, step):
-            part = rb.slice(s, step)
+        step, s = max(1, _SCORE_CELLS // blk.cells_per_row), 0
+        for part in _pieces(rb, "idx" if "idx" in rb.schema.names else "vec", step):
             d2 = score(blk, part, k)
             pids = sids[s:s + part.num_rows]
+            s += part.num_rows
             if q_is_stream:
                 kk = min(k, blk.n)
                 key = np.round(d2, 9)  # block ids are sorted, so a stable sort ties by id
@@ -298,6 +331,7 @@ def _scan_topk(stream: DataFrame, stream_id: str, side, score, k: int, q_is_stre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _score_batches(batches, _build_side(bside.value), stream_id, score, k, q_is_stream, qid, id_col)
+        _give_back()
 
     return stream.select(*cols).mapInArrow(run, schema)
 

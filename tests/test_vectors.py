@@ -143,3 +143,28 @@ def test_dense_index_uses_one_encoder_for_texts_and_questions(spark, tmpdir_path
     qs = spark.createDataFrame([(10, "x y z"), (11, "abcdeg"), (12, None)], "qid long, question string")
     hits = {(r["qid"], r["rank"]): (r["id"], r["d2"], r["text"]) for r in search_dense_index(spark, path, qs, _ToyEncoder, 3, k=2).collect()}
     assert hits == {(10, 1): (1, 0.0, "a b c"), (10, 2): (5, 1.0, "a  b"), (11, 1): (2, 0.0, "abcdef"), (11, 2): (1, 5.0, "a b c")}
+
+
+def test_common_words_are_matched_in_bounded_pieces():
+    import tracemalloc
+
+    ids = np.arange(200)
+    side = V._SparseSide(ids, np.arange(201) * 20, np.tile(np.arange(20), 200), np.full(4000, 20 ** -0.5))
+    rows, idx = np.repeat(np.arange(5000), 20), np.tile(np.arange(20), 5000)
+    tracemalloc.start()
+    got = side.dots(rows, idx, np.full(100_000, 20 ** -0.5), 5000)  # 20 million matched postings
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.shape == (5000, 200) and np.allclose(got, 1.0) and peak < 200e6, peak
+
+
+def test_pieces_of_a_batch_are_bounded_in_words(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(V, "_PIECE_CELLS", 10)
+    lists = [[1] * n for n in (3, 7, 0, 1, 25, 0, 4, 4, 4)]
+    rb = pa.RecordBatch.from_arrays([pa.array(range(10)).slice(1), pa.array([[0] * 9] + lists).slice(1)], ["id", "_b"])
+    got = [p.column("_b").to_pylist() for p in V._pieces(rb, "_b")]
+    assert [x for p in got for x in p] == lists
+    assert all(len(p) == 1 or sum(map(len, p)) <= 10 for p in got) and len(got) < len(lists)
+    assert [p.num_rows for p in V._pieces(rb, "_b", 2)][:2] == [2, 2]
