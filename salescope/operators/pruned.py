@@ -15,7 +15,10 @@ in the block).  A block without a common bucket has d2 = 2 throughout; the ``k``
 of their own, so that back-filling by id needs no other such block.
 
 Visits of a much-visited block are split over several tasks (the block is copied to each), so a group never
-holds more than ``max_rows`` of either side.  The driver sees counts and the pivots' bounded sample only.
+holds more than ``max_rows`` of either side.  Dense vectors move by runs of blocks: a query is copied once to
+each run of which it visits a block, with the visited ones as bits, and a group holds at most ``GROUP_CELLS``
+cells of either side (and one block more).  So what moves grows with the runs, not with the visits.  The driver
+sees counts and the pivots' bounded sample only.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,12 @@ from salescope.sources.partitioning import dimension_join
 MAX_PIVOTS, SAMPLE_ROWS, MAX_BLOCKS = 256, 4096, 100_000
 #: dimensions that sparse vectors are folded to when blocks of neighbours are formed
 FOLD = 64
+#: cells (rows x dimension) of either side that a group of dense vectors holds
+GROUP_CELLS = 1 << 21
+#: runs of blocks that a table of several times ``max_rows`` is dealt to at least, for parallel tasks
+MIN_RUNS = 8
+#: rows whose distances from all pivots are computed at once
+ASSIGN_ROWS = 2048
 _SLACK = 1e-8
 
 
@@ -101,10 +111,12 @@ def deal_blocks(corpus: DataFrame, id_col: str, payload: list[str], rows: int, m
 
     def assign(batches):
         for rb in batches:
-            d = _distances(to_matrix(rb, dim), shared.value) if rb.num_rows else np.zeros((0, 1))
-            cell = d.argmin(axis=1) if rb.num_rows else np.zeros(0, np.int64)
-            near = d[np.arange(rb.num_rows), cell]
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(cell.astype(np.int32)), pa.array(near)], [*rb.schema.names, "__cell", "__dist"])
+            for part in V._pieces(rb, payload[0], ASSIGN_ROWS):
+                d = _distances(to_matrix(part, dim), shared.value)
+                cell = d.argmin(axis=1)
+                near = d[np.arange(part.num_rows), cell]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(near)], [*part.schema.names, "__cell", "__dist"])
+        V._give_back()
 
     columns = [id_col, *payload]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in corpus.select(*columns).schema) + ", __cell int, __dist double"
@@ -129,16 +141,27 @@ def deal_blocks(corpus: DataFrame, id_col: str, payload: list[str], rows: int, m
 
 # ------------------------------------------------------------------- which blocks a query visits
 
-def _dense_visits(queries: DataFrame, qid: str, blocks: Blocks, k: int) -> DataFrame:
-    """(qid, vec, block): with a column ``limit`` (a bound of d2) every block that may hold a better vector;
-    without it the nearest blocks that hold ``k`` together."""
-    shared = queries.sparkSession.sparkContext.broadcast((blocks.pivots, blocks.cell, blocks.n, blocks.low, blocks.high))
+def _runs(blocks: Blocks, max_rows: int) -> np.ndarray:
+    """Run of every block: consecutive blocks that together hold about ``GROUP_CELLS`` cells at most."""
+    total = int(blocks.n.sum())
+    rows = min(max(GROUP_CELLS // max(blocks.pivots.shape[1], 1), 1), max(max_rows, -(-total // MIN_RUNS)))
+    return np.unique((np.cumsum(blocks.n) - blocks.n) // rows, return_inverse=True)[1]
+
+
+def _dense_visits(queries: DataFrame, qid: str, blocks: Blocks, run_of: np.ndarray, k: int) -> DataFrame:
+    """(qid, vec, limit, run, visits): one row per query and run of blocks, ``visits`` holds a bit per block of the run.
+
+    With a column ``limit`` (a bound of d2) every block that may hold a better vector; without it the nearest
+    blocks that hold ``k`` together.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast((blocks.pivots, blocks.cell, blocks.n, blocks.low, blocks.high, run_of))
     bounded = "limit" in queries.columns
-    schema = f"`{qid}` {queries.schema[qid].dataType.simpleString()}, vec {queries.schema['vec'].dataType.simpleString()}, block int"
+    schema = f"`{qid}` {queries.schema[qid].dataType.simpleString()}, vec {queries.schema['vec'].dataType.simpleString()}, limit double, run int, visits binary"
 
     def run(batches):
-        pivots, cell, n, low, high = shared.value
+        pivots, cell, n, low, high, runs = shared.value
         slack = _error(pivots)
+        first = np.searchsorted(runs, np.arange(runs[-1] + 2))
         for rb in batches:
             step = max(1, V._SCORE_CELLS // max(len(n), len(pivots), 1))
             for s in range(0, rb.num_rows, step):
@@ -146,19 +169,25 @@ def _dense_visits(queries: DataFrame, qid: str, blocks: Blocks, k: int) -> DataF
                 d = _distances(_dense_matrix(part, pivots.shape[1]), pivots)
                 own = d[:, cell]
                 if bounded:
-                    plane = (own - d.min(axis=1)[:, None]) / 2
-                    least = np.maximum(np.maximum(own - high, low - own), plane)
-                    limit = np.sqrt(part.column("limit").to_numpy(zero_copy_only=False) + _SLACK)
-                    go = least <= (limit + slack * (1 + limit))[:, None]
+                    limit = part.column("limit").to_numpy(zero_copy_only=False)
+                    least = np.maximum(np.maximum(own - high, low - own), (own - d.min(axis=1)[:, None]) / 2)
+                    reach = np.sqrt(limit + _SLACK)
+                    go = least <= (reach + slack * (1 + reach))[:, None]
                 else:
+                    limit = np.full(part.num_rows, np.inf)
                     order = np.argsort(own + high, axis=1, kind="stable")
                     before = np.cumsum(n[order], axis=1) - n[order]
                     go = np.zeros(own.shape, bool)
                     np.put_along_axis(go, order, before < k, axis=1)
-                row, block = np.nonzero(go)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(block.astype(np.int32))],
-                                                 [qid, "vec", "block"])
+                for i in range(len(first) - 1):
+                    bits = go[:, first[i]:first[i + 1]]
+                    row = np.flatnonzero(bits.any(axis=1))
+                    if len(row):
+                        packed = [x.tobytes() for x in np.packbits(bits[row], axis=1)]
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(limit[row]),
+                             pa.array(np.full(len(row), i, np.int32)), pa.array(packed, pa.binary())], [qid, "vec", "limit", "run", "visits"])
+        V._give_back()
 
     return queries.select(qid, "vec", *(["limit"] if bounded else [])).mapInArrow(run, schema)
 
@@ -217,9 +246,108 @@ def _score_visits(visits: DataFrame, blocks: Blocks, qid: str, id_col: str, payl
     return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(run, f"`{qid}` {qid_type}, `{id_col}` {id_type}, d2 double")
 
 
-def visited_pairs(visits: DataFrame, blocks: Blocks) -> int:
+class _Nearest:
+    """The ``k`` nearest vectors per query of a group, found block by block; ties go to the smaller id."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, order: np.ndarray, limit: np.ndarray, k: int):
+        self.x, self.y, self.k = x, y, k
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+        self.bound = limit.copy()  # of d2: nothing above it is among the k nearest
+        self.own, self.other = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+        self.slack = 1e-7 * (1.0 + self.own.max(initial=0.0) + self.other.max(initial=0.0))
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = self.kept = 0
+
+    def visit(self, rows: np.ndarray, low: int, high: int) -> None:
+        """Compare the queries ``rows`` with the vectors ``low`` to ``high``, distances exact where they may count."""
+        step = max(1, V._SCORE_CELLS // (high - low))
+        for s in range(0, len(rows), step):
+            r = rows[s:s + step]
+            out = np.maximum(self.own[r, None] + self.other[None, low:high] - 2.0 * (self.x[r] @ self.y[low:high].T), 0.0)
+            near = np.flatnonzero(out.min(axis=1) <= self.bound[r] + self.slack)
+            if not len(near):
+                continue
+            r, out = r[near], out[near]
+            if high - low >= self.k:
+                self.bound[r] = np.minimum(self.bound[r], np.partition(out, self.k - 1, axis=1)[:, self.k - 1] + self.slack)
+            at, c = np.nonzero(out <= self.bound[r, None] + self.slack)
+            q, c = r[at], c + low
+            d2 = np.empty(len(q))
+            for i in range(0, len(q), 4096):
+                diff = self.x[q[i:i + 4096]] - self.y[c[i:i + 4096]]
+                d2[i:i + 4096] = np.einsum("ij,ij->i", diff, diff)
+            self.found.append((q, c, d2))
+            self.held += len(q)
+            if self.held > self.kept + V._SCORE_CELLS:
+                self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, d2) of the nearest so far; their k-th becomes the bound."""
+        q, c, d2 = (np.concatenate(x) for x in zip(*self.found, strict=True)) if self.found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((self.rank[c], np.round(d2, 9), q))
+        q, c, d2 = q[order], c[order], d2[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        q, c, d2, place = q[keep], c[keep], d2[keep], place[keep]
+        last = place == self.k - 1
+        self.bound[q[last]] = np.minimum(self.bound[q[last]], d2[last] + self.slack)
+        self.found, self.held, self.kept = [(q, c, d2)], len(q), len(q)
+        return q, c, d2
+
+
+def _score_runs(visits: DataFrame, blocks: Blocks, run_of: np.ndarray, qid: str, id_col: str, k: int) -> DataFrame:
+    """Top-k candidates of every visited block; ``visits`` as :func:`_dense_visits` gives them (checkpointed)."""
+    spark, dim = visits.sparkSession, max(blocks.pivots.shape[1], 1)
+    first = np.searchsorted(run_of, run_of)  # first block of each block's run
+    most = int(np.bincount(run_of, blocks.n).max())  # rows of the largest run: a group's queries are no more
+    sizes = spark.createDataFrame([(i, int(r), int(i - f)) for i, (r, f) in enumerate(zip(run_of, first, strict=True))], "block int, run int, at int")
+    rows = min(most, max(GROUP_CELLS // dim, 1))
+    per = materialize(visits.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("chunks")))
+    bound = MAX_BLOCKS + MAX_PIVOTS + 1
+    left = dimension_join(visits.withColumn("__r", F.monotonically_increasing_id()), per, "run", bound_rows=bound)
+    left = left.select("run", F.pmod(F.xxhash64("__r"), F.col("chunks")).cast("int").alias("chunk"), qid, F.col("vec").alias("q_vec"), "limit", "visits")
+    right = dimension_join(blocks.rows, dimension_join(sizes, per, "run", bound_rows=bound), "block", bound_rows=bound)  # runs that nobody visits end here
+    right = right.select("run", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "at", id_col, "vec")
+    qid_type, id_type = visits.schema[qid].dataType.simpleString(), blocks.rows.schema[id_col].dataType.simpleString()
+
+    def matrix(table: pa.Table, column: str, dim: int | None = None) -> np.ndarray:
+        offsets, flat = V._list_parts(table.column(column))
+        dim = int(offsets[1]) if dim is None else dim
+        if np.any(np.diff(offsets) != dim):
+            raise ValueError("all vectors must have the same dimension as the queries")
+        return flat.astype(np.float64).reshape(table.num_rows, dim)
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        schema = pa.schema([(qid, one.schema.field(qid).type), (id_col, two.schema.field(id_col).type), ("d2", pa.float64())])
+        if not one.num_rows or not two.num_rows:
+            return schema.empty_table()
+        two = two.take(pc.sort_indices(two.column("at")))
+        at = two.column("at").to_numpy()
+        x = matrix(one, "q_vec")
+        order = pc.sort_indices(two.column(id_col), null_placement="at_start").to_numpy()
+        nearest = _Nearest(x, matrix(two, "vec", x.shape[1]), order, one.column("limit").to_numpy(), k)
+        bits = np.unpackbits(np.frombuffer(b"".join(one.column("visits").to_pylist()), np.uint8).reshape(len(x), -1), axis=1)
+        edges = np.flatnonzero(np.diff(at, prepend=-1, append=at[-1] + 1))
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            nearest.visit(np.flatnonzero(bits[:, at[low]]), int(low), int(high))
+        q, c, d2 = nearest.best()
+        out = pa.table([one.column(qid).take(pa.array(q)), two.column(id_col).take(pa.array(c)), pa.array(d2)], schema=schema)
+        V._give_back()
+        return out
+
+    return left.groupBy("run", "chunk").cogroup(right.groupBy("run", "chunk")).applyInArrow(run, f"`{qid}` {qid_type}, `{id_col}` {id_type}, d2 double")
+
+
+def visited_pairs(visits: DataFrame, blocks: Blocks, run_of: np.ndarray | None = None) -> int:
     """How many pairs of query and vector the visits score."""
     sizes = visits.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(blocks.n)], "block int, n long")
+    if run_of is not None:  # one row per set bit
+        first = [int(x) for x in np.searchsorted(run_of, np.arange(run_of[-1] + 1))]
+        bit = F.explode(F.sequence(F.lit(0), F.octet_length("visits") * 8 - 1)).alias("bit")
+        one = visits.select("run", "visits", bit).where(
+            F.substring(F.lpad(F.conv(F.hex(F.substring("visits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 2), 8, "0"), F.col("bit") % 8 + 1, F.lit(1)) == "1")
+        visits = one.select((F.element_at(F.lit(first), F.col("run") + 1) + F.col("bit")).cast("int").alias("block"))
     return visits.groupBy("block").count().join(sizes, "block").agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0
 
 
@@ -238,21 +366,25 @@ def candidates(queries: DataFrame, corpus: DataFrame, qid: str, id_col: str, k:
     blocks = deal_blocks(corpus, id_col, payload, rows, max_rows, cells, k if sparse else 0, _folded_matrix if sparse else _dense_matrix)
     q = queries.select(qid, *payload)
     if sparse:
+        run_of = None
         q = materialize(q.withColumn("__q", F.monotonically_increasing_id()))
         bounds = _SparseBounds(q, blocks)
         visits = lambda df: _sparse_visits(df, bounds, k).select(qid, *payload, "block")
+        scored = lambda v: _score_visits(v, blocks, qid, id_col, payload, make_block, score, k, max_rows)
     else:
-        visits = lambda df: _dense_visits(df, qid, blocks, k)
+        run_of = _runs(blocks, max_rows)
+        visits = lambda df: _dense_visits(df, qid, blocks, run_of, k)
+        scored = lambda v: _score_runs(v, blocks, run_of, qid, id_col, k)
     home = materialize(visits(q))
-    first = V._final_topk(_score_visits(home, blocks, qid, id_col, payload, make_block, score, k, max_rows), qid, id_col, k)
+    first = V._final_topk(scored(home), qid, id_col, k)
     # the k-th best so far; with fewer than k there is no bound
     limits = first.groupBy(F.col(qid).alias("__qid")).agg(
         F.when(F.count(F.lit(1)) >= k, F.max("d2")).otherwise(F.lit(float("inf"))).alias("limit"))
     limited = q.join(materialize(limits), F.col(qid).eqNullSafe(F.col("__qid"))).drop("__qid")
     chosen = materialize(visits(limited))
     if stats is not None:
-        stats.update(home=visited_pairs(home, blocks), scored=visited_pairs(chosen, blocks), all=rows * q.count(), blocks=len(blocks.n))
-    return _score_visits(chosen, blocks, qid, id_col, payload, make_block, score, k, max_rows)
+        stats.update(home=visited_pairs(home, blocks, run_of), scored=visited_pairs(chosen, blocks, run_of), all=rows * q.count(), blocks=len(blocks.n))
+    return scored(chosen)
 
 
 def knn_dense_pruned(queries: DataFrame, vectors: DataFrame, k: int = 5, qid: str = "qid", id_col: str = "id",

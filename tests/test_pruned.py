@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from salescope.operators import pruned
 from salescope.operators import vectors as V
 from salescope.operators.ordering import with_place
+from salescope.session import materialize
 
 
 def _rows(hits):
@@ -81,3 +82,21 @@ def test_places_are_those_of_a_global_sort(spark):
     assert got == sorted(((i * 7919 % 13, i) for i in range(1000)), key=lambda r: (-r[0], r[1]))
     places = sorted(r["place"] for r in with_place(df, [F.col("x"), F.col("id")]).collect())
     assert places == list(range(1000)) and with_place(df.limit(0), [F.col("id")]).count() == 0
+
+
+def test_vectors_without_clusters_are_copied_per_run_not_per_visit(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 32))
+    sizes = []
+
+    def counted(df):
+        out = materialize(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(pruned, "materialize", counted)
+    stats = {}
+    q, c = _dense(spark, x, x)
+    assert _rows(pruned.knn_dense_pruned(q, c, k=3, block_rows=8, stats=stats)) == _brute(x, x, 3)
+    assert stats["blocks"] > 60 and stats["scored"] > 0.5 * stats["all"]
+    assert max(sizes) <= 400 * (pruned.MIN_RUNS + 1), sizes
