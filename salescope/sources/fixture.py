@@ -7,14 +7,15 @@ Canonical columns (what every sales operator expects):
 
 Join order is chosen for scale: the small geography dimension (nation, region) first,
 then customer, then orders (one row per order), and only then the big fact table, so
-lineitem is joined to an already-narrow order dimension.  Broadcasts are count-checked
+lineitem is joined to an already-narrow order dimension.  Segment and region travel as one number through
+the two large shuffles and come back at the end (:func:`_market_code`).  Broadcasts are count-checked
 (see :func:`sales_view`); above the cap the joins are sort-merge joins with AQE skew
 splitting on hot keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescope.session import scratch_path
@@ -36,6 +37,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# different segments, and regions, up to which a pair of them travels as one number
+MAX_CODES = 200
+
+
+def _market_code(cust: DataFrame, geo: DataFrame) -> tuple[Column, list[Column]] | None:
+    """A number for a row's segment and region, and the two columns back from it; None if they are not few."""
+    lists = []
+    for df, c in ((cust, "segment"), (geo, "region")):
+        found = df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(MAX_CODES + 1).collect()
+        if len(found) > MAX_CODES:
+            return None
+        lists.append([r[c] for r in found])
+    place = [F.coalesce(F.array_position(F.lit(v), F.col(c)), F.lit(0)) if v else F.lit(0) for v, c in zip(lists, ("segment", "region"), strict=True)]
+    code = (place[0] * (MAX_CODES + 1) + place[1]).cast("int")
+    back = [F.floor(F.col("market") / (MAX_CODES + 1)).cast("int"), F.col("market") % (MAX_CODES + 1)]
+    texts = [F.when(b > 0, F.element_at(F.lit(v), b)) if v else F.lit(None).cast("string") for v, b in zip(lists, back, strict=True)]
+    return code.alias("market"), [t.alias(c) for t, c in zip(texts, ("segment", "region"), strict=True)]
+
+
 def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lazy star join producing the canonical sales columns.
 
@@ -55,11 +75,15 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         customer.select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("segment")),
         geo, F.col("c_nationkey") == F.col("n_nationkey"), bound_rows=t("nation").count()) \
         .select("c_custkey", "segment", "region")
+    coded = _market_code(customer.select(F.col("c_mktsegment").alias("segment")), region)
+    market, texts = ([coded[0]], coded[1]) if coded else (["segment", "region"], ["segment", "region"])
+    cust = cust.select("c_custkey", *market)
+    market = ["market"] if coded else market
     orders = t("orders")
     ords = dimension_join(
         orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("order_date")),
         cust, F.col("o_custkey") == F.col("c_custkey"), bound_rows=customer.count()) \
-        .select("o_orderkey", "order_date", "segment", "region")
+        .select("o_orderkey", "order_date", *market)
     part = t("part").select("p_partkey", F.col("p_type").alias("category"),
                             F.col("p_brand").alias("sub_category"),
                             F.col("p_name").alias("product_name"), "p_retailprice")
@@ -68,7 +92,9 @@ def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                              "l_discount"), key="l_orderkey")
     joined = dimension_join(lines, ords, F.col("l_orderkey") == F.col("o_orderkey"),
                             bound_rows=orders.count())
+    joined = joined.select("l_partkey", "order_date", *market, "l_quantity", "l_extendedprice", "l_discount")
     joined = dimension_join(joined, part, F.col("l_partkey") == F.col("p_partkey"))
+    joined = joined.select("order_date", *texts, "category", "sub_category", "product_name", "l_extendedprice", "l_discount", "l_quantity", "p_retailprice")
     return joined.select(
         "order_date", "region", "category", "sub_category", "segment", "product_name",
         F.col("l_extendedprice").alias("sales"),
@@ -93,7 +119,8 @@ def landed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     if path is None:
         path = scratch_path(spark, "landed-sales")
         # clustered inside each file, so that filters on region or category skip row groups
-        sales_view(spark, sf_dir).sortWithinPartitions("region", "category").write.mode("overwrite").parquet(path)
+        sales_view(spark, sf_dir).sortWithinPartitions("region", "category").write.mode("overwrite") \
+            .option("compression", "zstd").parquet(path)
         _LANDED[key] = path
     return spark.read.parquet(path)
 
@@ -126,19 +153,22 @@ def read_sales_columns(sales: DataFrame) -> DataFrame:
 
 
 _CSV: dict[tuple[str, str], str] = {}
+#: rows of one compressed CSV file at most
+CSV_FILE_ROWS = 1_000_000
 
 
 def sales_csv_path(spark: SparkSession, sf_dir: str) -> str:
     """The sales table written once as a reference-layout CSV (derived from the tables).
 
     Header names as the reference's file has them (one padded with spaces), dates as
-    ``M/d/yyyy`` text, numbers as text -- input for the CSV scan and cleaning path.
+    ``M/d/yyyy`` text, numbers as text -- input for the CSV scan and cleaning path.  The files are
+    compressed, of bounded rows since they cannot be split; the star join is not landed for them alone.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     path = _CSV.get(key)
     if path is None:
         path = scratch_path(spark, "sales-csv")
-        s = landed_sales(spark, sf_dir)
+        s = landed_sales(spark, sf_dir) if key in _LANDED else sales_view(spark, sf_dir)
         s.select(F.date_format("order_date", "M/d/yyyy").alias("Order Date"),
                  F.col("region").alias(" Region "), F.col("category").alias("Category"),
                  F.col("sub_category").alias("Sub-Category"), F.col("segment").alias("Segment"),
@@ -148,6 +178,7 @@ def sales_csv_path(spark: SparkSession, sf_dir: str) -> str:
                  F.col("profit").cast("string").alias("Profit")) \
             .write.mode("overwrite").option("header", True) \
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
+            .option("compression", "gzip").option("maxRecordsPerFile", CSV_FILE_ROWS) \
             .option("encoding", "ISO-8859-1").csv(path)
         _CSV[key] = path
     return path

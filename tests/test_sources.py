@@ -210,3 +210,41 @@ def test_catalogue_names_of_paths(spark):
     from salescope.functions.formats import basename
     df = spark.createDataFrame([("file:/a/b c.csv",), ("x.csv",), ("s3://k/",)], "path string")
     assert [r[0] for r in df.select(basename("path")).collect()] == ["b c.csv", "x.csv", ""]
+
+
+def _star(spark, at):
+    """Two order lines per customer: a segment is null, a nation's region has no name."""
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{at}/{name}.parquet")
+
+    put("region", [(0, "EAST"), (1, None)], "r_regionkey int, r_name string")
+    put("nation", [(0, "a", 0), (1, "b", 1)], "n_nationkey int, n_name string, n_regionkey int")
+    put("customer", [(1, 0, "X"), (2, 0, None), (3, 1, "Y")], "c_custkey long, c_nationkey int, c_mktsegment string")
+    put("orders", [(i, i) for i in (1, 2, 3)], "o_orderkey long, o_custkey long")
+    orders = spark.read.parquet(f"{at}/orders.parquet")
+    orders.selectExpr("*", "timestamp_ntz'2020-02-13' as o_orderdate").write.mode("overwrite").parquet(f"{at}/dated.parquet")
+    spark.read.parquet(f"{at}/dated.parquet").write.mode("overwrite").parquet(f"{at}/orders.parquet")
+    put("part", [(7, "P", "t", "b", 1.0)], "p_partkey long, p_name string, p_type string, p_brand string, p_retailprice double")
+    put("lineitem", [(i, 7, 1.0, 10.0 * i, 0.0) for i in (1, 1, 2, 2, 3, 3)],
+        "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double")
+    return at
+
+
+def test_star_join_moves_segment_and_region_as_one_number(spark, tmpdir_path):
+    from salescope.sources import fixture
+    at = _star(spark, f"{tmpdir_path}/star")
+    view = fixture.sales_view(spark, at)
+    got = sorted((r["sales"], r["segment"], r["region"], r["category"]) for r in view.collect())
+    assert got == [(10.0, "X", "EAST", "t")] * 2 + [(20.0, None, "EAST", "t")] * 2 + [(30.0, "Y", None, "t")] * 2
+    assert "market" in view._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sales_csv_is_compressed_and_needs_no_landed_table(spark, tmpdir_path, monkeypatch):
+    from salescope.sources import fixture
+    from salescope.sources.csv import read_sales_csv
+    at = _star(spark, f"{tmpdir_path}/star")
+    monkeypatch.setattr(fixture, "_LANDED", {})
+    path = fixture.sales_csv_path(spark, at)
+    files = [f for f in spark.read.format("binaryFile").load(path).select("path").collect()]
+    assert files and all(f["path"].endswith(".csv.gz") for f in files) and not fixture._LANDED
+    assert read_sales_csv(spark, path).groupBy("Segment").count().count() == 3
