@@ -78,13 +78,13 @@ def _set_keys(u: np.ndarray) -> tuple[int, int]:
 
 def sketch(docs: DataFrame, k: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per document: row, doc_id, x1, x2 (its row key), n_shingles, k1, k2 (set name), sig (low bytes of the minima),
-    bands (64-bit bucket key per band), marks (their low 32 bits); null for an empty set.  Landed without the text."""
+    bands (64-bit bucket key per band); null for an empty set.  Landed without the text."""
     n_hash = rows * bands
     mult, add = _family(n_hash)
 
     def run(batches):
         for batch in batches:
-            sizes, one, two, sigs, keys, marks = [], [], [], [], [], []
+            sizes, one, two, sigs, keys = [], [], [], [], []
             for first, sets in shingle_sets(batch.column(4), k):
                 lens = np.array([len(u) for u in sets])
                 filled = np.flatnonzero(lens)
@@ -109,18 +109,16 @@ def sketch(docs: DataFrame, k: int = SHINGLE, rows: int = ROWS, bands: int = BAN
                     n = at.get(i)
                     sigs.append(None if n is None else m[n].astype(np.uint8).tobytes())
                     keys.append(None if n is None else key[n].astype(np.int64))
-                    marks.append(None if n is None else key[n].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], pa.array(sizes, pa.int64()), pa.array(one, pa.int64()),
-                 pa.array(two, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(marks, pa.binary())],
-                ["row", "doc_id", "x1", "x2", "n_shingles", "k1", "k2", "sig", "bands", "marks"])
+                 pa.array(two, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["row", "doc_id", "x1", "x2", "n_shingles", "k1", "k2", "sig", "bands"])
         give_back()
 
     one, two = row_key()
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                          one.alias("x1"), two.alias("x2"), F.col("text").cast("string").alias("text"))
-    return land(source.mapInArrow(run, "row long, doc_id long, x1 long, x2 long, n_shingles long, k1 long, k2 long, sig binary, bands array<bigint>, marks binary"),
+    return land(source.mapInArrow(run, "row long, doc_id long, x1 long, x2 long, n_shingles long, k1 long, k2 long, sig binary, bands array<bigint>"),
                 "dup-sketch")
 
 
@@ -236,11 +234,13 @@ def _rest_of_buckets(members: DataFrame, sketches: DataFrame, docs: DataFrame, c
     """Links between components inside buckets; ``members`` (band, key, node, comp) of mixed buckets."""
     group = ["band", "key", "bi", "bj"]
     dealt = land(_blocks(members, block), "dup-blocks")
-    prints = sketches.select(F.col("node").alias("__s"), "sig", "marks")
+    # the low 32 bits of a bucket key tell buckets apart; the landed sketch has the whole keys only
+    marks = F.transform("bands", lambda key: (key.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int"))
+    prints = sketches.select(F.col("node").alias("__s"), "sig", marks.alias("marks"))
     full = dealt.join(prints, F.col("node") == F.col("__s")).drop("__s")
 
     def read(table):
-        band = _matrix(table.column("marks"), np.uint32)
+        band = table.column("marks").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
         return _matrix(table.column("sig"), np.uint8), band, np.array(table.column("comp").to_pylist()), np.array(table.column("side").to_pylist())
 
     def flag(table):
@@ -306,7 +306,7 @@ def decide(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE, agree:
     n_classes = classes.count()
     firsts = classes.select(F.col("node").alias("__f"))
     sketches = some.join(F.broadcast(firsts) if n_classes <= PICK_ROWS else firsts, F.col("row") == F.col("__f"), "left_semi")
-    sketches = sketches.select(F.col("row").alias("node"), "sig", "bands", "marks")
+    sketches = sketches.select(F.col("row").alias("node"), "sig", "bands")
     # one exchange serves the buckets' sizes and the join back to their members
     dealt = sketches.select("node", F.posexplode("bands").alias("band", "key")).repartition("band", "key")
     buckets = (dealt.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
