@@ -146,10 +146,10 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return 100 * common >= threshold * (len(x) + len(y) - common)
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, agree: float) -> DataFrame:
+def _alike(pairs: DataFrame, prints: DataFrame, agree: float) -> DataFrame:
     """Signature verification: pairs whose signatures agree in at least ``agree`` of the minima."""
-    both = (pairs.join(sketches.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-            .join(sketches.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb"))
+    both = (pairs.join(prints.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
+            .join(prints.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb"))
 
     def run(batches):
         for batch in batches:
@@ -192,6 +192,15 @@ def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, k: int) -> Dat
     return land(found.select("node", "set").dropDuplicates(["node"]), "dup-sets")
 
 
+def _prints(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """Landed (node, sig, marks) of the classes that share a bucket; the only ones that are compared."""
+    near = land(members.select("node").distinct(), "dup-near")
+    near = F.broadcast(near) if near.count() <= PICK_ROWS else near
+    # the low 32 bits of a bucket key tell buckets apart; the landed classes have the whole keys only
+    marks = F.transform("bands", lambda key: (key.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int"))
+    return land(classes.select("node", "sig", marks.alias("marks")).join(near, "node", "left_semi"), "dup-prints")
+
+
 def _cross(sig: np.ndarray, band: np.ndarray, comp: np.ndarray, side: np.ndarray, at: int, agree: float):
     """Index pairs (i, j) of one block pair: other component, alike, and no common bucket in an earlier band.
 
@@ -229,14 +238,12 @@ def _matrix(column, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype).reshape(len(values), -1)
 
 
-def _rest_of_buckets(members: DataFrame, sketches: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int,
+def _rest_of_buckets(members: DataFrame, prints: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int,
                      agree: float, block: int, k: int) -> DataFrame:
     """Links between components inside buckets; ``members`` (band, key, node, comp) of mixed buckets."""
     group = ["band", "key", "bi", "bj"]
     dealt = land(_blocks(members, block), "dup-blocks")
-    # the low 32 bits of a bucket key tell buckets apart; the landed sketch has the whole keys only
-    marks = F.transform("bands", lambda key: (key.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int"))
-    prints = sketches.select(F.col("node").alias("__s"), "sig", marks.alias("marks"))
+    prints = prints.withColumnRenamed("node", "__s")
     full = dealt.join(prints, F.col("node") == F.col("__s")).drop("__s")
 
     def read(table):
@@ -301,20 +308,20 @@ def decide(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE, agree:
     some = sketched.filter("n_shingles > 0")
     # nulls last, and no row number before the key, so that reruns keep the same row
     least = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "x1", "x2", "row")).alias("least")
-    classes = land(some.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("row", "doc_id")).alias("r"), least)
-                   .select("k1", "k2", "n_shingles", F.col("r.row").alias("node"), F.col("r.doc_id").alias("doc"), "least"), "dup-classes")
-    n_classes = classes.count()
-    firsts = classes.select(F.col("node").alias("__f"))
-    sketches = some.join(F.broadcast(firsts) if n_classes <= PICK_ROWS else firsts, F.col("row") == F.col("__f"), "left_semi")
-    sketches = sketches.select(F.col("row").alias("node"), "sig", "bands")
+    # equal sets have equal sketches: a class takes any of its rows', so no row is joined back for its sketch
+    classes = land(some.groupBy("k1", "k2", "n_shingles")
+                   .agg(F.min(F.struct("row", "doc_id")).alias("r"), least, F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+                   .select("k1", "k2", "n_shingles", F.col("r.row").alias("node"), F.col("r.doc_id").alias("doc"), "least", "sig", "bands"),
+                   "dup-classes")
     # one exchange serves the buckets' sizes and the join back to their members
-    dealt = sketches.select("node", F.posexplode("bands").alias("band", "key")).repartition("band", "key")
+    dealt = classes.select("node", F.posexplode("bands").alias("band", "key")).repartition("band", "key")
     buckets = (dealt.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
                .select(F.col("band").alias("__b"), F.col("key").alias("__k"), "pivot"))
     in_bucket = dealt.join(buckets.hint("merge"), (F.col("band") == F.col("__b")) & (F.col("key") == F.col("__k")))
     members = land(in_bucket.select("band", "key", "node", "pivot"), "dup-members")
     stars = members.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    alike = land(_alike(stars, sketches, agree), "dup-alike")
+    prints = _prints(classes, members)
+    alike = land(_alike(stars, prints, agree), "dup-alike")
     sets = _sets(docs, classes, alike.select(F.col("a").alias("node")).unionByName(alike.select(F.col("b").alias("node"))).distinct(), k)
     links = land(_confirm(alike, sets, threshold), "dup-links")
     labels = connected_components(links)
@@ -325,7 +332,7 @@ def decide(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE, agree:
     mixed = land(mixed, "dup-mixed")
     n_mixed = mixed.count()
     rest = labelled.join(small(mixed, n_mixed), (F.col("band") == F.col("__b")) & (F.col("key") == F.col("__k")), "left_semi")
-    more = land(_rest_of_buckets(rest, sketches, docs, classes, threshold, agree, block, k), "dup-more")
+    more = land(_rest_of_buckets(rest, prints, docs, classes, threshold, agree, block, k), "dup-more")
     labels = land(connected_components(links.unionByName(more)), "dup-labels")
     joined = classes.join(labels.withColumnRenamed("node", "__l"), F.col("node") == F.col("__l"), "left")
     joined = land(joined.select("k1", "k2", "least", F.coalesce("component", "node").alias("comp")), "dup-joined")

@@ -76,6 +76,29 @@ def test_one_of_each_stays(spark):
     assert got == [(3, 3, True), (None, 3, False), (None, None, True)]
 
 
+def test_sketches_move_once_into_classes(spark, monkeypatch):
+    """On tables of any size the landed sketches' signatures are read for the classes only, those of classes for buckets and one pick."""
+    land, read = neardup.land, {}
+
+    def folders(df):
+        return {f.rsplit("/", 2)[-2].rsplit("-", 1)[0] for f in df.inputFiles()}
+
+    def spy(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        if "sig#" in plan or "bands#" in plan:
+            read[name] = folders(df)
+        return land(df, name)
+
+    monkeypatch.setattr(neardup, "land", spy)
+    monkeypatch.setattr(neardup, "PICK_ROWS", 0)
+    ts = [*chain(12), "a b c d e", "A b c d e", None]
+    d = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(d).collect()}
+    assert got == brute_components(ts)
+    assert [n for n, x in read.items() if "llm-dup-sketch" in x] == ["dup-classes"]
+    assert [n for n, x in read.items() if "llm-dup-classes" in x] == ["dup-members", "dup-prints"]
+
+
 def test_connected_components_on_paths_stars_and_rings(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 501 + i) for i in range(80)] + [(900 + i, 900 + (i + 1) % 30) for i in range(30)]
